@@ -19,6 +19,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "zonom
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

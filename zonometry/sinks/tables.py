@@ -25,7 +25,7 @@ def quantized(df: DataFrame, cols: list[str]) -> list[Column]:
 
     def cell(c: str) -> Column:
         if types[c] in ("double", "float"):
-            return F.round(c).cast("long").alias(c)
+            return F.bround(c).cast("long").alias(c)  # halves go to even
         if types[c] == "boolean":
             return F.col(c).cast("int").alias(c)
         return F.col(c)
@@ -40,11 +40,11 @@ def columnar_records(df: DataFrame, part: str, key: str, cols: list[str], chunk:
     row ever gathers a whole part.
     """
     sizes = df.groupBy(part).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("__chunks"))
-    cells = df.select(F.col(part), F.struct(F.col(key).alias(key), *[c for c in quantized(df, cols) if True]).alias("r"))
-    placed = cells.join(sizes, part).withColumn("chunk", F.pmod(F.crc32(F.col(f"r.{key}").cast("binary")), F.col("__chunks")))
+    cells = df.select(F.col(part), F.struct(F.col(key), *quantized(df, cols)).alias("r"))
+    placed = cells.join(sizes, part).withColumn("chunk", F.pmod(F.crc32(F.col(f"r.{key}").cast("string").cast("binary")), F.col("__chunks")))
     lists = placed.groupBy(part, "chunk").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    frame = F.struct(F.size("rows").alias("n"), *[
-        F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in [key, *cols]])
+    # reading a field of an array of structs gives the array of that field
+    frame = F.struct(F.size("rows").alias("n"), *[F.col(f"rows.{c}").alias(c) for c in [key, *cols]])
     return lists.select(part, "chunk", F.size("rows").alias("n"), F.to_json(frame, {"ignoreNullFields": "false"}).alias("payload"))
 
 

@@ -86,8 +86,9 @@ def read_matrix_export(spark: SparkSession, path: str, year_group: Column | None
     from zonometry.functions.numeric import suppressed_cell
 
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(64))), {"quote": '"'})
-    wide = lines.select("file", cells.alias("c")).select("file", F.array(*[F.col(f"c.c{i}") for i in range(64)]).alias("cells"))
+    outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    cells = F.transform(F.split("value", outside_quotes), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    wide = lines.select("file", cells.alias("cells"))
     first = F.lower(F.trim(F.coalesce(F.col("cells")[0], F.lit(""))))
     label = F.when(first.startswith("year"), 0).when(first.contains("zip") & first.contains("zcta"), 1)
     heads = wide.withColumn("kind", label).where(F.col("kind").isNotNull())
