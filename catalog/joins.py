@@ -143,12 +143,12 @@ def interval_overlap_pairs(spark, sf):
 _BASES = "(SELECT DISTINCT cohort - 1 AS base FROM panel WHERE cohort IS NOT NULL)"
 
 
-@S.query("base_year_self_join", with_sql(PANEL_SQL) + f"""SELECT p.unit, p.year, b.year AS base, round(p.rate - b.rate, 5) AS dy FROM panel p
+@S.query("base_year_self_join", with_sql(PANEL_SQL) + f"""SELECT p.unit, p.year, b.year AS base, round(p.rate - b.rate, 6) AS dy FROM panel p
   JOIN panel b ON p.unit = b.unit AND b.year IN (SELECT base FROM {_BASES}) WHERE p.year <> b.year""")
 def base_year_self_join(spark, sf):
     p = R.panel_stage(spark, sf)
     bases = p.where(F.col("cohort").isNotNull()).select((F.col("cohort") - 1).alias("base")).distinct()
-    return pn.base_year_change(p, "unit", "year", "rate", bases).select("unit", "year", "base", F.round("dy", 5).alias("dy"))
+    return pn.base_year_change(p, "unit", "year", "rate", bases).select("unit", "year", "base", F.round("dy", 6).alias("dy"))
 
 
 @S.query("not_yet_treated_join", with_sql(PANEL_SQL) + f"""SELECT g.state, g.g, t.year AS t, count(DISTINCT c.unit) AS n_controls

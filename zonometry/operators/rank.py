@@ -31,19 +31,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def value_positions(
     df: DataFrame, value: str, by: list[str] | None = None,
-    domain: tuple[float, float] | None = None, weight: str | None = None,
+    domain: tuple[float, float] | None = None, weight: str | None = None, keep_zero: bool = False,
 ) -> DataFrame:
     """Distinct values with their place: ``by, value, c, before, n``.
 
     ``c`` counts the ties (or sums ``weight``), ``before`` the rows strictly below, ``n`` the
-    non-null rows of the group. ``domain`` states a known range (percentiles are 0..100), which
+    non-null rows of the group. Rows of weight zero drop, unless ``keep_zero`` asks where they
+    would stand. ``domain`` states a known range (percentiles are 0..100), which
     replaces the quantile pass by equal-width buckets.
     """
     by = list(by or [])
     gkeys = by or ["__all"]
     c = F.count(F.lit(1)).cast("double") if weight is None else F.sum(F.col(weight).cast("double"))
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    if weight is not None:
+    if weight is not None and not keep_zero:
         base = base.where(F.col(weight) > 0)
     if not by:
         base = base.withColumn("__all", F.lit(0))
@@ -81,8 +82,12 @@ def with_percentile(
     pct = (F.col("before") + (F.col("c") + 1) / 2) / F.col("n") * 100
     if min_count:
         pct = F.when(F.col("n") >= min_count, pct)
-    ranks = pos.select(*by, F.col(value).alias("__v"), pct.alias(out))
-    ranks = ranks.withColumnsRenamed({k: f"__k_{k}" for k in by})
+    return _join_values(df, pos, value, by, pct, out)
+
+
+def _join_values(df: DataFrame, placed: DataFrame, value: str, by: list[str], share: Column, out: str) -> DataFrame:
+    """Join a share computed per (by, value) back onto the rows."""
+    ranks = placed.select(F.col(value).alias("__v"), share.alias(out), *[F.col(k).alias(f"__k_{k}") for k in by])
     cond = F.col(value) == F.col("__v")
     for k in by:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
@@ -90,27 +95,24 @@ def with_percentile(
 
 
 def with_less_share(df: DataFrame, value: str, eligible: Column, out: str) -> DataFrame:
-    """100 x (eligible rows strictly below) / (eligible rows), for every row of ``df``.
+    """100 x (eligible rows strictly below) / (eligible rows), for every row of ``df``."""
+    marked = df.withColumn("__e", F.coalesce(eligible, F.lit(False)).cast("double"))
+    placed = value_positions(marked, value, weight="__e", keep_zero=True)
+    return _join_values(df, placed, value, [], F.when(F.col("n") > 0, F.col("before") / F.col("n") * 100), out)
+
 
-    Each value carries the number of eligible rows at it, so eligible and queried rows share one
-    running sum.
+def with_fixed_share(queries: DataFrame, fixed: DataFrame, value: str, out: str, by: list[str] | None = None,
+                     domain: tuple[float, float] | None = None) -> DataFrame:
+    """100 x share of a fixed distribution at or below each queried value.
+
+    Both sides enter one set of value positions, the queried rows with weight zero, so the lookup
+    is a running sum and not a search per row.
     """
-    marked = df.withColumn("__e", F.coalesce(eligible & F.col(value).isNotNull(), F.lit(False)).cast("double"))
-    values = marked.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum("__e").alias("__c"), F.lit(0).alias("__g"))
-    cuts = values.groupBy("__g").agg(
-        F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 20 * BUCKETS).alias("__cuts"))
-    tagged = values.join(cuts, "__g").withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col(value))))
-    sizes = tagged.groupBy("__g", "__b").agg(F.sum("__c").alias("__s"))
-    off = sizes.select(
-        "__b",
-        (F.sum("__s").over(Window.partitionBy("__g").orderBy("__b")) - F.col("__s")).alias("__off"),
-        F.sum("__s").over(Window.partitionBy("__g")).alias("__n"),
-    )
-    inside = Window.partitionBy("__b").orderBy(value)
-    placed = tagged.join(off, "__b").withColumn("__below", F.col("__off") + F.sum("__c").over(inside) - F.col("__c"))
-    shares = placed.select(
-        F.col(value).alias("__v"), F.when(F.col("__n") > 0, F.col("__below") / F.col("__n") * 100).alias(out))
-    return df.join(shares, F.col(value) == F.col("__v"), "left").drop("__v")
+    by = list(by or [])
+    both = fixed.select(*by, value, F.lit(1.0).alias("__w")).unionByName(queries.select(*by, value, F.lit(0.0).alias("__w")))
+    placed = value_positions(both, value, by, domain, weight="__w", keep_zero=True)
+    share = F.when(F.col("n") > 0, (F.col("before") + F.col("c")) / F.col("n") * 100)
+    return _join_values(queries, placed, value, by, share, out)
 
 
 def exact_quantiles(
