@@ -18,10 +18,10 @@ D = list(DIMS)
 
 
 def good(spark, sf):
-    return R.scored(spark, sf).where("scoreable")
+    return R.scored(spark, sf).where("scoreable").withColumn("o_blend", F.col("o_price") + 25 * F.col("m_unit"))
 
 
-GOOD_SQL = "good AS (SELECT * FROM scored WHERE scoreable)"
+GOOD_SQL = "good AS (SELECT *, o_price + 25 * m_unit AS o_blend FROM scored WHERE scoreable)"
 
 
 def r6(df, *cols, n=6):
@@ -145,13 +145,13 @@ def subscore_signal(spark, sf):
 
 COUNTY_SQL = "cty AS (SELECT county_fips, " + ", ".join(
     f"sum({c} * population) FILTER (WHERE {c} IS NOT NULL AND population > 0) / sum(population) FILTER (WHERE {c} IS NOT NULL AND population > 0) AS {c}"
-    for c in ["score", *D, *OUTCOMES]) + ", sum(population) AS cpop FROM good GROUP BY 1)"
+    for c in ["score", *D, *OUTCOMES, "m_unit", "o_blend"]) + ", sum(population) AS cpop FROM good GROUP BY 1)"
 
 
 def counties(spark, sf):
     def build():
         g = good(spark, sf)
-        means = xw.weighted_mean_by(g, "county_fips", ["score", *D, *OUTCOMES], "population")
+        means = xw.weighted_mean_by(g, "county_fips", ["score", *D, *OUTCOMES, "m_unit", "o_blend"], "population")
         return means.join(g.groupBy("county_fips").agg(F.sum("population").alias("cpop")), "county_fips")
 
     return R.once(spark, sf, "county-stage", build)
@@ -186,14 +186,15 @@ def split_half(spark, sf):
     return r6(out.select("split", "r", "stepped"), "r", "stepped")
 
 
-_RULERS = [("o_price", "o_return"), ("o_price", "o_tax"), ("o_return", "o_tax")]
+RULERS = ["m_unit", "o_blend", "o_price"]
+_RULERS = [("m_unit", "o_blend"), ("m_unit", "o_price"), ("o_blend", "o_price")]
 _PF_SQL = "pf AS (" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, {_wcorr_sql(x, y, 'cpop', 'cty', 10)} AS r" for x, y in _RULERS) + ")"
 _REL_SQL = """
-rl AS (SELECT (SELECT r FROM pf WHERE x = 'o_price' AND y = 'o_return') AS pr, (SELECT r FROM pf WHERE x = 'o_price' AND y = 'o_tax') AS pt,
-  (SELECT r FROM pf WHERE x = 'o_return' AND y = 'o_tax') AS rt),
-rel AS (SELECT 'o_price' AS ruler, least(1.0, greatest(0.0, pr * pt / rt)) AS reliability FROM rl WHERE rt > 0
-  UNION ALL SELECT 'o_return', least(1.0, greatest(0.0, pr * rt / pt)) FROM rl WHERE pt > 0
-  UNION ALL SELECT 'o_tax', least(1.0, greatest(0.0, pt * rt / pr)) FROM rl WHERE pr > 0)
+rl AS (SELECT (SELECT r FROM pf WHERE x = 'm_unit' AND y = 'o_blend') AS ub, (SELECT r FROM pf WHERE x = 'm_unit' AND y = 'o_price') AS up,
+  (SELECT r FROM pf WHERE x = 'o_blend' AND y = 'o_price') AS bp),
+rel AS (SELECT 'm_unit' AS ruler, least(1.0, greatest(0.0, ub * up / bp)) AS reliability FROM rl WHERE bp > 0
+  UNION ALL SELECT 'o_blend', least(1.0, greatest(0.0, ub * bp / up)) FROM rl WHERE up > 0
+  UNION ALL SELECT 'o_price', least(1.0, greatest(0.0, up * bp / ub)) FROM rl WHERE ub > 0)
 """
 
 
@@ -205,7 +206,7 @@ def parallel_forms(spark, sf):
 
 @S.query("disattenuate", with_sql(SCORED_SQL, GOOD_SQL, COUNTY_SQL, _PF_SQL, _REL_SQL, split_sql("SELECT area, item, pctile FROM mem", ITEMS, SPLITS, 7), """
 ix AS (SELECT 2 * m / (1 + m) AS ir FROM (SELECT avg(r) AS m FROM sh)),
-ob AS (""" + " UNION ALL ".join(f"SELECT '{o}' AS ruler, {_wcorr_sql('score', o, 'cpop', 'cty', 10)} AS r" for o in OUTCOMES) + ")") + """
+ob AS (""" + " UNION ALL ".join(f"SELECT '{o}' AS ruler, {_wcorr_sql('score', o, 'cpop', 'cty', 10)} AS r" for o in RULERS) + ")") + """
 SELECT ruler, round(r, 6) AS r, round(reliability, 6) AS reliability, round(least(1.0, r / sqrt(abs(ir) * reliability)), 5) AS disattenuated FROM ob JOIN rel USING (ruler), ix WHERE reliability > 0""")
 def disattenuate(spark, sf):
     from catalog.scoring import _members
@@ -214,7 +215,7 @@ def disattenuate(spark, sf):
     rel = val.parallel_forms(stats.weighted_correlations(c, _RULERS, "cpop", min_pairs=10))
     halves = resample.split_half(_members(spark, sf), "area", "item", "pctile", ITEMS, SPLITS, 7).agg(F.avg("r").alias("m"))
     index = halves.select(F.abs(2 * F.col("m") / (1 + F.col("m"))).alias("index_reliability"))
-    obs = stats.weighted_correlations(c, [("score", o) for o in OUTCOMES], "cpop", min_pairs=10).select(F.col("y").alias("ruler"), "r")
+    obs = stats.weighted_correlations(c, [("score", o) for o in RULERS], "cpop", min_pairs=10).select(F.col("y").alias("ruler"), "r")
     out = val.disattenuate(obs, rel, index).withColumn("disattenuated", F.round("disattenuated", 5))
     return r6(out.select("ruler", "r", "reliability", "disattenuated"), "r", "reliability")
 

@@ -108,22 +108,42 @@ def corr_of(i: int, j: int) -> Column:
     return F.when(v > 0, cov_of(i, j) / F.sqrt(v))
 
 
-def partial_of(i: int, j: int, controls: list[int]) -> Column:
-    """Partial correlation of a Gram row by recursion over the controls."""
-    if not controls:
-        return corr_of(i, j)
-    z, rest = controls[-1], controls[:-1]
-    rij, riz, rjz = partial_of(i, j, rest), partial_of(i, z, rest), partial_of(j, z, rest)
-    den = (1 - riz * riz) * (1 - rjz * rjz)
-    return F.when(den > 0, (rij - riz * rjz) / F.sqrt(den))
+def partials(grams: DataFrame, k: int, keep: list[str], wanted: dict[str, tuple[int, int, list[int]]]) -> DataFrame:
+    """Partial correlations of Gram rows: ``keep, n`` plus one column per (i, j, controls).
+
+    Read off the inverse of the small correlation matrix, one row per group at a time.
+    """
+    import numpy as np
+
+    types = dict(grams.dtypes)
+
+    def fit(row):
+        n, _, m = matrix_of(row, k)
+        out = {"n": int(round(n))}
+        for name, (i, j, controls) in wanted.items():
+            idx = [i, j, *controls]
+            sub = m[np.ix_(idx, idx)]
+            sd = np.sqrt(np.diag(sub))
+            out[name] = None
+            if (sd > 0).all():
+                r = sub / np.outer(sd, sd)
+                if controls:
+                    zz = r[2:, 2:]
+                    fit_z = np.linalg.lstsq(zz, r[2:, :2], rcond=None)[0]
+                    r = r[:2, :2] - r[:2, 2:] @ fit_z
+                v = r[0, 0] * r[1, 1]
+                out[name] = float(r[0, 1] / np.sqrt(v)) if v > 1e-24 else None
+        return out
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n bigint"] + [f"`{w}` double" for w in wanted])
+    return solve_rows(grams, keep, schema, fit)
 
 
 def partial_corr(df: DataFrame, y: str, c: str, controls: list[str], by: list[str] | None = None,
                  min_rows: int = 100) -> DataFrame:
     cols = [y, c, *controls]
-    g = gram(centred(df, cols), cols, by)
-    r = F.when(F.col("n") >= min_rows, partial_of(0, 1, list(range(2, len(cols)))))
-    return g.select(*list(by or []), r.alias("partial_r"), F.col("n").cast("long").alias("n"))
+    g = gram(centred(df, cols), cols, by).where(F.col("n") >= min_rows)
+    return partials(g, len(cols), list(by or []), {"partial_r": (0, 1, list(range(2, len(cols))))})
 
 
 def solve_rows(df: DataFrame, keep: list[str], schema: str, fit: Callable[[dict], dict]) -> DataFrame:

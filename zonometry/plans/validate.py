@@ -11,7 +11,7 @@ from zonometry.operators.aggregates import subtract_group_mean, with_quantile_cl
 from zonometry.operators.joins import having_min_members
 from zonometry.operators.rank import exact_quantiles, with_percentile
 from zonometry.operators.stats import (
-    centred, correlations, corr_of, floored, gram, matrix_of, nonneg_ls, partial_of, solve_rows, weighted_correlations,
+    centred, correlations, corr_of, floored, gram, matrix_of, nonneg_ls, partials, solve_rows, weighted_correlations,
 )
 from zonometry.session import stage
 
@@ -109,13 +109,15 @@ def adjusted_within_r(df: DataFrame, scores: list[str], outcome: str, adjust: st
     """
     d = having_min_members(df, group, min_members)
     w = stage(subtract_group_mean(d, group, [*scores, outcome, adjust]), "within")
-    rows = []
-    for s in scores:
-        cols = [f"{s}_within", f"{outcome}_within", f"{adjust}_within"]
-        g = gram(w, cols, by)
-        r = F.when(F.col("n") >= min_pairs, partial_of(0, 1, [2]))
-        rows.append(g.select(*list(by or []), F.lit(s).alias("x"), r.alias("r"), F.col("n").cast("long").alias("n")))
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    # one Gram row per score, each on its own complete rows
+    k = len(scores)
+    cols = [*[f"{s}_within" for s in scores], f"{outcome}_within", f"{adjust}_within"]
+    parts = []
+    for i, s in enumerate(scores):
+        g = gram(w, [cols[i], cols[k], cols[k + 1]], by).where(F.col("n") >= min_pairs)
+        parts.append(g.withColumn("x", F.lit(s)))
+    grams = reduce(lambda a, b: a.unionByName(b), parts)
+    return partials(grams, 3, ["x", *list(by or [])], {"r": (0, 1, [2])})
 
 
 def placebo_differential(df: DataFrame, scores: list[str], sensitive: str, placebo: str, adjust: str, group: str) -> DataFrame:
@@ -298,8 +300,8 @@ def candidate_gate(df: DataFrame, candidates: list[str], outcome: str, dims: lis
     parts = []
     for c in candidates:
         cols = [outcome, c, *dims]
-        g = gram(centred(df, cols), cols)
-        parts.append(g.select(F.lit(c).alias("x"), F.when(F.col("n") >= 100, partial_of(0, 1, list(range(2, len(cols))))).alias("partial_r")))
-    partial = reduce(lambda a, b: a.unionByName(b), parts)
+        parts.append(gram(centred(df, cols), cols).where(F.col("n") >= 100).withColumn("x", F.lit(c)))
+    grams = reduce(lambda a, b: a.unionByName(b), parts)
+    partial = partials(grams, len(dims) + 2, ["x"], {"partial_r": (0, 1, list(range(2, len(dims) + 2)))}).drop("n")
     out = raw.join(partial, "x").join(inside, "x").join(dimr, "x")
     return out.withColumn("verdict", F.when(F.col("partial_r") > min_partial, "survives").otherwise("collapses"))
