@@ -97,7 +97,7 @@ def cluster_key(spark, sf):
 
 @S.query("block_bootstrap_ci", with_sql(SCORED_SQL, GOOD_SQL, block_sql("county"), moment_sql("", "blk", "tm", ["score", "o_price"])) + ci_sql("rr", "r01"))
 def block_bootstrap_ci(spark, sf):
-    g = resample.bootstrap_grams(stats.centred(blocked(spark, sf).select("block", "score", "o_price"), ["score", "o_price"]), ["score", "o_price"], "block", REPS, SEED)
+    g = resample.bootstrap_grams(blocked(spark, sf).select("block", "score", "o_price"), ["score", "o_price"], "block", REPS, SEED)
     return ci(g.select("replicate", stats.corr_of(0, 1).alias("r")), "r")
 
 
@@ -105,7 +105,7 @@ _PC = ["o_price", "access_pctile", "need_pctile", "vulnerability_pctile"]
 
 
 def _partial_boot(df, cols, reps=REPS):
-    g = resample.bootstrap_grams(stats.centred(df.select("block", *cols), cols), cols, "block", reps, SEED)
+    g = resample.bootstrap_grams(df.select("block", *cols), cols, "block", reps, SEED)
     return stats.partials(g, len(cols), ["replicate"], {"stat": (0, 1, list(range(2, len(cols))))}).drop("n")
 
 
@@ -123,10 +123,6 @@ rb{tag} AS (SELECT replicate, variant, outcome, sum(w * (a - am) * (b - bm)) / s
 """
 
 
-_VSQL = VARIANT_SQL.replace(", ".join(OUTCOMES) + ",", "")
-VR_AREA_SQL = VARIANT_SQL
-
-
 def ranked(spark, sf):
     def build():
         df = blocked(spark, sf)
@@ -136,7 +132,7 @@ def ranked(spark, sf):
     return R.once(spark, sf, "ranked-replicates", build)
 
 
-_RANKED = (SCORED_SQL, GOOD_SQL, VR_AREA_SQL.replace("vr AS (", "vr AS ("), rank_sql("q", RANK_REPS, OUTCOMES))
+_RANKED = (SCORED_SQL, GOOD_SQL, VARIANT_SQL, rank_sql("q", RANK_REPS, OUTCOMES))
 _MARGIN = f"""
 mv AS (SELECT replicate, variant, avg(r) AS m FROM rbq GROUP BY 1, 2),
 mg AS (SELECT d.replicate, d.variant, f.m - d.m AS margin FROM mv d JOIN mv f ON f.replicate = d.replicate AND f.variant = 'full' WHERE d.variant <> 'full')

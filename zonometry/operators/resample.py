@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonometry.functions.noise import digest, uniform
 from zonometry.operators.rank import exact_quantiles, global_index, value_positions
-from zonometry.operators.stats import gram, sum_grams, weighted_corr_long
+from zonometry.operators.stats import centred, gram, sum_grams, weighted_corr_long
 from zonometry.session import stage
 
 
@@ -44,9 +44,12 @@ def draw_counts(index: DataFrame, block: str, replicates: int, seed: int) -> Dat
 
 def bootstrap_grams(df: DataFrame, cols: list[str], block: str, replicates: int, seed: int,
                     by: list[str] | None = None) -> DataFrame:
-    """Gram sums per replicate (and ``by``): rows collapse to block sums before any replication."""
+    """Gram sums per replicate (and ``by``): rows collapse to block sums before any replication.
+
+    Blocks are drawn from all rows, also those whose columns are incomplete; only the sums skip them.
+    """
     by = list(by or [])
-    sums = stage(gram(df, cols, [block, *by]), "block-grams")
+    sums = stage(gram(centred(df, cols), cols, [block, *by]), "block-grams")
     times = draw_counts(block_index(df, block), block, replicates, seed)
     joined = sums.join(times, block)
     return sum_grams(joined, len(cols), ["replicate", *by], F.col("times"))
