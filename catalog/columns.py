@@ -207,6 +207,12 @@ def rate_from_members(spark, sf):
                     numeric.member_rate(members, den, complement=True).alias("complement"))
 
 
+@S.query("ratio_guarded", "SELECT o_orderkey, CASE WHEN d > 0 THEN o_totalprice / d END AS ratio FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 4 - 1 AS d FROM orders)")
+def ratio_guarded(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", numeric.guarded_ratio(F.col("o_totalprice"), F.col("o_orderkey") % 4 - 1).alias("ratio"))
+
+
 @S.query("composition_shares", """SELECT l_orderkey, r / t AS pct_r, a / t AS pct_a, n / t AS pct_n FROM (SELECT l_orderkey,
   sum(l_quantity) AS t, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0) AS r,
   coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'A'), 0) AS a,

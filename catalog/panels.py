@@ -133,12 +133,12 @@ def att_gt_dr(spark, sf):
     return pn.att_gt_dr(built(spark, sf), "unit", "year", "rate", "state", "cohort", "pop")
 
 
-@S.query("cell_covariates", with_sql(PANEL_SQL) + """SELECT p.state, p.unit, b.before, round(avg(p.rate), 5) AS pre_level,
-  round(CASE WHEN b.before - 1995 >= 3 AND count(*) >= 3 THEN regr_slope(p.rate, p.year) END, 5) AS pre_slope, count(*) AS n_obs FROM panel p JOIN (SELECT DISTINCT state, year AS before FROM panel) b
+@S.query("cell_covariates", with_sql(PANEL_SQL) + """SELECT p.state, p.unit, b.before, round(avg(p.rate), 8) AS pre_level,
+  round(CASE WHEN b.before - 1995 >= 3 AND count(*) >= 3 THEN regr_slope(p.rate, p.year) END, 8) AS pre_slope, count(*) AS n_obs FROM panel p JOIN (SELECT DISTINCT state, year AS before FROM panel) b
   ON b.state = p.state AND p.year < b.before GROUP BY 1, 2, 3""")
 def cell_covariates(spark, sf):
     out = pn.pre_window_covariates(R.panel_stage(spark, sf), "unit", "year", "rate", "state")
-    return r6(out.drop("n_window"), "pre_level", "pre_slope", n=5)
+    return r6(out.drop("n_window"), "pre_level", "pre_slope", n=8)
 
 
 @S.query("aggregate_event", with_sql(PANEL_SQL, CLEAN_SQL, att_sql("", "clean", "pop")) + "SELECT e, round(sum(att * n) / sum(n), 4) AS att, count(DISTINCT (state, g)) AS n_cohorts, sum(n) AS n_treated FROM att GROUP BY 1 HAVING count(DISTINCT (state, g)) >= 2")

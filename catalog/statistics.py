@@ -390,7 +390,7 @@ def acceptance_ratio(spark, sf):
     g = good(spark, sf).withColumn("acceptance", clip(guarded_ratio(F.col("providers_primary"), F.col("n_orders")), 0.0, 1.5))
     size = g.agg(F.count("acceptance").alias("n"), F.round(F.avg("acceptance"), 8).alias("mean_acceptance"))
     part = stats.partial_corr(g, "o_price", "acceptance", D[:2]).select(F.round("partial_r", 6).alias("partial_r"))
-    return size.join(part)  # one row each
+    return size.join(F.broadcast(part))  # one row each
 
 
 _CAND = ["m_balance", "m_discount", "m_quantity"]

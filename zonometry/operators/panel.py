@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonometry.operators.stats import gram, matrix_of, solve_rows
+from zonometry.operators.stats import gram, matrix_of, safe_corr, solve_rows
 from zonometry.session import stage
 
 
@@ -266,8 +266,8 @@ def lag1_autocorr(resid: DataFrame, unit: str, period: str, value: str, min_obs:
 
     w = Window.partitionBy(unit).orderBy(period)
     pairs = resid.withColumn("__prev", F.lag(value).over(w))
-    each = pairs.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.corr(value, "__prev").alias("r")).where(F.col("n") >= min_obs)
-    good = each.where(F.col("r").isNotNull() & ~F.isnan("r"))
+    each = pairs.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), safe_corr(value, "__prev").alias("r")).where(F.col("n") >= min_obs)
+    good = each.where(F.col("r").isNotNull())
     return good.agg(F.avg("r").alias("lag1"), F.count(F.lit(1)).alias("n_units"))
 
 

@@ -15,11 +15,8 @@ from pyspark.sql import functions as F
 from zonometry.session import stage
 
 BUCKETS = 128
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on keys, so a null group is a group of its own."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+# Up to this many rows (a count the caller has checked) one window per group beats the bucketed plan.
+SMALL_ROWS = 2_000_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -51,8 +48,11 @@ def value_positions(
     values = base.groupBy(*gkeys, value).agg(c.alias("c"))
     if domain is None:
         probs = [i / BUCKETS for i in range(1, BUCKETS)]
-        cuts = values.groupBy(*gkeys).agg(F.percentile_approx(value, probs, 20 * BUCKETS).alias("__cuts"))
-        tagged = join_null_safe(values, cuts, gkeys, "inner")
+        cut = F.percentile_approx(value, probs, 20 * BUCKETS).alias("__cuts")
+        if by:
+            tagged = join_null_safe(values, values.groupBy(*by).agg(cut), by, "inner")
+        else:
+            tagged = values.join(F.broadcast(values.agg(cut)))  # one row
         tagged = tagged.withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
     else:
         lo, hi = domain
@@ -74,10 +74,20 @@ def value_positions(
 
 def with_percentile(
     df: DataFrame, value: str, out: str, by: list[str] | None = None,
-    domain: tuple[float, float] | None = None, min_count: int = 0,
+    domain: tuple[float, float] | None = None, min_count: int = 0, rows: int | None = None,
 ) -> DataFrame:
-    """Tie-averaged percentile 0..100 over the non-null rows of each group; null stays null."""
+    """Tie-averaged percentile 0..100 over the non-null rows of each group; null stays null.
+
+    ``rows`` is the checked row count, if known: small tables take one window per group, anything
+    larger (or unknown) the bucketed plan.
+    """
     by = list(by or [])
+    if rows is not None and rows <= SMALL_ROWS:
+        whole = Window.partitionBy(*by, F.col(value).isNull())
+        run = whole.orderBy(value)
+        before, c, n = F.rank().over(run) - 1, F.count(value).over(run.rangeBetween(0, 0)), F.count(value).over(whole)
+        pct = F.when(F.col(value).isNotNull() & (n >= min_count), (before + (c + 1) / 2) / n * 100)
+        return df.withColumn(out, pct)
     pos = value_positions(df, value, by, domain)
     pct = (F.col("before") + (F.col("c") + 1) / 2) / F.col("n") * 100
     if min_count:

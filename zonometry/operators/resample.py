@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonometry.functions.noise import digest, uniform
 from zonometry.operators.rank import exact_quantiles, global_index, value_positions
-from zonometry.operators.stats import centred, gram, sum_grams, weighted_corr_long
+from zonometry.operators.stats import centred, gram, safe_corr, sum_grams, weighted_corr_long
 from zonometry.session import stage
 
 
@@ -62,7 +62,10 @@ def intervals(stats: DataFrame, value: str, by: list[str] | None = None, lo: flo
     drawn = stats.where(F.col("replicate") >= 0)
     ci = exact_quantiles(drawn, value, [lo, hi], by, ["ci_lo", "ci_hi"]).withColumnRenamed("n", "n_boot")
     share = drawn.where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg((F.col(value) > 0).cast("double")).alias("share_positive"))
-    out = point.join(ci, by).join(share, by) if by else point.join(ci).join(share)
+    if by:
+        out = point.join(ci, by).join(share, by)
+    else:
+        out = point.join(F.broadcast(ci)).join(F.broadcast(share))  # one row each
     return out.withColumn("excludes_0", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
@@ -106,5 +109,5 @@ def split_half(long: DataFrame, key: str, item: str, value: str, items: list[str
     means = joined.groupBy("split", key).agg(
         F.avg(F.when(F.col("half") == 0, F.col(value))).alias("a"), F.avg(F.when(F.col("half") == 1, F.col(value))).alias("b"))
     r = means.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("split").agg(
-        F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pairs)
+        safe_corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pairs)
     return r.withColumn("stepped", 2 * F.col("r") / (1 + F.col("r")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 12
+ROUNDS = 8
 
 
 def local_group_key(df: DataFrame, fine: str, coarse: str, out: str, min_members: int = 8) -> DataFrame:
@@ -21,7 +21,7 @@ def between_variance(obs: DataFrame, by: list[str], min_members: int = 5, rounds
 
     Solves sum((r-m)^2/(tau2+s2)) = n-1 with m the precision-weighted mean, for all groups at
     once: every round is one combine over the rows plus a join with the small group table. The
-    step is Newton's on 1/f, nearly linear in tau2, so a dozen rounds reach double precision;
+    step is Newton's on 1/f, nearly linear in tau2, so a few rounds reach double precision;
     tau2 stays 0 where sampling error alone explains the spread.
     """
     groups = obs.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n")).where(F.col("n") >= min_members)

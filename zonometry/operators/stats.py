@@ -14,13 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def not_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Null-pairwise correlation aggregate; null without spread (the built-in one divides by zero)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
 
 
 def pearson(x: Column, y: Column, min_pairs: int = 50) -> Column:
     """Null-pairwise correlation aggregate with a pair floor; zero variance gives null."""
-    return F.when(F.count_if(x.isNotNull() & y.isNotNull()) >= min_pairs, not_nan(F.corr(x, y)))
+    return F.when(F.count_if(x.isNotNull() & y.isNotNull()) >= min_pairs, safe_corr(x, y))
 
 
 def correlations(df: DataFrame, xs: list[str], ys: list[str], by: list[str] | None = None,
@@ -29,7 +33,7 @@ def correlations(df: DataFrame, xs: list[str], ys: list[str], by: list[str] | No
     by = list(by or [])
     aggs, pairs = [], [(x, y) for x in xs for y in ys]
     for i, (x, y) in enumerate(pairs):
-        aggs += [not_nan(F.corr(x, y)).alias(f"__r{i}"),
+        aggs += [safe_corr(x, y).alias(f"__r{i}"),
                  F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias(f"__n{i}")]
     wide = df.groupBy(*by).agg(*aggs)
     rows = F.explode(F.array(*[

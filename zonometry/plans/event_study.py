@@ -62,7 +62,7 @@ def robustness(variants: dict[str, DataFrame], unit: str, period: str, y: str, s
         p = stage(p, "variant")
         effect = overall_att(att_gt(p, unit, period, y, state, cohort, weight))
         n = p.where(F.col(cohort).isNotNull()).agg(F.countDistinct(unit).alias("n_treated"))
-        parts.append(effect.join(n).withColumn("variant", F.lit(name)))  # one row each
+        parts.append(effect.join(F.broadcast(n)).withColumn("variant", F.lit(name)))  # one row each
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -76,7 +76,7 @@ def event_summary(att: DataFrame, state: str) -> DataFrame:
     pre = path.where(F.col("e") < 0).agg(F.sqrt(F.avg(F.col("att") * F.col("att"))).alias("pre_rms"))
     full = overall_att(att)
     capped = overall_att(att, horizon=HORIZON).withColumnRenamed("overall_att", "overall_capped")
-    return pre.join(full).join(capped)  # one row each
+    return pre.join(F.broadcast(full)).join(F.broadcast(capped))  # one row each
 
 
 def pre_trend_wald(panel: DataFrame, times: DataFrame, block: str, unit: str, period: str, y: str, barrier: str,

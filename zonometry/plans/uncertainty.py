@@ -112,7 +112,7 @@ def shrinkage_gate(on: DataFrame, off: DataFrame, flag: str) -> DataFrame:
     """Low-confidence bands must be narrower with shrinkage than without."""
     a = median_widths(on, flag, "width_on").where(F.col(flag)).select("width_on")
     b = median_widths(off, flag, "width_off").where(F.col(flag)).select("width_off")
-    return a.join(b).withColumn("ok", F.col("width_on") < F.col("width_off"))  # one row each
+    return a.join(F.broadcast(b)).withColumn("ok", F.col("width_on") < F.col("width_off"))  # one row each
 
 
 def resample_sd(samples: DataFrame, members: DataFrame, sub_means: DataFrame, dim_means: DataFrame,

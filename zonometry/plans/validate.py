@@ -11,7 +11,7 @@ from zonometry.operators.aggregates import subtract_group_mean, with_quantile_cl
 from zonometry.operators.joins import having_min_members
 from zonometry.operators.rank import exact_quantiles, with_percentile
 from zonometry.operators.stats import (
-    centred, correlations, corr_of, floored, gram, matrix_of, nonneg_ls, partials, solve_rows, weighted_correlations,
+    centred, correlations, corr_of, floored, gram, matrix_of, nonneg_ls, partials, safe_corr, solve_rows, weighted_correlations,
 )
 from zonometry.session import stage
 
@@ -135,7 +135,7 @@ def wrong_sign_share(df: DataFrame, x: str, outcome: str, group: str, state: str
     rs = correlations(w.join(states, state, "left_semi"), [f"{x}_within"], [f"{outcome}_within"], [state], min_pairs)
     med = exact_quantiles(rs, "r", [0.5], names=["median_r"])
     share = rs.where(F.col("r").isNotNull()).agg(F.avg((F.col("r") < 0).cast("double")).alias("negative_share"))
-    return med.join(share)  # one row each
+    return med.join(F.broadcast(share))  # one row each
 
 
 def nnls_fit(df: DataFrame, dims: list[str], outcome: str, min_rows: int = 200) -> DataFrame:
@@ -278,7 +278,7 @@ def first_stage(df: DataFrame, before: str, after: str, dose: str, score: str, g
     marked = d.join(F.broadcast(cut))
     measures = {
         "mean_change": F.avg("change"), "total_change": 100.0 * (F.sum(after) - F.sum(before)) / F.sum(before),
-        "dose_r": F.corr("change", dose), "score_r": F.corr("change", score),
+        "dose_r": safe_corr("change", dose), "score_r": safe_corr("change", score),
         "mean_change_high_dose": F.avg(F.when(F.col(dose) >= F.col("__cut"), F.col("change"))),
         "mean_change_low_dose": F.avg(F.when(F.col(dose) < F.col("__cut"), F.col("change"))), "n": F.count(F.lit(1)),
     }
