@@ -32,11 +32,19 @@ def event_study(spark, sf):
     return r6(pn.event_study(R.panel_stage(spark, sf), "unit", "year", "rate", "barrier", YEARS, 1997), "beta", n=5)
 
 
-@S.query("pre_trend_wald")
+@S.query("pre_trend_wald", with_sql(PANEL_SQL, panel_times_sql("unit").replace("px FROM panel p", "px, p.unit AS origin FROM panel p"), """
+bt AS (SELECT c.replicate, c.year, regr_slope(c.rate - b.rate, p.barrier) AS beta FROM cop c JOIN cop b ON b.replicate = c.replicate AND b.unit = c.unit AND b.year = 1997
+  JOIN (SELECT DISTINCT unit, barrier FROM panel) p ON p.unit = c.origin WHERE c.year IN (1995, 1996) GROUP BY 1, 2),
+wd AS (SELECT replicate, max(beta) FILTER (WHERE year = 1995) AS b5, max(beta) FILTER (WHERE year = 1996) AS b6 FROM bt GROUP BY 1),
+cv AS (SELECT max(b5) FILTER (WHERE replicate = -1) AS m5, max(b6) FILTER (WHERE replicate = -1) AS m6, var_samp(b5) FILTER (WHERE replicate >= 0) AS v5,
+  var_samp(b6) FILTER (WHERE replicate >= 0) AS v6, covar_samp(b5, b6) FILTER (WHERE replicate >= 0) AS v56 FROM wd),
+st AS (SELECT (m5 * m5 * v6 - 2 * m5 * m6 * v56 + m6 * m6 * v5) / (v5 * v6 - v56 * v56) AS chi2 FROM cv)""")
+         + "SELECT round(chi2, 6) AS chi2, 2 AS df, round(exp(-chi2 / 2), 7) AS p, exp(-chi2 / 2) > 0.05 AS passes FROM st")
 def pre_trend_wald(spark, sf):
     p = R.panel_stage(spark, sf).select("unit", "year", "rate", "barrier").withColumn("block", F.col("unit"))
     times = resample.draw_counts(resample.block_index(p, "block"), "block", PANEL_REPS, SEED)
-    return es.pre_trend_wald(p, times, "block", "unit", "year", "rate", "barrier", YEARS, 1997, 1998)
+    out = es.pre_trend_wald(p, times, "block", "unit", "year", "rate", "barrier", YEARS, 1997, 1998)
+    return r6(r6(out, "chi2"), "p", n=7)
 
 
 _C = ["rate", "bp", "bpt"]

@@ -105,8 +105,7 @@ _PC = ["o_price", "access_pctile", "need_pctile", "vulnerability_pctile"]
 
 
 def _partial_boot(df, cols, reps=REPS):
-    g = resample.bootstrap_grams(df.select("block", *cols), cols, "block", reps, SEED)
-    return stats.partials(g, len(cols), ["replicate"], {"stat": (0, 1, list(range(2, len(cols))))}).drop("n")
+    return resample.bootstrap_partials(df, cols, "block", reps, SEED)
 
 
 def rank_sql(tag: str, reps: int, outcomes: list[str]) -> str:

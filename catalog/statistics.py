@@ -11,6 +11,7 @@ from catalog.registry import Section
 from catalog.roles import AREAS_SQL, DIMS, MODEL, OUTCOMES, SCORED_SQL, SUBS, pct_sql, table, with_sql
 from zonometry.operators import crosswalk as xw
 from zonometry.operators import resample, stats
+from zonometry.operators.joins import having_min_members
 from zonometry.plans import validate as val
 
 S = Section()
@@ -109,7 +110,7 @@ def lens_diag(spark, sf):
     return r6(out.select("x", "y", "r"), "r")
 
 
-_LONG_R = "lr AS (" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, corr({x}, {y}) AS r FROM good" for x in ["score", *SUBS] for y in OUTCOMES) + ")"
+_LONG_R = "lr AS (" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, CASE WHEN regr_count({x}, {y}) >= 100 THEN corr({x}, {y}) END AS r FROM good" for x in ["score", *SUBS] for y in OUTCOMES) + ")"
 
 
 @S.query("mean_r", with_sql(SCORED_SQL, GOOD_SQL, _LONG_R) + "SELECT x, round(avg(r), 6) AS mean_r FROM lr GROUP BY 1")
@@ -138,7 +139,7 @@ def drop_one_margin(spark, sf):
     return r6(val.drop_one(good(spark, sf), D, OUTCOMES), "mean_r", "margin")
 
 
-@S.query("subscore_signal", with_sql(SCORED_SQL, GOOD_SQL, _LONG_R) + "SELECT x, round(avg(abs(r)), 6) AS mean_abs_r, bool_or(r < -0.05) AS wrong_sign FROM lr WHERE x <> 'score' GROUP BY 1")
+@S.query("subscore_signal", with_sql(SCORED_SQL, GOOD_SQL, _LONG_R) + "SELECT x, round(avg(abs(r)), 6) AS mean_abs_r, coalesce(bool_or(r < -0.05), false) AS wrong_sign FROM lr WHERE x <> 'score' GROUP BY 1")
 def subscore_signal(spark, sf):
     return r6(val.subscore_signal(good(spark, sf), SUBS, OUTCOMES), "mean_abs_r")
 
@@ -246,27 +247,63 @@ def anchor_report(spark, sf):
     return r6(stats.floor_weights(both, "anchor", "r_popw", "weight_popw"), "r", "r_popw")
 
 
-@S.query("nnls_fit")
+def active_sets_sql(src: str, keys: str) -> str:
+    """Coefficients on standardized predictors for every active set of three, from correlations."""
+    r = {(0, 1): "r01", (0, 2): "r02", (1, 2): "r12"}
+    rows = [f"SELECT {keys}, " + ", ".join(f"ry{j} AS b{j}" if j == i else f"0.0 AS b{j}" for j in range(3)) + f", ry{i} * ry{i} AS gain FROM {src}" for i in range(3)]
+    for (i, j), rho in r.items():
+        bi, bj = f"(ry{i} - {rho} * ry{j}) / (1 - {rho} * {rho})", f"(ry{j} - {rho} * ry{i}) / (1 - {rho} * {rho})"
+        b = {i: bi, j: bj}
+        rows.append(f"SELECT {keys}, " + ", ".join(f"{b.get(q, '0.0')} AS b{q}" for q in range(3)) + f", {bi} * ry{i} + {bj} * ry{j} AS gain FROM {src}")
+    det = "(1 + 2 * r01 * r02 * r12 - r01 * r01 - r02 * r02 - r12 * r12)"
+    b0 = f"(ry0 * (1 - r12 * r12) - ry1 * (r01 - r02 * r12) + ry2 * (r01 * r12 - r02)) / {det}"
+    b1 = f"(ry1 * (1 - r02 * r02) - ry0 * (r01 - r02 * r12) + ry2 * (r01 * r02 - r12)) / {det}"
+    b2 = f"(ry2 * (1 - r01 * r01) + ry0 * (r01 * r12 - r02) + ry1 * (r01 * r02 - r12)) / {det}"
+    rows.append(f"SELECT {keys}, {b0} AS b0, {b1} AS b1, {b2} AS b2, {b0} * ry0 + {b1} * ry1 + {b2} * ry2 AS gain FROM {src}")
+    return (f"SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE b0 >= 0 AND b1 >= 0 AND b2 >= 0 AND b0 + b1 + b2 > 0 "
+            f"QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY gain DESC) = 1")
+
+
+def _fit_rows(o: str) -> str:
+    return (f"SELECT '{o}' AS outcome, state, {D[0]} AS x0, {D[1]} AS x1, {D[2]} AS x2, {o} AS y FROM good WHERE "
+            + " AND ".join(f"{c} IS NOT NULL" for c in [*D, o]))
+
+
+_MOMENTS = ("count(*) AS n, avg(y) AS my, stddev_pop(y) AS sy, " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}, corr(x{i}, y) AS ry{i}" for i in range(3))
+            + ", corr(x0, x1) AS r01, corr(x0, x2) AS r02, corr(x1, x2) AS r12")
+_FIT_SQL = "fr AS (" + " UNION ALL ".join(_fit_rows(o) for o in OUTCOMES) + ")"
+
+
+@S.query("nnls_fit", with_sql(SCORED_SQL, GOOD_SQL, _FIT_SQL, f"mo AS (SELECT outcome, {_MOMENTS} FROM fr GROUP BY 1 HAVING count(*) >= 200)", f"bs AS ({active_sets_sql('mo', 'outcome')})")
+         + "SELECT outcome, n, round(gain, 6) AS r2, " + ", ".join(f"round(CASE WHEN b0 IS NOT NULL THEN 5 + 85 * b{i} / (b0 + b1 + b2) END, 5) AS w_{d}" for i, d in enumerate(D)) + " FROM mo LEFT JOIN bs USING (outcome)")
 def nnls_fit(spark, sf):
     g = good(spark, sf)
     parts = [val.nnls_fit(g, D, o).withColumn("outcome", F.lit(o)) for o in OUTCOMES]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    out = r6(reduce(lambda a, b: a.unionByName(b), parts), "r2")
+    return r6(out, *[f"w_{d}" for d in D], n=5)
 
 
-@S.query("loso_cv")
+@S.query("loso_cv", with_sql(SCORED_SQL, GOOD_SQL, _FIT_SQL, f"""
+mo AS (SELECT outcome, u, {_MOMENTS} FROM fr JOIN (SELECT DISTINCT outcome AS oo, state AS u FROM fr) ON oo = outcome AND u <> state GROUP BY 1, 2 HAVING count(*) >= 100),
+bs AS ({active_sets_sql('mo', 'outcome, u')}),
+pd AS (SELECT fr.outcome, fr.y, my + sy * (b0 * (x0 - m0) / s0 + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2) AS p FROM fr JOIN mo ON mo.outcome = fr.outcome AND mo.u = fr.state JOIN bs ON bs.outcome = mo.outcome AND bs.u = mo.u),
+sc AS (SELECT outcome, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS cv_r2, count(*) AS n FROM pd GROUP BY 1),
+wt AS (SELECT outcome, count(*) AS n_folds, """ + ", ".join(f"avg(5 + 85 * b{i} / (b0 + b1 + b2)) AS mean_{d}, stddev_pop(5 + 85 * b{i} / (b0 + b1 + b2)) AS sd_{d}" for i, d in enumerate(D)) + " FROM bs GROUP BY 1)")
+    + "SELECT outcome, round(cv_r2, 6) AS cv_r2, n_folds, n, " + ", ".join(f"round(mean_{d}, 5) AS mean_{d}, round(sd_{d}, 4) AS sd_{d}" for d in D) + " FROM sc JOIN wt USING (outcome)")
 def loso_cv(spark, sf):
     g = good(spark, sf)
     parts = [val.loso_cv(g, D, o, "state").withColumn("outcome", F.lit(o)) for o in OUTCOMES]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    out = r6(reduce(lambda a, b: a.unionByName(b), parts).where(F.col("n_folds") > 0), "cv_r2")
+    return r6(r6(out, *[f"mean_{d}" for d in D], n=5), *[f"sd_{d}" for d in D], n=4)
 
 
 @S.query("density_confound", with_sql(SCORED_SQL, GOOD_SQL, "dq AS (SELECT *, " + " + ".join(f"CAST(population > q{i} AS INTEGER)" for i in range(1, 5)) + """ AS quintile FROM good,
- (SELECT """ + ", ".join(f"quantile_cont(population, {i / 5}) AS q{i}" for i in range(1, 5)) + " FROM good WHERE open_pctile IS NOT NULL) WHERE open_pctile IS NOT NULL AND population IS NOT NULL)") + "SELECT quintile, round(corr(open_pctile, o_price), 6) AS r FROM dq GROUP BY 1")
+ (SELECT """ + ", ".join(f"quantile_cont(population, {i / 5}) AS q{i}" for i in range(1, 5)) + " FROM good WHERE open_pctile IS NOT NULL) WHERE open_pctile IS NOT NULL AND population IS NOT NULL)") + "SELECT quintile, round(CASE WHEN regr_count(open_pctile, o_price) >= 100 THEN corr(open_pctile, o_price) END, 6) AS r FROM dq GROUP BY 1")
 def density_confound(spark, sf):
     return r6(val.density_confound(good(spark, sf), "open_pctile", "o_price", "population").select("quintile", "r"), "r")
 
 
-@S.query("cohen_d", with_sql(SCORED_SQL) + """SELECT n_in, n_out, round((ma - mb) / sqrt(((n_in - 1) * va + (n_out - 1) * vb) / (n_in + n_out - 2)), 6) AS d FROM (SELECT
+@S.query("cohen_d", with_sql(SCORED_SQL) + """SELECT n_in, n_out, CASE WHEN n_in >= 30 AND n_out >= 30 THEN round((ma - mb) / sqrt(((n_in - 1) * va + (n_out - 1) * vb) / (n_in + n_out - 2)), 6) END AS d FROM (SELECT
   avg(o_price) FILTER (WHERE low_confidence) AS ma, avg(o_price) FILTER (WHERE NOT low_confidence) AS mb, var_samp(o_price) FILTER (WHERE low_confidence) AS va,
   var_samp(o_price) FILTER (WHERE NOT low_confidence) AS vb, count(o_price) FILTER (WHERE low_confidence) AS n_in, count(o_price) FILTER (WHERE NOT low_confidence) AS n_out FROM scored)""")
 def cohen_d(spark, sf):
@@ -309,14 +346,14 @@ def bh_fdr(spark, sf):
     return r6(stats.bh_fdr(c, "k", "p").select("k", "q_value"), "q_value", n=8)
 
 
-WITHIN_SQL = "wi AS (SELECT *, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY county_fips) AS {c}_w" for c in ["score", *D, *OUTCOMES, "m_balance"]) + " FROM good)"
+WITHIN_SQL = "wi AS (SELECT *, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY county_fips) AS {c}_w" for c in ["score", *D, *OUTCOMES, "m_balance"]) + " FROM (SELECT * FROM good QUALIFY count(*) OVER (PARTITION BY county_fips) >= 3))"
 
 
 @S.query("within_r", with_sql(SCORED_SQL, GOOD_SQL, WITHIN_SQL) + " UNION ALL ".join(
     f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS pooled, round(corr({x}_w, {y}_w), 6) AS within, round({_wcorr_sql(f'{x}_w', f'{y}_w', 'population', 'wi', 50)}, 6) AS within_weighted FROM wi"
     for x in ["score", *D] for y in OUTCOMES))
 def within_r(spark, sf):
-    out = val.within_r(good(spark, sf), ["score", *D], OUTCOMES, "county_fips", "population")
+    out = val.within_r(good(spark, sf), ["score", *D], OUTCOMES, "county_fips", "population", min_members=3)
     return r6(out.drop("n"), "pooled", "within", "within_weighted")
 
 
@@ -333,7 +370,7 @@ def age_adjusted_within_r(spark, sf):
 
 
 @S.query("wrong_sign_share", with_sql(SCORED_SQL, GOOD_SQL, WITHIN_SQL) + """SELECT count(r) AS n, round(median(r), 6) AS median_r, avg((r < 0)::INT) AS negative_share FROM (SELECT state, corr(access_pctile_w, o_price_w) AS r
-  FROM wi GROUP BY 1 HAVING count(DISTINCT county_fips) >= 5)""")
+  FROM wi GROUP BY 1 HAVING count(DISTINCT county_fips) >= 5 AND regr_count(access_pctile_w, o_price_w) >= 50)""")
 def wrong_sign_share(spark, sf):
     return r6(val.wrong_sign_share(good(spark, sf), D[2], "o_price", "county_fips", "state"), "median_r")
 
@@ -341,11 +378,11 @@ def wrong_sign_share(spark, sf):
 @S.query("scorecard", with_sql(SCORED_SQL, GOOD_SQL, WITHIN_SQL) + " UNION ALL ".join(
     f"SELECT '{o}' AS source, count(*) AS n, count(DISTINCT county_fips) AS counties, round(corr(score_w, {o}_w), 6) AS composite_within_r, round(corr(access_pctile_w, {o}_w), 6) AS access_within_r FROM wi" for o in OUTCOMES))
 def scorecard(spark, sf):
-    g = good(spark, sf)
+    g = having_min_members(good(spark, sf), "county_fips", 3)
     size = g.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("county_fips").alias("counties"))
     parts = []
     for o in OUTCOMES:
-        w = val.within_r(g, ["score", D[2]], [o], "county_fips")
+        w = val.within_r(g, ["score", D[2]], [o], "county_fips", min_members=3)
         row = w.groupBy(F.col("y").alias("source")).agg(
             F.max(F.when(F.col("x") == "score", F.col("within"))).alias("composite_within_r"),
             F.max(F.when(F.col("x") == D[2], F.col("within"))).alias("access_within_r"))
@@ -364,13 +401,13 @@ def placebo_differential(spark, sf):
 FS_SQL = """
 fs AS (SELECT *, 100.0 * (y1 - y0) / y0 AS ch FROM (SELECT o_custkey AS id, CAST(count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS DOUBLE) AS y0,
   CAST(count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS DOUBLE) AS y1 FROM orders GROUP BY 1) JOIN scored USING (id) WHERE y0 > 1),
-fw AS (SELECT *, ch - avg(ch) OVER (PARTITION BY county_fips) AS ch_w, rate2 - avg(rate2) OVER (PARTITION BY county_fips) AS rate2_w, score - avg(score) OVER (PARTITION BY county_fips) AS score_w FROM fs),
+fw AS (SELECT *, ch - avg(ch) OVER (PARTITION BY county_fips) AS ch_w, count(*) OVER (PARTITION BY county_fips) >= 3 AS big, rate2 - avg(rate2) OVER (PARTITION BY county_fips) AS rate2_w, score - avg(score) OVER (PARTITION BY county_fips) AS score_w FROM fs),
 md AS (SELECT median(rate2) AS cut FROM fs)
 """
 _FS = {"mean_change": "avg(ch)", "total_change": "100.0 * (sum(y1) - sum(y0)) / sum(y0)", "dose_r": "corr(ch, rate2)", "score_r": "corr(ch, score)",
        "mean_change_high_dose": "avg(ch) FILTER (WHERE rate2 >= (SELECT cut FROM md))", "mean_change_low_dose": "avg(ch) FILTER (WHERE rate2 < (SELECT cut FROM md))",
        "n": "count(*)", "p10_change": "quantile_cont(ch, 0.1)", "p50_change": "quantile_cont(ch, 0.5)", "p90_change": "quantile_cont(ch, 0.9)",
-       "within_score_r": "corr(ch_w, score_w)", "within_dose_r": "corr(ch_w, rate2_w)"}
+       "within_score_r": "corr(ch_w, score_w) FILTER (WHERE big)", "within_dose_r": "corr(ch_w, rate2_w) FILTER (WHERE big)"}
 
 
 @S.query("first_stage_report", with_sql(SCORED_SQL, FS_SQL) + " UNION ALL ".join(f"SELECT '{n}' AS metric, round(CAST({e} AS DOUBLE), 6) AS value FROM fw" for n, e in _FS.items())
@@ -396,9 +433,9 @@ def acceptance_ratio(spark, sf):
 _CAND = ["m_balance", "m_discount", "m_quantity"]
 
 
-@S.query("hrsn_gate", with_sql(SCORED_SQL, GOOD_SQL, "gw AS (SELECT *, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY county_fips) AS {c}_w" for c in [*_CAND, "o_return"]) + " FROM good)") + " UNION ALL ".join(
+@S.query("hrsn_gate", with_sql(SCORED_SQL, GOOD_SQL, "gw AS (SELECT *, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY county_fips) AS {c}_w" for c in [*_CAND, "o_return"]) + " FROM (SELECT *, count(*) OVER (PARTITION BY county_fips) >= 3 AS big FROM good))") + " UNION ALL ".join(
     f"""SELECT x, round(raw_r, 6) AS raw_r, round(partial_r, 6) AS partial_r, round(within_r, 6) AS within_r, round(max_dim_r, 6) AS max_dim_r, CASE WHEN partial_r > 0.05 THEN 'survives' ELSE 'collapses' END AS verdict FROM (
-    SELECT '{c}' AS x, corr({c}, o_price) AS raw_r, {partial_sql('o_price', c, D[0], D[1], 'good')} AS partial_r, corr({c}_w, o_return_w) AS within_r, greatest(abs(corr({c}, {D[0]})), abs(corr({c}, {D[1]}))) AS max_dim_r FROM gw)""" for c in _CAND))
+    SELECT '{c}' AS x, corr({c}, o_price) AS raw_r, {partial_sql('o_price', c, D[0], D[1], 'good')} AS partial_r, corr({c}_w, o_return_w) FILTER (WHERE big) AS within_r, greatest(abs(corr({c}, {D[0]})), abs(corr({c}, {D[1]}))) AS max_dim_r FROM gw)""" for c in _CAND))
 def hrsn_gate(spark, sf):
     out = val.candidate_gate(good(spark, sf), _CAND, "o_price", D[:2], "o_return", "county_fips")
     return r6(out, "raw_r", "partial_r", "within_r", "max_dim_r")

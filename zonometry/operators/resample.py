@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonometry.functions.noise import digest, uniform
 from zonometry.operators.rank import exact_quantiles, global_index, value_positions
-from zonometry.operators.stats import centred, gram, safe_corr, sum_grams, weighted_corr_long
+from zonometry.operators.stats import centred, gram, partials, safe_corr, sum_grams, weighted_corr_long
 from zonometry.session import stage
 
 
@@ -55,6 +55,13 @@ def bootstrap_grams(df: DataFrame, cols: list[str], block: str, replicates: int,
     return sum_grams(joined, len(cols), ["replicate", *by], F.col("times"))
 
 
+def bootstrap_partials(df: DataFrame, cols: list[str], block: str, replicates: int, seed: int,
+                       min_rows: int = 100) -> DataFrame:
+    """(replicate, stat): partial r of the first two columns given the rest, in every replicate."""
+    grams = bootstrap_grams(df.select(block, *cols), cols, block, replicates, seed).where(F.col("n") >= min_rows)
+    return partials(grams, len(cols), ["replicate"], {"stat": (0, 1, list(range(2, len(cols))))}).drop("n")
+
+
 def intervals(stats: DataFrame, value: str, by: list[str] | None = None, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Point (replicate -1), percentile interval over the replicates, whether it excludes 0, share above 0."""
     by = list(by or [])
@@ -87,7 +94,7 @@ def ranked_replicates(df: DataFrame, times: DataFrame, block: str, variants: dic
     long = ranked.select("replicate", "variant", "a", F.col("times").cast("double").alias("w"), F.explode(F.array(*[
         F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("b")) for o in outcomes])).alias("s"))
     long = long.select("replicate", "variant", "a", "w", "s.*").where(F.col("b").isNotNull())
-    return weighted_corr_long(long, ["replicate", "variant", "outcome"], min_pairs)
+    return weighted_corr_long(long, ["replicate", "variant", "outcome"], min_pairs, repeats=True)
 
 
 def split_assignment(items: list[str], splits: int, seed: int, spark) -> DataFrame:

@@ -54,13 +54,16 @@ def weighted_correlations(df: DataFrame, pairs: list[tuple[str, str]], weight: s
     return weighted_corr_long(long, [*by, "x", "y"], min_pairs)
 
 
-def weighted_corr_long(long: DataFrame, keys: list[str], min_pairs: int = 50) -> DataFrame:
-    """Weighted correlation of columns a, b under w, per keys. ``n`` counts rows."""
+def weighted_corr_long(long: DataFrame, keys: list[str], min_pairs: int = 50, repeats: bool = False) -> DataFrame:
+    """Weighted correlation of columns a, b under w, per keys.
+
+    ``n`` counts rows, or their repeats where the weights are draw counts.
+    """
     means = long.groupBy(*keys).agg(
         (F.sum(F.col("a") * F.col("w")) / F.sum("w")).alias("am"), (F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("bm"))
     da, db = F.col("a") - F.col("am"), F.col("b") - F.col("bm")
     sums = long.join(means, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * da * db).alias("c"),
+        (F.sum("w") if repeats else F.count(F.lit(1))).alias("n"), F.sum(F.col("w") * da * db).alias("c"),
         F.sum(F.col("w") * da * da).alias("va"), F.sum(F.col("w") * db * db).alias("vb"))
     r = F.when((F.col("n") >= min_pairs) & (F.col("va") > 0) & (F.col("vb") > 0),
                F.col("c") / F.sqrt(F.col("va") * F.col("vb")))
