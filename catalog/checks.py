@@ -14,7 +14,7 @@ from zonometry.plans import score as scoring
 S = Section()
 
 
-@S.query("assert_key_format", with_sql(AREAS_SQL) + "SELECT count(*) AS n_rows, count_if(NOT regexp_matches(zip, '^[0-9]{5}$')) AS n_bad FROM areas")
+@S.query("assert_key_format", with_sql(AREAS_SQL) + "SELECT count(*) AS n_rows, CAST(count_if(NOT regexp_matches(zip, '^[0-9]{5}$')) AS BIGINT) AS n_bad FROM areas")
 def assert_key_format(spark, sf):
     return quality.key_format(R.area_stage(spark, sf), "zip")
 
@@ -29,9 +29,9 @@ def assert_ranges(spark, sf):
     return quality.ranges(R.scored(spark, sf), _LIMITS)
 
 
-@S.query("assert_logic", with_sql(SCORED_SQL) + """SELECT 'unpopulated_scored' AS rule, count_if(scoreable AND NOT coalesce(population > 0, false)) AS n_bad FROM scored
-  UNION ALL SELECT 'unflagged_extreme', count_if(primary_per_1k > 5 AND NOT (low_confidence OR institutional)) FROM scored
-  UNION ALL SELECT 'bad_county', count_if(county_fips IS NOT NULL AND NOT regexp_matches(county_fips, '^[0-9]{5}$')) FROM scored
+@S.query("assert_logic", with_sql(SCORED_SQL) + """SELECT 'unpopulated_scored' AS rule, CAST(count_if(scoreable AND NOT coalesce(population > 0, false)) AS BIGINT) AS n_bad FROM scored
+  UNION ALL SELECT 'unflagged_extreme', CAST(count_if(primary_per_1k > 5 AND NOT (low_confidence OR institutional)) AS BIGINT) FROM scored
+  UNION ALL SELECT 'bad_county', CAST(count_if(county_fips IS NOT NULL AND NOT regexp_matches(county_fips, '^[0-9]{5}$')) AS BIGINT) FROM scored
   UNION ALL SELECT 'duplicate_key', count(*) - count(DISTINCT zip) FROM scored""")
 def assert_logic(spark, sf):
     pop = F.coalesce(F.col("population") > 0, F.lit(False))

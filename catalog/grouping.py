@@ -37,7 +37,7 @@ def filtered_counts(spark, sf):
 
 
 @S.query("conditional_sums", """SELECT l_suppkey AS zip, count(*) AS n_providers, sum(l_quantity) AS benes, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS dual,
-  sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS benes_primary, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS n_primary,
+  sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS benes_primary, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_primary,
   round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 9) AS dual_share FROM lineitem GROUP BY 1""")
 def conditional_sums(spark, sf):
     benes = F.col("l_quantity").cast("string").try_cast("double")

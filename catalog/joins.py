@@ -89,7 +89,7 @@ _D_AA = HAVERSINE.format(a="a", b="b")
 
 @S.query("knn_join", with_sql(AREAS_SQL, f"""
 ranked AS (SELECT a.area, b.area AS near, {_D_AA} AS d FROM areas a, areas b),
-nn AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY d, near) - 1 AS idx FROM ranked)""") + "SELECT area, near, round(d, 6) AS d, idx FROM nn WHERE idx < 10")
+nn AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY d, near) - 1 AS idx FROM ranked)""") + "SELECT area, near, round(d, 6) AS d, CAST(idx AS INTEGER) AS idx FROM nn WHERE idx < 10")
 def knn_join(spark, sf):
     a = R.area_stage(spark, sf)
     nn = spatial.knn_join(a, a, "area", "area", 10)
@@ -133,11 +133,13 @@ def spillover_filter(spark, sf):
     return spatial.far_controls(treated, control, "area", 10.0).select("area")
 
 
-@S.query("interval_overlap_pairs", """SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a, supplier b WHERE a.s_suppkey < b.s_suppkey
-  AND a.s_acctbal - 60 <= b.s_acctbal + 60 AND b.s_acctbal - 60 <= a.s_acctbal + 60""")
+@S.query("interval_overlap_pairs", """WITH b AS (SELECT c_custkey // 5 AS set_id, c_custkey AS k, c_acctbal - 900 AS lo, c_acctbal + 900 AS hi FROM customer)
+  SELECT x.set_id, x.k AS a, y.k AS b FROM b x JOIN b y ON x.set_id = y.set_id AND x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi""")
 def interval_overlap_pairs(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") - 60).alias("lo"), (F.col("s_acctbal") + 60).alias("hi"))
-    return joins.overlap_pairs(s, "s_suppkey", "lo", "hi", width=50.0)
+    c = table(spark, sf, "customer")
+    sets = c.select(F.floor(F.col("c_custkey") / 5).alias("set_id"), F.col("c_custkey").alias("k"))
+    bands = c.select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") - 900).alias("lo"), (F.col("c_acctbal") + 900).alias("hi"))
+    return joins.overlap_pairs(sets, bands, "set_id", "k", "lo", "hi")
 
 
 _BASES = "(SELECT DISTINCT cohort - 1 AS base FROM panel WHERE cohort IS NOT NULL)"

@@ -149,7 +149,7 @@ def cell_covariates(spark, sf):
     return r6(out.drop("n_window"), "pre_level", "pre_slope", n=8)
 
 
-@S.query("aggregate_event", with_sql(PANEL_SQL, CLEAN_SQL, att_sql("", "clean", "pop")) + "SELECT e, round(sum(att * n) / sum(n), 4) AS att, count(DISTINCT (state, g)) AS n_cohorts, sum(n) AS n_treated FROM att GROUP BY 1 HAVING count(DISTINCT (state, g)) >= 2")
+@S.query("aggregate_event", with_sql(PANEL_SQL, CLEAN_SQL, att_sql("", "clean", "pop")) + "SELECT e, round(sum(att * n) / sum(n), 4) AS att, count(DISTINCT (state, g)) AS n_cohorts, CAST(sum(n) AS BIGINT) AS n_treated FROM att GROUP BY 1 HAVING count(DISTINCT (state, g)) >= 2")
 def aggregate_event(spark, sf):
     return r6(pn.aggregate_event(_att(spark, sf), "state"), "att", n=4)
 

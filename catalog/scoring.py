@@ -209,7 +209,7 @@ def contributions(spark, sf):
 
 
 @S.query("driver_shares", with_sql(SCORED_SQL, DRIVER_CTE) + """SELECT area, label, round(100.0 * c / sum(c) OVER (PARTITION BY area), 6) AS share,
-  row_number() OVER (PARTITION BY area ORDER BY c DESC, pos) AS place FROM drv WHERE score IS NOT NULL""")
+  CAST(row_number() OVER (PARTITION BY area ORDER BY c DESC, pos) AS INTEGER) AS place FROM drv WHERE score IS NOT NULL""")
 def driver_shares(spark, sf):
     parts = scoring.contributions(DIMS, F.col("score"))
     ranked = F.array_sort(F.array(*[

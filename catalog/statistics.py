@@ -31,7 +31,7 @@ def r6(df, *cols, n=6):
 
 
 @S.query("pearson", with_sql(SCORED_SQL, GOOD_SQL) + " UNION ALL ".join(
-    f"SELECT '{x}' AS x, '{y}' AS y, round(CASE WHEN regr_count({x}, {y}) >= 100 THEN corr({x}, {y}) END, 6) AS r, regr_count({x}, {y}) AS n FROM good"
+    f"SELECT '{x}' AS x, '{y}' AS y, round(CASE WHEN regr_count({x}, {y}) >= 100 THEN corr({x}, {y}) END, 6) AS r, CAST(regr_count({x}, {y}) AS BIGINT) AS n FROM good"
     for x in ["score", *D] for y in OUTCOMES))
 def pearson(spark, sf):
     return r6(stats.correlations(good(spark, sf), ["score", *D], OUTCOMES, min_pairs=100), "r")
@@ -179,7 +179,7 @@ sh AS (SELECT split, corr(a, b) AS r FROM hm WHERE a IS NOT NULL AND b IS NOT NU
 """
 
 
-@S.query("split_half", with_sql(SCORED_SQL, split_sql("SELECT area, item, pctile FROM mem", ITEMS, SPLITS, 7)) + "SELECT split, round(r, 6) AS r, round(2 * r / (1 + r), 6) AS stepped FROM sh")
+@S.query("split_half", with_sql(SCORED_SQL, split_sql("SELECT area, item, pctile FROM mem", ITEMS, SPLITS, 7)) + "SELECT CAST(split AS INTEGER) AS split, round(r, 6) AS r, round(2 * r / (1 + r), 6) AS stepped FROM sh")
 def split_half(spark, sf):
     from catalog.scoring import _members
 

@@ -319,14 +319,15 @@ def test_ranking_limit_is_bounded(spark):
         serve.rankings(spark.createDataFrame([("a",)], "k string"), "k", "k", [], set(), limit=501)
 
 
-def test_overlapping_bands_pair_once(spark):
+def test_overlapping_bands_pair_once_per_set_and_full_sets_are_refused(spark):
     rng = np.random.default_rng(10)
-    lo = rng.uniform(0, 90, 60)
-    hi = lo + rng.exponential(6, 60)
-    df = spark.createDataFrame([(i, float(lo[i]), float(hi[i])) for i in range(60)], "k int, lo double, hi double")
-    got = sorted((r.a, r.b) for r in joins.overlap_pairs(df, "k", "lo", "hi").collect())
-    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if lo[i] <= hi[j] and lo[j] <= hi[i]]
-    assert got == want
+    lo = rng.uniform(0, 30, 46)
+    hi = lo + rng.exponential(6, 46)
+    sets = [(i // 4, i) for i in range(40)] + [(99, i) for i in range(40, 46)]
+    bands = spark.createDataFrame([(i, float(lo[i]), float(hi[i])) for i in range(46)], "k int, lo double, hi double")
+    out = joins.overlap_pairs(spark.createDataFrame(sets, "s int, k int"), bands, "s", "k", "lo", "hi")
+    want = [(i // 4, i, j) for i in range(40) for j in range(i + 1, 40) if i // 4 == j // 4 and lo[i] <= hi[j] and lo[j] <= hi[i]]
+    assert sorted(tuple(r) for r in out.collect()) == want
 
 
 def test_stage_uses_the_named_folder(spark, tmp_path, monkeypatch):

@@ -71,29 +71,29 @@ def coverage_filter(df: DataFrame, unit: str, period: str, scope: str, share: fl
     return df.join(keep.select(scope, unit), [scope, unit], "left_semi")
 
 
-def overlap_pairs(df: DataFrame, key: str, lo: str, hi: str, width: float = 1.0) -> DataFrame:
-    """Pairs of keys whose [lo, hi] bands overlap.
-
-    Each band is listed in the cells of ``width`` it covers. A pair is met in exactly one cell,
-    the one holding the larger of the two lower ends, so no pair is emitted twice. The output
-    itself is as large as the number of tied pairs; compare within a set or state by joining a
-    smaller table.
-    """
-    bands = df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(
-        F.col(key), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    first = F.floor(F.col("lo") / width)
-    cells = bands.withColumn("cell", F.explode(F.sequence(first, F.floor(F.col("hi") / width))))
-    a = cells.select(F.col(key).alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), "cell")
-    b = cells.select(F.col(key).alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "cell")
-    met = (F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi")) & (F.col("a") < F.col("b"))
-    owner = F.col("cell") == F.floor(F.greatest("alo", "blo") / width)
-    return a.join(b, "cell").where(met & owner).select("a", "b")
+def bounded_sets(sets: DataFrame, set_id: str, limit: int = 5) -> DataFrame:
+    """Comparison sets of at most ``limit`` keys; over-full ones are refused."""
+    size = sets.groupBy(set_id).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= limit).select(set_id)
+    return sets.join(size, set_id, "left_semi")
 
 
 def compare_sets(sets: DataFrame, table: DataFrame, set_id: str, key: str, limit: int = 5) -> DataFrame:
-    """Comparison sets of 1..limit keys joined to their records; unknown keys drop, over-full sets are refused."""
-    size = sets.groupBy(set_id).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= limit).select(set_id)
-    return sets.join(size, set_id, "left_semi").join(table, key)
+    """Comparison sets joined to their records; unknown keys drop."""
+    return bounded_sets(sets, set_id, limit).join(table, key)
+
+
+def overlap_pairs(sets: DataFrame, bands: DataFrame, set_id: str, key: str, lo: str, hi: str, limit: int = 5) -> DataFrame:
+    """Pairs inside each comparison set whose [lo, hi] bands overlap ("tied"): set_id, a, b.
+
+    The set size is checked first, so a set gives at most limit*(limit-1)/2 pairs.
+    """
+    known = bands.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(
+        F.col(key), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    rows = compare_sets(sets, known, set_id, key, limit)
+    a = rows.select(F.col(set_id), F.col(key).alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    b = rows.select(F.col(set_id), F.col(key).alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    met = (F.col("a") < F.col("b")) & (F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi"))
+    return a.join(b, set_id).where(met).select(set_id, "a", "b")
 
 
 def placebo_shift(panel: DataFrame, cohort: str, period: str, years: int) -> DataFrame:
