@@ -63,7 +63,7 @@ def fixed_access(areas: DataFrame, key: str, supplies: list[str], demand: str,
         *[F.sum(F.coalesce(F.col(s), F.lit(0))).cast("double").alias(s) for s in supplies],
         F.sum(F.coalesce(F.col(demand), F.lit(0))).cast("double").alias(demand))
     spots = spots.withColumn("place", F.concat_ws(",", F.col("lat"), F.col("lon")))
-    edges = radius_join(spots, spots.withColumnRenamed("place", near), "place", near, radius_km)
+    edges = stage(radius_join(spots, spots.withColumnRenamed("place", near), "place", near, radius_km), "radius-edges")
     w = gaussian(F.col("d"), F.lit(float(sigma_km)))
     access = two_step(edges, spots, "place", supplies, demand, near, w, w)
     at = spots.select("place", "lat", "lon").join(access, "place").drop("place")
