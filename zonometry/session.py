@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,13 +26,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "zonom
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; our own only if none is set."""
+    """The shared folder of intermediate tables: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Only a session that runs in this one process (``local[n]``) gets a folder of its own when
+    neither is set; on a cluster an executor would write its own copy of it, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="zonometry-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="zonometry-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
