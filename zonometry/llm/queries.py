@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import decontaminate, quality
+from zonometry.llm import bpe, decontaminate, quality
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -72,3 +72,10 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     slim = stage(quality.statistics(docs).drop("text"), "quality-statistics")
     keys, params = quality.fit(slim, by)
     return quality.judge(slim, keys, params, by).select("doc_id", *quality.STATS, "base_failed", "distance", "kept")
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, keep=["doc_id"]))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
