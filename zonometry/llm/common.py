@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 BASE = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial span hash
 INVERSE = pow(BASE, -1, 1 << 64)
 
