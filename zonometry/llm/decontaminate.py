@@ -104,7 +104,8 @@ def contaminated(
     prefix = prefix.select("h", F.col("pos").alias("at"), F.col("key").alias("h0")).join(windows, "h0").select("h", "at", "n", "win", "items")
 
     cand = found.join(prefix, "h").select("key", (F.col("pos") - F.col("at")).alias("start"), "n", "win", "items").where("start >= 0")
-    per_text = cand.groupBy("key").agg(F.collect_set(F.struct("start", "n", "win", "items")).alias("__cand"))
+    # written first: a join of two plain exchanges lets Spark split the many copies of one text
+    per_text = stage(cand.groupBy("key").agg(F.collect_set(F.struct("start", "n", "win", "items")).alias("__cand")), "candidates")
     joined = keyed.join(per_text, keyed["__key"] == per_text["key"], "left").drop("key", "__key")
     out = C.schema_of(docs, "n_words long", "n_hit long", "hit_spans array<struct<start:int,end:int>>", "items array<string>")
 

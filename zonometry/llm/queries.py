@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import bpe, decontaminate, neardup, quality
+from zonometry.llm import bpe, decontaminate, hilbert, neardup, quality, urls
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -86,3 +86,54 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = neardup.linked(docs, width=2)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+@query("op2_hilbert_shards")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    slim = stage(docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32("text").alias("text_crc32")), "shard-rows")
+    dims = {
+        "source": hilbert.text_code(F.col("source")), "lang": hilbert.text_code(F.col("lang")),
+        "size": hilbert.number_code(F.log2("size")), "doc_id": hilbert.number_code(F.col("doc_id")),
+    }
+    out = hilbert.curve_shards(slim, dims, 40, ["doc_id", "text_crc32", "size"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+# fixed values of the contract
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+OP9_SQL = """
+WITH u AS (
+  SELECT page_id, html,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), k AS (
+  SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|\\.html)$', '') AS key FROM u
+), listed AS (
+  SELECT DISTINCT key FROM k WHERE key <> '' AND regexp_matches(html, '<title>[^<]*(###|\\*\\*\\*|\\$\\$\\$|%%%)')
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM k
+)
+SELECT page_id, host, path, rule, l.key IS NOT NULL AS listed,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN listed l ON r.key = l.key
+"""
+
+
+@query("op9_url_bloom_filter", OP9_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed are the URLs of pages whose title carries symbol junk; other addresses of the same page are caught by them."""
+    pages = table(spark, sf, "pages")
+    listed = pages.where(F.col("html").rlike(r"<title>[^<]*(###|\*\*\*|\$\$\$|%%%)")).select("url")
+    out = urls.filter_urls(pages.select("page_id", "url"), listed, RULES)
+    return out.select("page_id", "host", "path", "rule", "listed", "verdict")
