@@ -2,27 +2,32 @@
 
 Documents are dealt into buckets of bounded text. A bucket's pre-tokens are exploded with their
 positions inside the task, and only its distinct words leave it. All buckets' words meet in one shuffle
-by the word, where each distinct word is encoded once; the ids go back to the buckets that asked, and
-each bucket puts them at its pre-tokens' positions. What is shuffled is the text once (compressed) and
-the distinct words per bucket, never a row per token.
+by the word's hash, where each distinct word is encoded once; the ids go back to the buckets that asked,
+and each bucket puts them at its pre-tokens' positions. What is shuffled is the text once and the distinct
+words per bucket, both compressed, never a row per token; a bucket's words for one part travel as one row.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
+import zlib
+from array import array
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonometry.llm import common as C
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-BUCKET_BYTES = 24 << 20  # text per bucket, which one task holds at a time
+BUCKET_BYTES = 12 << 20  # text per bucket, which one task holds at a time
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,12 +40,26 @@ def _unpack(blobs: pa.ChunkedArray) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs])
 
 
-def _words(split: regex.Pattern, texts: list[str]) -> list[str]:
-    """Distinct pre-tokens in a fixed order, so that a word can be named by its place."""
-    found: set[str] = set()
-    for t in texts:
-        found.update(split.findall(t))
-    return sorted(found)
+def _press(items: list[bytes]) -> bytes:
+    """A compressed list of byte strings: their number, their lengths, then all of them."""
+    head = np.array([len(items), *map(len, items)], "<u4").tobytes()
+    return zstandard.ZstdCompressor().compress(head + b"".join(items))
+
+
+def _unpress(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    edge = (4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)])).tolist()
+    return [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]
+
+
+def _dealt(words: list[str], n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words as bytes, in an order that both ends of the shuffle can rebuild: (words, their parts, first place of each part)."""
+    coded = [w.encode() for w in sorted(words)]
+    part = np.fromiter((zlib.crc32(w) % n for w in coded), np.int64, len(coded))
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    return [coded[i] for i in order.tolist()], part, np.flatnonzero(np.diff(part, prepend=-1))
 
 
 def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None) -> DataFrame:
@@ -58,7 +77,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
     slim = docs.select(*keep, *([] if text in keep else [text]))
 
     def pack(batches):
-        for piece in C.pieces(batches, text, 16 << 20):
+        for piece in C.pieces(batches, text, 8 << 20):
             bucket = piece.column("__bucket").to_numpy()
             rows = pa.Table.from_batches([piece]).drop_columns(["__bucket"])
             order = np.argsort(bucket, kind="stable")
@@ -79,35 +98,38 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
                 for t in _unpack([blob]).column(text).to_pylist():
                     found.update(split.findall(t or ""))
         for key in list(texts):
-            words = sorted(texts.pop(key))
-            yield pa.record_batch([pa.array([key] * len(words), pa.int32()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.string())], ["bucket", "place", "word"])
+            words, part, first = _dealt(list(texts.pop(key)), n)
+            blobs = [_press(words[a:b]) for a, b in zip(first, [*first[1:], len(words)])]
+            yield pa.record_batch([pa.array(part[first].astype(np.int32)), pa.array([key] * len(first), pa.int32()), pa.array(blobs, pa.binary())], ["part", "bucket", "words"])
 
     def merge(batches):
         enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
-        once: dict[str, bytes] = {}
+        once: dict[bytes, bytes] = {}
         for b in batches:
             out = []
-            for w in b.column("word").to_pylist():
-                ids = once.get(w)
-                if ids is None:
-                    ids = once[w] = np.array(enc.encode_ordinary(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.record_batch([b.column("bucket"), b.column("place"), pa.array(out, pa.binary())], ["bucket", "place", "ids"])
+            for blob in b.column("words").to_pylist():
+                words = _unpress(blob)
+                for w in words:
+                    if w not in once:
+                        once[w] = np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
+                out.append(_press([once[w] for w in words]))
+            yield pa.record_batch([b.column("part"), b.column("bucket"), pa.array(out, pa.binary())], ["part", "bucket", "ids"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = _unpack(left.column("blob"))
-        texts = [t or "" for t in rows.column(text).to_pylist()]
-        split = regex.compile(pattern)
-        ids = right.take(np.argsort(right.column("place").to_numpy())).column("ids").to_pylist()
-        of = dict(zip(_words(split, texts), ids))
-        coded = [b"".join(map(of.__getitem__, split.findall(t))) for t in texts]
+        rows, split = _unpack(left.column("blob")), regex.compile(pattern)
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        at = [array("i", map(number.__getitem__, split.findall(t or ""))) for t in rows.column(text).to_pylist()]
+        blobs = right.take(np.argsort(right.column("part").to_numpy())).column("ids").to_pylist()
+        of = dict(zip(_dealt(list(number), n)[0], itertools.chain.from_iterable(map(_unpress, blobs))))
+        ids = [of[w.encode()] for w in number]
+        coded = [b"".join(map(ids.__getitem__, a)) for a in at]
         more = [pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary())]
         return pa.Table.from_arrays([rows.column(c) for c in keep] + more, names=[*keep, "n_tokens", "ids"])
 
     keyed = slim.withColumn("__bucket", F.pmod(F.xxhash64(*slim.columns), F.lit(n)).cast("int"))
     packed = keyed.mapInArrow(pack, "bucket int, blob binary").repartition(n, "bucket")
-    words = packed.mapInArrow(distinct_words, "bucket int, place int, word string").repartition("word")
-    merged = words.mapInArrow(merge, "bucket int, place int, ids binary")
+    words = packed.mapInArrow(distinct_words, "part int, bucket int, words binary").repartition(n, "part")
+    merged = words.mapInArrow(merge, "part int, bucket int, ids binary")
     schema = C.schema_of(docs.select(*keep), "n_tokens long", "ids binary")
     return packed.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInArrow(assemble, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import bpe, decontaminate, hilbert, neardup, quality, urls
+from zonometry.llm import bpe, classifier, decontaminate, hilbert, neardup, quality, urls
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -137,3 +137,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     listed = pages.where(F.col("html").rlike(r"<title>[^<]*(###|\*\*\*|\$\$\$|%%%)")).select("url")
     out = urls.filter_urls(pages.select("page_id", "url"), listed, RULES)
     return out.select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf, "labels"))
+    scored = classifier.score(docs, model).drop("text")
+    return scored.select("doc_id", classifier.held_out("doc_id").alias("held_out"), "score", "predicted")
