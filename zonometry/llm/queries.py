@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import bpe, classifier, decontaminate, hilbert, neardup, quality, urls
+from zonometry.llm import bpe, classifier, decontaminate, hilbert, lines, neardup, quality, transcripts, urls
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -145,3 +145,46 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     model = classifier.fit(docs, table(spark, sf, "labels"))
     scored = classifier.score(docs, model).drop("text")
     return scored.select("doc_id", classifier.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op10_transcript_roles")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversations as raw transcripts; their roles recovered from the lines alone."""
+    raw = transcripts.as_lines(table(spark, sf, "conversations"))
+    model = transcripts.learn(stage(transcripts.observed(raw).drop("raw", "body"), "labelled-lines"))
+    found = transcripts.parse(raw.select("conv", "turn", "line", "raw"), model)
+    return found.select(F.col("conv").cast("long").alias("conv_id"), "turn", "line", "role", "opens", "piece")
+
+
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '[ \t\r\x0B\x0C]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+), o AS (
+  SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, i) AS pos FROM l
+), e AS (
+  SELECT w, n, min(pos) AS first FROM o WHERE n >= 3 GROUP BY w, n
+), h AS (
+  SELECT w, n, first, unnest([(0, n // 2, w[1 : n // 2]), (1, n // 2, w[n - n // 2 + 1 : n]),
+                              (0, (n - 1) // 2, w[1 : (n - 1) // 2]), (1, (n - 1) // 2, w[n - (n - 1) // 2 + 1 : n])]) AS k
+  FROM e WHERE n >= 10
+), near AS (
+  SELECT DISTINCT a.first FROM h a JOIN h b ON a.k = b.k AND b.first < a.first
+  WHERE CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda j: a.w[j] <> b.w[j])) = 1
+             WHEN a.n = b.n + 1 THEN len(list_filter(range(1, a.n + 1), lambda j: list_concat(a.w[1 : j - 1], a.w[j + 1 : a.n]) = b.w)) > 0
+             WHEN a.n + 1 = b.n THEN len(list_filter(range(1, b.n + 1), lambda j: list_concat(b.w[1 : j - 1], b.w[j + 1 : b.n]) = a.w)) > 0
+             ELSE false END
+), judged AS (
+  SELECT o.doc_id, o.i, o.line, o.n >= 3 AND (o.pos > e.first OR e.first IN (SELECT first FROM near)) AS gone
+  FROM o LEFT JOIN e ON o.w = e.w
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)), '') AS text
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op1_line_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
