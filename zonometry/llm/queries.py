@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import bpe, classifier, decontaminate, hilbert, lines, neardup, quality, transcripts, urls
+from zonometry.llm import bpe, classifier, decontaminate, hilbert, lines, neardup, quality, suffixes, transcripts, urls
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -188,3 +188,11 @@ FROM judged GROUP BY doc_id
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = suffixes.remove_repeats(docs).drop("text")
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
