@@ -151,8 +151,8 @@ def fit(stats: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
 
     ``groups`` go from the widest to the narrowest; a row is judged by the narrowest level that has
     ``MIN_ROWS`` rows passing the base rules, so small groups borrow their language's estimate.
-    Steps end when no determinant falls any more; as a step never raises it, the cap of
-    ``MAX_STEPS`` is only a stop for the unforeseen.
+    A group takes a step's estimate only if its determinant falls; steps end when none does. As
+    subsets are finite they end, and ``MAX_STEPS`` is only a stop for the unforeseen.
     """
     d = len(FEATURES)
     rows = stage(stats.where(~base_failed()).select(*groups, *_features()), "features")
@@ -194,7 +194,7 @@ def fit(stats: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
                     cov[i, j] = cov[j, i] = getattr(r, f"p{i}_{j}") / r.c - mean[i] * mean[j]
                 cov = cov * consistent + np.diag(np.square(FLOORS))
                 out.append((r.fit, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame(out, columns=["fit", "centre", "inv", "logdet"])
+            yield pd.DataFrame(out, columns=["fit", "centre1", "inv1", "logdet1"])
 
     for _ in range(MAX_STEPS):
         bin_ = F.floor(F.log2(1 + _distance()) * BINS_PER_OCTAVE).alias("b")
@@ -202,10 +202,11 @@ def fit(stats: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
         run, whole = Window.partitionBy("fit").orderBy("b"), Window.partitionBy("fit")
         below = F.sum("c").over(run) - F.col("c")
         inner = parts.withColumn("in", below < F.sum("c").over(whole) * SUBSET).where("in").groupBy("fit").agg(*[F.sum(x).alias(x) for x in ["c", *names]])
-        new = stage(inner.mapInPandas(solve, "fit string, centre array<double>, inv array<double>, logdet double"), "mcd")
-        fell = new.select("fit", "logdet").join(params.select("fit", F.col("logdet").alias("was")), "fit").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
-        params = new
-        if fell is None or fell <= 1e-9:
+        new = inner.mapInPandas(solve, "fit string, centre1 array<double>, inv1 array<double>, logdet1 double")
+        better = F.col("logdet1") < F.col("logdet") - 1e-9
+        both = params.select("fit", "centre", "inv", "logdet").join(new, "fit")
+        params = stage(both.select("fit", *[F.when(better, F.col(f"{c}1")).otherwise(F.col(c)).alias(c) for c in ("centre", "inv", "logdet")], better.alias("better")), "mcd")
+        if not params.agg(F.max("better")).first()[0]:
             break
     return keys, params.select("fit", "centre", "inv")
 
