@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` follows the new text.
     """
     cut = lines.dedup_lines(docs)
-    left = F.exists(F.split("text", "\n", -1), lambda x: F.size(F.filter(F.split(x, r"[ \t\r\x0B\x0C]+"), lambda w: w != "")) >= lines.MIN_WORDS)
+    left = F.exists(F.split("text", "\n", -1), lambda x: F.size(lines.words(x)) >= lines.MIN_WORDS)
     return cut.where((F.col("n_dropped") == 0) | left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -158,7 +158,7 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH l AS (
-  SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '[ \t\r\x0B\x0C]+'), lambda x: x <> '') AS w
+  SELECT doc_id, i, line, list_filter(string_split(line, ' '), lambda x: x <> '') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
 ), o AS (
   SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, i) AS pos FROM l

@@ -1,8 +1,7 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs before an exact hash join, under host and path rules.
 
-Only DataFrame expressions. The filter is a table of 256-bit blocks, eight 32-bit words each; a key
-sets one bit in every word of its block (the split-block layout), so building is one grouped bit_or and
-probing one join on the block number. Rows that pass go on to the exact join, which removes false positives.
+Only DataFrame expressions. Rows that the filter (``bloom``) rules out are done; the possible hits go on to the exact
+join, which removes false positives.
 """
 
 from __future__ import annotations
@@ -12,16 +11,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonometry.llm import bloom
 from zonometry.llm import common as C
 from zonometry.session import stage
 
-BITS_PER_KEY = 16
-BLOCK_BITS = 256
-WORDS = 8
-#: Filters of up to this many blocks (some 80 bytes each) are broadcast; a larger one is joined by a shuffle.
-BROADCAST_BLOCKS = 1 << 18
-
-
 def host_of(url: str) -> Column:
     """After the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; '' for null or no '://'."""
     host = F.regexp_extract(url, r"://([^/?#]*)", 1)
@@ -50,23 +43,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return text, verdict
 
 
-def _block(key: str, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks))
-
-
-def _bits(key: str) -> list[Column]:
-    """One bit for each word of the block, from five bits each of a second hash."""
-    second = F.xxhash64(F.lit(1), key)
-    return [F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(second, 5 * i).bitwiseAND(F.lit(31)).cast("int")) for i in range(WORDS)]
-
-
-def bloom_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(table ``block, w0..w7``, number of blocks) of the distinct keys, at ``BITS_PER_KEY`` bits each."""
-    n_blocks = max(1, -(-keys.count() * BITS_PER_KEY // BLOCK_BITS))
-    words = keys.select(_block(key, n_blocks).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(_bits(key))])
-    return words.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), n_blocks
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", listed_url: str = "url") -> DataFrame:
     """Pages with ``host, path, rule, listed, verdict``.
 
@@ -77,15 +53,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     C.require_free(pages, "host", "path", "rule", "listed", "verdict", "__key", "__maybe")
     keys = listed.select(canonical(host_of(listed_url), path_of(listed_url)).alias("__key")).where("__key <> ''").distinct()
     keys = stage(keys, "listed-urls")
-    blocks, n_blocks = bloom_filter(keys, "__key")
-    if n_blocks <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
+    blocks, n_blocks = bloom.build(keys, "__key")
     split = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("__key", canonical(F.col("host"), F.col("path")))
-    hit = F.lit(True)
-    for i, bit in enumerate(_bits("__key")):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(bit) != 0)
-    probed = split.join(blocks, _block("__key", n_blocks) == F.col("block"), "left")
-    probed = probed.withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
+    probed = bloom.probe(split, "__key", blocks, n_blocks, "__maybe")
     sure = probed.where(~F.col("__maybe")).withColumn("listed", F.lit(False))
     maybe = probed.where("__maybe").join(keys.select(F.col("__key"), F.lit(True).alias("listed")), "__key", "left")
     both = sure.unionByName(maybe).withColumn("listed", F.coalesce("listed", F.lit(False)))
