@@ -2,7 +2,7 @@
 
 Every text becomes a vector of transformed statistics. For each language and source a
 minimum-covariance-determinant estimate (concentration steps from a deterministic robust start) gives
-a centre and scatter that the worst quarter of the group cannot move; a text whose Mahalanobis
+a centre and scatter that the worst two fifths of the group cannot move; a text whose Mahalanobis
 distance from its own group passes a chi-square cut is rejected, and so is one that fails the base rules.
 
 A concentration step is one grouped sum: rows are counted and their moments added per (group,
@@ -29,7 +29,7 @@ FEATURES = ["word_length", "symbols", "dup_lines", "repeats", "upper"]
 #: Smallest standard deviation of each feature: one repeated line in a short text, or a group of equal texts, rejects nothing.
 FLOORS = [0.05, 0.05, 0.30, 0.20, 0.05]
 MIN_ROWS = 100  # a smaller group is judged by its language, a smaller language by all rows
-SUBSET = 0.75  # share of a group that the determinant is minimised over
+SUBSET = 0.6  # share of a group that the determinant is minimised over; more rows than the rest may not be outliers
 TAIL = 1e-6  # chi-square tail beyond which a text is an outlier
 BINS_PER_OCTAVE = 32
 MAX_STEPS = 40
