@@ -68,7 +68,7 @@ def batch_lookup(spark, sf):
 @S.query("compare", with_sql(SCORED_SQL, """
 sets AS (SELECT c_custkey // 4 AS set_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS area FROM customer WHERE c_acctbal > 0
   UNION ALL SELECT -1, lpad(CAST(c_custkey AS VARCHAR), 10, '0') FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT 0, '9999999999')""")
-         + "SELECT set_id, area, score, tier, round(rate, 6) AS rate FROM sets JOIN scored USING (area) WHERE set_id IN (SELECT set_id FROM sets GROUP BY 1 HAVING count(*) <= 5)")
+         + "SELECT set_id, area, set_size, score, tier, round(rate, 6) AS rate FROM sets JOIN scored USING (area) JOIN (SELECT set_id, count(*) AS set_size FROM sets GROUP BY 1) USING (set_id)")
 def compare(spark, sf):
     c = table(spark, sf, "customer")
     area = F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("area")

@@ -145,11 +145,11 @@ def code_prefix_flag(spark, sf):
 
 
 def _range_case(col: str) -> str:
-    return "CASE " + " ".join(f"WHEN {col} BETWEEN {lo} AND {hi} THEN '{s}'" for s, lo, hi, _ in states.range_rows()) + " END"
+    return "CASE " + " ".join(f"WHEN {col} BETWEEN {lo} AND {hi} THEN '{s}'" for s, lo, hi in states.PREFIX_RANGES) + " END"
 
 
 def _code_case(col: str, field: int) -> str:
-    return f"CASE {col} " + " ".join(f"WHEN '{r[0]}' THEN '{r[field]}'" for r in states.code_rows()) + " END"
+    return f"CASE {col} " + " ".join(f"WHEN '{r[0]}' THEN '{r[field]}'" for r in states.STATE_CODES) + " END"
 
 
 @S.query("prefix_range_state", with_sql(AREAS_SQL) + f"SELECT area, {_range_case('CAST(substr(zip, 1, 3) AS INTEGER)')} AS state_guess FROM areas")
@@ -164,7 +164,7 @@ def fips_state(spark, sf):
     return states.with_fips_state(df, "county_fips").select("area", "fips_state", "state_name")
 
 
-_NAMES = "CASE st " + " ".join(f"WHEN '{r[1]}' THEN '{r[2]}'" for r in states.code_rows()) + " END"
+_NAMES = "CASE st " + " ".join(f"WHEN '{r[1]}' THEN '{r[2]}'" for r in states.STATE_CODES) + " END"
 
 
 @S.query("state_coalesce", with_sql(AREAS_SQL) + f"""SELECT area, st AS state, {_NAMES} AS state_name FROM (SELECT area,

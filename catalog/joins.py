@@ -47,7 +47,7 @@ def inner_join_on_key(spark, sf):
 
 
 _VINTAGE_SQL = """
-old AS (SELECT o_custkey AS k, count(*) AS n_old FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1),
+old AS (SELECT o_custkey AS k, count(*) AS n_old FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1),
 new AS (SELECT o_custkey AS k, count(*) AS n_new FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1)
 """
 
@@ -55,7 +55,7 @@ new AS (SELECT o_custkey AS k, count(*) AS n_new FROM orders WHERE o_orderdate >
 def _vintages(spark, sf):
     o = table(spark, sf, "orders")
     k = F.col("o_custkey").alias("k")
-    old = o.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")).groupBy(k).agg(F.count(F.lit(1)).alias("n_old"))
+    old = o.where(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp")).groupBy(k).agg(F.count(F.lit(1)).alias("n_old"))
     new = o.where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp")).groupBy(k).agg(F.count(F.lit(1)).alias("n_new"))
     return old, new
 
@@ -134,10 +134,12 @@ def spillover_filter(spark, sf):
 
 
 @S.query("interval_overlap_pairs", """WITH b AS (SELECT c_custkey // 5 AS set_id, c_custkey AS k, c_acctbal - 900 AS lo, c_acctbal + 900 AS hi FROM customer)
-  SELECT x.set_id, x.k AS a, y.k AS b FROM b x JOIN b y ON x.set_id = y.set_id AND x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi""")
+  SELECT x.set_id, x.k AS a, y.k AS b, 'tied' AS status FROM b x JOIN b y ON x.set_id = y.set_id AND x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi
+  UNION ALL SELECT -1, NULL, NULL, 'refused' FROM customer WHERE c_acctbal > 9000 HAVING count(*) > 5""")
 def interval_overlap_pairs(spark, sf):
     c = table(spark, sf, "customer")
     sets = c.select(F.floor(F.col("c_custkey") / 5).alias("set_id"), F.col("c_custkey").alias("k"))
+    sets = sets.unionByName(c.where(F.col("c_acctbal") > 9000).select(F.lit(-1).cast("long").alias("set_id"), F.col("c_custkey").alias("k")))
     bands = c.select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") - 900).alias("lo"), (F.col("c_acctbal") + 900).alias("hi"))
     return joins.overlap_pairs(sets, bands, "set_id", "k", "lo", "hi")
 
@@ -202,9 +204,9 @@ def area_weighted_mean(spark, sf):
 
 
 @S.query("pop_weighted_mean", with_sql(XWALK_SQL) + """SELECT src, round(sum(p_retailprice * w) / sum(w), 1) AS v FROM xwalk
-  JOIN part ON dst = p_partkey WHERE w > 0 AND p_size % 4 <> 0 GROUP BY 1""")
+  JOIN part ON dst = p_partkey WHERE w > 0 GROUP BY 1""")
 def pop_weighted_mean(spark, sf):
-    v = table(spark, sf, "part").where(F.col("p_size") % 4 != 0).select(F.col("p_partkey").alias("dst"), F.col("p_retailprice").alias("v"))
+    v = table(spark, sf, "part").select(F.col("p_partkey").alias("dst"), F.col("p_retailprice").alias("v"))
     out = xw.crosswalk_mean(_xwalk(spark, sf), v, "dst", "src", ["v"], "w")
     return out.withColumn("v", F.round("v", 1))
 

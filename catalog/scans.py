@@ -18,7 +18,7 @@ S = Section()
 @S.query("scan_csv_varchar", """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey,
   CAST(l_quantity AS VARCHAR) AS l_quantity FROM lineitem WHERE l_returnflag = 'R'""")
 def scan_csv_varchar(spark, sf):
-    li = table(spark, sf, "lineitem").drop("l_shipdate")
+    li = table(spark, sf, "lineitem")
     path = land_csv(li, "lineitem")
     return tabular.read_text_csv(spark, path, li.columns, ["l_orderkey", "l_partkey", "l_quantity"],
                                  F.col("l_returnflag") == "R")
@@ -47,7 +47,7 @@ def scan_delimited(spark, sf):
 
 
 @S.query("scan_skip_header_row", """SELECT CAST(c_custkey AS VARCHAR) AS fips, CAST(c_acctbal AS VARCHAR) AS value
-  FROM customer WHERE c_custkey < 100000""")
+  FROM customer""")
 def scan_skip_header_row(spark, sf):
     c = table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("fips"), F.col("c_acctbal").cast("string").alias("value"))
@@ -93,11 +93,11 @@ def scan_json_features(spark, sf):
 def _matrix_files(spark, sf):
     """One matrix export per 500 customers: preamble, Year row, key header, cells, TOTAL trailer."""
     years = list(range(1995, 2002))
-    o = table(spark, sf, "orders").where(F.col("o_custkey") < 100000)
+    o = table(spark, sf, "orders")
     per = o.withColumn("y", F.year("o_orderdate")).groupBy("o_custkey").pivot("y", years).agg(F.count(F.lit(1)))
     cells = [F.when(F.col(str(y)).isNull(), "0").when(F.col(str(y)) == 3, "*")
              .when(F.col(str(y)) == 2, '"1,002"').otherwise(F.col(str(y)).cast("string")) for y in years]
-    line = F.concat_ws(",", F.lpad(F.col("o_custkey").cast("string"), 5, "0"), *cells)
+    line = F.concat_ws(",", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), *cells)
     body = per.select(F.floor(F.col("o_custkey") / 500).alias("part"), F.lit(3).alias("ord"), line.alias("value"))
     head = body.select("part").distinct()
     fixed = [(0, "Counts by area"), (1, "Year:," + ",".join(map(str, years))),
@@ -110,9 +110,9 @@ def _matrix_files(spark, sf):
 
 
 MATRIX_SQL = """
-cnt AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders WHERE o_custkey < 100000 GROUP BY 1, 2),
+cnt AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1, 2),
 grid AS (SELECT DISTINCT o_custkey, CAST(y AS INTEGER) AS year FROM cnt, range(1995, 2002) t(y)),
-matrix AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 5, '0') AS key, year,
+matrix AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS key, year,
   CASE coalesce(n, 0) WHEN 3 THEN NULL WHEN 2 THEN 1002.0 ELSE CAST(coalesce(n, 0) AS DOUBLE) END AS count,
   coalesce(n, 0) = 3 AS censored FROM grid LEFT JOIN cnt USING (o_custkey, year))
 """
@@ -120,7 +120,7 @@ matrix AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 5, '0') AS key, year,
 
 @S.query("scan_preamble_matrix", with_sql(MATRIX_SQL) + "SELECT * FROM matrix")
 def scan_preamble_matrix(spark, sf):
-    return tabular.read_matrix_export(spark, _matrix_files(spark, sf)).drop("file")
+    return tabular.read_matrix_export(spark, _matrix_files(spark, sf), key_width=10).drop("file")
 
 
 @S.query("scan_parquet", "SELECT l_orderkey, l_quantity FROM lineitem")

@@ -1,9 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-A core set runs by default; ALL_QUERIES=1 runs every query.
-"""
-
-import os
+"""Registered queries against their SQL: all of them on the smallest tables."""
 
 import pytest
 from oracle import compare, connect
@@ -11,18 +6,10 @@ from oracle import compare, connect
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-CORE = """
-scan_csv_varchar scan_delimited scan_json_row_arrays scan_preamble_matrix scan_columnar_json geometry_universe sink_columnar_json
-sink_prefix_shards data_dictionary csv_export_ranked norm_area_key state_coalesce rate_from_members driver_sentence universe_left_join
-knn_join proximity nearest_area_join dominant_overlap crosswalk_wavg_nullaware filtered_counts first_event_year coverage_filter
-quantile_breaks pct_rank_by_group ordinal_rank_stable rankings_topk live_percentile scored_table e2sfca_fixed eb_shrink reweight
-rank_band pearson drop_one_margin split_half bh_fdr within_r gate_report block_bootstrap_ci did_coef att_gt robustness_battery
-assert_logic batch_lookup comparison_frame
-""".split()
-# one treated state or enough rows per cell are missing in the smallest tables
+LARGER = "/root/testdata/sf0.01"
+QUERIES, SQL = entry._merged("QUERIES"), entry._merged("SQL")
+# one treated state, or enough rows per cell, are missing in the smallest tables
 TOO_SMALL = {"triple_diff"}
-NAMES = [n for n in sorted(SQL) if n not in TOO_SMALL] if os.environ.get("ALL_QUERIES") else CORE
 
 
 @pytest.fixture(scope="module")
@@ -30,12 +17,18 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(set(SQL) - TOO_SMALL))
 def test_query_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     assert compare(df.collect(), df.columns, con, SQL[name]) is None
 
 
+@pytest.mark.parametrize("name", sorted(TOO_SMALL))
+def test_query_matches_sql_on_larger_tables(spark, name):
+    df = QUERIES[name](spark, LARGER)
+    assert compare(df.collect(), df.columns, connect(LARGER), SQL[name]) is None
+
+
 def test_every_query_is_named_once_and_has_sql_or_a_reason():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"att_gt_dr", "band_gate_calibration"}

@@ -36,11 +36,15 @@ def test_percentile_by_group_with_null_group(spark, ties):
     np.testing.assert_allclose(out["p"].to_numpy(float), want.to_numpy(), rtol=1e-12)
 
 
-def test_small_tables_take_one_window_and_agree(spark, ties):
-    df = load(spark, ties)
-    a = rank.with_percentile(df, "v", "p", ["g"], min_count=10).toPandas().sort_values("id")
-    b = rank.with_percentile(df, "v", "p", ["g"], min_count=10, rows=len(ties)).toPandas().sort_values("id")
-    np.testing.assert_array_equal(a["p"].to_numpy(float), b["p"].to_numpy(float))
+def test_rows_without_a_value_stay_out_of_the_join(spark):
+    """Half nulls and one value on a third of the rows: ranks are right and no partition holds the nulls."""
+    rows = [(i, None if i % 2 else (7.0 if i % 3 == 0 else float(i % 50))) for i in range(6000)]
+    out = rank.with_percentile(spark.createDataFrame(rows, "id long, v double"), "v", "p")
+    got = out.toPandas().sort_values("id")["p"].to_numpy(float)
+    want = pd.Series([v for _, v in rows], dtype=float).rank(pct=True).to_numpy() * 100
+    ties = pd.Series([v for _, v in rows], dtype=float).rank(method="average").to_numpy() / 3000 * 100
+    np.testing.assert_allclose(got, ties, rtol=1e-12)
+    assert np.isnan(got).sum() == np.isnan(want).sum() == 3000
 
 
 def test_min_count_skips_thin_groups(spark):

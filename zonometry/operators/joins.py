@@ -71,29 +71,32 @@ def coverage_filter(df: DataFrame, unit: str, period: str, scope: str, share: fl
     return df.join(keep.select(scope, unit), [scope, unit], "left_semi")
 
 
-def bounded_sets(sets: DataFrame, set_id: str, limit: int = 5) -> DataFrame:
-    """Comparison sets of at most ``limit`` keys; over-full ones are refused."""
-    size = sets.groupBy(set_id).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= limit).select(set_id)
-    return sets.join(size, set_id, "left_semi")
+def sized_sets(sets: DataFrame, set_id: str) -> DataFrame:
+    """Comparison sets with the number of their keys, for a caller that refuses large ones."""
+    return sets.join(sets.groupBy(set_id).agg(F.count(F.lit(1)).alias("set_size")), set_id)
 
 
-def compare_sets(sets: DataFrame, table: DataFrame, set_id: str, key: str, limit: int = 5) -> DataFrame:
-    """Comparison sets joined to their records; unknown keys drop."""
-    return bounded_sets(sets, set_id, limit).join(table, key)
+def compare_sets(sets: DataFrame, table: DataFrame, set_id: str, key: str) -> DataFrame:
+    """Comparison sets of any size joined to their records, with ``set_size``; unknown keys drop."""
+    return sized_sets(sets, set_id).join(table, key)
 
 
 def overlap_pairs(sets: DataFrame, bands: DataFrame, set_id: str, key: str, lo: str, hi: str, limit: int = 5) -> DataFrame:
-    """Pairs inside each comparison set whose [lo, hi] bands overlap ("tied"): set_id, a, b.
+    """Pairs inside each comparison set whose [lo, hi] bands overlap ("tied"): set_id, a, b, status.
 
-    The set size is checked first, so a set gives at most limit*(limit-1)/2 pairs.
+    A set of more than ``limit`` keys is not paired: it is one row of status ``refused`` without a pair, so
+    a set gives at most limit*(limit-1)/2 pairs and none goes without a word.
     """
     known = bands.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(
         F.col(key), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    rows = compare_sets(sets, known, set_id, key, limit)
+    sized = sized_sets(sets, set_id)
+    rows = sized.where(F.col("set_size") <= limit).join(known, key)
+    kind = dict(sets.dtypes)[key]
+    refused = sized.where(F.col("set_size") > limit).select(set_id, *[F.lit(None).cast(kind).alias(c) for c in "ab"], F.lit("refused").alias("status")).distinct()
     a = rows.select(F.col(set_id), F.col(key).alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
     b = rows.select(F.col(set_id), F.col(key).alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
     met = (F.col("a") < F.col("b")) & (F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi"))
-    return a.join(b, set_id).where(met).select(set_id, "a", "b")
+    return a.join(b, set_id).where(met).select(set_id, "a", "b", F.lit("tied").alias("status")).unionByName(refused)
 
 
 def placebo_shift(panel: DataFrame, cohort: str, period: str, years: int) -> DataFrame:

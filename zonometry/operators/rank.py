@@ -16,8 +16,6 @@ from zonometry.session import stage
 
 BUCKETS = 128
 STEP = 16
-# Up to this many rows (a count the caller has checked) one window per group beats the bucketed plan.
-SMALL_ROWS = 2_000_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -77,20 +75,10 @@ def value_positions(
 
 def with_percentile(
     df: DataFrame, value: str, out: str, by: list[str] | None = None,
-    domain: tuple[float, float] | None = None, min_count: int = 0, rows: int | None = None,
+    domain: tuple[float, float] | None = None, min_count: int = 0,
 ) -> DataFrame:
-    """Tie-averaged percentile 0..100 over the non-null rows of each group; null stays null.
-
-    ``rows`` is the checked row count, if known: small tables take one window per group, anything
-    larger (or unknown) the bucketed plan.
-    """
+    """Tie-averaged percentile 0..100 over the non-null rows of each group; null stays null."""
     by = list(by or [])
-    if rows is not None and rows <= SMALL_ROWS:
-        whole = Window.partitionBy(*by, F.col(value).isNull())
-        run = whole.orderBy(value)
-        before, c, n = F.rank().over(run) - 1, F.count(value).over(run.rangeBetween(0, 0)), F.count(value).over(whole)
-        pct = F.when(F.col(value).isNotNull() & (n >= min_count), (before + (c + 1) / 2) / n * 100)
-        return df.withColumn(out, pct)
     pos = value_positions(df, value, by, domain)
     pct = (F.col("before") + (F.col("c") + 1) / 2) / F.col("n") * 100
     if min_count:
@@ -99,12 +87,16 @@ def with_percentile(
 
 
 def _join_values(df: DataFrame, placed: DataFrame, value: str, by: list[str], share: Column, out: str) -> DataFrame:
-    """Join a share computed per (by, value) back onto the rows."""
+    """Join a share computed per (by, value) back onto the rows.
+
+    Rows without a value stay out of the join, where they would all meet in one partition.
+    """
     ranks = placed.select(F.col(value).alias("__v"), share.alias(out), *[F.col(k).alias(f"__k_{k}") for k in by])
     cond = F.col(value) == F.col("__v")
     for k in by:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return df.join(ranks, cond, "left").drop("__v", *[f"__k_{k}" for k in by])
+    known = df.where(F.col(value).isNotNull()).join(ranks, cond, "left").drop("__v", *[f"__k_{k}" for k in by])
+    return known.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def with_less_share(df: DataFrame, value: str, eligible: Column, out: str) -> DataFrame:

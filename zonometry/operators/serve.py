@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from zonometry.functions.keys import strict_digits_key
 
-MAX_LIMIT = 500
-
 
 def headline(df: DataFrame, metric: str, composite_family: set[str], state: str | None = None,
              include_low_confidence: bool = False, min_dims: int = 3) -> DataFrame:
     """Rows a ranking may show: scoreable, known, never institutional; partial scores held out of composites."""
     out = df.where(F.col("scoreable") & F.col(metric).isNotNull() & ~F.coalesce(F.col("institutional"), F.lit(False)))
     if state:
-        out = out.where(F.col("state") == state.strip())
+        out = out.where(F.upper("state") == state.strip().upper())
     if not include_low_confidence:
         out = out.where(~F.col("low_confidence"))
     if metric in composite_family:
@@ -24,10 +22,12 @@ def headline(df: DataFrame, metric: str, composite_family: set[str], state: str
 
 
 def rankings(df: DataFrame, metric: str, key: str, keep: list[str], composite_family: set[str],
-             limit: int = 50, descending: bool = True, **gates) -> DataFrame:
-    """Top rows of a metric; sort and limit together, so each task keeps only its own best."""
-    if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be 1..{MAX_LIMIT}")
+             limit: int = 50, descending: bool = True, metrics: set[str] | None = None, **gates) -> DataFrame:
+    """Top rows of a metric, which must be one of ``metrics`` if they are given; sort and limit together, so each task keeps only its own best."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    if metrics is not None and metric not in metrics:
+        raise ValueError(f"unknown metric {metric!r}")
     order = F.col(metric).desc() if descending else F.col(metric).asc()
     rows = headline(df, metric, composite_family, **gates).orderBy(order, key).limit(limit)
     return rows.select(*dict.fromkeys([key, *keep, metric]))

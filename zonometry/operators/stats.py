@@ -45,29 +45,48 @@ def correlations(df: DataFrame, xs: list[str], ys: list[str], by: list[str] | No
 
 def weighted_correlations(df: DataFrame, pairs: list[tuple[str, str]], weight: str, by: list[str] | None = None,
                           min_pairs: int = 50) -> DataFrame:
-    """Precision-weighted correlation per pair (w > 0); weighted means first, then centred sums."""
+    """Precision-weighted correlation per pair (w > 0), in one scan: rows ``by, x, y, r, n``.
+
+    Columns are centred on their overall means (one row), so that plain sums keep their digits; every pair
+    is then six sums of the map-side combine, and no data row is copied or shuffled.
+    """
     by = list(by or [])
-    long = df.where(F.col(weight) > 0).select(*by, F.col(weight).cast("double").alias("w"), F.explode(F.array(*[
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("a"),
-                 F.col(y).cast("double").alias("b")) for x, y in pairs])).alias("s")).select(*by, "w", "s.*")
-    long = long.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return weighted_corr_long(long, [*by, "x", "y"], min_pairs)
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    w = F.col(weight).cast("double")
+    rows = df.where(F.col(weight) > 0)
+    means = rows.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)])
+    d = {c: F.col(c) - F.coalesce(F.col(f"__m{i}"), F.lit(0.0)) for i, c in enumerate(cols)}
+    flat = rows.select(*by, w.alias("__w"), *cols).join(F.broadcast(means))  # one row
+    wide = flat.groupBy(*by).agg(*[F.struct(*_weighted_sums(d[x], d[y], F.col("__w"))).alias(f"__s{i}") for i, (x, y) in enumerate(pairs)])
+    parts = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"__s{i}").alias("s")) for i, (x, y) in enumerate(pairs)])).alias("p")
+    long = wide.select(*by, parts).select(*by, "p.x", "p.y", "p.s.*").where(F.col("n") > 0)
+    return long.select(*by, "x", "y", _weighted_r(min_pairs).alias("r"), "n")
+
+
+def _weighted_sums(a: Column, b: Column, w: Column) -> list[Column]:
+    both = a.isNotNull() & b.isNotNull()
+    terms = {"sw": w, "sa": w * a, "sb": w * b, "saa": w * a * a, "sbb": w * b * b, "sab": w * a * b}
+    return [F.count_if(both).alias("n")] + [F.sum(F.when(both, t)).alias(k) for k, t in terms.items()]
+
+
+def _weighted_r(min_pairs: int) -> Column:
+    """Correlation of weighted sums; null without spread beyond rounding."""
+    c = F.col("sab") - F.col("sa") * F.col("sb") / F.col("sw")
+    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / F.col("sw"), F.col("sbb") - F.col("sb") * F.col("sb") / F.col("sw")
+    spread = (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb"))
+    return F.when((F.col("n") >= min_pairs) & spread, c / F.sqrt(va * vb))
 
 
 def weighted_corr_long(long: DataFrame, keys: list[str], min_pairs: int = 50, repeats: bool = False) -> DataFrame:
-    """Weighted correlation of columns a, b under w, per keys.
+    """Weighted correlation of columns a, b under w, per keys, in one combine.
 
-    ``n`` counts rows, or their repeats where the weights are draw counts.
+    Plain sums: hand in values of a scale near their spread (ranks, percentiles). ``n`` counts rows, or their
+    repeats where the weights are draw counts.
     """
-    means = long.groupBy(*keys).agg(
-        (F.sum(F.col("a") * F.col("w")) / F.sum("w")).alias("am"), (F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("bm"))
-    da, db = F.col("a") - F.col("am"), F.col("b") - F.col("bm")
-    sums = long.join(means, keys).groupBy(*keys).agg(
-        (F.sum("w") if repeats else F.count(F.lit(1))).alias("n"), F.sum(F.col("w") * da * db).alias("c"),
-        F.sum(F.col("w") * da * da).alias("va"), F.sum(F.col("w") * db * db).alias("vb"))
-    r = F.when((F.col("n") >= min_pairs) & (F.col("va") > 0) & (F.col("vb") > 0),
-               F.col("c") / F.sqrt(F.col("va") * F.col("vb")))
-    return sums.select(*keys, r.alias("r"), "n")
+    sums = long.groupBy(*keys).agg(*_weighted_sums(F.col("a"), F.col("b"), F.col("w")))
+    if repeats:
+        sums = sums.withColumn("n", F.col("sw"))
+    return sums.select(*keys, _weighted_r(min_pairs).alias("r"), "n")
 
 
 # ---- Gram sums -----------------------------------------------------------------------------

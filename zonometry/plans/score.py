@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonometry.operators.rank import SMALL_ROWS, with_percentile
+from zonometry.operators.rank import with_percentile
 from zonometry.operators.stats import ols_residual
 from zonometry.plans.model import Model
 from zonometry.session import stage
@@ -33,33 +33,31 @@ def lookup(names: dict[str, str], c: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c]
 
 
-def member_percentiles(areas: DataFrame, key: str, model: Model, rows: int | None = None) -> DataFrame:
+def member_percentiles(areas: DataFrame, key: str, model: Model) -> DataFrame:
     """Oriented percentile of every measure, long: (key, item, value, pctile)."""
     oriented = stack(areas, key, {m.column: F.col(m.column) * m.direction for _, m in model.measures})
-    ranked = with_percentile(oriented, "value", "pctile", ["item"], min_count=model.min_members,
-                             rows=rows and rows * len(model.measures))
+    ranked = with_percentile(oriented, "value", "pctile", ["item"], min_count=model.min_members)
     return ranked.where(F.col("pctile").isNotNull())
 
 
-def rerank(long: DataFrame, key: str, group: str, pctile: str = "pctile", rows: int | None = None) -> DataFrame:
+def rerank(long: DataFrame, key: str, group: str, pctile: str = "pctile") -> DataFrame:
     """Mean of the present percentiles per (key, group), ranked again within the group."""
     mean = long.groupBy(key, group).agg(F.round(F.avg(pctile), TIE_DIGITS).alias("raw"))
-    if rows is None:
-        mean = stage(mean, f"mean-{group}")  # the bucketed rank reads it several times
-    return with_percentile(mean, "raw", "pctile", [group], PCT, rows=rows)
+    mean = stage(mean, f"mean-{group}")  # the rank reads it several times
+    return with_percentile(mean, "raw", "pctile", [group], PCT)
 
 
-def subscores(members: DataFrame, key: str, model: Model, rows: int | None = None) -> DataFrame:
+def subscores(members: DataFrame, key: str, model: Model) -> DataFrame:
     names = {m.column: s.key for s, m in model.measures}
     long = members.withColumn("subscore", lookup(names, F.col("item")))
-    return rerank(long, key, "subscore", rows=rows and rows * len(model.subscores))
+    return rerank(long, key, "subscore")
 
 
-def dimensions(subs: DataFrame, key: str, model: Model, rows: int | None = None) -> DataFrame:
+def dimensions(subs: DataFrame, key: str, model: Model) -> DataFrame:
     """Scored sub-scores only."""
     names = {s.key: d.key for d, s in model.subscores if s.scored}
     kept = subs.select(key, "subscore", "pctile").withColumn("dim", lookup(names, F.col("subscore")))
-    return rerank(kept.where(F.col("dim").isNotNull()), key, "dim", rows=rows and rows * len(model.dimensions))
+    return rerank(kept.where(F.col("dim").isNotNull()), key, "dim")
 
 
 def weighted_parts(dims: dict[str, float]) -> tuple[Column, Column, Column]:
@@ -109,15 +107,12 @@ def with_flags(df: DataFrame, population: str, providers: str, primary: str, flo
 def score(areas: DataFrame, key: str, state: str, population: str, model: Model) -> DataFrame:
     """The scored table. Input columns stay; percentiles, composites, lenses and tiers are added.
 
-    ``areas`` is read at several levels: hand in a stage table (or a projection of one). Its row
-    count decides between plain windows and the bucketed ranks.
+    ``areas`` is read at several levels: hand in a stage table (or a projection of one).
     """
     base = areas
-    n = base.count()
-    rows = n if n * len(model.measures) <= SMALL_ROWS else None
-    members = stage(member_percentiles(base, key, model, rows).select(key, "item", "pctile"), "members")
-    subs = stage(subscores(members, key, model, rows).select(key, "subscore", "pctile"), "subscores")
-    dims = dimensions(subs, key, model, rows)
+    members = stage(member_percentiles(base, key, model).select(key, "item", "pctile"), "members")
+    subs = stage(subscores(members, key, model).select(key, "subscore", "pctile"), "subscores")
+    dims = dimensions(subs, key, model)
     wide = (
         base.join(spread(members, key, {m.column: f"{m.column}_natpct" for _, m in model.measures}, "item", "pctile"), key, "left")
         .join(spread(subs, key, {s.key: f"{s.key}_pctile" for _, s in model.subscores}, "subscore", "pctile"), key, "left")
@@ -133,9 +128,9 @@ def score(areas: DataFrame, key: str, state: str, population: str, model: Model)
     wide = stage(ols_residual(wide, care, model.dim_cols[:-1], "__resid").withColumn("__resid", F.round("__resid", 8)), "composites")
     # the four final ranks share one pass: stacked long, ranked by lens
     lenses = stack(wide, key, {"pctile": F.col("score"), "mult_pctile": F.col("mult"), "resid_pctile": F.col("__resid")})
-    ranked = spread(with_percentile(lenses, "value", "p", ["item"], rows=rows and 3 * rows), key,
+    ranked = spread(with_percentile(lenses, "value", "p", ["item"]), key,
                     {c: c for c in ("pctile", "mult_pctile", "resid_pctile")}, "item", "p")
     out = wide.drop("__resid").join(ranked, key, "left")
-    out = with_percentile(out, "score", "pctile_within_state", [state], PCT, rows=rows)
+    out = with_percentile(out, "score", "pctile_within_state", [state], PCT)
     tier = F.when(F.col("scoreable"), F.greatest(F.lit(1), F.least(F.lit(10), F.ceil(F.col("pctile") / 10)))).cast("int")
     return out.withColumn("tier", tier)

@@ -9,18 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CORRUPT = "__corrupt"
+
+
 def all_text(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str], keep: list[str], where: Column | None = None,
                   sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Large quoted CSV, all text, malformed rows skipped; filter and projection reach the scan."""
+    """Large quoted CSV, all text, malformed rows skipped; filter and projection reach the scan.
+
+    A row is malformed by its whole record, whichever columns are kept: the corrupt-record column makes
+    the parser read every field.
+    """
     df = (
-        spark.read.schema(all_text(columns)).option("header", "true").option("quote", '"').option("escape", '"')
-        .option("sep", sep).option("encoding", encoding).option("mode", "DROPMALFORMED").csv(path)
+        spark.read.schema(all_text(columns).add(CORRUPT, T.StringType())).option("header", "true").option("quote", '"').option("escape", '"')
+        .option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     )
-    return (df if where is None else df.where(where)).select(*keep)
+    df = df.where(F.col(CORRUPT).isNull())
+    return (df if where is None else df.where(where)).select(*[F.col(f"`{k}`") for k in keep])
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
@@ -56,7 +64,7 @@ def read_columns(spark: SparkSession, path: str, wanted: dict[str, str], how: st
     return df.select(*[F.col(f"`{src}`").alias(out) for out, src in found.items()]), absent
 
 
-def skip_code_row(df: DataFrame, key: str, pattern: str = r"^\d{1,5}$") -> DataFrame:
+def skip_code_row(df: DataFrame, key: str, pattern: str = r"^\d+$") -> DataFrame:
     """Drop second header rows: their key cell does not look like a key."""
     return df.where(F.trim(F.col(key)).rlike(pattern))
 
@@ -77,11 +85,11 @@ def read_discharges(spark: SparkSession, path: str, zip_name: str, code_name: st
     return df.where(F.col(zip_name).rlike(r"^\d{5}$"))
 
 
-def read_matrix_export(spark: SparkSession, path: str, year_group: Column | None = None) -> DataFrame:
+def read_matrix_export(spark: SparkSession, path: str, year_group: Column | None = None, key_width: int = 5) -> DataFrame:
     """Area-by-year matrix exports (preamble, Year row, key header, totals) to tidy rows.
 
     Each file's Year row is one small record joined to that file's data lines, so any number of
-    files parse in parallel. Rows: file, key, year, count, censored.
+    files parse in parallel. Rows: file, key (of ``key_width`` digits), year, count, censored.
     """
     from zonometry.functions.numeric import suppressed_cell
 
@@ -97,7 +105,7 @@ def read_matrix_export(spark: SparkSession, path: str, year_group: Column | None
     years = years.where(F.col("has_header") == 1).select("file", F.posexplode("labels").alias("pos", "lab"))
     year = F.regexp_extract(F.col("lab"), r"\b((?:19|20)\d{2})\b", 1)
     years = years.where(year != "").select("file", "pos", year.cast("int").alias("year"))
-    rows = wide.where(F.trim(F.col("cells")[0]).rlike(r"^\d{5}$"))
+    rows = wide.where(F.trim(F.col("cells")[0]).rlike(rf"^\d{{{key_width}}}$"))
     rows = rows.select("file", F.trim(F.col("cells")[0]).alias("key"), F.posexplode("cells").alias("pos", "cell"))
     value, censored = suppressed_cell(F.col("cell"))
     out = rows.join(years, ["file", "pos"]).select(
