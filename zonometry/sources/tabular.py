@@ -20,12 +20,13 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str], keep: list
                   sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Large quoted CSV, all text, malformed rows skipped; filter and projection reach the scan.
 
-    A row is malformed by its whole record, whichever columns are kept: the corrupt-record column makes
-    the parser read every field.
+    A row is malformed by its whole record, whichever columns are kept: the parser must not prune columns,
+    so that it counts every field.
     """
     df = (
         spark.read.schema(all_text(columns).add(CORRUPT, T.StringType())).option("header", "true").option("quote", '"').option("escape", '"')
-        .option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+        .option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", "false").csv(path)
     )
     df = df.where(F.col(CORRUPT).isNull())
     return (df if where is None else df.where(where)).select(*[F.col(f"`{k}`") for k in keep])
