@@ -21,7 +21,7 @@ from zonometry.session import stage
 
 S = Section()
 D = list(DIMS)
-REPS, RANK_REPS, SEED = 200, 40, 11
+REPS, RANK_REPS, SEED = 1000, 1000, 11
 
 
 def blocked(spark, sf, level="county"):
@@ -218,7 +218,7 @@ def placebo_bootstrap(spark, sf):
     return ci(a.join(b, "replicate").select("replicate", (F.col("a") - F.col("b")).alias("v")), "v")
 
 
-PANEL_REPS = 30
+PANEL_REPS = 1000
 
 
 def panel_times_sql(block: str) -> str:

@@ -234,10 +234,11 @@ def life_expectancy_rank(spark, sf):
 
 # ---- rank bands ------------------------------------------------------------------------------
 
+# Shares of the survey and model noise that each dimension carries.
 SURVEY_SHARE = {"vulnerability_pctile": 1.0, "access_pctile": 0.40}
 MODEL_SHARE = {"need_pctile": 1.0, "access_pctile": 0.55, "vulnerability_pctile": 0.14}
 SIGMAS = [f"sigma_{d}" for d in DIMS]
-BAND_DRAWS = 60
+BAND_DRAWS = 300
 CV_SQL = """
 cvs AS (SELECT area, scoreable, low_confidence, need_pctile, vulnerability_pctile, access_pctile,
   CASE WHEN rate > 0 THEN least(2.0, rate_se / rate) END AS cv_a, CASE WHEN rate2 > 0 AND id % 6 <> 0 THEN least(2.0, rate2_se / rate2) END AS cv_b FROM scored WHERE scoreable),

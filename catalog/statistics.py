@@ -166,7 +166,7 @@ def group_collapsed_r(spark, sf):
 
 
 ITEMS = [m.column for _, m in MODEL.measures]
-SPLITS = 12
+SPLITS = 200
 
 
 def split_sql(value_sql: str, items: list[str], splits: int, seed: int) -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonometry.functions.noise import digest, uniform
-from zonometry.operators.rank import exact_quantiles, global_index, value_positions
-from zonometry.operators.stats import centred, gram, partials, safe_corr, sum_grams, weighted_corr_long
+from zonometry.operators.rank import exact_quantiles, global_index
+from zonometry.operators.stats import centred, gram, partials, sum_grams, weighted_r
 from zonometry.session import stage
 
 
@@ -76,25 +78,70 @@ def intervals(stats: DataFrame, value: str, by: list[str] | None = None, lo: flo
     return out.withColumn("excludes_0", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
+RANK_BUCKET_ROWS = 20_000  # rows that one bucket of the ranked values is meant to hold
+
+
 def ranked_replicates(df: DataFrame, times: DataFrame, block: str, variants: dict[str, Column],
                       outcomes: list[str], min_pairs: int = 100) -> DataFrame:
-    """r of each variant, re-ranked inside every replicate, with each outcome.
+    """r of each variant (0..100), re-ranked inside every replicate, with each outcome: replicate, variant, outcome, r, n.
 
-    A row drawn twice has weight two: ranks are weighted tie-averaged positions and the
-    correlation is weighted by the draws. Rows x replicates are unavoidable here, so ranks use
-    bucketed positions keyed by replicate and variant.
+    A row drawn twice has weight two: ranks are weighted tie-averaged positions and the correlation is
+    weighted by the draws. The order of a variant's rows does not hang on the draw, so each row travels once,
+    to its bucket of values, with its block's draws as one vector. A first pass adds the vectors of a
+    bucket, their running sums give every bucket its offsets in all replicates at once, and a second pass
+    ranks the bucket's rows and leaves only sums per replicate. Rows x replicates are never rows.
     """
-    rows = df.select(block, *outcomes, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("variant"), v.cast("double").alias("v")) for name, v in variants.items()])).alias("s"))
-    rows = rows.select(block, *outcomes, "s.variant", F.round("s.v", 9).alias("v")).where(F.col("v").isNotNull())
-    drawn = stage(rows.join(times, block), "replicate-rows")
-    pos = value_positions(drawn, "v", ["replicate", "variant"], domain=(0.0, 100.0), weight="times")
-    rank = pos.select("replicate", "variant", "v", (F.col("before") + (F.col("c") + 1) / 2).alias("a"))
-    ranked = drawn.join(rank, ["replicate", "variant", "v"])
-    long = ranked.select("replicate", "variant", "a", F.col("times").cast("double").alias("w"), F.explode(F.array(*[
-        F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("b")) for o in outcomes])).alias("s"))
-    long = long.select("replicate", "variant", "a", "w", "s.*").where(F.col("b").isNotNull())
-    return weighted_corr_long(long, ["replicate", "variant", "outcome"], min_pairs, repeats=True)
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.round(v.cast("double"), 9).alias("v")) for n, v in variants.items()]))
+    rows = df.select(F.col(block).alias("block"), *[F.col(o).cast("double").alias(o) for o in outcomes], values.alias("s")).select("block", *outcomes, "s.*")
+    rows = stage(rows.where(F.col("v").isNotNull() & F.col("block").isNotNull()), "variant-rows")
+    buckets = max(8, -(-rows.count() // (len(variants) * RANK_BUCKET_ROWS)))
+    width = (times.agg(F.max("replicate")).first()[0] or 0) + 2  # replicate -1, the sample itself, has place 0
+    draws = times.groupBy(F.col(block).alias("block")).agg(F.collect_list(F.struct((F.col("replicate") + 1).alias("at"), "times")).alias("draws"))
+    slot = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("v") * buckets / 100))).cast("int")
+    dealt = rows.join(stage(draws, "draws"), "block").select("variant", slot.alias("bucket"), "v", *outcomes, "draws")
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        lists = table.column("draws").combine_chunks()
+        flat, out = lists.flatten(), np.zeros((table.num_rows, width))
+        who = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+        out[who, flat.field("at").to_numpy()] = flat.field("times").to_numpy()
+        return out
+
+    def total(key, table):
+        return pa.table({"variant": [key[0].as_py()], "bucket": pa.array([key[1].as_py()], pa.int32()), "total": [matrix(table).sum(0).tolist()]})
+
+    def offset(key, table):
+        table = table.sort_by("bucket")
+        sums = np.array(table.column("total").to_pylist())
+        upto = np.cumsum(sums, 0)
+        return pa.table({"variant": table.column("variant"), "bucket": table.column("bucket"), "before": (upto - sums).tolist(), "whole": [upto[-1].tolist()] * len(sums)})
+
+    names = ["n", "sw", "sa", "sb", "saa", "sbb", "sab"]
+
+    def rank_sums(key, table, around):
+        table = table.sort_by("v")
+        w, v = matrix(table), table.column("v").to_numpy()
+        before, whole = np.array(around.column("before")[0].as_py()), np.array(around.column("whole")[0].as_py())
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        ties = np.add.reduceat(w, first, 0)
+        below = np.cumsum(ties, 0) - ties
+        # centred on the known mean of the ranks, so that the sums keep their digits
+        a = (before + below + (ties + 1) / 2 - (whole + 1) / 2)[np.repeat(np.arange(len(first)), np.diff([*first, len(v)]))]
+        out = []
+        for o in outcomes:
+            b = table.column(o).to_numpy(zero_copy_only=False)[:, None]
+            known = ~np.isnan(b[:, 0])
+            x, y, k = a[known], b[known], w[known]
+            sums = [k.sum(0), k.sum(0), (k * x).sum(0), (k * y).sum(0), (k * x * x).sum(0), (k * y * y).sum(0), (k * x * y).sum(0)]
+            out.append(pa.table({"replicate": np.arange(-1, width - 1, dtype=np.int32), "variant": [key[0].as_py()] * width, "outcome": [o] * width} | dict(zip(names, sums))))
+        return pa.concat_tables(out)
+
+    totals = dealt.groupBy("variant", "bucket").applyInArrow(total, "variant string, bucket int, total array<double>")
+    offsets = stage(totals.groupBy("variant").applyInArrow(offset, "variant string, bucket int, before array<double>, whole array<double>"), "offsets")
+    schema = "replicate int, variant string, outcome string, " + ", ".join(f"{n} double" for n in names)
+    parts = dealt.groupBy("variant", "bucket").cogroup(offsets.groupBy("variant", "bucket")).applyInArrow(rank_sums, schema)
+    sums = parts.groupBy("replicate", "variant", "outcome").agg(*[F.sum(n).alias(n) for n in names]).where("n > 0")
+    return sums.select("replicate", "variant", "outcome", weighted_r(min_pairs).alias("r"), "n")
 
 
 def split_assignment(items: list[str], splits: int, seed: int, spark) -> DataFrame:
@@ -110,11 +157,30 @@ def split_assignment(items: list[str], splits: int, seed: int, spark) -> DataFra
 
 def split_half(long: DataFrame, key: str, item: str, value: str, items: list[str], splits: int, seed: int,
                min_pairs: int = 10) -> DataFrame:
-    """Per split: r of the two half means and its Spearman-Brown step-up."""
-    halves = F.broadcast(split_assignment(items, splits, seed, long.sparkSession).withColumnRenamed("item", item))
-    joined = long.where(F.col(value).isNotNull()).join(halves, item)
-    means = joined.groupBy("split", key).agg(
-        F.avg(F.when(F.col("half") == 0, F.col(value))).alias("a"), F.avg(F.when(F.col("half") == 1, F.col(value))).alias("b"))
-    r = means.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("split").agg(
-        safe_corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pairs)
+    """Per split: r of the two half means and its Spearman-Brown step-up.
+
+    Each key's values meet once, as a row with a column per item; both half means of all splits are then two
+    small matrix products per batch of rows, and only sums per split leave the task.
+    """
+    assigned = split_assignment(items, splits, seed, long.sparkSession).collect()  # splits x items rows
+    half = np.zeros((2, len(items), splits))
+    for r in assigned:
+        half[r["half"], items.index(r["item"]), r["split"]] = 1
+    wide = long.where(F.col(value).isNotNull()).groupBy(key).agg(*[F.avg(F.when(F.col(item) == i, F.col(value))).alias(f"i{k}") for k, i in enumerate(items)])
+    names = ["n", "sw", "sa", "sb", "saa", "sbb", "sab"]
+
+    def sums(batches):
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            n = [known @ h for h in half]
+            both = (n[0] > 0) & (n[1] > 0)
+            a, b = (np.where(both, (x @ h) / np.maximum(c, 1), 0.0) for h, c in zip(half, n))
+            cols = [both.sum(0), both.sum(0), a.sum(0), b.sum(0), (a * a).sum(0), (b * b).sum(0), (a * b).sum(0)]
+            yield pa.record_batch([pa.array(np.arange(splits, dtype=np.int32)), *[pa.array(c.astype(float)) for c in cols]], ["split", *names])
+
+    parts = wide.drop(key).mapInArrow(sums, "split int, " + ", ".join(f"{n} double" for n in names))
+    r = parts.groupBy("split").agg(*[F.sum(n).alias(n) for n in names]).where(F.col("n") >= min_pairs)
+    r = r.select("split", weighted_r(min_pairs).alias("r"), F.col("n").cast("long").alias("n"))
     return r.withColumn("stepped", 2 * F.col("r") / (1 + F.col("r")))

@@ -60,7 +60,7 @@ def weighted_correlations(df: DataFrame, pairs: list[tuple[str, str]], weight: s
     wide = flat.groupBy(*by).agg(*[F.struct(*_weighted_sums(d[x], d[y], F.col("__w"))).alias(f"__s{i}") for i, (x, y) in enumerate(pairs)])
     parts = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"__s{i}").alias("s")) for i, (x, y) in enumerate(pairs)])).alias("p")
     long = wide.select(*by, parts).select(*by, "p.x", "p.y", "p.s.*").where(F.col("n") > 0)
-    return long.select(*by, "x", "y", _weighted_r(min_pairs).alias("r"), "n")
+    return long.select(*by, "x", "y", weighted_r(min_pairs).alias("r"), "n")
 
 
 def _weighted_sums(a: Column, b: Column, w: Column) -> list[Column]:
@@ -69,7 +69,7 @@ def _weighted_sums(a: Column, b: Column, w: Column) -> list[Column]:
     return [F.count_if(both).alias("n")] + [F.sum(F.when(both, t)).alias(k) for k, t in terms.items()]
 
 
-def _weighted_r(min_pairs: int) -> Column:
+def weighted_r(min_pairs: int) -> Column:
     """Correlation of weighted sums; null without spread beyond rounding."""
     c = F.col("sab") - F.col("sa") * F.col("sb") / F.col("sw")
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / F.col("sw"), F.col("sbb") - F.col("sb") * F.col("sb") / F.col("sw")
@@ -77,18 +77,6 @@ def _weighted_r(min_pairs: int) -> Column:
     return F.when((F.col("n") >= min_pairs) & spread, c / F.sqrt(va * vb))
 
 
-def weighted_corr_long(long: DataFrame, keys: list[str], min_pairs: int = 50, repeats: bool = False) -> DataFrame:
-    """Weighted correlation of columns a, b under w, per keys, in one combine.
-
-    Plain sums: hand in values of a scale near their spread (ranks, percentiles). ``n`` counts rows, or their
-    repeats where the weights are draw counts.
-    """
-    sums = long.groupBy(*keys).agg(*_weighted_sums(F.col("a"), F.col("b"), F.col("w")))
-    if repeats:
-        sums = sums.withColumn("n", F.col("sw"))
-    return sums.select(*keys, _weighted_r(min_pairs).alias("r"), "n")
-
-
 # ---- Gram sums -----------------------------------------------------------------------------
 
 def centred(df: DataFrame, cols: list[str]) -> DataFrame:
