@@ -7,12 +7,13 @@ follows is array arithmetic over that buffer, so no row loop touches characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ class Texts(NamedTuple):
     end: np.ndarray
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of text each; a longer text stands alone."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -41,6 +42,22 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             at = to
 
 
+def pressed(texts: list[str | None]) -> pa.Array:
+    """Compressed texts, for shuffles."""
+    z = zstandard.ZstdCompressor()
+    return pa.array([None if t is None else z.compress(t.encode()) for t in texts], pa.binary())
+
+
+def opened(batch: pa.RecordBatch, blob: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch in which column ``blob`` of compressed texts has become ``text``."""
+    z = zstandard.ZstdDecompressor()
+    names = [n for n in batch.schema.names if n != blob]
+    for at in range(0, batch.num_rows, 128):
+        part = batch.slice(at, 128)
+        text = pa.array([z.decompress(x).decode() for x in part.column(blob).to_pylist()], pa.string())
+        yield from pieces([pa.record_batch([*[part.column(n) for n in names], text], [*names, "text"])], "text")
+
+
 def texts_of(column: pa.Array) -> Texts:
     """One buffer of a string column; a null text counts as empty."""
     end, gap = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())

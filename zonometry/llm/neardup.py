@@ -26,7 +26,10 @@ from zonometry.session import stage
 
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6
 SKETCH_BITS = 512
-MARGIN = 0.3  # candidates are compared in full down to this far below the threshold by the sketch's estimate
+MARGIN = 0.3  # star candidates are compared in full down to this far below the threshold by the sketch's estimate
+#: The wider sketch of texts that a star leaves open: its estimate has a deviation below 0.01 at similarity 0.8. A
+#: quarter of its bits, a sketch of a quarter of the samples, is compared first, with a margin as much wider.
+FINE_SAMPLES, FINE_BITS, FINE_MARGIN, QUARTER_MARGIN = 2048, 8192, 0.045, 0.12
 SPACE = ((0x20, 0x20), (0x09, 0x0D))
 
 
@@ -69,16 +72,31 @@ def _signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
             least = np.minimum.reduceat(h * (salt[2 * k] | np.uint64(1)) + salt[2 * k + 1], at)
             key = C.mix(key * np.uint64(C.BASE) + least)
             bit = C.mix(least ^ salt[2 * k]) % np.uint64(SKETCH_BITS)
-            np.bitwise_xor.at(sketch, (each, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+            sketch[each, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
         bands[:, b] = key
     return name, bands, sketch
 
 
-def sketch_similarity(a: Column, b: Column) -> Column:
+def odd_sketch(h: np.ndarray, counts: np.ndarray, samples: int, bits: int) -> np.ndarray:
+    """Odd sketch of each non-empty text from ``samples`` MinHash samples: the parities of the samples' hashed places."""
+    at = np.concatenate([[0], np.cumsum(counts[counts > 0])[:-1]]).astype(np.int64)
+    salt = C.mix(np.arange(1, 1 + 2 * samples, dtype=np.uint64) * np.uint64(C.BASE) ^ np.uint64(bits))
+    out, each = np.zeros((len(at), bits // 64), np.uint64), np.arange(len(at))
+    for k in range(samples if len(at) else 0):
+        least = np.minimum.reduceat(h * (salt[2 * k] | np.uint64(1)) + salt[2 * k + 1], at)
+        bit = C.mix(least ^ salt[2 * k]) % np.uint64(bits)
+        out[each, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
+    return out
+
+
+def sketch_similarity(a: Column, b: Column, samples: int, bits: int) -> Column:
     """Estimate from two odd sketches: 1 + bits / (4 samples) * ln(1 - 2 * differing / bits)."""
-    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    odd = F.greatest(F.lit(1e-9), 1 - 2 * differ / SKETCH_BITS)
-    return 1 + F.log(odd) * (SKETCH_BITS / (4 * BANDS * ROWS))
+    if bits <= 2048:
+        differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(bits // 64)), F.lit(0))
+    else:  # as a fold, since the sum would be too long an expression
+        differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    odd = F.greatest(F.lit(1e-9), 1 - 2 * differ / bits)
+    return 1 + F.log(odd) * (bits / (4 * samples))
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -104,14 +122,26 @@ def _packed_texts(docs: DataFrame, doc_id: str, text: str, ids: DataFrame) -> Da
     """``v, blob``: compressed texts of the wanted ids."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor()
         for b in batches:
-            yield pa.record_batch([b.column("v"), pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], ["v", "blob"])
+            yield pa.record_batch([b.column("v"), C.pressed(b.column("text").to_pylist())], ["v", "blob"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("v"), F.col(text).alias("text")).where("v is not null and text is not null")
     return slim.mapInArrow(run, "v long, blob binary").join(ids, "v", "left_semi")
 
 
+def _fine(texts: DataFrame, width: int) -> DataFrame:
+    """``v, sketch``: the wider odd sketches of compressed texts."""
+
+    def run(batches):
+        for b in batches:
+            for part in C.opened(b, "blob"):
+                h, counts = shingle_sets(part.column("text"), width)
+                sketch = odd_sketch(h, counts, FINE_SAMPLES, FINE_BITS)
+                yield pa.record_batch([part.column("v"), C.lists(C.signed(sketch.ravel()), (counts > 0) * (FINE_BITS // 64))], ["v", "sketch"])
+
+    return texts.mapInArrow(run, "v long, sketch array<long>")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
 
@@ -150,10 +180,10 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     reps = full.join(classes.select(F.col("v").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("v"), "bands", "sketch")
     sketches = reps.select("v", "sketch")
 
-    keyed = reps.select("v", F.explode("bands").alias("band"))
+    keyed = reps.select("v", F.posexplode("bands").alias("i", "band"))
     hubs = keyed.groupBy("band").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").select("band", "hub")
     shared = stage(keyed.join(hubs, "band"), "shared-bands")
-    est = sketch_similarity(F.col("su"), F.col("sv")) >= percent / 100 - MARGIN
+    est = sketch_similarity(F.col("su"), F.col("sv"), BANDS * ROWS, SKETCH_BITS) >= percent / 100 - MARGIN
     star = shared.where("v <> hub").select(F.col("v").alias("u"), F.col("hub").alias("v")).distinct()
     star = star.join(sketches.select(F.col("v").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select("v", F.col("sketch").alias("sv")), "v")
     star = stage(star.where(est).select("u", "v"), "star-pairs")
@@ -162,20 +192,26 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
 
     # what the star of a band key has not joined is tried against every other component in the key
     label = components(links)
-    known = shared.join(label, "v", "left").select("band", "v", "hub", F.coalesce("component", "v").alias("c"))
+    known = shared.join(label, "v", "left").select("band", "i", "v", "hub", F.coalesce("component", "v").alias("c"))
     open_ = known.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     rest = known.join(open_, "band").join(label.select(F.col("v").alias("hub"), F.col("component").alias("hc")), "hub", "left")
-    rest = stage(rest.select("band", "v", "c", (F.col("c") != F.coalesce("hc", "hub")).alias("outside")), "open-bands").join(sketches, "v")
-    left = rest.where("outside").select("band", F.col("v").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("su"))
-    right = rest.select("band", F.col("v").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sv"))
-    more = left.join(right, (left["band"] == right["band"]) & (F.col("ca") != F.col("cb")) & est)
+    rest = stage(rest.select("band", "i", "v", "c", (F.col("c") != F.coalesce("hc", "hub")).alias("outside")), "open-bands")
+    fine = stage(_fine(texts.join(rest.select("v").distinct(), "v", "left_semi"), width), "wider-sketches")
+    quarter = sketch_similarity(F.col("su"), F.col("sv"), FINE_SAMPLES // 4, FINE_BITS // 4) >= percent / 100 - QUARTER_MARGIN
+    est = quarter & (sketch_similarity(F.col("su"), F.col("sv"), FINE_SAMPLES, FINE_BITS) >= percent / 100 - FINE_MARGIN)
+    rest = rest.join(fine, "v").join(reps.select("v", "bands"), "v")
+    left = rest.where("outside").select("band", "i", F.col("v").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("su"), F.col("bands").alias("ba"))
+    right = rest.select("band", F.col("v").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sv"), F.col("bands").alias("bb"))
+    # a pair that shares several bands is taken in the first of them
+    once = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("i") + 1
+    more = left.join(right, (left["band"] == right["band"]) & (F.col("ca") != F.col("cb")) & est & once)
     more = more.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    more = more.join(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
+    more = stage(more, "open-pairs").join(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     links = links.union(stage(_confirm(more, texts, width, percent), "more-links"))
 
     whole = components(links)
-    placed = full.select("id", "key", "n", "k1", "k2").join(classes, ["k1", "k2", "n"]).join(whole, "v", "left")
-    placed = placed.select("id", "key", "n", F.coalesce("component", "v").alias("component"))
+    told = stage(classes.join(whole, "v", "left").select("k1", "k2", "n", F.coalesce("component", "v").alias("component")), "class-components")
+    placed = full.select("id", "key", "n", "k1", "k2").join(told, ["k1", "k2", "n"]).select("id", "key", "n", "component")
     return placed.union(sig.where("n = 0").select("id", "key", "n", F.col("id").alias("component")))
 
 
