@@ -178,7 +178,7 @@ def state_coalesce(spark, sf):
   WHERE CAST(substr(zip, 1, 3) AS INTEGER) BETWEEN 750 AND 799 OR CAST(substr(zip, 1, 3) AS INTEGER) = 885""")
 def subset_by_prefix_ranges(spark, sf):
     df = R.area_stage(spark, sf).select("area", "zip")
-    return df.where(keys.in_prefix_ranges(F.col("zip"), states.REGION_RANGES["TX"]))
+    return df.where(states.in_region(F.col("zip"), "tx"))
 
 
 @S.query("geo_bounds_filter", with_sql(SITES_SQL) + "SELECT site, lat, lon FROM sites WHERE s_acctbal > 0 AND lat BETWEEN 17 AND 72 AND lon BETWEEN -180 AND -64")

@@ -140,9 +140,10 @@ def bbox_by_group(spark, sf):
     return agg.bounding_boxes(a, "state", "lon", "lat").unionByName(whole)
 
 
-@S.query("histogram", with_sql(SCORED_SQL) + """SELECT CASE WHEN access_pctile IS NULL THEN -1 ELSE CAST(least(43, greatest(0, floor(access_pctile / 100 * 44))) AS INTEGER) END AS bin, count(*) AS n FROM scored GROUP BY 1""")
+@S.query("histogram", with_sql(SCORED_SQL) + """SELECT CASE WHEN score IS NULL THEN -1 ELSE CAST(least(43, greatest(0, floor(score / 100 * 44))) AS INTEGER) END AS bin, count(*) AS n,
+  count(*) FILTER (WHERE score IS NOT NULL AND n_dims_scored < 3) AS n_partial FROM scored GROUP BY 1""")
 def histogram(spark, sf):
-    return agg.histogram(R.scored(spark, sf), "access_pctile")
+    return agg.histogram(R.scored(spark, sf), "score", partial=F.col("n_dims_scored") < 3)
 
 
 _BREAKS = ", ".join(f"quantile_cont(score, {i / 8}) AS b{i}" for i in range(1, 8))

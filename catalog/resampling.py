@@ -10,7 +10,8 @@ from catalog import roles as R
 from catalog.registry import Section
 from catalog.roles import AREAS_SQL, DIMS, MODEL, OUTCOMES, PANEL_SQL, SCORED_SQL, pct_sql, with_sql
 from catalog.scoring import BAND_DRAWS, CV_SQL, SIGMAS, band_sql, noisy, u_sql
-from catalog.statistics import GOOD_SQL, VARIANT_SQL, WITHIN_SQL, good, r6
+from catalog.statistics import GOOD_SQL, VARIANT_SQL, WITHIN_SQL, good, partial_sql, r6
+from zonometry.functions.numeric import clip, guarded_ratio
 from zonometry.operators import aggregates as agg
 from zonometry.operators import panel as pn, resample, stats
 from zonometry.operators.rank import exact_quantiles
@@ -144,9 +145,16 @@ def _margins(spark, sf):
     return m.where(F.col("variant") != "full").join(full, "replicate").select("replicate", "variant", (F.col("f") - F.col("m")).alias("margin"))
 
 
-@S.query("gate_report", with_sql(*_RANKED, _MARGIN) + ci_sql("mg", "margin", "variant"))
+@S.query("gate_report", with_sql(*_RANKED, _MARGIN.rstrip() + """,
+gr AS (SELECT replicate, 'margin' AS stat, variant, margin AS v FROM mg UNION ALL SELECT replicate, 'mean_r', variant, m FROM mv
+  UNION ALL SELECT replicate, 'r_' || outcome, variant, r FROM rbq)""") + ci_sql("gr", "v", "stat, variant"))
 def gate_report(spark, sf):
-    return ci(_margins(spark, sf), "margin", ["variant"])
+    """Margins of the full composite over each drop, and mean and single r of the full and each drop, all with intervals."""
+    r = ranked(spark, sf)
+    margins = _margins(spark, sf).select("replicate", F.lit("margin").alias("stat"), "variant", F.col("margin").alias("v"))
+    means = r.groupBy("replicate", "variant").agg(F.avg("r").alias("v")).select("replicate", F.lit("mean_r").alias("stat"), "variant", "v")
+    single = r.select("replicate", F.concat(F.lit("r_"), "outcome").alias("stat"), "variant", F.col("r").alias("v"))
+    return ci(margins.unionByName(means).unionByName(single), "v", ["stat", "variant"])
 
 
 _FOCUS_SQL = """
@@ -218,6 +226,38 @@ def placebo_bootstrap(spark, sf):
     return ci(a.join(b, "replicate").select("replicate", (F.col("a") - F.col("b")).alias("v")), "v")
 
 
+def _band_sql(tag: str, q: float) -> str:
+    """Quantile of the partial r over the replicates of one moment table."""
+    return f"(SELECT quantile_cont(v, {q}) FROM (SELECT {partial2()} AS v FROM rr{tag} WHERE replicate >= 0))"
+
+
+_ACCEPT = "CASE WHEN n_orders > 0 THEN least(1.5, greatest(0.0, providers_primary / n_orders)) END"
+
+
+@S.query("acceptance_ratio", with_sql(SCORED_SQL, GOOD_SQL, block_sql("county", "a"), f"ar AS (SELECT *, {_ACCEPT} AS acceptance FROM blka)", moment_sql("a", "ar", "tma", ["o_price", "acceptance", D[0], D[1]]))
+         + f"SELECT count(acceptance) AS n, round(avg(acceptance), 8) AS mean_acceptance, round({partial_sql('o_price', 'acceptance', D[0], D[1], 'ar')}, 6) AS partial_r, round({_band_sql('a', 0.025)}, 5) AS ci_lo, round({_band_sql('a', 0.975)}, 5) AS ci_hi FROM ar")
+def acceptance_ratio(spark, sf):
+    g = blocked(spark, sf).withColumn("acceptance", clip(guarded_ratio(F.col("providers_primary"), F.col("n_orders")), 0.0, 1.5))
+    size = g.agg(F.count("acceptance").alias("n"), F.round(F.avg("acceptance"), 8).alias("mean_acceptance"))
+    boot = resample.intervals(_partial_boot(g, ["o_price", "acceptance", *D[:2]]), "stat")
+    part = boot.select(F.round("point", 6).alias("partial_r"), F.round("ci_lo", 5).alias("ci_lo"), F.round("ci_hi", 5).alias("ci_hi"))
+    return size.join(F.broadcast(part))  # one row each
+
+
+_CAND = ["m_balance", "m_discount", "m_quantity"]
+CAND_REPS = 500
+
+
+@S.query("hrsn_gate", with_sql(SCORED_SQL, GOOD_SQL, "gw AS (SELECT *, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY county_fips) AS {c}_w" for c in [*_CAND, "o_return"]) + " FROM (SELECT *, count(*) OVER (PARTITION BY county_fips) >= 3 AS big FROM good))",
+         block_sql("county", "h", CAND_REPS), *[moment_sql(f"h{i}", "blkh", "tmh", ["o_price", c, D[0], D[1]]) for i, c in enumerate(_CAND)]) + " UNION ALL ".join(
+    f"""SELECT x, round(raw_r, 6) AS raw_r, round(partial_r, 6) AS partial_r, round(within_r, 6) AS within_r, round(max_dim_r, 6) AS max_dim_r, round(lo, 5) AS ci_lo, round(hi, 5) AS ci_hi, CASE WHEN partial_r > 0.05 AND lo > 0 THEN 'survives' ELSE 'collapses' END AS verdict FROM (
+    SELECT '{c}' AS x, corr({c}, o_price) AS raw_r, {partial_sql('o_price', c, D[0], D[1], 'good')} AS partial_r, corr({c}_w, o_return_w) FILTER (WHERE big) AS within_r, greatest(abs(corr({c}, {D[0]})), abs(corr({c}, {D[1]}))) AS max_dim_r,
+    {_band_sql(f'h{i}', 0.025)} AS lo, {_band_sql(f'h{i}', 0.975)} AS hi FROM gw)""" for i, c in enumerate(_CAND)))
+def hrsn_gate(spark, sf):
+    out = val.candidate_gate(blocked(spark, sf), _CAND, "o_price", D[:2], "o_return", "county_fips", "block", CAND_REPS, SEED)
+    return r6(out.withColumns({c: F.round(c, 5) for c in ("ci_lo", "ci_hi")}), "raw_r", "partial_r", "within_r", "max_dim_r")
+
+
 PANEL_REPS = 1000
 
 

@@ -419,26 +419,4 @@ def first_stage_report(spark, sf):
     return r6(val.first_stage(df, "y0", "y1", "rate2", "score", "county_fips", min_before=1), "value")
 
 
-@S.query("acceptance_ratio", with_sql(SCORED_SQL, GOOD_SQL, "ar AS (SELECT *, CASE WHEN n_orders > 0 THEN least(1.5, greatest(0.0, providers_primary / n_orders)) END AS acceptance FROM good)")
-         + f"SELECT count(acceptance) AS n, round(avg(acceptance), 8) AS mean_acceptance, round({partial_sql('o_price', 'acceptance', D[0], D[1], 'ar')}, 6) AS partial_r FROM ar")
-def acceptance_ratio(spark, sf):
-    from zonometry.functions.numeric import clip, guarded_ratio
-
-    g = good(spark, sf).withColumn("acceptance", clip(guarded_ratio(F.col("providers_primary"), F.col("n_orders")), 0.0, 1.5))
-    size = g.agg(F.count("acceptance").alias("n"), F.round(F.avg("acceptance"), 8).alias("mean_acceptance"))
-    part = stats.partial_corr(g, "o_price", "acceptance", D[:2]).select(F.round("partial_r", 6).alias("partial_r"))
-    return size.join(F.broadcast(part))  # one row each
-
-
-_CAND = ["m_balance", "m_discount", "m_quantity"]
-
-
-@S.query("hrsn_gate", with_sql(SCORED_SQL, GOOD_SQL, "gw AS (SELECT *, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY county_fips) AS {c}_w" for c in [*_CAND, "o_return"]) + " FROM (SELECT *, count(*) OVER (PARTITION BY county_fips) >= 3 AS big FROM good))") + " UNION ALL ".join(
-    f"""SELECT x, round(raw_r, 6) AS raw_r, round(partial_r, 6) AS partial_r, round(within_r, 6) AS within_r, round(max_dim_r, 6) AS max_dim_r, CASE WHEN partial_r > 0.05 THEN 'survives' ELSE 'collapses' END AS verdict FROM (
-    SELECT '{c}' AS x, corr({c}, o_price) AS raw_r, {partial_sql('o_price', c, D[0], D[1], 'good')} AS partial_r, corr({c}_w, o_return_w) FILTER (WHERE big) AS within_r, greatest(abs(corr({c}, {D[0]})), abs(corr({c}, {D[1]}))) AS max_dim_r FROM gw)""" for c in _CAND))
-def hrsn_gate(spark, sf):
-    out = val.candidate_gate(good(spark, sf), _CAND, "o_price", D[:2], "o_return", "county_fips")
-    return r6(out, "raw_r", "partial_r", "within_r", "max_dim_r")
-
-
 QUERIES, SQL = S.queries, S.sql

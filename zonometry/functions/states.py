@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonometry.functions.keys import in_prefix_ranges
+
 # Postal prefix ranges (state, first, last prefix), both ends included; the first range wins.
 PREFIX_RANGES = [
     ("MA", 10, 27), ("MA", 55, 55), ("RI", 28, 29), ("NH", 30, 38), ("ME", 39, 49),
@@ -88,3 +90,9 @@ def with_state(df: DataFrame, key: str, fips: str) -> DataFrame:
     both = with_fips_state(with_prefix_state(df, key), fips).drop("state_name")
     both = both.withColumn("state", F.coalesce("fips_state", "prefix_state"))
     return both.join(names, "state", "left")
+
+
+def in_region(key: Column, region: str | None) -> Column:
+    """True for keys of a regional slice; an unknown region, or none, takes in everything."""
+    ranges = REGION_RANGES.get((region or "").upper())
+    return in_prefix_ranges(key, ranges) if ranges else F.lit(True)

@@ -97,10 +97,11 @@ def continental_box(df: DataFrame, lon: str, lat: str) -> DataFrame:
                   pick(F.max, lon).alias("max_lon"), pick(F.max, lat).alias("max_lat"))
 
 
-def histogram(df: DataFrame, value: str, bins: int = 44, hi: float = 100.0) -> DataFrame:
-    """Equal bins over 0..hi; bin -1 holds the rows without a value."""
+def histogram(df: DataFrame, value: str, bins: int = 44, hi: float = 100.0, partial: Column | None = None) -> DataFrame:
+    """Equal bins over 0..hi; bin -1 holds the rows without a value. ``n_partial`` counts the known values that are ``partial``."""
     slot = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col(value) / hi * bins))).cast("int")
-    return df.groupBy(F.when(F.col(value).isNull(), -1).otherwise(slot).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(F.when(F.col(value).isNull(), -1).otherwise(slot).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNotNull() & (F.lit(False) if partial is None else partial)).alias("n_partial"))
 
 
 def with_quantile_class(df: DataFrame, value: str, classes: int, out: str, right_closed: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zonometry.operators.aggregates import subtract_group_mean, with_quantile_class
 from zonometry.operators.joins import having_min_members
 from zonometry.operators.rank import exact_quantiles, with_percentile
+from zonometry.operators.resample import bootstrap_partials, intervals
 from zonometry.operators.stats import (
     centred, correlations, corr_of, floored, gram, matrix_of, nonneg_ls, partials, safe_corr, solve_rows, weighted_correlations,
 )
@@ -292,16 +293,16 @@ def first_stage(df: DataFrame, before: str, after: str, dose: str, score: str, g
 
 
 def candidate_gate(df: DataFrame, candidates: list[str], outcome: str, dims: list[str], within_outcome: str, group: str,
-                   min_partial: float = 0.05, min_members: int = 3) -> DataFrame:
-    """Per candidate measure: raw, partial and within-group r, strongest dimension r, verdict."""
+                   block: str, replicates: int, seed: int, min_partial: float = 0.05, min_members: int = 3) -> DataFrame:
+    """Per candidate measure: raw, partial (with its block-bootstrap interval) and within-group r, strongest dimension r, verdict.
+
+    A candidate survives if its partial r passes ``min_partial`` and the interval lies above 0.
+    """
     raw = correlations(df, candidates, [outcome], min_pairs=100).select("x", F.col("r").alias("raw_r"))
     dimr = correlations(df, candidates, dims, min_pairs=100).groupBy("x").agg(F.max(F.abs("r")).alias("max_dim_r"))
     inside = within_r(df, candidates, [within_outcome], group, min_members=min_members).select("x", F.col("within").alias("within_r"))
-    parts = []
-    for c in candidates:
-        cols = [outcome, c, *dims]
-        parts.append(gram(centred(df, cols), cols).where(F.col("n") >= 100).withColumn("x", F.lit(c)))
-    grams = reduce(lambda a, b: a.unionByName(b), parts)
-    partial = partials(grams, len(dims) + 2, ["x"], {"partial_r": (0, 1, list(range(2, len(dims) + 2)))}).drop("n")
-    out = raw.join(partial, "x").join(inside, "x").join(dimr, "x")
-    return out.withColumn("verdict", F.when(F.col("partial_r") > min_partial, "survives").otherwise("collapses"))
+    parts = [bootstrap_partials(df, [outcome, c, *dims], block, replicates, seed).withColumn("x", F.lit(c)) for c in candidates]
+    boot = intervals(reduce(lambda a, b: a.unionByName(b), parts), "stat", ["x"]).select("x", F.col("point").alias("partial_r"), "ci_lo", "ci_hi")
+    out = raw.join(boot, "x").join(inside, "x").join(dimr, "x")
+    survives = (F.col("partial_r") > min_partial) & (F.col("ci_lo") > 0)
+    return out.withColumn("verdict", F.when(survives, "survives").otherwise("collapses"))
