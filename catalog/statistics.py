@@ -146,13 +146,13 @@ def subscore_signal(spark, sf):
 
 COUNTY_SQL = "cty AS (SELECT county_fips, " + ", ".join(
     f"sum({c} * population) FILTER (WHERE {c} IS NOT NULL AND population > 0) / sum(population) FILTER (WHERE {c} IS NOT NULL AND population > 0) AS {c}"
-    for c in ["score", *D, *OUTCOMES, "m_unit", "o_blend"]) + ", sum(population) AS cpop FROM good GROUP BY 1)"
+    for c in ["score", *D, *SUBS, *OUTCOMES, "m_unit", "o_blend"]) + ", sum(population) AS cpop FROM good GROUP BY 1)"
 
 
 def counties(spark, sf):
     def build():
         g = good(spark, sf)
-        means = xw.weighted_mean_by(g, "county_fips", ["score", *D, *OUTCOMES, "m_unit", "o_blend"], "population")
+        means = xw.weighted_mean_by(g, "county_fips", ["score", *D, *SUBS, *OUTCOMES, "m_unit", "o_blend"], "population")
         return means.join(g.groupBy("county_fips").agg(F.sum("population").alias("cpop")), "county_fips")
 
     return R.once(spark, sf, "county-stage", build)
@@ -237,14 +237,27 @@ def floor_weights(spark, sf):
     return stats.floor_weights(long, "anchor", "r", "weight").select("anchor", "dim", "weight")
 
 
-@S.query("anchor_report", with_sql(SCORED_SQL, GOOD_SQL, COUNTY_SQL, _ANCHOR) + f"SELECT anchor, dim, round(r, 6) AS r, round(r_popw, 6) AS r_popw, {_floor('r')} AS weight, {_floor('r_popw')} AS weight_popw FROM anc")
+_OTHER = "oth AS (" + " UNION ALL ".join(
+    f"SELECT '{o}' AS anchor, '{kind}' AS kind, '{x}' AS item, corr({x}, {o}) AS r, {_wcorr_sql(x, o, 'cpop', 'cty', 10)} AS r_popw FROM cty"
+    for o in OUTCOMES for kind, xs in (("composite", ["score"]), ("subscore", SUBS)) for x in xs) + ")"
+
+
+@S.query("anchor_report", with_sql(SCORED_SQL, GOOD_SQL, COUNTY_SQL, _ANCHOR, _OTHER) + f"""SELECT anchor, 'dimension' AS kind, dim AS item, round(r, 6) AS r, round(r_popw, 6) AS r_popw, {_floor('r')} AS weight, {_floor('r_popw')} AS weight_popw FROM anc
+  UNION ALL SELECT anchor, kind, item, round(r, 6), round(r_popw, 6), NULL, NULL FROM oth""")
 def anchor_report(spark, sf):
+    """Per outcome: r and population-weighted r of dimensions, composite and sub-scores; weights of the dimensions."""
     c = counties(spark, sf)
+    others = ["score", *SUBS]
+    plain = stats.correlations(c, others, OUTCOMES, min_pairs=10).select(F.col("y").alias("anchor"), F.col("x").alias("item"), "r")
+    popw = stats.weighted_correlations(c, [(x, o) for x in others for o in OUTCOMES], "cpop", min_pairs=10).select(F.col("y").alias("anchor"), F.col("x").alias("item"), F.col("r").alias("r_popw"))
+    rest = plain.join(popw, ["anchor", "item"], "left").select(
+        "anchor", F.when(F.col("item") == "score", "composite").otherwise("subscore").alias("kind"), "item", "r", "r_popw", *[F.lit(None).cast("double").alias(w) for w in ("weight", "weight_popw")])
     a = stats.correlations(c, D, OUTCOMES, min_pairs=10).select(F.col("y").alias("anchor"), F.col("x").alias("dim"), "r")
     b = stats.weighted_correlations(c, [(d, o) for d in D for o in OUTCOMES], "cpop", min_pairs=10).select(
         F.col("y").alias("anchor"), F.col("x").alias("dim"), F.col("r").alias("r_popw"))
     both = stats.floor_weights(a.join(b, ["anchor", "dim"]), "anchor", "r", "weight")
-    return r6(stats.floor_weights(both, "anchor", "r_popw", "weight_popw"), "r", "r_popw")
+    dims = stats.floor_weights(both, "anchor", "r_popw", "weight_popw").select("anchor", F.lit("dimension").alias("kind"), F.col("dim").alias("item"), "r", "r_popw", "weight", "weight_popw")
+    return r6(dims.unionByName(rest), "r", "r_popw")
 
 
 def active_sets_sql(src: str, keys: str) -> str:
