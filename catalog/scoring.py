@@ -56,11 +56,11 @@ def _access(scale: str) -> str:
 
 
 @S.query("e2sfca_adaptive", with_sql(ADAPTIVE_SQL, f"acc AS (SELECT w.i AS area, {_access(' * 1000.0')} FROM w JOIN pool ON pool.i = w.j JOIN pts ON pts.area = w.j GROUP BY 1)")
-         + "SELECT area, " + ", ".join(f"round({c}, 8) AS {c}" for c in _SUPPLY) + " FROM acc")
+         + "SELECT area, " + ", ".join(f"round({c}, 8) AS {c}" for c in _SUPPLY) + ", (SELECT count(*) >= 400 AND max(d) < 3 * max(sigma) FROM near JOIN sig USING (i) WHERE i = area) AS cut FROM acc")
 def e2sfca_adaptive(spark, sf):
     pts = R.area_stage(spark, sf).withColumn("pop", F.coalesce("population", F.lit(0.0)))
-    out = catchment.adaptive_access(pts.select("area", "lat", "lon", "pop", *_SUPPLY), "area", _SUPPLY, "pop")
-    return out.select("area", *[F.round(c, 8).alias(c) for c in _SUPPLY])
+    out = catchment.adaptive_access(pts.select("area", "lat", "lon", "pop", *_SUPPLY), "area", _SUPPLY, "pop", neighbours=400)
+    return out.select("area", *[F.round(c, 8).alias(c) for c in _SUPPLY], "cut")
 
 
 _FIXED_ACC = f"acc AS (SELECT w.i AS area, {_access('')} FROM w JOIN pool ON pool.i = w.j JOIN pts ON pts.area = w.j GROUP BY 1)"

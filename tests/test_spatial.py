@@ -86,3 +86,15 @@ def test_unreachable_populated_area_is_a_shortage(spark):
     acc = spark.createDataFrame([("a", 0.0), ("b", 0.0), ("c", 1 / 3000)], "k string, s double")
     out = {r.k: (r.people_per_provider, r.shortage) for r in catchment.shortage(acc, areas, "k", "s", "pop").collect()}
     assert out["a"] == (None, True) and out["b"] == (None, False) and out["c"][1] is False
+
+
+def test_areas_without_coordinates_stay_and_the_neighbour_cut_shows(spark):
+    from zonometry.operators import catchment
+
+    rows = [(f"a{i}", 40.0 + 0.001 * i, -75.0, 100.0, 2.0) for i in range(60)] + [("lost", None, None, 5.0, 1.0)]
+    areas = spark.createDataFrame(rows, "area string, lat double, lon double, pop double, sites double")
+    wide = {r.area: r for r in catchment.adaptive_access(areas, "area", ["sites"], "pop", neighbours=61).collect()}
+    few = {r.area: r for r in catchment.adaptive_access(areas, "area", ["sites"], "pop", neighbours=40).collect()}
+    fixed = {r.area: r for r in catchment.fixed_access(areas, "area", ["sites"], "pop").collect()}
+    assert len(wide) == len(few) == len(fixed) == 61 and wide["lost"].sites is None and fixed["lost"].sites is None
+    assert not wide["a5"].cut and few["a5"].cut and wide["a5"].sites > 0

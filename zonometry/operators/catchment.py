@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from zonometry.operators.spatial import knn_join, radius_join
 from zonometry.session import stage
 
-# Catchment radius and decay (km), bandwidth neighbour and clip, neighbour bound,
-# shortage threshold (people per provider).
+# Catchment radius and decay (km), bandwidth neighbour and clip, shortage threshold (people
+# per provider).
 CATCHMENT_KM, DECAY_KM = 16.0, 8.0
-BANDWIDTH_K, BANDWIDTH_MIN_KM, BANDWIDTH_MAX_KM, NEIGHBOURS = 30, 8.0, 60.0, 400
+BANDWIDTH_K, BANDWIDTH_MIN_KM, BANDWIDTH_MAX_KM = 30, 8.0, 60.0
 SHORTAGE_RATIO = 3500
 
 
@@ -37,12 +37,14 @@ def two_step(edges: DataFrame, areas: DataFrame, key: str, supplies: list[str],
         *[F.sum(F.col(s) * F.col("__w2")).alias(s) for s in supplies])
 
 
-def adaptive_access(areas: DataFrame, key: str, supplies: list[str], demand: str, neighbours: int = NEIGHBOURS,
+def adaptive_access(areas: DataFrame, key: str, supplies: list[str], demand: str, neighbours: int,
                     bandwidth_k: int = BANDWIDTH_K) -> DataFrame:
     """Variable-bandwidth access per 1,000: bandwidth = distance to neighbour ``bandwidth_k`` (self is 0).
 
-    With fewer areas than that, the farthest known neighbour sets it. Edges are staged once
-    because bandwidth, pooling and access all read them.
+    With fewer areas than that, the farthest known neighbour sets it. Only ``neighbours`` areas are
+    weighed; ``cut`` says where the last of them is nearer than three bandwidths, so that weight beyond it is
+    missing. An area without coordinates has null access. Edges are staged once because bandwidth,
+    pooling and access all read them.
     """
     near = f"{key}_near"
     edges = stage(knn_join(areas, areas, key, key, neighbours), "knn-edges")
@@ -52,14 +54,20 @@ def adaptive_access(areas: DataFrame, key: str, supplies: list[str], demand: str
     wide = edges.join(sigma, key).join(theirs, near)
     access = two_step(wide, areas, key, supplies, demand, near,
                       gaussian(F.col("d"), F.col("sigma_near")), gaussian(F.col("d"), F.col("sigma")))
-    return access.select(key, *[(F.col(s) * 1000.0).alias(s) for s in supplies])
+    last = edges.groupBy(key).agg(F.max("d").alias("__far"), F.count(F.lit(1)).alias("__n")).join(sigma, key)
+    last = last.select(key, ((F.col("__n") >= neighbours) & (F.col("__far") < 3 * F.col("sigma"))).alias("cut"))
+    per_1k = access.select(key, *[(F.col(s) * 1000.0).alias(s) for s in supplies]).join(last, key)
+    return areas.select(key).join(per_1k, key, "left")
 
 
 def fixed_access(areas: DataFrame, key: str, supplies: list[str], demand: str,
                  radius_km: float = CATCHMENT_KM, sigma_km: float = DECAY_KM) -> DataFrame:
-    """Fixed-radius access. Areas on one spot are pooled first: they share every edge weight."""
+    """Fixed-radius access. Areas on one spot are pooled first: they share every edge weight.
+
+    An area without coordinates has null access.
+    """
     near = "place_near"
-    spots = areas.groupBy("lat", "lon").agg(
+    spots = areas.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon").agg(
         *[F.sum(F.coalesce(F.col(s), F.lit(0))).cast("double").alias(s) for s in supplies],
         F.sum(F.coalesce(F.col(demand), F.lit(0))).cast("double").alias(demand))
     spots = spots.withColumn("place", F.concat_ws(",", F.col("lat"), F.col("lon")))
@@ -67,7 +75,7 @@ def fixed_access(areas: DataFrame, key: str, supplies: list[str], demand: str,
     w = gaussian(F.col("d"), F.lit(float(sigma_km)))
     access = two_step(edges, spots, "place", supplies, demand, near, w, w)
     at = spots.select("place", "lat", "lon").join(access, "place").drop("place")
-    return areas.select(key, "lat", "lon").join(at, ["lat", "lon"]).select(key, *supplies)
+    return areas.select(key, "lat", "lon").join(at, ["lat", "lon"], "left").select(key, *supplies)
 
 
 def shortage(access: DataFrame, areas: DataFrame, key: str, supply: str, demand: str) -> DataFrame:
