@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import roles as R
 from catalog.registry import Section
 from catalog.roles import PANEL_SQL, with_sql
-from catalog.resampling import PANEL_REPS, SEED, ci_sql, panel_times_sql
+from catalog.resampling import PANEL_REPS, SEED, did_boot, did_sql, panel_times_sql
 from catalog.statistics import r6
 from zonometry.operators import panel as pn, resample
 from zonometry.plans import event_study as es
@@ -32,19 +32,44 @@ def event_study(spark, sf):
     return r6(pn.event_study(R.panel_stage(spark, sf), "unit", "year", "rate", "barrier", YEARS, 1997), "beta", n=5)
 
 
-@S.query("pre_trend_wald", with_sql(PANEL_SQL, panel_times_sql("unit").replace("px FROM panel p", "px, p.unit AS origin FROM panel p"), """
+_ORIGIN = panel_times_sql("unit").replace("px FROM panel p", "px, p.unit AS origin FROM panel p")
+_WALD = """
 bt AS (SELECT c.replicate, c.year, regr_slope(c.rate - b.rate, p.barrier) AS beta FROM cop c JOIN cop b ON b.replicate = c.replicate AND b.unit = c.unit AND b.year = 1997
   JOIN (SELECT DISTINCT unit, barrier FROM panel) p ON p.unit = c.origin WHERE c.year IN (1995, 1996) GROUP BY 1, 2),
 wd AS (SELECT replicate, max(beta) FILTER (WHERE year = 1995) AS b5, max(beta) FILTER (WHERE year = 1996) AS b6 FROM bt GROUP BY 1),
 cv AS (SELECT max(b5) FILTER (WHERE replicate = -1) AS m5, max(b6) FILTER (WHERE replicate = -1) AS m6, var_samp(b5) FILTER (WHERE replicate >= 0) AS v5,
   var_samp(b6) FILTER (WHERE replicate >= 0) AS v6, covar_samp(b5, b6) FILTER (WHERE replicate >= 0) AS v56 FROM wd),
-st AS (SELECT (m5 * m5 * v6 - 2 * m5 * m6 * v56 + m6 * m6 * v5) / (v5 * v6 - v56 * v56) AS chi2 FROM cv)""")
-         + "SELECT round(chi2, 6) AS chi2, 2 AS df, round(exp(-chi2 / 2), 7) AS p, exp(-chi2 / 2) > 0.05 AS passes FROM st")
-def pre_trend_wald(spark, sf):
+st AS (SELECT (m5 * m5 * v6 - 2 * m5 * m6 * v56 + m6 * m6 * v5) / (v5 * v6 - v56 * v56) AS chi2 FROM cv)"""
+
+
+def _wald(spark, sf):
     p = R.panel_stage(spark, sf).select("unit", "year", "rate", "barrier").withColumn("block", F.col("unit"))
     times = resample.draw_counts(resample.block_index(p, "block"), "block", PANEL_REPS, SEED)
-    out = es.pre_trend_wald(p, times, "block", "unit", "year", "rate", "barrier", YEARS, 1997, 1998)
-    return r6(r6(out, "chi2"), "p", n=7)
+    return es.pre_trend_wald(p, times, "block", "unit", "year", "rate", "barrier", YEARS, 1997, 1998)
+
+
+@S.query("pre_trend_wald", with_sql(PANEL_SQL, _ORIGIN, _WALD)
+         + "SELECT round(chi2, 6) AS chi2, 2 AS df, round(exp(-chi2 / 2), 7) AS p, exp(-chi2 / 2) > 0.05 AS passes FROM st")
+def pre_trend_wald(spark, sf):
+    return r6(r6(_wald(spark, sf), "chi2"), "p", n=7)
+
+
+@S.query("temporal_verdict", with_sql(PANEL_SQL, _ORIGIN, _WALD, panel_times_sql("county", "k"), did_sql("cop", ""), did_sql("copk", "k"),
+         "late AS (SELECT -1 AS replicate, unit, year, rate, barrier * (year >= 1998)::INT AS px FROM panel WHERE year <> 1995)", did_sql("late", "l"), """
+q AS (SELECT 'unit' AS b, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM dd WHERE replicate >= 0 UNION ALL SELECT 'county', quantile_cont(v, 0.025), quantile_cont(v, 0.975) FROM ddk WHERE replicate >= 0),
+x AS (SELECT (SELECT v FROM dd WHERE replicate = -1) AS did, (SELECT v FROM ddl) AS did_drop, (SELECT bool_and(lo > 0 OR hi < 0) FROM q) AS excludes_0, (SELECT exp(-chi2 / 2) FROM st) AS pre_p)""")
+         + """SELECT round(did, 4) AS did, round(did_drop, 4) AS did_drop, excludes_0, round(pre_p, 7) AS pre_p, CASE WHEN NOT excludes_0 OR did_drop >= 0 THEN 'no credible effect'
+  WHEN pre_p <= 0.05 THEN 'descriptive: pre-trends rejected' ELSE 'inconclusive' END AS verdict FROM x""")
+def temporal_verdict(spark, sf):
+    """An effect counts only if the intervals by unit and by county both exclude 0 and it holds without the first year."""
+    panel = R.panel_stage(spark, sf)
+    point = did_boot(spark, sf, "unit").where(F.col("replicate") == -1).select("did")
+    drop = pn.did_coef(panel.where(F.col("year") != 1995).select("unit", "year", "rate", "barrier"), "unit", "year", "rate", "barrier", 1998).select(F.col("did").alias("did_drop"))
+    sides = [resample.intervals(did_boot(spark, sf, b), "did").select("excludes_0") for b in ("unit", "county")]
+    both = sides[0].unionByName(sides[1]).agg(F.bool_and("excludes_0").alias("excludes_0"))
+    row = point.join(F.broadcast(drop)).join(F.broadcast(both)).join(F.broadcast(_wald(spark, sf).select(F.col("p").alias("pre_p"))))  # one row each
+    out = pn.temporal_verdict(row)
+    return r6(r6(out, "did", "did_drop", n=4), "pre_p", n=7)
 
 
 _C = ["rate", "bp", "bpt"]

@@ -261,26 +261,42 @@ def hrsn_gate(spark, sf):
 PANEL_REPS = 1000
 
 
-def panel_times_sql(block: str) -> str:
+def panel_times_sql(block: str, tag: str = "") -> str:
     return f"""
-pbi AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS idx FROM (SELECT DISTINCT {block} AS block FROM panel)),
-ppk AS (SELECT b, CAST(floor({u_sql('h', 0)} * n) AS BIGINT) AS idx, count(*) AS times FROM (SELECT b, idx, n, md5('{SEED}|' || b || '|' || idx) AS h
-  FROM range(0, {PANEL_REPS}) r(b), pbi, (SELECT count(*) AS n FROM pbi)) GROUP BY 1, 2),
-ptm AS (SELECT b AS replicate, block, times FROM ppk JOIN pbi USING (idx) UNION ALL SELECT -1, block, 1 FROM pbi),
-cop AS (SELECT replicate, p.unit || '__' || c AS unit, year, rate, barrier * (year >= 1998)::INT AS px FROM panel p JOIN ptm ON ptm.block = p.{block}, range(1, 1000) q(c) WHERE c <= times)
+pbi{tag} AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS idx FROM (SELECT DISTINCT {block} AS block FROM panel)),
+ppk{tag} AS (SELECT b, CAST(floor({u_sql('h', 0)} * n) AS BIGINT) AS idx, count(*) AS times FROM (SELECT b, idx, n, md5('{SEED}|' || b || '|' || idx) AS h
+  FROM range(0, {PANEL_REPS}) r(b), pbi{tag}, (SELECT count(*) AS n FROM pbi{tag})) GROUP BY 1, 2),
+ptm{tag} AS (SELECT b AS replicate, block, times FROM ppk{tag} JOIN pbi{tag} USING (idx) UNION ALL SELECT -1, block, 1 FROM pbi{tag}),
+cop{tag} AS (SELECT replicate, p.unit || '__' || c AS unit, year, rate, barrier * (year >= 1998)::INT AS px FROM panel p JOIN ptm{tag} ON ptm{tag}.block = p.{block}, range(1, 1000) q(c) WHERE c <= times)
 """
 
 
-@S.query("panel_cluster_bootstrap", with_sql(PANEL_SQL, panel_times_sql("unit"), """
-dm AS (SELECT replicate, rate - avg(rate) OVER (PARTITION BY replicate, unit) - avg(rate) OVER (PARTITION BY replicate, year) + avg(rate) OVER (PARTITION BY replicate) AS y,
-  px - avg(px) OVER (PARTITION BY replicate, unit) - avg(px) OVER (PARTITION BY replicate, year) + avg(px) OVER (PARTITION BY replicate) AS x FROM cop),
-dd AS (SELECT replicate, sum(x * y) / sum(x * x) AS v FROM dm GROUP BY 1)""") + ci_sql("dd", "v", digits=4))
+def did_sql(src: str, tag: str) -> str:
+    """Difference-in-differences slope per replicate of a panel with ``px``."""
+    return f"""
+dm{tag} AS (SELECT replicate, rate - avg(rate) OVER (PARTITION BY replicate, unit) - avg(rate) OVER (PARTITION BY replicate, year) + avg(rate) OVER (PARTITION BY replicate) AS y,
+  px - avg(px) OVER (PARTITION BY replicate, unit) - avg(px) OVER (PARTITION BY replicate, year) + avg(px) OVER (PARTITION BY replicate) AS x FROM {src}),
+dd{tag} AS (SELECT replicate, sum(x * y) / sum(x * x) AS v FROM dm{tag} GROUP BY 1)"""
+
+
+def did_boot(spark, sf, block: str):
+    """(replicate, did) with whole units or whole counties drawn."""
+    def build():
+        p = R.panel_stage(spark, sf).select("unit", "year", "rate", "barrier", F.col(block).alias("block"))
+        times = resample.draw_counts(resample.block_index(p, "block"), "block", PANEL_REPS, SEED)
+        copies = stage(pn.replicate_panel(p, times, "block", "unit"), "panel-copies")
+        return pn.did_coef(copies, "unit", "year", "rate", "barrier", 1998, ["replicate"])
+
+    return R.once(spark, sf, f"did-boot-{block}", build)
+
+
+_DID_CI = " UNION ALL ".join(f"SELECT replicate, '{b}' AS block, v FROM dd{t}" for b, t in (("unit", ""), ("county", "k")))
+
+
+@S.query("panel_cluster_bootstrap", with_sql(PANEL_SQL, panel_times_sql("unit"), panel_times_sql("county", "k"), did_sql("cop", ""), did_sql("copk", "k"), f"db AS ({_DID_CI})") + ci_sql("db", "v", "block", 4))
 def panel_cluster_bootstrap(spark, sf):
-    p = R.panel_stage(spark, sf).select("unit", "year", "rate", "barrier").withColumn("block", F.col("unit"))
-    times = resample.draw_counts(resample.block_index(p, "block"), "block", PANEL_REPS, SEED)
-    copies = stage(pn.replicate_panel(p, times, "block", "unit"), "panel-copies")
-    did = pn.did_coef(copies, "unit", "year", "rate", "barrier", 1998, ["replicate"])
-    return ci(did, "did", digits=4)
+    both = [did_boot(spark, sf, b).select("replicate", F.lit(b).alias("block"), "did") for b in ("unit", "county")]
+    return ci(both[0].unionByName(both[1]), "did", ["block"], 4)
 
 
 # ---- band gates ------------------------------------------------------------------------------
@@ -321,11 +337,10 @@ def band_gate_calibration(spark, sf):
     dim_raw = F.round((F.coalesce("open_pctile", F.lit(0.0)) + F.coalesce("late_pctile", F.lit(0.0)))
                       / (F.col("open_pctile").isNotNull().cast("int") + F.col("late_pctile").isNotNull().cast("int")), 9)
     dim_means = df.where(F.coalesce("open_pctile", "late_pctile").isNotNull()).select(F.lit("access").alias("dim"), dim_raw.alias("raw"))
-    sampled = agg.balanced_sample(df.where("scoreable").select("area"), "area", 600, [])
     se = df.select("area", F.lit("m_open").alias("item"), F.col("rate2_se").alias("se"))
-    samples = base.join(sampled, "area", "left_semi").join(oriented, ["area", "item"]).join(se, ["area", "item"], "left")
+    samples = base.join(df.where("scoreable").select("area"), "area", "left_semi").join(oriented, ["area", "item"]).join(se, ["area", "item"], "left")
     samples = samples.select("area", "item", "subscore", F.lit("access").alias("dim"), F.col("pctile").alias("base"), "value", "se")
-    sd = unc.resample_sd(samples, oriented.select("item", F.round("value", 9).alias("value")), sub_means.select("subscore", "raw"), dim_means, "area", 40, 5)
+    sd = unc.resample_sd(samples, oriented.select("item", F.round("value", 9).alias("value")), sub_means.select("subscore", "raw"), dim_means, "area", BAND_DRAWS, 5)
     sig = noisy(spark, sf).select("area", F.lit("access").alias("dim"), F.col("sigma_access_pctile").alias("sigma"))
     return unc.calibration_gate(stage(sd, "resampled-sd"), sig, "area")
 
