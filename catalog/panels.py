@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog import roles as R
 from catalog.registry import Section
 from catalog.roles import PANEL_SQL, with_sql
-from catalog.resampling import PANEL_REPS, SEED, did_boot, did_sql, panel_times_sql
+from catalog.resampling import PANEL_REPS, SEED, ci, ci_sql, did_boot, did_sql, panel_times_sql
+from catalog.scoring import u_sql
 from catalog.statistics import r6
 from zonometry.operators import panel as pn, resample
 from zonometry.plans import event_study as es
@@ -205,22 +208,72 @@ def robustness_battery(spark, sf):
     return r6(es.robustness(variants, "unit", "year", "rate", "state", "cohort", "pop"), "overall_att", n=4)
 
 
-_VERDICT = """SELECT variant, pre_clean, CASE WHEN ex AND ov < 0 AND pre_clean THEN 'detected' WHEN ex AND ov < 0 THEN 'suggestive' WHEN ex AND ov > 0 THEN 'wrong-signed'
-  WHEN NOT ex AND abs(ov) > 0 AND abs(CASE WHEN ov < 0 THEN hi ELSE lo END) < abs(ov) * 0.2 AND ov < 0 THEN 'borderline' ELSE 'none' END AS verdict,
-  CASE WHEN n_treated >= 240 THEN 'powered' WHEN n_treated >= 110 THEN 'pilot' ELSE 'underpowered' END AS power_band
-  FROM (SELECT *, lo > 0 OR hi < 0 AS ex, coalesce(abs(ov) > 0 AND rms < abs(ov) / 2, false) AS pre_clean FROM
-  (SELECT state AS variant, avg(att) FILTER (WHERE e >= 0) AS ov, avg(att) FILTER (WHERE e >= 0) - stddev_samp(att) FILTER (WHERE e >= 0) AS lo,
-   avg(att) FILTER (WHERE e >= 0) + stddev_samp(att) FILTER (WHERE e >= 0) AS hi, sqrt(avg(att * att) FILTER (WHERE e < 0)) AS rms, sum(n) AS n_treated FROM att GROUP BY 1))"""
+# ---- intervals of the staggered effects ------------------------------------------------------
 
+ATT_REPS = 600
 
-@S.query("verdict", with_sql(PANEL_SQL, CLEAN_SQL, att_sql("", "clean", "pop")) + _VERDICT)
+
+def _att_boot_sql(block: str, tag: str) -> str:
+    """Overall effects, full and capped, of every replicate with whole blocks drawn."""
+    return f"""
+cb{tag} AS (SELECT c.*, {"unit" if block == "unit" else "county"} AS block FROM clean c JOIN (SELECT DISTINCT unit AS u, county FROM panel) ON u = unit),
+ai{tag} AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS idx FROM (SELECT DISTINCT block FROM cb{tag})),
+ak{tag} AS (SELECT b, CAST(floor({u_sql('h', 0)} * n) AS BIGINT) AS idx, count(*) AS times FROM (SELECT b, idx, n, md5('{SEED}|' || b || '|' || idx) AS h
+  FROM range(0, {ATT_REPS}) r(b), ai{tag}, (SELECT count(*) AS n FROM ai{tag})) GROUP BY 1, 2),
+at{tag} AS (SELECT b AS replicate, block, times FROM ak{tag} JOIN ai{tag} USING (idx) UNION ALL SELECT -1, block, 1 FROM ai{tag}),
+ay{tag} AS (SELECT replicate, p.state, p.cohort, p.year AS t, b.year AS base, sum(p.pop * (p.rate - b.rate) * times) AS sw, sum(p.pop * times) AS w, sum(times) AS n
+  FROM cb{tag} p JOIN (SELECT unit, year, rate FROM clean) b ON b.unit = p.unit AND b.year IN (SELECT DISTINCT cohort - 1 FROM clean WHERE cohort IS NOT NULL)
+  JOIN at{tag} USING (block) WHERE p.year <> b.year GROUP BY 1, 2, 3, 4, 5),
+ap{tag} AS (SELECT g.replicate, g.t - g.cohort AS e, g.n, g.sw / g.w - sum(c.sw) / sum(c.w) AS att FROM ay{tag} g JOIN ay{tag} c ON c.replicate = g.replicate AND c.state = g.state
+  AND c.t = g.t AND c.base = g.base AND (c.cohort IS NULL OR c.cohort > greatest(g.t, g.cohort)) WHERE g.cohort = g.base + 1
+  GROUP BY g.replicate, g.state, g.cohort, g.t, g.n, g.sw, g.w HAVING sum(c.n) >= 2),
+ao{tag} AS (SELECT replicate, 'full' AS horizon, sum(att * n) / sum(n) AS v FROM ap{tag} WHERE e >= 0 GROUP BY 1
+  UNION ALL SELECT replicate, 'capped', sum(att * n) / sum(n) FROM ap{tag} WHERE e BETWEEN 0 AND 1 GROUP BY 1)"""
+
+
+_ATT_BOOT = (PANEL_SQL, CLEAN_SQL, _att_boot_sql("unit", "u"), _att_boot_sql("county", "c"),
+             "ab AS (SELECT 'unit' AS block, * FROM aou UNION ALL SELECT 'county', * FROM aoc)")
+
+
+def att_boot(spark, sf):
+    """(block, horizon, replicate, v): overall effects with whole units or whole counties drawn."""
+    def build():
+        county = R.panel_stage(spark, sf).select("unit", "county").distinct()
+        clean = built(spark, sf).join(county, "unit")
+        parts = []
+        for kind in ("unit", "county"):
+            p = clean.withColumn("block", F.col(kind))
+            times = stage(resample.draw_counts(resample.block_index(p, "block"), "block", ATT_REPS, SEED), "att-times")
+            att = stage(pn.att_gt(p, "unit", "year", "rate", "state", "cohort", "pop", times), "att-replicates")
+            for horizon, most in (("full", None), ("capped", 1)):
+                one = pn.overall_att(att, ["replicate"], most)
+                parts.append(one.select(F.lit(kind).alias("block"), F.lit(horizon).alias("horizon"), "replicate", F.col("overall_att").alias("v")))
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    return R.once(spark, sf, "att-boot", build)
+
+
+@S.query("att_bootstrap", with_sql(*_ATT_BOOT) + ci_sql("ab", "v", "block, horizon", 4))
+def att_bootstrap(spark, sf):
+    return ci(att_boot(spark, sf), "v", ["block", "horizon"], 4)
+
+
+@S.query("verdict", with_sql(*_ATT_BOOT, att_sql("", "clean", "pop"), """
+path AS (SELECT e, sum(att * n) / sum(n) AS a FROM att GROUP BY 1 HAVING count(DISTINCT (state, g)) >= 2),
+x AS (SELECT block, horizon, max(v) FILTER (WHERE replicate = -1) AS ov, quantile_cont(v, 0.025) FILTER (WHERE replicate >= 0) AS lo, quantile_cont(v, 0.975) FILTER (WHERE replicate >= 0) AS hi,
+  (SELECT sqrt(avg(a * a)) FROM path WHERE e < 0) AS rms, (SELECT count(DISTINCT unit) FROM clean WHERE cohort IS NOT NULL) AS n_treated FROM ab GROUP BY 1, 2)""") + """
+SELECT block, horizon, pre_clean, CASE WHEN ex AND ov < 0 AND pre_clean THEN 'detected' WHEN ex AND ov < 0 THEN 'suggestive' WHEN ex AND ov > 0 THEN 'wrong-signed'
+  WHEN NOT ex AND abs(ov) > 0 AND abs(CASE WHEN ov < 0 THEN hi ELSE lo END) < abs(ov) * 0.2 AND ov < 0 THEN 'borderline' ELSE 'none' END AS verdict,
+  CASE WHEN n_treated >= 240 THEN 'powered' WHEN n_treated >= 110 THEN 'pilot' ELSE 'underpowered' END AS power_band
+  FROM (SELECT *, lo > 0 OR hi < 0 AS ex, coalesce(abs(ov) > 0 AND rms < abs(ov) / 2, false) AS pre_clean FROM x)""")
 def verdict(spark, sf):
-    post, a = F.col("e") >= 0, F.col("att")
-    rows = _att(spark, sf).groupBy(F.col("state").alias("variant")).agg(
-        F.avg(F.when(post, a)).alias("overall_att"), F.stddev_samp(F.when(post, a)).alias("sd"),
-        F.sqrt(F.avg(F.when(~post, a * a))).alias("pre_rms"), F.sum("n").alias("n_treated"))
-    rows = rows.withColumn("ci_lo", F.col("overall_att") - F.col("sd")).withColumn("ci_hi", F.col("overall_att") + F.col("sd"))
-    return pn.verdict(rows).select("variant", "pre_clean", "verdict", "power_band")
+    """The overall effect judged by its bootstrap interval, by units and by counties."""
+    clean = built(spark, sf)
+    boot = resample.intervals(att_boot(spark, sf), "v", ["block", "horizon"])
+    pre = es.event_summary(_att(spark, sf), "state").select("pre_rms")
+    size = clean.where(F.col("cohort").isNotNull()).agg(F.countDistinct("unit").alias("n_treated"))
+    rows = boot.withColumnRenamed("point", "overall_att").join(F.broadcast(pre)).join(F.broadcast(size))  # one row each
+    return pn.verdict(rows).select("block", "horizon", "pre_clean", "verdict", "power_band")
 
 
 QUERIES, SQL = S.queries, S.sql

@@ -110,27 +110,34 @@ def base_year_change(panel: DataFrame, unit: str, period: str, y: str, bases: Da
     return panel.join(then, unit).where(F.col(period) != F.col("base")).withColumn("dy", F.col(y) - F.col("y_base"))
 
 
-def att_gt(panel: DataFrame, unit: str, period: str, y: str, state: str, cohort: str, weight: str | None = None) -> DataFrame:
+def att_gt(panel: DataFrame, unit: str, period: str, y: str, state: str, cohort: str, weight: str | None = None,
+           times: DataFrame | None = None, block: str = "block") -> DataFrame:
     """Group-time effects within state: rows ``state, g, t, e, att, n``.
 
     Changes since the base period g-1 are first summed per (state, cohort, t, base); treated
     and control means are then read from that small table, controls being the cohorts later
-    than max(t, g) and the never treated (null cohort).
+    than max(t, g) and the never treated (null cohort). With ``times`` (replicate, block, times) the
+    sums are kept per block and multiplied by its draws, so rows also have ``replicate`` and a
+    bootstrap costs cells x blocks, whatever the panel's size.
     """
+    rep, per = ([], []) if times is None else (["replicate"], [block])
     bases = panel.where(F.col(cohort).isNotNull()).select((F.col(cohort) - 1).cast("int").alias("base")).distinct()
     work = panel.withColumn(period, F.col(period).cast("int"))
     dy = base_year_change(work, unit, period, y, bases)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cells = dy.where(F.col("dy").isNotNull()).groupBy(state, cohort, F.col(period).alias("t"), "base").agg(
+    cells = dy.where(F.col("dy").isNotNull()).groupBy(*per, state, cohort, F.col(period).alias("t"), "base").agg(
         F.sum(w * F.col("dy")).alias("sw"), F.sum(w).alias("w"), F.count(F.lit(1)).alias("n"))
     cells = stage(cells, "att-cells")
+    if times is not None:
+        drawn = cells.join(times, block).groupBy("replicate", state, cohort, "t", "base")
+        cells = stage(drawn.agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("sw", "w", "n")]), "att-drawn")
     treated = cells.where(F.col(cohort) == F.col("base") + 1).select(
-        state, F.col(cohort).cast("int").alias("g"), "t", "base", (F.col("sw") / F.col("w")).alias("mt"), "n")
-    ctrl = cells.select(state, "t", "base", F.col(cohort).alias("__c"), "sw", "w", F.col("n").alias("nc"))
+        *rep, state, F.col(cohort).cast("int").alias("g"), "t", "base", (F.col("sw") / F.col("w")).alias("mt"), "n")
+    ctrl = cells.select(*rep, state, "t", "base", F.col(cohort).alias("__c"), "sw", "w", F.col("n").alias("nc"))
     later = F.col("__c").isNull() | (F.col("__c") > F.greatest("t", "g"))
-    pooled = treated.join(ctrl, [state, "t", "base"]).where(later).groupBy(state, "g", "t", "mt", "n").agg(
+    pooled = treated.join(ctrl, [*rep, state, "t", "base"]).where(later).groupBy(*rep, state, "g", "t", "mt", "n").agg(
         (F.sum("sw") / F.sum("w")).alias("mc"), F.sum("nc").alias("nc")).where(F.col("nc") >= 2)
-    return pooled.select(state, "g", "t", (F.col("t") - F.col("g")).alias("e"),
+    return pooled.select(*rep, state, "g", "t", (F.col("t") - F.col("g")).alias("e"),
                          (F.col("mt") - F.col("mc")).alias("att"), "n")
 
 
