@@ -49,20 +49,20 @@ def assert_volume(spark, sf):
         {"rows": (1000, 1e12), "total_quantity": (1e6, 1e15), "mean_price": (1, 10)})
 
 
-_RAW = "CASE id % 5 WHEN 0 THEN 'x' || id WHEN 1 THEN ' ' || (id + 7) WHEN 2 THEN lpad(CAST(id AS VARCHAR), 5, '0') ELSE CAST(id + 100 AS VARCHAR) END"
+_RAW = "CASE id % 5 WHEN 0 THEN 'x' || id WHEN 1 THEN ' ' || (id + 7) WHEN 2 THEN lpad(CAST(id AS VARCHAR), 10, '0') ELSE CAST(id + 100 AS VARCHAR) END"
 
 
 @S.query("batch_lookup", with_sql(SCORED_SQL, f"""
-req AS (SELECT raw, CASE WHEN regexp_matches(trim(raw), '^[0-9]{{1,5}}$') THEN lpad(trim(raw), 5, '0') END AS zip FROM (SELECT {_RAW} AS raw FROM areas))""")
-         + "SELECT raw, zip, round(score, 6) AS score, CASE WHEN zip IS NULL THEN 'invalid' WHEN area IS NOT NULL THEN 'found' ELSE 'unknown' END AS status FROM req LEFT JOIN scored USING (zip)")
+req AS (SELECT raw, CASE WHEN regexp_matches(trim(raw), '^[0-9]{{1,10}}$') THEN lpad(trim(raw), 10, '0') END AS area FROM (SELECT {_RAW} AS raw FROM areas))""")
+         + "SELECT raw, req.area, round(score, 6) AS score, CASE WHEN req.area IS NULL THEN 'invalid' WHEN id IS NOT NULL THEN 'found' ELSE 'unknown' END AS status FROM req LEFT JOIN scored ON scored.area = req.area")
 def batch_lookup(spark, sf):
     i = F.col("id").cast("string")
     m = F.col("id") % 5
     raw = F.when(m == 0, F.concat(F.lit("x"), i)).when(m == 1, F.concat(F.lit(" "), (F.col("id") + 7).cast("string"))).when(
-        m == 2, F.lpad(i, 5, "0")).otherwise((F.col("id") + 100).cast("string"))
+        m == 2, F.lpad(i, 10, "0")).otherwise((F.col("id") + 100).cast("string"))
     req = R.area_stage(spark, sf).select(raw.alias("raw"))
-    out = serve.batch_lookup(req, "raw", R.scored(spark, sf).select("zip", "score"), "zip", ["score"])
-    return out.select("raw", "zip", F.round("score", 6).alias("score"), "status")
+    out = serve.batch_lookup(req, "raw", R.scored(spark, sf).select("area", "score"), "area", ["score"], width=10)
+    return out.select("raw", "area", F.round("score", 6).alias("score"), "status")
 
 
 @S.query("compare", with_sql(SCORED_SQL, """

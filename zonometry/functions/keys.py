@@ -31,10 +31,10 @@ def norm_fips(c: Column, width: int = 5, drop_state_totals: bool = False) -> Col
     return F.when(ok, code)
 
 
-def strict_digits_key(c: Column) -> Column:
-    """Lookup key: ASCII digits only, padded to five; anything else is rejected as null."""
+def strict_digits_key(c: Column, width: int = 5) -> Column:
+    """Lookup key: ASCII digits only, padded to ``width``; anything else is rejected as null."""
     t = F.trim(c)
-    return F.when(t.rlike("^[0-9]{1,5}$"), F.lpad(t, 5, "0"))
+    return F.when(t.rlike(f"^[0-9]{{1,{width}}}$"), F.lpad(t, width, "0"))
 
 
 def starts_with_any(c: Column, prefixes: list[str]) -> Column:

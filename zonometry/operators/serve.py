@@ -33,9 +33,9 @@ def rankings(df: DataFrame, metric: str, key: str, keep: list[str], composite_fa
     return rows.select(*dict.fromkeys([key, *keep, metric]))
 
 
-def batch_lookup(requests: DataFrame, raw: str, table: DataFrame, key: str, doubles: list[str]) -> DataFrame:
-    """Records of a table of raw keys; malformed keys are reported, non-finite numbers read null."""
-    asked = requests.select(F.col(raw), strict_digits_key(F.col(raw)).alias(key))
+def batch_lookup(requests: DataFrame, raw: str, table: DataFrame, key: str, doubles: list[str], width: int = 5) -> DataFrame:
+    """Records of a table of raw keys of ``width`` digits; malformed keys are reported, non-finite numbers read null."""
+    asked = requests.select(F.col(raw), strict_digits_key(F.col(raw), width).alias(key))
     clean = table.withColumns({
         c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)) for c in doubles})
     found = asked.join(clean.withColumn("__hit", F.lit(True)), key, "left")
