@@ -347,3 +347,40 @@ def test_stage_uses_the_named_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
     assert session.stage(spark.range(5), "t").count() == 5
     assert list((tmp_path / "stages").iterdir())
+
+
+def test_reranked_replicates_match_repeated_rows(spark):
+    from zonometry.operators import resample
+
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"block": [f"b{i}" for i in rng.integers(0, 15, n)], "x": rng.integers(0, 60, n) * 1.5, "y": rng.normal(size=n), "o": rng.normal(size=n)})
+    pdf.loc[::7, "x"] = np.nan
+    pdf.loc[::11, "o"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "block string, x double, y double, o double")
+    times = resample.draw_counts(resample.block_index(df, "block"), "block", 12, 5)
+    got = resample.ranked_replicates(df, times, "block", {"x": F.col("x"), "y": 50 + 10 * F.col("y")}, ["o"], 10).toPandas()
+    drawn = times.toPandas()
+    assert len(got) == 2 * 13
+    for row in got.itertuples():
+        t = drawn[drawn.replicate == row.replicate].set_index("block").times
+        rep = pdf.loc[pdf.index.repeat(pdf.block.map(t).fillna(0).astype(int))]
+        rep = rep[rep[row.variant].notna()]
+        rank, known = rep[row.variant].round(9).rank(), rep.o.notna()
+        assert abs(row.r - np.corrcoef(rank[known], rep.o[known])[0, 1]) < 1e-9 and row.n == known.sum()
+
+
+def test_split_half_matches_means_of_halves(spark):
+    from zonometry.operators import resample
+
+    rng = np.random.default_rng(4)
+    items = list("abcde")
+    rows = [(i, c, float(rng.uniform(0, 100))) for i in range(80) for c in items if rng.uniform() < 0.8]
+    df = spark.createDataFrame(rows, "k int, item string, v double")
+    got = resample.split_half(df, "k", "item", "v", items, 6, 9).toPandas().set_index("split").r
+    half = resample.split_assignment(items, 6, 9, spark).toPandas()
+    wide = pd.DataFrame(rows, columns=["k", "item", "v"]).pivot(index="k", columns="item", values="v")
+    for s in range(6):
+        h = half[half.split == s].set_index("item").half
+        a, b = wide[[c for c in items if h[c] == 0]].mean(axis=1), wide[[c for c in items if h[c] == 1]].mean(axis=1)
+        assert abs(got[s] - a.corr(b)) < 1e-9
