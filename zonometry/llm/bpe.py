@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from zonometry.llm import common as C
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-BUCKET_BYTES = 12 << 20  # text per bucket, which one task holds at a time
+BUCKET_BYTES = 5 << 20  # text per bucket, which one task holds at a time
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -74,10 +74,10 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     vocabulary = spark.sparkContext.broadcast(load_ranks(ranks))
-    slim = docs.select(*keep, *([] if text in keep else [text]))
+    slim = C.small_batches(docs).select(*keep, *([] if text in keep else [text]))
 
     def pack(batches):
-        for piece in C.pieces(batches, text, 8 << 20):
+        for piece in C.gathered(batches, text, 8 << 20):
             bucket = piece.column("__bucket").to_numpy()
             rows = pa.Table.from_batches([piece]).drop_columns(["__bucket"])
             order = np.argsort(bucket, kind="stable")
@@ -91,14 +91,14 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
             yield pa.record_batch([pa.array(bucket[order[edges[:-1]]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def distinct_words(batches):
-        split, texts = regex.compile(pattern), {}
-        for b in batches:
-            for key, blob in zip(b.column("bucket").to_pylist(), b.column("blob")):
-                found = texts.setdefault(key, set())
+        split = regex.compile(pattern)
+        rows = ((key, blob) for b in batches for key, blob in zip(b.column("bucket").to_pylist(), b.column("blob")))
+        for key, own in itertools.groupby(rows, lambda r: r[0]):  # sorted by bucket: one bucket's words at a time
+            found: set[str] = set()
+            for _, blob in own:
                 for t in _unpack([blob]).column(text).to_pylist():
                     found.update(split.findall(t or ""))
-        for key in list(texts):
-            words, part, first = _dealt(list(texts.pop(key)), n)
+            words, part, first = _dealt(list(found), n)
             blobs = [_press(words[a:b]) for a, b in zip(first, [*first[1:], len(words)])]
             yield pa.record_batch([pa.array(part[first].astype(np.int32)), pa.array([key] * len(first), pa.int32()), pa.array(blobs, pa.binary())], ["part", "bucket", "words"])
 
@@ -128,7 +128,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
 
     keyed = slim.withColumn("__bucket", F.pmod(F.xxhash64(*slim.columns), F.lit(n)).cast("int"))
     packed = keyed.mapInArrow(pack, "bucket int, blob binary").repartition(n, "bucket")
-    words = packed.mapInArrow(distinct_words, "part int, bucket int, words binary").repartition(n, "part")
+    words = packed.sortWithinPartitions("bucket").mapInArrow(distinct_words, "part int, bucket int, words binary").repartition(n, "part")
     merged = words.mapInArrow(merge, "part int, bucket int, ids binary")
     schema = C.schema_of(docs.select(*keep), "n_tokens long", "ids binary")
     return packed.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInArrow(assemble, schema)
@@ -157,4 +157,4 @@ def decode(coded: DataFrame, ids: str = "ids", ranks: str = RANKS, out: str = "d
             texts = [data[a:b] for a, b in zip(edge[:-1], edge[1:])]
             yield pa.record_batch([*piece.columns, pa.array(texts, pa.binary())], [*piece.schema.names, out])
 
-    return coded.mapInArrow(run, C.schema_of(coded, f"`{out}` binary"))
+    return C.small_batches(coded).mapInArrow(run, C.schema_of(coded, f"`{out}` binary"))
