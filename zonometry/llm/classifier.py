@@ -137,4 +137,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
             more = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.record_batch([*piece.columns, *more], [*piece.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, C.schema_of(docs, "score double", "predicted int"))
+    return C.small_batches(docs).mapInArrow(run, C.schema_of(docs, "score double", "predicted int"))

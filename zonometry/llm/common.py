@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 512 << 10
+BATCH_ROWS = 1000
 BASE = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial span hash
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -30,6 +31,28 @@ class Texts(NamedTuple):
     end: np.ndarray
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, after lowering its session's Arrow batch size: 10,000 long texts at a time do not fit beside a small executor's heap."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about ``limit`` bytes of ``column``, for what is packed together."""
+    held, size = [], 0
+    for piece in pieces(batches, column, limit):
+        more = piece.column(column).nbytes
+        if held and size + more > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(piece)
+        size += more
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of text each; a longer text stands alone."""
     for batch in batches:
@@ -40,6 +63,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BY
             to = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def pressed(texts: list[str | None]) -> pa.Array:

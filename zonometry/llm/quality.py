@@ -33,6 +33,7 @@ SUBSET = 0.6  # share of a group that the determinant is minimised over; more ro
 TAIL = 1e-6  # chi-square tail beyond which a text is an outlier
 BINS_PER_OCTAVE = 32
 MAX_STEPS = 40
+BROADCAST_GROUPS = 20_000  # groups (some 400 bytes each) whose estimates are broadcast to the rows; with more, the join shuffles
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -88,16 +89,17 @@ def _measure(column: pa.Array) -> list[np.ndarray]:
     ]
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents with the counts in ``STATS`` (long). A null text counts as empty; extra columns pass through."""
+def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (all by default) with the counts in ``STATS`` (long). A null text counts as empty; extra columns pass through."""
     C.require_free(docs, *STATS)
+    keep = list(docs.columns) if keep is None else list(keep)
 
     def run(batches):
         for piece in C.pieces(batches, text):
             more = [pa.array(x.astype(np.int64)) for x in _measure(piece.column(text))]
-            yield pa.record_batch(piece.columns + more, piece.schema.names + STATS)
+            yield pa.record_batch([piece.column(c) for c in keep] + more, [*keep, *STATS])
 
-    return docs.mapInArrow(run, C.schema_of(docs, *[f"{s} long" for s in STATS]))
+    return C.small_batches(docs).mapInArrow(run, C.schema_of(docs.select(*keep), *[f"{s} long" for s in STATS]))
 
 
 def base_failed() -> Column:
@@ -216,8 +218,8 @@ def judge(stats: DataFrame, keys: DataFrame, params: DataFrame, groups: list[str
     C.require_free(stats, "base_failed", "distance", "kept", "__fit")
     named = stats.withColumn("__fit", F.to_json(F.struct(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)])))
     by = keys.select(F.to_json(F.struct(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)])).alias("__fit"), "fit")
-    model = by.join(params, "fit").drop("fit")
-    joined = named.join(model, "__fit", "left")
+    model = stage(by.join(params, "fit").drop("fit"), "mcd-by-group")
+    joined = named.join(F.broadcast(model) if model.count() <= BROADCAST_GROUPS else model, "__fit", "left")
     joined = joined.select(*stats.columns, base_failed().alias("base_failed"), "centre", "inv", *_features())
     distance = F.when(~F.col("base_failed"), _distance()).alias("distance")
     scored = joined.select(*stats.columns, "base_failed", distance)
@@ -233,6 +235,6 @@ def quality_rules(docs: DataFrame, text: str = "text", groups: tuple[str, ...] =
     added one is refused.
     """
     by = list(groups)
-    slim = stage(statistics(docs.select(*by, text), text).drop(text), "quality-statistics")
+    slim = stage(statistics(docs.select(*by, text), text, by), "quality-statistics")
     keys, params = fit(slim, by)
     return judge(statistics(docs, text), keys, params, by, tail)

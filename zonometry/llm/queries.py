@@ -69,7 +69,7 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     by = ["lang", "source"]
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    slim = stage(quality.statistics(docs).drop("text"), "quality-statistics")
+    slim = stage(quality.statistics(docs, keep=["doc_id", *by]), "quality-statistics")
     keys, params = quality.fit(slim, by)
     return quality.judge(slim, keys, params, by).select("doc_id", *quality.STATS, "base_failed", "distance", "kept")
 
