@@ -14,6 +14,7 @@ from catalog.statistics import GOOD_SQL, VARIANT_SQL, WITHIN_SQL, good, partial_
 from zonometry.functions.numeric import clip, guarded_ratio
 from zonometry.operators import aggregates as agg
 from zonometry.operators import panel as pn, resample, stats
+from zonometry.operators.joins import having_min_members
 from zonometry.operators.rank import exact_quantiles
 from zonometry.plans import score as scoring
 from zonometry.plans import uncertainty as unc
@@ -47,8 +48,8 @@ tm{tag} AS (SELECT b AS replicate, block, times FROM pk{tag} JOIN bi{tag} USING
 """
 
 
-def moment_sql(tag: str, src: str, times: str, cols: list[str], extra: str = "") -> str:
-    """Weighted correlations of every pair of ``cols`` per replicate, as columns r01, r02, ..."""
+def moment_sql(tag: str, src: str, times: str, cols: list[str], least: int = 100) -> str:
+    """Weighted correlations of every pair of ``cols`` per replicate of ``least`` rows or more, as columns r01, r02, ..."""
     k = len(cols)
     raw = ", ".join([f"sum(times * c{i}) AS s{i}" for i in range(k)] + [f"sum(times * c{i} * c{j}) AS s{i}{j}" for i in range(k) for j in range(i, k)])
     pick = ", ".join(f"{c} - (SELECT avg({c}) FROM {src}) AS c{i}" for i, c in enumerate(cols))
@@ -56,7 +57,7 @@ def moment_sql(tag: str, src: str, times: str, cols: list[str], extra: str = "")
     rs = ", ".join(f"{cov(i, j)} / sqrt({cov(i, i)} * {cov(j, j)}) AS r{i}{j}" for i in range(k) for j in range(i + 1, k))
     where = " AND ".join(f"{c} IS NOT NULL" for c in cols)
     return f"""
-mm{tag} AS (SELECT replicate, sum(times) AS n, {raw} FROM (SELECT block, {pick} FROM {src} WHERE {where}) JOIN {times} USING (block) GROUP BY 1),
+mm{tag} AS (SELECT replicate, sum(times) AS n, {raw} FROM (SELECT block, {pick} FROM {src} WHERE {where}) JOIN {times} USING (block) GROUP BY 1 HAVING sum(times) >= {least}),
 rr{tag} AS (SELECT replicate, {rs} FROM mm{tag})
 """
 
@@ -96,7 +97,7 @@ def cluster_key(spark, sf):
     return good(spark, sf).select("area", *keys)
 
 
-@S.query("block_bootstrap_ci", with_sql(SCORED_SQL, GOOD_SQL, block_sql("county"), moment_sql("", "blk", "tm", ["score", "o_price"])) + ci_sql("rr", "r01"))
+@S.query("block_bootstrap_ci", with_sql(SCORED_SQL, GOOD_SQL, block_sql("county"), moment_sql("", "blk", "tm", ["score", "o_price"], 0)) + ci_sql("rr", "r01"))
 def block_bootstrap_ci(spark, sf):
     g = resample.bootstrap_grams(blocked(spark, sf).select("block", "score", "o_price"), ["score", "o_price"], "block", REPS, SEED)
     return ci(g.select("replicate", stats.corr_of(0, 1).alias("r")), "r")
@@ -215,11 +216,12 @@ bi AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS idx FROM (SELECT
 pk AS (SELECT b, CAST(floor({u_sql('h', 0)} * n) AS BIGINT) AS idx, count(*) AS times FROM (SELECT b, idx, n, md5('{SEED}|' || b || '|' || idx) AS h
   FROM range(0, {REPS}) r(b), bi, (SELECT count(*) AS n FROM bi)) GROUP BY 1, 2),
 tm AS (SELECT b AS replicate, block, times FROM pk JOIN bi USING (idx) UNION ALL SELECT -1, block, 1 FROM bi)""",
-    moment_sql("a", "good2", "tm", ["score_w", "o_price_w", "m_balance_w"]), moment_sql("b", "good2", "tm", ["score_w", "o_tax_w", "m_balance_w"]),
+    moment_sql("a", "good2", "tm", ["score_w", "o_price_w", "m_balance_w"], 0), moment_sql("b", "good2", "tm", ["score_w", "o_tax_w", "m_balance_w"], 0),
     f"df AS (SELECT replicate, a.v - b.v AS v FROM (SELECT replicate, {partial1()} AS v FROM rra) a JOIN (SELECT replicate, {partial1()} AS v FROM rrb) b USING (replicate))") + ci_sql("df", "v"))
 def placebo_bootstrap(spark, sf):
     cols = ["score", "o_price", "o_tax", "m_balance"]
-    w = agg.subtract_group_mean(good(spark, sf).select("county_fips", *cols), "county_fips", cols).withColumnRenamed("county_fips", "block")
+    wide = having_min_members(good(spark, sf).select("county_fips", *cols), "county_fips", 3)
+    w = agg.subtract_group_mean(wide, "county_fips", cols).withColumnRenamed("county_fips", "block")
     w = stage(w, "placebo-within")
     a = _partial_boot(w, ["score_within", "o_price_within", "m_balance_within"]).select("replicate", F.col("stat").alias("a"))
     b = _partial_boot(w, ["score_within", "o_tax_within", "m_balance_within"]).select("replicate", F.col("stat").alias("b"))

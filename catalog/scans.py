@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import roles as R
 from catalog.registry import Section, fresh_path, land_csv
-from catalog.roles import AREAS_SQL, SCORED_SQL, table, with_sql
-from zonometry.operators.rank import global_index
+from catalog.roles import AREAS_SQL, DIMS, SCORED_SQL, table, with_sql
+from zonometry.operators.rank import exact_quantiles, global_index
 from zonometry.operators.serve import place_label
+from zonometry.operators.stats import safe_corr
 from zonometry.sinks import tables as sink
 from zonometry.sources import nested, tabular
 
@@ -236,14 +237,24 @@ def data_dictionary(spark, sf):
     return sink.data_dictionary(R.scored(spark, sf).select(*_DICT), entries)
 
 
+_QUANTS = (5, 25, 50, 75, 95)
+_PAIRS = [(a, b) for i, a in enumerate(DIMS) for b in list(DIMS)[i + 1 :]]
+
+
 @S.query("run_metrics", with_sql(SCORED_SQL) + " UNION ALL ".join(
     f"SELECT 'score' AS stage, '{n}' AS metric, CAST({e} AS DOUBLE) AS value FROM scored" for n, e in [
         ("rows", "count(*)"), ("with_score", "count(score)"), ("low_confidence", "count_if(low_confidence)"),
-        ("institutional", "count_if(institutional)")]))
+        ("institutional", "count_if(institutional)"), *[(f"p{q}", f"round(quantile_cont(score, {q / 100}) FILTER (WHERE scoreable), 6)") for q in _QUANTS],
+        *[(f"corr {a} {b}", f"round(corr({a}, {b}), 6)") for a, b in _PAIRS]]))
 def run_metrics(spark, sf):
-    return sink.run_metrics(R.scored(spark, sf), "score", {
+    """Counts, dimension correlations and the quantiles of the score, a fingerprint to compare builds by."""
+    df = R.scored(spark, sf)
+    rows = sink.run_metrics(df, "score", {
         "rows": F.count(F.lit(1)), "with_score": F.count("score"), "low_confidence": F.count_if("low_confidence"),
-        "institutional": F.count_if("institutional")})
+        "institutional": F.count_if("institutional"), **{f"corr {a} {b}": F.round(safe_corr(a, b), 6) for a, b in _PAIRS}})
+    names = [f"p{q}" for q in _QUANTS]
+    at = exact_quantiles(df.where("scoreable"), "score", [q / 100 for q in _QUANTS], names=names).select(*[F.round(n, 6).alias(n) for n in names])
+    return rows.unionByName(at.unpivot([], names, "metric", "value").withColumn("stage", F.lit("score")))
 
 
 @S.query("csv_export_ranked", with_sql(SCORED_SQL) + """SELECT row_number() OVER (ORDER BY score DESC, area) AS rank, area,

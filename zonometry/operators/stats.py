@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonometry.operators.rank import value_positions
+
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Null-pairwise correlation aggregate; null without spread (the built-in one divides by zero)."""
@@ -258,14 +260,23 @@ def cohen_d(df: DataFrame, value: str, inside: Column, by: list[str] | None = No
 
 
 def bh_fdr(df: DataFrame, key: str, p: str, q: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg adjusted p over a candidate set (one row per candidate; null p drops)."""
-    known = df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p))).withColumn("__g", F.lit(0))
-    up = Window.partitionBy("__g").orderBy(p, key)
-    m = F.count(F.lit(1)).over(Window.partitionBy("__g"))
-    ranked = known.withColumn("__raw", F.col(p) * m / F.row_number().over(up))
-    down = Window.partitionBy("__g").orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adj = F.least(F.lit(1.0), F.min("__raw").over(down))
-    return ranked.withColumn("q_value", adj).withColumn("survives", F.col("q_value") <= q).drop("__g", "__raw")
+    """Benjamini-Hochberg adjusted p over a candidate set (one row per candidate; null p drops).
+
+    Equal p share their last rank, so the work is on distinct values: their places, then the smallest
+    p * n / rank from each value upwards, inside slices of [0, 1] and over the slices' minima.
+    """
+    slices = 1024
+    known = df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p)))
+    raw = F.col(p) * F.col("n") / (F.col("before") + F.col("c"))
+    slot = F.greatest(F.lit(0), F.least(F.lit(slices - 1), F.floor(F.col(p) * slices))).cast("int")
+    each = value_positions(known, p, domain=(0.0, 1.0)).select(F.col(p).alias("__p"), raw.alias("__raw"), slot.alias("__s"))
+    above = Window.orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most ``slices`` rows
+    later = each.groupBy("__s").agg(F.min("__raw").alias("__low")).select("__s", F.min("__low").over(above).alias("__after"))
+    down = Window.partitionBy("__s").orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    adjusted = each.withColumn("__in", F.min("__raw").over(down)).join(later, "__s")
+    adjusted = adjusted.select("__p", F.least(F.lit(1.0), F.col("__in"), F.col("__after")).alias("q_value"))
+    out = known.join(adjusted, F.col(p) == F.col("__p")).drop("__p")
+    return out.withColumn("survives", F.col("q_value") <= q)
 
 
 def chi2_tail(x: float, df: int) -> float:

@@ -136,7 +136,7 @@ def wrong_sign_share(df: DataFrame, x: str, outcome: str, group: str, state: str
     rs = correlations(w.join(states, state, "left_semi"), [f"{x}_within"], [f"{outcome}_within"], [state], min_pairs)
     med = exact_quantiles(rs, "r", [0.5], names=["median_r"])
     share = rs.where(F.col("r").isNotNull()).agg(F.avg((F.col("r") < 0).cast("double")).alias("negative_share"))
-    return med.join(F.broadcast(share))  # one row each
+    return med.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).join(F.broadcast(share))  # one row each
 
 
 def nnls_fit(df: DataFrame, dims: list[str], outcome: str, min_rows: int = 200) -> DataFrame:

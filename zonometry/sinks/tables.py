@@ -71,7 +71,7 @@ def data_dictionary(df: DataFrame, entries: DataFrame) -> DataFrame:
     cols = df.columns
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], cols, "column", "non_null")
     types = df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string")
-    out = counts.join(F.broadcast(types), "column").join(F.broadcast(entries), "column", "left")
+    out = counts.join(F.broadcast(types), "column").join(entries, "column", "left")
     return out.withColumn("group", F.coalesce("group", F.lit("undocumented")))
 
 
