@@ -30,13 +30,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by five-word shingles at a similarity of 0.8."""
-    return neardup.near_duplicates(docs, width=5, percent=80).where("kept").select(*docs.columns)
+    return neardup.representatives(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contaminated(docs, items).where("n_hit = 0").select(*docs.columns)
+    return decontaminate.uncontaminated(docs, items)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -296,6 +296,12 @@ def test_near_duplicates_on_edge_rows(edges):
     assert kept[1, True] == 1 and kept[3, False] == 1 and kept[4, False] == 2 and kept[2, True] == 2 and kept[None, True] == 2 and kept[6, True] == 1
 
 
+def test_representatives_are_the_kept_rows(edges):
+    kept = neardup.near_duplicates(edges).where("kept").select(*edges.columns)
+    assert as_rows(neardup.representatives(edges), "*") == as_rows(kept, "*")
+    assert neardup.representatives(edges.limit(0)).count() == 0
+
+
 def test_sketch_estimates_similarity(spark):
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonometry.llm import bloom
 from zonometry.llm import common as C
 from zonometry.session import stage
 
@@ -72,21 +73,12 @@ def _shingles(df: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame
     return df.select(key, text).mapInArrow(run, f"key {kind}, pos int, h long")
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    width: int = WIDTH, shingle: int = SHINGLE,
-) -> DataFrame:
-    """Documents with ``n_words, n_hit, hit_spans, items``: words inside occurrences of item windows.
-
-    ``hit_spans`` are maximal runs (start, end) in words, ``items`` the ids of the items with an
-    occurring window, sorted as strings. A null or empty text has no words; equal texts get equal
-    results, whatever their ids; extra columns pass through, and names that the result adds are
-    refused. An empty table of either side gives documents without hits.
-    """
-    C.require_free(docs, "n_words", "n_hit", "hit_spans", "items", "__key", "__cand")
+def _judged(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, width: int, shingle: int):
+    """(documents without a candidate, documents with one, function that verifies either): see ``contaminated``."""
+    C.require_free(docs, "n_words", "n_hit", "hit_spans", "items", "__key", "__may", "__cand")
     windows = stage(item_windows(items, item_id, item_text, width), "windows").withColumn("h0", F.xxhash64("win"))
     sizes = [r[0] for r in windows.select(F.least("n", F.lit(shingle))).distinct().collect()]  # at most ``shingle`` numbers
-    keyed = docs.select("*", C.text_key(text).alias("__key"))
+    keyed = C.small_batches(docs).select("*", C.text_key(text).alias("__key"))
     marked = windows.select("h0", "n", F.col("win")).repartition("h0")
     in_windows = _shingles(marked, "h0", "win", sizes or [shingle]).join(marked.select(F.col("h0").alias("key"), "n"), "key")
     in_windows = stage(in_windows, "window-shingles")
@@ -106,7 +98,12 @@ def contaminated(
     cand = found.join(prefix, "h").select("key", (F.col("pos") - F.col("at")).alias("start"), "n", "win", "items").where("start >= 0")
     # written first: a join of two plain exchanges lets Spark split the many copies of one text
     per_text = stage(cand.groupBy("key").agg(F.collect_set(F.struct("start", "n", "win", "items")).alias("__cand")), "candidates")
-    joined = keyed.join(per_text, keyed["__key"] == per_text["key"], "left").drop("key", "__key")
+    # texts without any candidate, most of them, stay out of the shuffle
+    blocks, n_blocks = bloom.build(per_text, "key")
+    probed = bloom.probe(keyed, "__key", blocks, n_blocks, "__may")
+    sure = probed.where("not __may").drop("__may").withColumn("__cand", F.lit(None).cast(per_text.schema["__cand"].dataType))
+    maybe = probed.where("__may").drop("__may").join(per_text.withColumnRenamed("key", "__key"), "__key", "left")
+    sure, maybe = sure.drop("__key"), maybe.drop("__key")
     out = C.schema_of(docs, "n_words long", "n_hit long", "hit_spans array<struct<start:int,end:int>>", "items array<string>")
 
     def verify(batches):
@@ -130,4 +127,25 @@ def contaminated(
             more = [pa.array(np.diff(edge)), pa.array(n_hit, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))]
             yield pa.record_batch(kept + more, [n for n in piece.schema.names if n != "__cand"] + ["n_words", "n_hit", "hit_spans", "items"])
 
-    return joined.mapInArrow(verify, out)
+    return sure, maybe.select(sure.columns), lambda rows: rows.mapInArrow(verify, out)
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    width: int = WIDTH, shingle: int = SHINGLE,
+) -> DataFrame:
+    """Documents with ``n_words, n_hit, hit_spans, items``: words inside occurrences of item windows.
+
+    ``hit_spans`` are maximal runs (start, end) in words, ``items`` the ids of the items with an
+    occurring window, sorted as strings. A null or empty text has no words; equal texts get equal
+    results, whatever their ids; extra columns pass through, and names that the result adds are
+    refused. An empty table of either side gives documents without hits.
+    """
+    sure, maybe, verify = _judged(docs, items, text, item_id, item_text, width, shingle)
+    return verify(sure.unionByName(maybe))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents in which no item window occurs; those without a candidate pass as they are."""
+    sure, maybe, verify = _judged(docs, items, text, item_id, item_text, WIDTH, SHINGLE)
+    return sure.select(*docs.columns).unionByName(verify(maybe).where("n_hit = 0").select(*docs.columns))

@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonometry.llm import bloom
 from zonometry.llm import common as C
 from zonometry.llm.components import components
 from zonometry.session import stage
@@ -114,7 +115,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
                  C.lists(C.signed(bands.ravel()), full * BANDS), C.lists(C.signed(sketch.ravel()), full * (SKETCH_BITS // 64))],
                 ["id", "key", "n", "k1", "k2", "bands", "sketch"])
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), C.text_key(text).alias("key"), F.col(text).alias("text")).where("id is not null")
+    slim = C.small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), C.text_key(text).alias("key"), F.col(text).alias("text")).where("id is not null")
     return slim.mapInArrow(run, "id long, key binary, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
@@ -227,3 +228,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select("*", F.col(doc_id).cast("long").alias("__id"), F.coalesce(C.text_key(text), F.lit(b"")).alias("__key"))
     joined = keyed.join(found, ["__id", "__key"], "left").withColumn("kept", F.coalesce(F.col("__id") == F.col("component_id"), F.lit(True)))
     return joined.select(*docs.columns, "n_shingles", "component_id", "kept")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, by way of the few that go: the others never leave their place."""
+    C.require_free(docs, "__id", "__key", "__name", "__may")
+    gone = linked(docs, doc_id, text, width, percent).where(F.col("id") != F.col("component")).select(F.xxhash64("id", "key").alias("__name"), F.col("id").alias("__id"), F.col("key").alias("__key"))
+    gone = stage(gone.distinct(), "near-duplicates")
+    blocks, n_blocks = bloom.build(gone, "__name")
+    keyed = docs.select("*", F.col(doc_id).cast("long").alias("__id"), C.text_key(text).alias("__key")).withColumn("__name", F.xxhash64("__id", "__key"))
+    probed = bloom.probe(keyed, "__name", blocks, n_blocks, "__may")
+    left = probed.where("__may").join(gone.select("__id", "__key"), ["__id", "__key"], "left_anti")
+    return probed.where("not __may").unionByName(left.select(probed.columns)).select(*docs.columns)
