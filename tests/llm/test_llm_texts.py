@@ -244,6 +244,29 @@ def test_determinant_fit_matches_numpy_steps(spark):
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.975, 5), 5) - 0.975) < 1e-9 and abs(quality.chi2_quantile(0.95, 2) - 5.991) < 1e-2
 
 
+def test_repeated_lines_and_phrases_are_outliers(spark):
+    """Texts that pass the base rules, but in which nearly every line repeats one, or just under half of the words stand in repeated phrases."""
+    rng, rows, made = np.random.default_rng(6), [], iter(range(10**9))
+
+    def new(n):
+        return [f"w{next(made):05d}" for _ in range(n)]
+
+    for i in range(600):
+        n = int(rng.integers(8, 40))
+        if i % 20 == 0:
+            rows.append((i, "\n".join(rng.choice(new(20), 100 + n))))
+        elif i % 20 == 1:
+            phrase = new(6)
+            rows.append((i, "\n".join(" ".join(phrase + new(7)) for _ in range(n + 2))))
+        else:
+            own = [" ".join(new(12)) for _ in range(n)]
+            rows.append((i, "\n".join(own + own[:1])))  # one repeated line rejects nothing
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    out = quality.quality_rules(docs).collect()
+    assert not any(r.base_failed for r in out)
+    assert [r.doc_id for r in out if r.kept == (r.doc_id % 20 < 2)] == []
+
+
 # --- near duplicates
 
 

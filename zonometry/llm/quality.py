@@ -107,12 +107,16 @@ def base_failed() -> Column:
 
 
 def _features() -> list[Column]:
+    """Shares of repeated lines and words as logarithms of what is not repeated: a root of a share ends below the cut, these grow past it.
+
+    Words count up to half of the text, where the base rule takes over.
+    """
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return [
         F.log(chars / words).alias("word_length"),
         F.sqrt(F.col("n_symbols") / chars).alias("symbols"),
-        F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_lines"),
-        F.sqrt(F.col("n_repeat_words") / words).alias("repeats"),
+        (2 * F.log((F.col("n_lines") + 1) / (F.col("n_lines") - F.col("n_dup_lines") + 1))).alias("dup_lines"),
+        F.log((words + 1) / (F.greatest(words - 2 * F.col("n_repeat_words"), F.lit(0)) + 1)).alias("repeats"),
         F.sqrt(F.col("n_upper") / chars).alias("upper"),
     ]
 
