@@ -234,3 +234,14 @@ def test_pipeline_stages_keep_their_word(spark, tmp_path):
     assert all(dirty(r.text) == (i not in seen["decontamination"]) for i, r in seen["near_dedup"].items())
     last = seen["byte_bpe"]
     assert set(last) == set(seen["decontamination"]) and all(r.round_trip and r.n_tokens == len(r.ids) // 4 for r in last.values())
+
+
+def test_pipeline_drops_lines_and_not_the_words_between_them(spark):
+    """Verse, word lists and tab-separated rows keep their own lines when they lose a shared one."""
+    import corpus_pipeline as P
+
+    foot = "all rights reserved by us"
+    texts = [[foot, "first text with words"], ["rose", "red rose", foot], ["a\tb\tc", "d\te\tf", foot], [foot, " ", "\u00a0"], ["\u4e2d\u6587", "\u4e2d\u6587\u5b57", foot]]
+    docs = spark.createDataFrame([(i, "\n".join(t), 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in P.line_dedup(spark, docs, SF).collect()}
+    assert got == {0: "\n".join(texts[0])} | {i: "\n".join(t for t in texts[i] if t != foot) for i in (1, 2, 4)}
