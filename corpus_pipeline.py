@@ -19,11 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document has; one of which only blank lines are left goes.
+    """Documents without lines that an earlier document has, of any length; one of which only blank lines are left goes.
 
     ``n_chars`` follows the new text.
     """
-    cut = lines.dedup_lines(docs)
+    cut = lines.dedup_lines(docs, every=True)
     left = F.col("text").rlike(r"(?U)\S")
     return cut.where((F.col("n_dropped") == 0) | left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

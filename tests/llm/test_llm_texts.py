@@ -90,6 +90,21 @@ def test_line_dedup_matches_all_pairs(spark):
     assert got[8].text is None and got[8].n_lines == 0
 
 
+def test_every_line_is_compared_when_asked_for(spark):
+    row, han = "\t".join(f"cell{k}" for k in range(12)), "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    plain = "abcdefghijklmnopqrstuvwxyz" * 2
+    texts = [
+        ["yes", "two words", row, "a\u00a0b\u00a0c", han, "seven words and no more than these stay", "nine words of which one is spelled another way", " ".join(plain)],
+        ["yes", "no", "two  words", "two other", row, row.replace("cell5", "cell"), "a b c", han, " ", ""],
+        [han[:20] + "x" + han[21:], han[:30] + han[31:], han[:10] + "yz" + han[12:], plain, "seven words and no more than these stays", "nine words of which one is spelt another way", "nine words of which one is speled another way"],
+        ["yes", "no", " "],
+    ]
+    want = [texts[0], ["no", "two other", " ", ""], [han[:10] + "yz" + han[12:], plain, "seven words and no more than these stays", "nine words of which one is spelt another way"], [" "]]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(shuffled(docs), every=True).collect()}
+    assert [got[i].split("\n") for i in range(4)] == want
+
+
 def test_line_dedup_on_edge_rows(edges):
     out = lines.dedup_lines(edges)
     assert out.columns == [*edges.columns, "n_lines", "n_dropped"] and out.count() == edges.count()

@@ -21,14 +21,15 @@ from zonometry.llm import bloom
 from zonometry.llm import common as C
 from zonometry.session import stage
 
-MIN_WORDS = 3  # shorter lines are never touched
-EDIT_WORDS = 10  # lines of fewer words must be equal to be dropped
+MIN_WORDS = 3  # shorter lines are never touched, unless every line is asked for
+EDIT_WORDS = 10  # lines of fewer words must be equal to be dropped, or one character apart if every line is asked for
+EDIT_CHARS = 40  # and they have so many characters
 LAST_ID = "9223372036854775807"
 
 
-def words(line: str | Column) -> Column:
-    """What blanks separate."""
-    return F.filter(F.split(line, " "), lambda w: w != "")
+def words(line: str | Column, every: bool = False) -> Column:
+    """What blanks separate; with ``every``, what any white space separates."""
+    return F.filter(F.split(line, r"(?U)\s+" if every else " "), lambda w: w != "")
 
 
 def _half(side: int, size: Column) -> Column:
@@ -43,10 +44,20 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("row", (F.col("id").cast("decimal(20,0)") * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)").alias("pos"), "line", "raw")
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Lines of ``MIN_WORDS`` words or more, with words ``w``, their number ``n`` and two hashes of them."""
-    rows = rows.withColumn("w", words("raw")).withColumn("n", F.size("w")).where(F.col("n") >= MIN_WORDS)
-    return rows.withColumn("h1", F.xxhash64("w")).withColumn("h2", F.xxhash64(F.lit(2), "w"))
+def _hashed(rows: DataFrame, every: bool = False) -> DataFrame:
+    """Lines of ``MIN_WORDS`` words or more, with words ``w``, their number ``n`` and two hashes of them.
+
+    With ``every``, all lines that are not blank; in those of few words and ``EDIT_CHARS`` characters or more, ``w`` becomes
+    their characters after two line feeds, which keep them two edits away from any words.
+    """
+    rows = rows.withColumn("w", words("raw", every)).withColumn("n", F.size("w")).where(F.col("n") >= (1 if every else MIN_WORDS))
+    rows = rows.withColumn("h1", F.xxhash64("w")).withColumn("h2", F.xxhash64(F.lit(2), "w"))
+    if not every:
+        return rows
+    flat = F.array_join("w", " ")
+    chars = F.concat(F.array(F.lit("\n"), F.lit("\n")), F.filter(F.split(flat, ""), lambda c: c != ""))
+    w = F.when(F.col("n") >= EDIT_WORDS, F.col("w")).when(F.length(flat) >= EDIT_CHARS, chars).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("w", w).withColumn("n", F.size("w"))
 
 
 def _upto(values: Column) -> Column:
@@ -87,7 +98,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(n == m, rest(a, 1) == rest(b, 1)).when(n == m + 1, rest(a, 1) == rest(b, 0)).when(n + 1 == m, rest(a, 0) == rest(b, 1)).otherwise(False)
 
 
-def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """``row, line`` of every line to drop; ``row`` is ``xxhash64(doc_id, text)``, ``line`` counts from 0.
 
     Lines are ordered by the id (null last), then by their number. Rows that repeat an id and a text are one
@@ -96,7 +107,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     half = F.floor(F.col("n") / 2).cast("int")
     less = F.when(F.col("n") % 2 == 0, half - 1)  # as the longer one of a pair whose shorter one has an odd number of words
     keys = [_half(0, half), _half(1, half), *[F.when(less.isNotNull(), _half(s, less)) for s in (0, 1)]]
-    lines = stage(_hashed(_lines(docs, doc_id, text)).select("row", "pos", "line", "h1", "h2", *[k.alias(f"k{i}") for i, k in enumerate(keys)]), "lines")
+    lines = stage(_hashed(_lines(docs, doc_id, text), every).select("row", "pos", "line", "h1", "h2", *[k.alias(f"k{i}") for i, k in enumerate(keys)]), "lines")
     each = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     each = stage(each, "distinct-lines")
 
@@ -107,7 +118,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     at = stage(each.select("h1", F.col("first").alias("pos")).join(able, "h1", "left_semi").select("pos"), "partnered-places")
     blocks, n_blocks = bloom.build(at, "pos")
     raw = bloom.probe(_lines(docs, doc_id, text).select("pos", "raw"), "pos", blocks, n_blocks, "may").where("may").select("pos", "raw").join(at, "pos", "left_semi")
-    kept = stage(_hashed(raw).where(F.col("n") >= EDIT_WORDS).dropDuplicates(["h1"]).select("h1", "h2", "pos", "n", "w"), "partnered-lines")
+    kept = stage(_hashed(raw, every).where(F.col("n") >= EDIT_WORDS).dropDuplicates(["h1"]).select("h1", "h2", "pos", "n", "w"), "partnered-lines")
 
     variants = stage(_variants(kept), "variants")
     meet = variants.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -126,14 +137,16 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return lines.select("row", "line", "pos", "h1", "h2").join(told, ["h1", "h2"]).where("near or pos > first").select("row", "line").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """Documents with ``text`` reduced to the lines that stay, and ``n_lines, n_dropped``.
 
-    Lines of fewer than ``MIN_WORDS`` words always stay; a text of which no line stays is empty, a null text
+    Lines of fewer than ``MIN_WORDS`` words always stay, unless ``every`` line is asked for: then words end at any white space,
+    copies of all lines that are not blank go, and lines of few words but ``EDIT_CHARS`` characters go also when one character
+    makes the difference. A text of which no line stays is empty, a null text
     stays null with 0 lines. Extra columns pass through; names that the result adds are refused.
     """
     C.require_free(docs, "n_lines", "n_dropped", "__row", "__may", "__drop", "__lines")
-    gone = duplicate_lines(docs, doc_id, text).groupBy("row").agg(F.collect_set("line").alias("__drop"))
+    gone = duplicate_lines(docs, doc_id, text, every).groupBy("row").agg(F.collect_set("line").alias("__drop"))
     gone = stage(gone, "dropped-lines")
     blocks, n_blocks = bloom.build(gone, "row")
     keyed = bloom.probe(docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text))), "__row", blocks, n_blocks, "__may")
