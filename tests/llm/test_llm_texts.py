@@ -172,6 +172,20 @@ def test_repeats_match_brute_force(edges, monkeypatch, hot):
         assert [(s.start, s.end) for s in r.removed] == [m.span() for m in re.finditer(b"\1+", bytes(gone))]
 
 
+@pytest.mark.parametrize("hot", [None, 1])
+def test_repeats_of_several_texts_under_one_id(spark, monkeypatch, hot):
+    if hot is not None:
+        monkeypatch.setattr(suffixes, "HOT", hot)
+    parts = [" ".join(f"{p}{k}word" for k in range(30)) for p in "abcdefgh"]
+    rows = [(1, parts[0] + parts[1]), (2, parts[2] + parts[0]), (2, parts[3] + "x" + parts[1]), (3, parts[3] + parts[2] + parts[4]),
+            (None, parts[4] + parts[5]), (None, "y" + parts[6] + parts[0] + parts[5]), (None, parts[6] + parts[3]), (2, parts[2] + parts[0])]
+    want = removed_bytes(rows, suffixes.WIDTH)
+    out = suffixes.remove_repeats(shuffled(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert bytes(r.kept) == bytes(x for x, g in zip(r.text.encode(), want[r.doc_id, r.text]) if not g), (r.doc_id, r.text[:9])
+
+
 # --- decontamination
 
 
