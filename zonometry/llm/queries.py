@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import bpe, classifier, decontaminate, hilbert, lines, neardup, quality, suffixes, transcripts, urls
+from zonometry.llm import bpe, classifier, decontaminate, hilbert, lines, neardup, quality, runs, suffixes, transcripts, urls
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -196,3 +196,31 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     cut = suffixes.remove_repeats(docs).drop("text")
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def looped(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The contract's texts of op11: for a tenth of the ids the words from place a on are those of one period, over and over."""
+    h = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(words, F.when(i < a, i + 1).otherwise(a + (i - a) % p + 1).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(F.col(text))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", looped().alias("text"))
+    found = runs.periodic_runs(docs, keep=["doc_id"])
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("q")))
+    top = F.array_min(order)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    told = found.withColumn("top", top).withColumn("told", F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""))
+    length = -F.col("top.l")
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), length.alias("length"), F.col("top.q").alias("period"),
+        F.floor(1000 * length / F.col("top.q")).cast("long").alias("exponent_milli"),
+        F.sha2("told", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
