@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import bpe, classifier, decontaminate, hilbert, lines, neardup, quality, runs, suffixes, transcripts, urls
+from zonometry.llm import bpe, classifier, codebooks, decontaminate, hilbert, lines, neardup, quality, runs, suffixes, transcripts, urls
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -224,3 +224,46 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(1000 * length / F.col("top.q")).cast("long").alias("exponent_milli"),
         F.sha2("told", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def op12_sql() -> str:
+    """Six rounds over integer parts, each an assignment of all parts and a mean of each entry's."""
+    near = """
+a{r} AS MATERIALIZED (
+  SELECT id, p, v, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT v.id, v.p, v.v, c.e, list_sum(list_transform(range(1, len(v.v) + 1), lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j]))) AS d FROM parts v JOIN c{r} c ON v.p = c.p)
+  GROUP BY id, p, v
+)"""
+    mean = """
+c{n} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v
+    FROM (SELECT p, e, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS j FROM a{r}) GROUP BY p, e, j)
+    GROUP BY p, e
+  ) m ON c.p = m.p AND c.e = m.e
+)"""
+    rounds = ",".join(near.format(r=r) + ("," + mean.format(r=r, n=r + 1) if r < 6 else "") for r in range(7))
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS v FROM (SELECT id, v, unnest(range(8)) AS p FROM k)
+), c0 AS MATERIALIZED (
+  SELECT p, id - 1 AS e, v FROM parts WHERE id <= 16
+), {rounds}, coded AS (
+  SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM c6)) AS codebooks_sha256
+FROM k JOIN coded USING (id)
+"""
+
+
+@query("op12_vector_codes", op12_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    rows, books = codebooks.compress(table(spark, sf, "embeddings"), keep=["vec_id", "label"])
+    rows = rows.select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error")
+    by_label = rows.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error"))
+    joined = rows.join(by_label, F.col("label").eqNullSafe(F.col("l")))
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
