@@ -202,12 +202,17 @@ def looped(doc_id: str = "doc_id", text: str = "text") -> Column:
     """The contract's texts of op11: for a tenth of the ids the words from place a on are those of one period, over and over."""
     h = F.crc32(F.col(doc_id).cast("string"))
     g = F.floor(h / 10).cast("long")
+
+    def again(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        loop = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(loop, F.lit(1), n - a)), " ")).otherwise(F.col(text))
+
+    # the words are bound once, as the variable of a lambda
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(words, F.when(i < a, i + 1).otherwise(a + (i - a) % p + 1).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(F.col(text))
+    return F.when((h % 10 == 0) & F.col(text).isNotNull(), F.transform(F.array(words), again)[0]).otherwise(F.col(text))
 
 
 @query("op11_periodic_runs")
