@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonometry.llm import codebooks, queries
+from zonometry.llm import codebooks, hnsw, queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = T.StructType([
@@ -121,3 +121,103 @@ def test_codes_keep_extra_columns_and_refuse_names(spark):
         codebooks.compress(df.withColumn("Code", F.lit(1)))
     with pytest.raises(Exception, match="beyond"):
         codebooks.compress(table(spark, [(1, [1e9] * 16, 0, None)]))
+
+
+# --- near vectors
+
+
+def groups_of_copies(seed: int, width: int = 32) -> list[tuple]:
+    """Noise, pairs, a chain, and one large group of near copies; ids in random order."""
+    r = np.random.default_rng(seed)
+    x = [*r.normal(size=(700, width))]
+    for size in [2] * 40 + [5, 30, 600]:
+        base = r.normal(size=width)
+        x += [base / np.linalg.norm(base) + 0.04 * r.normal(size=width) for _ in range(size)]
+    a, b = np.eye(width)[0], np.eye(width)[1]
+    x += [np.cos(t) * a + np.sin(t) * b for t in np.arange(0, 1.5, 0.3)]
+    x += [x[0] * 3, x[0] * 1e30, x[1] * 1e-30]
+    ids = r.permutation(len(x))
+    return [(int(i), v.astype(np.float32).tolist(), 0, "n") for i, v in zip(ids, x)]
+
+
+def all_pairs(rows: list[tuple], least: float = 0.9) -> list[tuple]:
+    """(id, n_links, component, kept) of each row, from all cosines in double precision."""
+    def usable(r):
+        return r[0] is not None and r[1] is not None and len(r[1]) > 0 and all(v is not None and math.isfinite(v) for v in r[1]) and any(r[1])
+
+    out, at = [None] * len(rows), {}
+    for i, r in enumerate(rows):
+        if usable(r):
+            at.setdefault(len(r[1]), []).append(i)
+        else:
+            out[i] = (r[0], 0, r[0], True)
+    for own in at.values():
+        x = np.array([rows[i][1] for i in own], np.float32).astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= least
+        least_id = np.array([rows[i][0] for i in own])
+        while True:
+            new = np.array([least_id[n].min() for n in near])
+            if (new == least_id).all():
+                break
+            least_id = new
+        for i, n, c in zip(own, near.sum(1) - 1, least_id.tolist()):
+            out[i] = (rows[i][0], int(n), c, rows[i][0] == c)
+    return out
+
+
+def by_row(rows):
+    return sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("rows", [groups_of_copies(1), odd_rows(), odd_rows() + clustered(6, 500, spread=0.03), clustered(7, 3)], ids=["groups", "odd", "dense", "few"])
+def test_near_vectors_match_all_pairs(spark, tmp_path, rows):
+    table(spark, rows, tmp_path)
+    got = queries.QUERIES["op13_hnsw_near_dedup"](spark, str(tmp_path)).collect()
+    assert by_row(tuple(r) for r in got) == by_row(all_pairs(rows))
+
+
+def test_recall_on_the_table(spark):
+    rows = [(r.vec_id, r.embedding, 0, None) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    near = [(10_000 + r[0], (np.array(r[1]) + 0.04 * np.random.default_rng(r[0]).normal(size=64)).tolist(), 0, None) for r in rows[::2]]
+    want = {r[0]: r for r in all_pairs(rows + near)}
+    got = {r.vec_id: r for r in hnsw.near_vectors(table(spark, rows + near)).collect()}
+    assert all(got[i].n_links <= w[1] for i, w in want.items())
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(w[1] for w in want.values()) > 200
+
+
+def test_near_vectors_of_repeated_rows_and_empty_tables(spark):
+    rows = [(i % 3, [1.0, 0.5], 0, str(i)) for i in range(30)]
+    df = table(spark, rows)
+    got = hnsw.near_vectors(df.withColumn("w", F.lit(1)))
+    assert got.columns == [*df.columns, "w", "n_links", "component_id", "kept"]
+    assert {tuple(r) for r in got.select("n_links", "component_id").collect()} == {(29, 0)} and got.where("kept").count() == 10
+    assert hnsw.near_vectors(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="kept"):
+        hnsw.near_vectors(df.withColumn("KEPT", F.lit(1)))
+
+
+def test_a_poor_graph_widens_its_beam():
+    """With most of a graph's links taken away, the audit goes on until its probes find their links, by the whole shard if need be."""
+    x = hnsw.unit(np.random.default_rng(1).normal(size=(600, 16)).ravel(), 16)
+    level = np.sort(hnsw.levels(600))[::-1]
+    graph = hnsw.build(x.astype(np.float32), level)
+    good = hnsw.Shard(np.arange(600), np.ones(600, np.int64), x, graph.layers, 8)
+    good.audit(0.9)
+    cut = [lists.copy() for lists in graph.layers]
+    cut[0][:, 2:] = -1
+    poor = hnsw.Shard(np.arange(600), np.ones(600, np.int64), x, cut, 8)
+    poor.audit(0.9)
+    assert good.ef < poor.ef
+    poor.group = np.arange(600)
+    poor = hnsw.Shard.opened(poor.packed())
+    row, group, links = poor.counts(hnsw.probes(x, 0.9), np.full(600, -1), None, 0.9)
+    assert links.sum() >= 0.98 * (hnsw.probes(x, 0.9) @ x.T >= 0.9).sum()
+
+
+def test_settled_labels_are_components():
+    r = random.Random(2)
+    u, v = [np.array([r.randrange(300) for _ in range(200)]) for _ in range(2)]
+    label = hnsw.settled(300, u, v)
+    assert (label[u] == label[v]).all() and len(set(label.tolist())) >= 100 and (label <= np.arange(300)).all()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonometry.llm import bpe, classifier, codebooks, decontaminate, hilbert, lines, neardup, quality, runs, suffixes, transcripts, urls
+from zonometry.llm import bpe, classifier, codebooks, decontaminate, hilbert, hnsw, lines, neardup, quality, runs, suffixes, transcripts, urls
 from zonometry.session import stage
 
 QUERIES: dict = {}
@@ -272,3 +272,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     by_label = rows.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error"))
     joined = rows.join(by_label, F.col("label").eqNullSafe(F.col("l")))
     return joined.select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_hnsw_near_dedup")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
