@@ -197,20 +197,21 @@ def probes(x: np.ndarray, least: float) -> np.ndarray:
 
 
 def settled(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest place that links (u, v) reach from each of ``n`` places."""
+    """Smallest place that links (u, v) reach from each of ``n`` places, beyond what an earlier ``label`` says."""
     label = np.arange(n) if label is None else label
-    while len(u):
-        least = np.minimum(label[u], label[v])
-        np.minimum.at(label, label[u], least)
-        np.minimum.at(label, label[v], least)
-        np.minimum.at(label, u, least)
-        np.minimum.at(label, v, least)
-        label = label[label]
-        open_ = label[u] != label[v]
-        u, v = u[open_], v[open_]
-    while (label != label[label]).any():
-        label = label[label]
-    return label
+    both = np.unique(np.minimum(label[u], label[v]) * n + np.maximum(label[u], label[v]))
+    u, v = both // max(n, 1), both % max(n, 1)
+    u, v = u[u != v], v[u != v]
+    if not len(u):
+        return label
+    root = np.arange(n)
+    while True:
+        before, least = root.copy(), np.minimum(root[u], root[v])
+        np.minimum.at(root, u, least)
+        np.minimum.at(root, v, least)
+        root = root[root]
+        if (root == before).all():
+            return root[label]
 
 
 class Shard:
