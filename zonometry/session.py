@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +45,45 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Paths of the stage tables written inside each open ``scratch`` block, the innermost last.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Stage tables written inside the block are removed at its end, but for those staged with ``keep``.
+
+    For operators whose result hangs on one last table: nothing outside the block may still read the others. A table
+    that is kept belongs to the next block outside, or stays where there is none.
+    """
+    own: list[str] = []
+    mark = _SCRATCH.set((*_SCRATCH.get(), own))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(mark)
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` as a parquet stage table in the shared folder and read it back.
 
     Used between the levels of the scoring hierarchy: later levels then scan columns instead
-    of replanning everything above them, and a lost executor re-reads files.
+    of replanning everything above them, and a lost executor re-reads files. ``keep`` takes the table
+    out of the innermost ``scratch`` block.
     """
     path = f"{shared_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    blocks = _SCRATCH.get()[:-1] if keep else _SCRATCH.get()
+    if blocks:
+        blocks[-1].append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
