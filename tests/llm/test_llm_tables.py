@@ -215,10 +215,11 @@ def test_pipeline_stages_keep_their_word(spark, tmp_path):
         for line in {tuple(x.split()) for x in r.text.split("\n") if len(x.split()) >= 3}:
             assert line not in first, (i, first.get(line))
             first[line] = i
-    # near duplicates: those kept have no link of five-word shingles
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, r.text.lower().split()) for i, r in seen["near_dedup"].items()) if w}
-    ids = sorted(sets)
-    assert not any(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for k, a in enumerate(ids) for b in ids[:k])
+    # near duplicates: those kept have no link of two-word shingles, nor of five-word ones
+    for width in (2, 5):
+        sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for i, w in ((i, r.text.lower().split()) for i, r in seen["near_dedup"].items()) if w}
+        ids = sorted(sets)
+        assert not any(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for k, a in enumerate(ids) for b in ids[:k])
     # decontamination: what went holds a benchmark window, what stayed does not
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     wins = set()
@@ -245,3 +246,29 @@ def test_pipeline_drops_lines_and_not_the_words_between_them(spark):
     docs = spark.createDataFrame([(i, "\n".join(t), 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in P.line_dedup(spark, docs, SF).collect()}
     assert got == {0: "\n".join(texts[0])} | {i: "\n".join(t for t in texts[i] if t != foot) for i in (1, 2, 4)}
+
+
+def test_pipeline_catches_edited_copies_and_keeps_others(spark):
+    """Copies of which one word in twenty is changed or left out go, down to texts of 40 words."""
+    import random
+
+    import corpus_pipeline as P
+    from conftest import words
+
+    r, rows = random.Random(3), []
+    for i in range(60):
+        w = [f"{x}{r.randrange(99)}" for x in words(i, 40 + 5 * i)]
+        copy = list(w)
+        for at in sorted(r.sample(range(len(w)), len(w) // 20), reverse=True):
+            copy[at : at + 1] = ["edited"] if r.random() < 0.5 else []
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in P.near_dedup(spark, docs, SF).collect()}
+    assert set(range(60)) <= kept and len(kept - set(range(60))) <= 6  # recall of 0.9
+
+
+def test_last_stage_refuses_its_own_column(spark):
+    import corpus_pipeline as P
+
+    with pytest.raises(ValueError, match="round_trip"):
+        P.byte_bpe(spark, spark.createDataFrame([(1, "a", True)], "doc_id long, text string, round_trip boolean"), SF)

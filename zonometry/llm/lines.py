@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from zonometry.llm import bloom
 from zonometry.llm import common as C
-from zonometry.session import stage
+from zonometry.session import scratch, stage
 
 MIN_WORDS = 3  # shorter lines are never touched, unless every line is asked for
 EDIT_WORDS = 10  # lines of fewer words must be equal to be dropped, or one character apart if every line is asked for
@@ -146,8 +146,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", eve
     stays null with 0 lines. Extra columns pass through; names that the result adds are refused.
     """
     C.require_free(docs, "n_lines", "n_dropped", "__row", "__may", "__drop", "__lines")
-    gone = duplicate_lines(docs, doc_id, text, every).groupBy("row").agg(F.collect_set("line").alias("__drop"))
-    gone = stage(gone, "dropped-lines")
+    with scratch(docs.sparkSession):
+        gone = duplicate_lines(docs, doc_id, text, every).groupBy("row").agg(F.collect_set("line").alias("__drop"))
+        gone = stage(gone, "dropped-lines", keep=True)
     blocks, n_blocks = bloom.build(gone, "row")
     keyed = bloom.probe(docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text))), "__row", blocks, n_blocks, "__may")
     whole = keyed.where("not __may").withColumn("__drop", F.lit(None).cast("array<int>"))  # these surely lose nothing, and stay where they are

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from zonometry.llm import bloom
 from zonometry.llm import common as C
 from zonometry.llm.components import components
-from zonometry.session import stage
+from zonometry.session import scratch, stage
 
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6
 SKETCH_BITS = 512
@@ -233,8 +233,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, by way of the few that go: the others never leave their place."""
     C.require_free(docs, "__id", "__key", "__name", "__may")
-    gone = linked(docs, doc_id, text, width, percent).where(F.col("id") != F.col("component")).select(F.xxhash64("id", "key").alias("__name"), F.col("id").alias("__id"), F.col("key").alias("__key"))
-    gone = stage(gone.distinct(), "near-duplicates")
+    with scratch(docs.sparkSession):
+        gone = linked(docs, doc_id, text, width, percent).where(F.col("id") != F.col("component")).select(F.xxhash64("id", "key").alias("__name"), F.col("id").alias("__id"), F.col("key").alias("__key"))
+        gone = stage(gone.distinct(), "near-duplicates", keep=True)
     blocks, n_blocks = bloom.build(gone, "__name")
     keyed = docs.select("*", F.col(doc_id).cast("long").alias("__id"), C.text_key(text).alias("__key")).withColumn("__name", F.xxhash64("__id", "__key"))
     probed = bloom.probe(keyed, "__name", blocks, n_blocks, "__may")
