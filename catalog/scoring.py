@@ -63,6 +63,23 @@ def e2sfca_adaptive(spark, sf):
     return out.select("area", *[F.round(c, 8).alias(c) for c in _SUPPLY], "cut")
 
 
+KERNEL_SQL = CATCH_SQL + """,
+nn AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) - 1 AS idx FROM edge),
+sig AS (SELECT i, greatest(8.0, least(60.0, max(d))) AS sigma FROM nn WHERE idx <= 30 GROUP BY 1),
+w AS (SELECT e.i, e.j, exp(-0.5 * pow(d / sigma, 2)) AS w FROM edge e JOIN sig ON sig.i = e.i WHERE d <= 3 * sigma),
+pool AS (SELECT j, sum(pop * w) AS pooled FROM w JOIN pts ON area = i GROUP BY 1)
+"""
+_KERNEL = ", ".join(f"1000.0 * sum(CASE WHEN pooled > 0 THEN {c} / pooled ELSE 0.0 END * w) AS {c}" for c in _SUPPLY)
+
+
+@S.query("e2sfca_kernel", with_sql(KERNEL_SQL, f"acc AS (SELECT w.i AS area, {_KERNEL} FROM w JOIN pool USING (j) JOIN pts ON pts.area = w.j GROUP BY 1)")
+         + "SELECT area, " + ", ".join(f"round({c}, 8) AS {c}" for c in _SUPPLY) + " FROM acc")
+def e2sfca_kernel(spark, sf):
+    pts = R.area_stage(spark, sf).withColumn("pop", F.coalesce("population", F.lit(0.0)))
+    out = catchment.kernel_access(pts.select("area", "lat", "lon", "pop", *_SUPPLY), "area", _SUPPLY, "pop")
+    return out.select("area", *[F.round(c, 8).alias(c) for c in _SUPPLY])
+
+
 _FIXED_ACC = f"acc AS (SELECT w.i AS area, {_access('')} FROM w JOIN pool ON pool.i = w.j JOIN pts ON pts.area = w.j GROUP BY 1)"
 
 

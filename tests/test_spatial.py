@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonometry.operators import catchment, spatial
+from zonometry.operators import catchment, quadtree, spatial
 
 R_KM = 6371.0
 
@@ -98,3 +98,84 @@ def test_areas_without_coordinates_stay_and_the_neighbour_cut_shows(spark):
     fixed = {r.area: r for r in catchment.fixed_access(areas, "area", ["sites"], "pop").collect()}
     assert len(wide) == len(few) == len(fixed) == 61 and wide["lost"].sites is None and fixed["lost"].sites is None
     assert not wide["a5"].cut and few["a5"].cut and wide["a5"].sites > 0
+
+
+def crowd(n=20_000, seed=9):
+    """Nine tenths of the points within a kilometre; queries there, and a thousand kilometres away."""
+    rng = np.random.default_rng(seed)
+    pts = np.round(np.vstack([np.column_stack([rng.normal(40, 0.004, n * 9 // 10), rng.normal(-75, 0.004, n * 9 // 10)]), np.column_stack([rng.uniform(30, 50, n // 10), rng.uniform(-90, -60, n // 10)])]), 6)
+    far = np.column_stack([rng.uniform(48, 50, 150), rng.uniform(-88, -86, 150)])
+    return pts, np.round(np.vstack([far, pts[:150]]), 6)
+
+
+def test_no_leaf_is_larger_than_stated_and_every_point_has_one(spark):
+    pts, _ = crowd()
+    tree = quadtree.grow(load(spark, pts, "p").select("lat", "lon").distinct().withColumn("w", F.lit(1)))
+    sizes = [r["count"] for r in tree.placed.groupBy("lv", "r", "c").count().collect()]
+    assert max(sizes) <= quadtree.LEAF and sum(sizes) == len(np.unique(pts, axis=0)) and len(tree.tops) <= quadtree.TOPS
+    top = tree.nodes.where("leaf").agg(F.sum("n"), F.sum("w")).first()
+    assert top[0] == top[1] == sum(sizes)
+
+
+def test_far_queries_read_few_leaves_of_a_crowd(spark):
+    """The work of a query follows from k, not from how many points lie in its direction."""
+    pts, qs = crowd()
+    tree = quadtree.grow(load(spark, pts, "p").select("lat", "lon").distinct().withColumn("w", F.lit(1)))
+    at = load(spark, qs, "q").select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).distinct()
+    read = quadtree.nearest(at, tree, 10).groupBy("qlat", "qlon").count().agg(F.max("count"), F.avg("count")).first()
+    assert read[0] <= 40 and read[1] <= 12
+    got = {}
+    for r in spatial.knn_join(load(spark, qs, "q"), load(spark, pts, "p"), "q", "p", 10).collect():
+        got.setdefault(r.q, []).append(r.d)
+    d = np.sort(dist(qs, pts), 1)[:, :10]
+    np.testing.assert_allclose(np.sort(np.array([got[i] for i in range(len(qs))]), 1), d, atol=1e-6)
+
+
+def test_counting_in_a_crowd_compares_only_its_rim(spark):
+    pts, qs = crowd()
+    tree = quadtree.grow(load(spark, pts, "p").select("lat", "lon").distinct().withColumn("w", F.lit(1)))
+    at = load(spark, qs, "q").select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).distinct()
+    inside, rim = quadtree.within(at, tree, 25.0, pairs=False)
+    compared = rim.join(tree.placed, ["lv", "r", "c"]).count()
+    near = int((dist(qs, pts) <= 25.0).sum())
+    assert compared < near / 50 and inside.agg(F.sum("w")).first()[0] > 0.9 * near
+    counts = {r.q: r.n for r in spatial.radius_counts(load(spark, qs, "q"), load(spark, pts, "p"), "q", 25.0, "n").collect()}
+    assert counts == {i: int(x) for i, x in enumerate((dist(qs, pts) <= 25.0).sum(1))}
+
+
+def test_queries_without_coordinates_or_points_come_back_with_nulls(spark):
+    qs = spark.createDataFrame([(1, 40.0, -75.0), (2, None, -75.0), (3, None, None), (4, float("nan"), 1.0)], "q int, lat double, lon double")
+    pts = spark.createDataFrame([(7, 40.1, -75.0), (8, None, 1.0)], "p int, lat double, lon double")
+    got = {r.q: (r.p, r.idx) for r in spatial.knn_join(qs, pts, "q", "p", 3).collect()}
+    assert got == {1: (7, 0), 2: (None, None), 3: (None, None), 4: (None, None)}
+    assert {r.q: r.p for r in spatial.nearest_centroid(qs, pts, "q", "p").collect()} == {1: 7, 2: None, 3: None, 4: None}
+    assert {r.q: (r.sites_reachable, r.nearest_km) for r in spatial.proximity(qs, pts, "q", "p", 50.0).collect()}[2] == (0, None)
+    assert {r.q: r.p for r in spatial.knn_join(qs, pts.limit(0), "q", "p", 3).collect()} == dict.fromkeys([1, 2, 3, 4])
+
+
+def test_far_controls_are_settled_by_whole_cells(spark):
+    pts, qs = crowd(4000)
+    treated, controls = load(spark, pts, "u"), load(spark, qs, "u")
+    near = (dist(qs, pts) <= 10.0).any(1)
+    assert {r.u for r in spatial.far_controls(treated, controls, "u", 10.0).collect()} == set(np.flatnonzero(~near).tolist())
+
+
+def test_kernel_access_matches_all_pairs_and_the_neighbour_rule(spark):
+    rng = np.random.default_rng(3)
+    n = 150
+    pts = np.round(np.vstack([np.column_stack([rng.normal(40, 0.2, n), rng.normal(-75, 0.2, n)]), np.tile([[40.0, -75.0]], (20, 1))]), 6)
+    pop, sup = rng.uniform(0, 100, len(pts)).round(3), rng.integers(0, 5, len(pts)).astype(float)
+    rows = [(f"a{i:03d}", *map(float, p), float(pop[i]), float(sup[i])) for i, p in enumerate(pts)] + [("lost", None, None, 5.0, 1.0)]
+    areas = spark.createDataFrame(rows, "area string, lat double, lon double, pop double, sites double")
+    d = dist(pts, pts)
+    sigma = np.clip(np.sort(d, 1)[:, 30], 8, 60)
+    w = np.where(d <= 3 * sigma[:, None], np.exp(-0.5 * (d / sigma[:, None]) ** 2), 0)  # demand i, supply j
+    pool = pop @ w
+    want = w @ np.divide(sup, pool, out=np.zeros(len(pts)), where=pool > 0) * 1000
+    got = {r.area: r.sites for r in catchment.kernel_access(areas, "area", ["sites"], "pop").collect()}
+    assert got.pop("lost") is None
+    np.testing.assert_allclose([got[f"a{i:03d}"] for i in range(len(pts))], want, rtol=1e-9)
+    # with a support that reaches everything it is the rule of the nearest neighbours with all of them
+    all_of = {r.area: r.sites for r in catchment.adaptive_access(areas, "area", ["sites"], "pop", neighbours=len(pts)).collect()}
+    far = {r.area: r.sites for r in catchment.kernel_access(areas, "area", ["sites"], "pop", support=1e4).collect()}
+    assert all_of["lost"] is None and all(far[a] == pytest.approx(v, rel=1e-9) for a, v in all_of.items() if v is not None)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonometry.operators.spatial import knn_join, radius_join
+from zonometry.functions.sphere import haversine_km
+from zonometry.operators import quadtree
+from zonometry.operators.spatial import knn_join
 from zonometry.session import stage
 
 # Catchment radius and decay (km), bandwidth neighbour and clip, shortage threshold (people
@@ -14,6 +16,8 @@ CATCHMENT_KM, DECAY_KM = 16.0, 8.0
 BANDWIDTH_K, BANDWIDTH_MIN_KM, BANDWIDTH_MAX_KM = 30, 8.0, 60.0
 SHORTAGE_RATIO = 3500
 
+SUPPORT = 3.0  # bandwidths at which the kernel of ``kernel_access`` ends
+
 
 def gaussian(d: Column, sigma: Column) -> Column:
     return F.exp(F.lit(-0.5) * F.pow(d / sigma, 2))
@@ -37,19 +41,25 @@ def two_step(edges: DataFrame, areas: DataFrame, key: str, supplies: list[str],
         *[F.sum(F.col(s) * F.col("__w2")).alias(s) for s in supplies])
 
 
+def _bandwidth(near: DataFrame, key: str, bandwidth_k: int) -> DataFrame:
+    """``key, sigma`` from neighbour rows (``key, d, idx``): the clipped distance to neighbour ``bandwidth_k``, or to the last there is."""
+    far = near.where(F.col("idx") <= bandwidth_k).groupBy(key).agg(F.max("d").alias("__d"))
+    return far.select(key, F.greatest(F.lit(BANDWIDTH_MIN_KM), F.least(F.lit(BANDWIDTH_MAX_KM), "__d")).alias("sigma"))
+
+
 def adaptive_access(areas: DataFrame, key: str, supplies: list[str], demand: str, neighbours: int,
                     bandwidth_k: int = BANDWIDTH_K) -> DataFrame:
-    """Variable-bandwidth access per 1,000: bandwidth = distance to neighbour ``bandwidth_k`` (self is 0).
+    """Variable-bandwidth access per 1,000 among the ``neighbours`` nearest areas; ``kernel_access`` has no such bound.
 
-    With fewer areas than that, the farthest known neighbour sets it. Only ``neighbours`` areas are
+    Bandwidth = distance to neighbour ``bandwidth_k`` (self is 0). With fewer areas than that, the farthest known
+    neighbour sets it. Only ``neighbours`` areas are
     weighed; ``cut`` says where the last of them is nearer than three bandwidths, so that weight beyond it is
     missing. An area without coordinates has null access. Edges are staged once because bandwidth,
     pooling and access all read them.
     """
     near = f"{key}_near"
-    edges = stage(knn_join(areas, areas, key, key, neighbours), "knn-edges")
-    sigma = edges.where(F.col("idx") <= bandwidth_k).groupBy(key).agg(F.max("d").alias("__d"))
-    sigma = sigma.select(key, F.greatest(F.lit(BANDWIDTH_MIN_KM), F.least(F.lit(BANDWIDTH_MAX_KM), "__d")).alias("sigma"))
+    edges = stage(knn_join(areas, areas, key, key, neighbours).where("idx is not null"), "knn-edges")
+    sigma = _bandwidth(edges, key, bandwidth_k)
     theirs = sigma.select(F.col(key).alias(near), F.col("sigma").alias("sigma_near"))
     wide = edges.join(sigma, key).join(theirs, near)
     access = two_step(wide, areas, key, supplies, demand, near,
@@ -60,22 +70,56 @@ def adaptive_access(areas: DataFrame, key: str, supplies: list[str], demand: str
     return areas.select(key).join(per_1k, key, "left")
 
 
-def fixed_access(areas: DataFrame, key: str, supplies: list[str], demand: str,
-                 radius_km: float = CATCHMENT_KM, sigma_km: float = DECAY_KM) -> DataFrame:
-    """Fixed-radius access. Areas on one spot are pooled first: they share every edge weight.
+def _floating(spots: DataFrame, supplies: list[str]) -> DataFrame:
+    """``lat, lon`` and access: two passes over the pairs of places at most ``reach`` of the demand's place apart.
 
-    An area without coordinates has null access.
+    ``spots``: one row a place with ``dem``, ``sigma``, ``reach`` and the supplies. Pairs are met in the leaves of a tree and
+    summed where they are met, once by the place of supply, once by that of demand; they are never written.
     """
-    near = "place_near"
-    spots = areas.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon").agg(
+    tree = quadtree.grow(spots.withColumn("w", F.lit(1)))
+    places = spots.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("dem").alias("qdem"), F.col("sigma").alias("qsigma"), F.col("reach").alias("qreach"))
+    _, rim = quadtree.within(places, tree, F.col("qreach"))
+    rim = stage(rim, "catchment-leaves")
+
+    def met(leaves: DataFrame) -> DataFrame:
+        d = haversine_km(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
+        pairs = rim.join(leaves, ["lv", "r", "c"]).withColumn("d", d).where(F.col("d") <= F.col("qreach"))
+        return pairs.withColumn("weight", gaussian(F.col("d"), F.col("qsigma")))
+
+    pooled = met(tree.placed.select("lv", "r", "c", "lat", "lon")).groupBy("lat", "lon").agg(F.sum(F.col("qdem") * F.col("weight")).alias("__pool"))
+    ratio = [F.when(F.col("__pool") > 0, F.col(s) / F.col("__pool")).otherwise(0.0).alias(s) for s in supplies]
+    rated = tree.placed.join(pooled, ["lat", "lon"], "left").select("lv", "r", "c", "lat", "lon", *ratio)
+    access = met(stage(rated, "catchment-ratios")).groupBy("qlat", "qlon").agg(*[F.sum(F.col(s) * F.col("weight")).alias(s) for s in supplies])
+    return access.withColumnRenamed("qlat", "lat").withColumnRenamed("qlon", "lon")
+
+
+def _spots(areas: DataFrame, supplies: list[str], demand: str, *more: Column) -> DataFrame:
+    """Areas on one spot pooled: they share every weight."""
+    known = areas.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return known.groupBy("lat", "lon").agg(
         *[F.sum(F.coalesce(F.col(s), F.lit(0))).cast("double").alias(s) for s in supplies],
-        F.sum(F.coalesce(F.col(demand), F.lit(0))).cast("double").alias(demand))
-    spots = spots.withColumn("place", F.concat_ws(",", F.col("lat"), F.col("lon")))
-    edges = stage(radius_join(spots, spots.withColumnRenamed("place", near), "place", near, radius_km), "radius-edges")
-    w = gaussian(F.col("d"), F.lit(float(sigma_km)))
-    access = two_step(edges, spots, "place", supplies, demand, near, w, w)
-    at = spots.select("place", "lat", "lon").join(access, "place").drop("place")
-    return areas.select(key, "lat", "lon").join(at, ["lat", "lon"], "left").select(key, *supplies)
+        F.sum(F.coalesce(F.col(demand), F.lit(0))).cast("double").alias("dem"), *more)
+
+
+def kernel_access(areas: DataFrame, key: str, supplies: list[str], demand: str, bandwidth_k: int = BANDWIDTH_K,
+                  support: float = SUPPORT) -> DataFrame:
+    """Variable-bandwidth access per 1,000 over all areas within ``support`` of the demand's own bandwidths, however many.
+
+    The bandwidth is at most ``BANDWIDTH_MAX_KM``, so the reach is bounded by distance and not by a number of neighbours. An
+    area without coordinates has null access.
+    """
+    sigma = _bandwidth(knn_join(areas, areas, key, key, bandwidth_k + 1).where("idx is not null"), key, bandwidth_k)
+    spots = _spots(areas.join(sigma, key, "left"), supplies, demand, F.max("sigma").alias("sigma")).withColumn("reach", F.col("sigma") * support)
+    access = _floating(spots, supplies)
+    joined = areas.select(key, "lat", "lon").join(access, ["lat", "lon"], "left")
+    return joined.select(key, *[(F.col(s) * 1000.0).alias(s) for s in supplies])
+
+
+def fixed_access(areas: DataFrame, key: str, supplies: list[str], demand: str,
+                 radius_km: float = CATCHMENT_KM, sigma_km: float = DECAY_KM) -> DataFrame:
+    """Fixed-radius access. An area without coordinates has null access."""
+    spots = _spots(areas, supplies, demand).withColumn("sigma", F.lit(float(sigma_km))).withColumn("reach", F.lit(float(radius_km)))
+    return areas.select(key, "lat", "lon").join(_floating(spots, supplies), ["lat", "lon"], "left").select(key, *supplies)
 
 
 def shortage(access: DataFrame, areas: DataFrame, key: str, supply: str, demand: str) -> DataFrame:
