@@ -413,7 +413,8 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
     slices = max(LEAST_SLICES, min(MOST_SLICES, shards))
     nodes = nodes.select("*", F.size("v").alias("width"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
-    index = stage(_index(nodes.select("node", "weight", "v", *KEY), least), "shard-indexes")
+    # by range, so that each shard has a task of its own
+    index = stage(_index(nodes.select("node", "weight", "v", *KEY).repartitionByRange(shards, *KEY), least), "shard-indexes")
 
     conf, name = vectors.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     queries = nodes.select("width", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(slices)).cast("int").alias("slice"), F.col("node").alias("id"), F.col("shard").alias("from_shard"), "v", F.lit(NO_REP).alias("rep"))
