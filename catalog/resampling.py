@@ -146,16 +146,40 @@ def _margins(spark, sf):
     return m.where(F.col("variant") != "full").join(full, "replicate").select("replicate", "variant", (F.col("f") - F.col("m")).alias("margin"))
 
 
-@S.query("gate_report", with_sql(*_RANKED, _MARGIN.rstrip() + """,
+def paired_sql(tag: str, xs: list[str], outcomes: list[str], times: str) -> str:
+    """Correlations of columns with outcomes, as they are, in every replicate of 100 rows or more."""
+    rows = " UNION ALL ".join(f"SELECT block, '{x}' AS x, '{o}' AS outcome, {x} - avg({x}) OVER () AS a, {o} - avg({o}) OVER () AS b FROM blkq WHERE {x} IS NOT NULL AND {o} IS NOT NULL" for x in xs for o in outcomes)
+    return f"""
+ps{tag} AS (SELECT block, x, outcome, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab FROM ({rows}) GROUP BY 1, 2, 3),
+pr{tag} AS (SELECT replicate, x, outcome, (sum(ab * times) - sum(a * times) * sum(b * times) / sum(n * times)) / sqrt((sum(aa * times) - pow(sum(a * times), 2) / sum(n * times)) * (sum(bb * times) - pow(sum(b * times), 2) / sum(n * times))) AS r
+  FROM ps{tag} JOIN {times} USING (block) GROUP BY 1, 2, 3 HAVING sum(n * times) >= 100)
+"""
+
+
+_GATE = ci_sql("gr", "v", "stat, variant")
+
+
+@S.query("gate_report", with_sql(*_RANKED, _MARGIN.rstrip(), paired_sql("g", ["score", *R.SUBS], OUTCOMES, "tmq"), """
 gr AS (SELECT replicate, 'margin' AS stat, variant, margin AS v FROM mg UNION ALL SELECT replicate, 'mean_r', variant, m FROM mv
-  UNION ALL SELECT replicate, 'r_' || outcome, variant, r FROM rbq)""") + ci_sql("gr", "v", "stat, variant"))
+  UNION ALL SELECT replicate, 'r_' || outcome, variant, r FROM rbq
+  UNION ALL SELECT replicate, 'composite_mean_r', x, avg(r) FROM prg WHERE x = 'score' GROUP BY replicate, x
+  UNION ALL SELECT replicate, 'subscore_mean_abs_r', x, avg(abs(r)) FROM prg WHERE x <> 'score' GROUP BY replicate, x)""")
+         + f"SELECT g.*, (SELECT count(*) FROM biq) AS n_clusters, (SELECT count(*) FROM good) AS n_rows FROM ({_GATE}) g")
 def gate_report(spark, sf):
-    """Margins of the full composite over each drop, and mean and single r of the full and each drop, all with intervals."""
+    """Margins of the full composite over each drop, mean and single r of the full and each drop, mean r of the composite as it
+    is, mean absolute r of each sub-score, all with intervals; and how many clusters and rows they are drawn from."""
     r = ranked(spark, sf)
     margins = _margins(spark, sf).select("replicate", F.lit("margin").alias("stat"), "variant", F.col("margin").alias("v"))
     means = r.groupBy("replicate", "variant").agg(F.avg("r").alias("v")).select("replicate", F.lit("mean_r").alias("stat"), "variant", "v")
     single = r.select("replicate", F.concat(F.lit("r_"), "outcome").alias("stat"), "variant", F.col("r").alias("v"))
-    return ci(margins.unionByName(means).unionByName(single), "v", ["stat", "variant"])
+    rows = blocked(spark, sf)
+    paired = resample.paired_replicates(rows, ["score", *R.SUBS], OUTCOMES, "block", RANK_REPS, SEED)
+    own = F.col("x") == "score"
+    kind = F.when(own, "composite_mean_r").otherwise("subscore_mean_abs_r")
+    paired = paired.groupBy("replicate", kind.alias("stat"), F.col("x").alias("variant")).agg(F.avg(F.when(own, F.col("r")).otherwise(F.abs("r"))).alias("v"))
+    counts = rows.agg(F.countDistinct("block").alias("n_clusters"), F.count(F.lit(1)).alias("n_rows"))
+    every = stage(margins.unionByName(means).unionByName(single).unionByName(paired), "gate-replicates")
+    return ci(every, "v", ["stat", "variant"]).join(F.broadcast(counts))  # one row
 
 
 _FOCUS_SQL = """

@@ -349,9 +349,13 @@ def test_stage_uses_the_named_folder(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "stages").iterdir())
 
 
-def test_reranked_replicates_match_repeated_rows(spark):
+@pytest.mark.parametrize("limits", [{}, {"HEAVY_ROWS": 4, "RANK_BUCKET_ROWS": 40}, {"HEAVY_ROWS": 1, "MATRIX_BYTES": 0}])
+def test_reranked_replicates_match_repeated_rows(spark, monkeypatch, limits):
+    """Also with values that are split over their blocks, many buckets, and counts too large to send to every task."""
     from zonometry.operators import resample
 
+    for name, value in limits.items():
+        monkeypatch.setattr(resample, name, value)
     rng = np.random.default_rng(3)
     n = 400
     pdf = pd.DataFrame({"block": [f"b{i}" for i in rng.integers(0, 15, n)], "x": rng.integers(0, 60, n) * 1.5, "y": rng.normal(size=n), "o": rng.normal(size=n)})
@@ -370,6 +374,45 @@ def test_reranked_replicates_match_repeated_rows(spark):
         assert abs(row.r - np.corrcoef(rank[known], rep.o[known])[0, 1]) < 1e-9 and row.n == known.sum()
 
 
+def test_a_value_on_a_third_of_the_rows_is_split(spark, monkeypatch):
+    """Every row a block of its own, a third of them tied: no group holds more than the stated rows."""
+    from zonometry.operators import resample
+
+    n = 6000
+    df = spark.range(n).select(F.concat(F.lit("s"), "id").alias("block"), F.when(F.col("id") % 3 == 0, 50.0).otherwise(F.col("id") / n * 100).alias("x"), F.rand(1).alias("o"))
+    times = resample.draw_counts(resample.block_index(df, "block"), "block", 3, 5)
+    seen = []
+    keep = resample.stage
+    monkeypatch.setattr(resample, "stage", lambda d, name, *a: seen.append((name, keep(d, name, *a))) or seen[-1][1])
+    monkeypatch.setattr(resample, "HEAVY_ROWS", 200)
+    monkeypatch.setattr(resample, "RANK_BUCKET_ROWS", 500)
+    got = resample.ranked_replicates(df, times, "block", {"x": F.col("x")}, ["o"], 10).toPandas()
+    tables = dict(seen)
+    assert [tuple(r) for r in tables["heavy-values"].select("v", "salts").collect()] == [(50.0, 10)]
+    assert tables["value-buckets"].groupBy("bucket").count().agg(F.max("count")).first()[0] <= 1500
+    pdf, drawn = df.toPandas(), times.toPandas()
+    for row in got.itertuples():
+        t = drawn[drawn.replicate == row.replicate].set_index("block").times
+        rep = pdf.loc[pdf.index.repeat(pdf.block.map(t).fillna(0).astype(int))]
+        assert abs(row.r - np.corrcoef(rep.x.round(9).rank(), rep.o)[0, 1]) < 1e-9
+
+
+def test_paired_replicates_match_repeated_rows(spark):
+    from zonometry.operators import resample
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"block": rng.integers(0, 9, 300).astype(str), "a": rng.normal(size=300), "b": rng.normal(size=300), "o": rng.normal(size=300)})
+    pdf.loc[::5, "a"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "block string, a double, b double, o double")
+    drawn = resample.draw_counts(resample.block_index(df, "block"), "block", 5, 2).toPandas()
+    got = resample.paired_replicates(df, ["a", "b"], ["o"], "block", 5, 2, 10).toPandas()
+    assert len(got) == 12
+    for row in got.itertuples():
+        t = drawn[drawn.replicate == row.replicate].set_index("block").times
+        rep = pdf.loc[pdf.index.repeat(pdf.block.map(t).fillna(0).astype(int))].dropna(subset=[row.x])
+        assert abs(row.r - np.corrcoef(rep[row.x], rep.o)[0, 1]) < 1e-9
+
+
 def test_split_half_matches_means_of_halves(spark):
     from zonometry.operators import resample
 

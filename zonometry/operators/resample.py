@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonometry.functions.noise import digest, uniform
 from zonometry.operators.rank import exact_quantiles, global_index
-from zonometry.operators.stats import centred, gram, partials, sum_grams, weighted_r
+from zonometry.operators.stats import centred, corr_of, gram, partials, sum_grams, weighted_r
 from zonometry.session import stage
 
 
@@ -78,76 +78,140 @@ def intervals(stats: DataFrame, value: str, by: list[str] | None = None, lo: flo
     return out.withColumn("excludes_0", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
-RANK_BUCKET_ROWS = 20_000  # rows that one bucket of the ranked values is meant to hold
+RANK_BUCKET_ROWS = 4000  # tied (value, block) rows that one bucket of the ranked values is meant to hold
+HEAVY_ROWS = 2000  # of one value, from which it is split over its blocks
+MATRIX_BYTES = 64 << 20  # blocks x replicates counts up to which they are sent to every executor
+
+
+def _draw_vectors(times: DataFrame, block: str, width: int) -> DataFrame:
+    """``block, draws``: each block's counts in all replicates as 16-bit integers; replicate -1, the sample itself, has place 0."""
+
+    def dense(key, table):
+        out = np.zeros(width, "<u2")
+        out[table.column("replicate").to_numpy() + 1] = table.column("times").to_numpy()
+        return pa.table({"block": [key[0].as_py()], "draws": pa.array([out.tobytes()], pa.binary())})
+
+    kind = times.schema[block].dataType.simpleString()
+    return times.select(F.col(block).alias("block"), "replicate", "times").groupBy("block").applyInArrow(dense, f"block {kind}, draws binary")
 
 
 def ranked_replicates(df: DataFrame, times: DataFrame, block: str, variants: dict[str, Column],
                       outcomes: list[str], min_pairs: int = 100) -> DataFrame:
-    """r of each variant (0..100), re-ranked inside every replicate, with each outcome: replicate, variant, outcome, r, n.
+    """r of each variant, re-ranked inside every replicate, with each outcome: replicate, variant, outcome, r, n.
 
     A row drawn twice has weight two: ranks are weighted tie-averaged positions and the correlation is
-    weighted by the draws. The order of a variant's rows does not hang on the draw, so each row travels once,
-    to its bucket of values, with its block's draws as one vector. A first pass adds the vectors of a
-    bucket, their running sums give every bucket its offsets in all replicates at once, and a second pass
-    ranks the bucket's rows and leaves only sums per replicate. Rows x replicates are never rows.
+    weighted by the draws. Rows first collapse to (variant, value, block) sums, which are all that the six sums of a
+    correlation need. The blocks x replicates counts go to every executor as one matrix while they are small
+    (``MATRIX_BYTES``), else each collapsed row gets its block's vector by a join. Collapsed rows are dealt by range of their values;
+    a value with more than ``HEAVY_ROWS`` blocks is split over them and summed per replicate. Bucket totals give every bucket its
+    offsets in all replicates, and a second pass ranks a bucket's rows and leaves only sums per replicate.
     """
     values = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.round(v.cast("double"), 9).alias("v")) for n, v in variants.items()]))
-    rows = df.select(F.col(block).alias("block"), *[F.col(o).cast("double").alias(o) for o in outcomes], values.alias("s")).select("block", *outcomes, "s.*")
-    rows = stage(rows.where(F.col("v").isNotNull() & F.col("block").isNotNull()), "variant-rows")
-    buckets = max(8, -(-rows.count() // (len(variants) * RANK_BUCKET_ROWS)))
-    width = (times.agg(F.max("replicate")).first()[0] or 0) + 2  # replicate -1, the sample itself, has place 0
-    draws = times.groupBy(F.col(block).alias("block")).agg(F.collect_list(F.struct((F.col("replicate") + 1).alias("at"), "times")).alias("draws"))
-    slot = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("v") * buckets / 100))).cast("int")
-    dealt = rows.join(stage(draws, "draws"), "block").select("variant", slot.alias("bucket"), "v", *outcomes, "draws")
-
-    def matrix(table: pa.Table) -> np.ndarray:
-        lists = table.column("draws").combine_chunks()
-        flat, out = lists.flatten(), np.zeros((table.num_rows, width))
-        who = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
-        out[who, flat.field("at").to_numpy()] = flat.field("times").to_numpy()
-        return out
-
-    def total(key, table):
-        return pa.table({"variant": [key[0].as_py()], "bucket": pa.array([key[1].as_py()], pa.int32()), "total": [matrix(table).sum(0).tolist()]})
-
-    def offset(key, table):
-        table = table.sort_by("bucket")
-        sums = np.array(table.column("total").to_pylist())
-        upto = np.cumsum(sums, 0)
-        return pa.table({"variant": table.column("variant"), "bucket": table.column("bucket"), "before": (upto - sums).tolist(), "whole": [upto[-1].tolist()] * len(sums)})
+    rows = df.select(F.col(block).alias("block"), *[F.col(o).cast("double").alias(f"o{i}") for i, o in enumerate(outcomes)], values.alias("s")).select("*", "s.*").drop("s")
+    stats = [name for i in range(len(outcomes)) for name in (f"n{i}", f"b{i}", f"bb{i}")]
+    sums = [x.alias(f"{n}{i}") for i in range(len(outcomes)) for n, x in (
+        ("n", F.count(f"o{i}").cast("double")), ("b", F.coalesce(F.sum(f"o{i}"), F.lit(0.0))), ("bb", F.coalesce(F.sum(F.col(f"o{i}") * F.col(f"o{i}")), F.lit(0.0))))]
+    tied = rows.where(F.col("v").isNotNull() & F.col("block").isNotNull()).groupBy("variant", "v", "block").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
+    width = (times.agg(F.max("replicate")).first()[0] or 0) + 2
+    vectors = stage(_draw_vectors(times, block, width), "draws")
+    n_blocks = vectors.count()
+    if n_blocks * width * 2 <= MATRIX_BYTES:
+        drawn = vectors.collect()
+        place = {r["block"]: i for i, r in enumerate(drawn)}
+        shared = df.sparkSession.sparkContext.broadcast((place, np.frombuffer(b"".join(r["draws"] for r in drawn), "<u2").reshape(-1, width)))
+        tied = tied.join(vectors.select("block"), "block", "left_semi")
+    else:
+        shared, tied = None, tied.join(vectors, "block")
+    tied = stage(tied, "tied-rows")
+
+    def weights(table: pa.Table) -> np.ndarray:
+        if shared is None:
+            return np.frombuffer(b"".join(table.column("draws").to_pylist()), "<u2").reshape(-1, width).astype(float)
+        place, matrix = shared.value
+        return matrix[[place[x] for x in table.column("block").to_pylist()]].astype(float)
+
+    replicates = np.arange(-1, width - 1, dtype=np.int32)
+
+    def heavy_sums(key, table):
+        w = weights(table)
+        cols = {c: table.column(c).to_numpy() @ w for c in ("n", *stats)}
+        return pa.table({"variant": [key[0].as_py()] * width, "v": [key[1].as_py()] * width, "replicate": replicates} | cols)
+
+    def bucket_totals(key, table):
+        total = table.column("n").to_numpy() @ weights(table)
+        return pa.table({"variant": [key[0].as_py()] * width, "bucket": pa.array([key[1].as_py()] * width, pa.int32()), "cut": pa.array([key[2].as_py()] * width, pa.int32()),
+                         "v": [min(table.column("v").to_pylist())] * width, "replicate": replicates, "n": total})
 
     names = ["n", "sw", "sa", "sb", "saa", "sbb", "sab"]
 
-    def rank_sums(key, table, around):
+    def bucket_sums(key, table, around):
         table = table.sort_by("v")
-        w, v = matrix(table), table.column("v").to_numpy()
-        before, whole = np.array(around.column("before")[0].as_py()), np.array(around.column("whole")[0].as_py())
+        w, v, n = weights(table), table.column("v").to_numpy(), table.column("n").to_numpy()
+        before, whole = [np.array(around.column(c)[0].as_py()) for c in ("before", "whole")]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        ties = np.add.reduceat(w, first, 0)
+        ties = np.add.reduceat(n[:, None] * w, first, 0)
         below = np.cumsum(ties, 0) - ties
         # centred on the known mean of the ranks, so that the sums keep their digits
-        a = (before + below + (ties + 1) / 2 - (whole + 1) / 2)[np.repeat(np.arange(len(first)), np.diff([*first, len(v)]))]
+        a = (before + below + (ties + 1) / 2 - (whole + 1) / 2)[np.repeat(np.arange(len(first)), np.diff([*first, len(v)]))] * w
         out = []
-        for o in outcomes:
-            b = table.column(o).to_numpy(zero_copy_only=False)[:, None]
-            known = ~np.isnan(b[:, 0])
-            x, y, k = a[known], b[known], w[known]
-            sums = [k.sum(0), k.sum(0), (k * x).sum(0), (k * y).sum(0), (k * x * x).sum(0), (k * y * y).sum(0), (k * x * y).sum(0)]
-            out.append(pa.table({"replicate": np.arange(-1, width - 1, dtype=np.int32), "variant": [key[0].as_py()] * width, "outcome": [o] * width} | dict(zip(names, sums))))
+        for i, o in enumerate(outcomes):
+            k, b, bb = [table.column(f"{c}{i}").to_numpy() for c in ("n", "b", "bb")]
+            aa = np.einsum("i,ij,ij->j", k, a, np.divide(a, w, out=np.zeros_like(a), where=w > 0))
+            sums = [k @ w, k @ w, k @ a, b @ w, aa, bb @ w, b @ a]
+            out.append(pa.table({"replicate": replicates, "variant": [key[0].as_py()] * width, "outcome": [o] * width} | dict(zip(names, sums))))
         return pa.concat_tables(out)
 
-    totals = dealt.groupBy("variant", "bucket").applyInArrow(total, "variant string, bucket int, total array<double>")
-    offsets = stage(totals.groupBy("variant").applyInArrow(offset, "variant string, bucket int, before array<double>, whole array<double>"), "offsets")
+    heavy = tied.groupBy("variant", "v").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HEAVY_ROWS)
+    heavy = stage(heavy.select("variant", "v", F.ceil(F.col("m") / HEAVY_ROWS).alias("salts")), "heavy-values")
+    light = tied.join(heavy, ["variant", "v"], "left_anti")
+    buckets = max(4, -(-light.count() // RANK_BUCKET_ROWS))
+    # a bucket is cut at the heavy values that lie inside it
+    marked = light.withColumn("mark", F.lit(False)).unionByName(heavy.select("variant", "v", F.lit(True).alias("mark")), allowMissingColumns=True)
+    dealt = stage(marked.repartitionByRange(buckets, "variant", "v").withColumn("bucket", F.spark_partition_id()), "marked-buckets")
+    cut = F.count_if("mark").over(Window.partitionBy("variant", "bucket").orderBy("v")).cast("int")
+    light = stage(dealt.withColumn("cut", cut).where("not mark").drop("mark"), "value-buckets")
+    split = tied.join(heavy, ["variant", "v"]).withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")))
+    each, part = ["variant", "v", "replicate"], ["variant", "bucket", "cut"]
+    pieces = split.groupBy("variant", "v", "salt").applyInArrow(heavy_sums, "variant string, v double, replicate int, " + ", ".join(f"{c} double" for c in ("n", *stats)))
+    pieces = pieces.groupBy(*each).agg(*[F.sum(c).alias(c) for c in ("n", *stats)])
+    totals = light.groupBy(*part).applyInArrow(bucket_totals, "variant string, bucket int, cut int, v double, replicate int, n double")
+
+    order = Window.partitionBy("variant", "replicate").orderBy("v")
+    both = totals.unionByName(pieces, allowMissingColumns=True)
+    placed = both.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    placed = stage(placed.withColumn("whole", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))), "offsets")
+    lists = placed.where("bucket is not null").groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("replicate", "before", "whole"))).alias("x"))
+    offsets = lists.select(*part, F.col("x.before").alias("before"), F.col("x.whole").alias("whole"))
     schema = "replicate int, variant string, outcome string, " + ", ".join(f"{n} double" for n in names)
-    parts = dealt.groupBy("variant", "bucket").cogroup(offsets.groupBy("variant", "bucket")).applyInArrow(rank_sums, schema)
+    parts = light.groupBy(*part).cogroup(offsets.groupBy(*part)).applyInArrow(bucket_sums, schema)
+    a = F.col("before") + (F.col("n") + 1) / 2 - (F.col("whole") + 1) / 2
+    by_value = placed.where("bucket is null").withColumn("a", a)
+    for i, o in enumerate(outcomes):
+        k, b, bb = [F.col(f"{c}{i}") for c in ("n", "b", "bb")]
+        cols = [k, k, k * F.col("a"), b, k * F.col("a") * F.col("a"), bb, b * F.col("a")]
+        parts = parts.unionByName(by_value.select("replicate", "variant", F.lit(o).alias("outcome"), *[c.alias(n) for c, n in zip(cols, names)]))
     sums = parts.groupBy("replicate", "variant", "outcome").agg(*[F.sum(n).alias(n) for n in names]).where("n > 0")
     return sums.select("replicate", "variant", "outcome", weighted_r(min_pairs).alias("r"), "n")
 
 
+def paired_replicates(df: DataFrame, xs: list[str], outcomes: list[str], block: str, replicates: int, seed: int,
+                      min_pairs: int = 100) -> DataFrame:
+    """(replicate, x, outcome, r): correlations of every column with every outcome, as they are, in every replicate.
+
+    All pairs are stacked, each on its own complete rows, and collapse to block sums in one combine.
+    """
+    pairs = [F.struct(F.lit(x).alias("x"), F.lit(o).alias("outcome"), F.col(x).cast("double").alias("a"), F.col(o).cast("double").alias("b")) for x in xs for o in outcomes]
+    known = df.select(F.col(block).alias("block"), F.explode(F.array(*pairs)).alias("s")).select("block", "s.*").where("a is not null and b is not null")
+    means = known.groupBy("x", "outcome").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))  # one row a pair
+    centre = known.join(F.broadcast(means), ["x", "outcome"]).select("block", "x", "outcome", (F.col("a") - F.col("ma")).alias("a"), (F.col("b") - F.col("mb")).alias("b"))
+    sums = stage(gram(centre, ["a", "b"], ["block", "x", "outcome"]), "pair-grams")
+    times = draw_counts(block_index(df.select(F.col(block).alias("block")), "block"), "block", replicates, seed)
+    grams = sum_grams(sums.join(times, "block"), 2, ["replicate", "x", "outcome"], F.col("times"))
+    return grams.where(F.col("n") >= min_pairs).select("replicate", "x", "outcome", corr_of(0, 1).alias("r"))
+
+
 def split_assignment(items: list[str], splits: int, seed: int, spark) -> DataFrame:
     """(split, item, half): every split cuts the items into two random halves of floor/ceil size."""
-    from pyspark.sql import Window
-
     base = spark.range(splits).select(F.col("id").cast("int").alias("split"),
                                       F.explode(F.array(*[F.lit(i) for i in items])).alias("item"))
     order = Window.partitionBy("split").orderBy(digest(F.lit(seed), F.col("split"), F.col("item")), "item")
