@@ -198,14 +198,37 @@ plac AS (SELECT unit, year, rate, state, pop, cohort - 3 AS cohort FROM clean WH
 _VAR = {"headline": "clean", "spillover": "spill", "loose": "loose", "placebo": "plac"}
 
 
-@S.query("robustness_battery", with_sql(PANEL_SQL, CLEAN_SQL, _PT, _SPILL, *[att_sql(f"_{n}", src, "pop") for n, src in _VAR.items()]) + " UNION ALL ".join(
-    f"SELECT '{n}' AS variant, (SELECT count(DISTINCT unit) FROM {src} WHERE cohort IS NOT NULL) AS n_treated, round((SELECT sum(att * n) / sum(n) FROM att_{n} WHERE e >= 0), 4) AS overall_att" for n, src in _VAR.items()))
+_ROBUST_REPS = 300
+
+
+def _robust_sql(name: str, src: str) -> str:
+    """One variant: treated units, overall effect and its interval with whole units drawn."""
+    return f"""
+ri_{name} AS (SELECT unit AS block, row_number() OVER (ORDER BY unit) - 1 AS idx FROM (SELECT DISTINCT unit FROM {src})),
+rk_{name} AS (SELECT b, CAST(floor({u_sql('h', 0)} * n) AS BIGINT) AS idx, count(*) AS times FROM (SELECT b, idx, n, md5('{SEED}|' || b || '|' || idx) AS h
+  FROM range(0, {_ROBUST_REPS}) r(b), ri_{name}, (SELECT count(*) AS n FROM ri_{name})) GROUP BY 1, 2),
+rt_{name} AS (SELECT b AS replicate, block, times FROM rk_{name} JOIN ri_{name} USING (idx) UNION ALL SELECT -1, block, 1 FROM ri_{name}),
+ry_{name} AS (SELECT replicate, p.state, p.cohort, p.year AS t, b.year AS base, sum(p.pop * (p.rate - b.rate) * times) AS sw, sum(p.pop * times) AS w, sum(times) AS n
+  FROM {src} p JOIN (SELECT unit, year, rate FROM {src}) b ON b.unit = p.unit AND b.year IN (SELECT DISTINCT cohort - 1 FROM {src} WHERE cohort IS NOT NULL)
+  JOIN rt_{name} ON block = p.unit WHERE p.year <> b.year GROUP BY 1, 2, 3, 4, 5),
+rp_{name} AS (SELECT g.replicate, g.t - g.cohort AS e, g.n, g.sw / g.w - sum(c.sw) / sum(c.w) AS att FROM ry_{name} g JOIN ry_{name} c ON c.replicate = g.replicate AND c.state = g.state
+  AND c.t = g.t AND c.base = g.base AND (c.cohort IS NULL OR c.cohort > greatest(g.t, g.cohort)) WHERE g.cohort = g.base + 1
+  GROUP BY g.replicate, g.state, g.cohort, g.t, g.n, g.sw, g.w HAVING sum(c.n) >= 2),
+ro_{name} AS (SELECT replicate, '{name}' AS variant, sum(att * n) / sum(n) AS v FROM rp_{name} WHERE e >= 0 GROUP BY 1)"""
+
+
+@S.query("robustness_battery", with_sql(PANEL_SQL, CLEAN_SQL, _PT, _SPILL, *[_robust_sql(n, src) for n, src in _VAR.items()],
+         "ra AS (" + " UNION ALL ".join(f"SELECT * FROM ro_{n}" for n in _VAR) + ")",
+         "rn AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, count(DISTINCT unit) AS n_treated FROM {src} WHERE cohort IS NOT NULL" for n, src in _VAR.items()) + ")")
+         + f"SELECT variant, n_treated, point AS overall_att, ci_lo, ci_hi, n_boot, excludes_0 FROM ({ci_sql('ra', 'v', 'variant', 4)}) JOIN rn USING (variant)")
 def robustness_battery(spark, sf):
+    """Each variant's overall effect with an interval of 300 draws of whole units."""
     clean = built(spark, sf)
     pts = R.panel_stage(spark, sf).select("unit", *R.point(F.col("uid"), 977, 1201)).distinct()
     variants = {"headline": clean, "spillover": es.drop_spillover(clean, pts, "unit", "cohort"), "loose": built(spark, sf, "loose"),
                 "placebo": es.placebo_in_time(clean, "cohort", "year")}
-    return r6(es.robustness(variants, "unit", "year", "rate", "state", "cohort", "pop"), "overall_att", n=4)
+    out = es.robustness(variants, "unit", "year", "rate", "state", "cohort", "pop", _ROBUST_REPS, SEED)
+    return r6(out, "overall_att", "ci_lo", "ci_hi", n=4)
 
 
 # ---- intervals of the staggered effects ------------------------------------------------------
@@ -224,11 +247,12 @@ at{tag} AS (SELECT b AS replicate, block, times FROM ak{tag} JOIN ai{tag} USING
 ay{tag} AS (SELECT replicate, p.state, p.cohort, p.year AS t, b.year AS base, sum(p.pop * (p.rate - b.rate) * times) AS sw, sum(p.pop * times) AS w, sum(times) AS n
   FROM cb{tag} p JOIN (SELECT unit, year, rate FROM clean) b ON b.unit = p.unit AND b.year IN (SELECT DISTINCT cohort - 1 FROM clean WHERE cohort IS NOT NULL)
   JOIN at{tag} USING (block) WHERE p.year <> b.year GROUP BY 1, 2, 3, 4, 5),
-ap{tag} AS (SELECT g.replicate, g.t - g.cohort AS e, g.n, g.sw / g.w - sum(c.sw) / sum(c.w) AS att FROM ay{tag} g JOIN ay{tag} c ON c.replicate = g.replicate AND c.state = g.state
+ap{tag} AS (SELECT g.replicate, g.state, g.cohort, g.t - g.cohort AS e, g.n, g.sw / g.w - sum(c.sw) / sum(c.w) AS att FROM ay{tag} g JOIN ay{tag} c ON c.replicate = g.replicate AND c.state = g.state
   AND c.t = g.t AND c.base = g.base AND (c.cohort IS NULL OR c.cohort > greatest(g.t, g.cohort)) WHERE g.cohort = g.base + 1
   GROUP BY g.replicate, g.state, g.cohort, g.t, g.n, g.sw, g.w HAVING sum(c.n) >= 2),
 ao{tag} AS (SELECT replicate, 'full' AS horizon, sum(att * n) / sum(n) AS v FROM ap{tag} WHERE e >= 0 GROUP BY 1
-  UNION ALL SELECT replicate, 'capped', sum(att * n) / sum(n) FROM ap{tag} WHERE e BETWEEN 0 AND 1 GROUP BY 1)"""
+  UNION ALL SELECT replicate, 'capped', sum(att * n) / sum(n) FROM ap{tag} WHERE e BETWEEN 0 AND 1 GROUP BY 1
+  UNION ALL SELECT replicate, 'e' || e, sum(att * n) / sum(n) FROM ap{tag} GROUP BY replicate, e HAVING count(DISTINCT (state, cohort)) >= 2)"""
 
 
 _ATT_BOOT = (PANEL_SQL, CLEAN_SQL, _att_boot_sql("unit", "u"), _att_boot_sql("county", "c"),
@@ -236,7 +260,7 @@ _ATT_BOOT = (PANEL_SQL, CLEAN_SQL, _att_boot_sql("unit", "u"), _att_boot_sql("co
 
 
 def att_boot(spark, sf):
-    """(block, horizon, replicate, v): overall effects with whole units or whole counties drawn."""
+    """(block, horizon, replicate, v): overall effects, and the event path (horizon e-2, e-1, e0, ...), with whole units or whole counties drawn."""
     def build():
         county = R.panel_stage(spark, sf).select("unit", "county").distinct()
         clean = built(spark, sf).join(county, "unit")
@@ -248,20 +272,23 @@ def att_boot(spark, sf):
             for horizon, most in (("full", None), ("capped", 1)):
                 one = pn.overall_att(att, ["replicate"], most)
                 parts.append(one.select(F.lit(kind).alias("block"), F.lit(horizon).alias("horizon"), "replicate", F.col("overall_att").alias("v")))
+            path = pn.aggregate_event(att, "state", ["replicate"])
+            parts.append(path.select(F.lit(kind).alias("block"), F.concat(F.lit("e"), "e").alias("horizon"), "replicate", F.col("att").alias("v")))
         return reduce(lambda a, b: a.unionByName(b), parts)
 
     return R.once(spark, sf, "att-boot", build)
 
 
-@S.query("att_bootstrap", with_sql(*_ATT_BOOT) + ci_sql("ab", "v", "block, horizon", 4))
+# an event time counts where a quarter of the replicates has it
+@S.query("att_bootstrap", with_sql(*_ATT_BOOT) + f"SELECT * FROM ({ci_sql('ab', 'v', 'block, horizon', 4)}) WHERE n_boot >= {ATT_REPS} / 4")
 def att_bootstrap(spark, sf):
-    return ci(att_boot(spark, sf), "v", ["block", "horizon"], 4)
+    return ci(att_boot(spark, sf), "v", ["block", "horizon"], 4).where(F.col("n_boot") >= ATT_REPS / 4)
 
 
 @S.query("verdict", with_sql(*_ATT_BOOT, att_sql("", "clean", "pop"), """
 path AS (SELECT e, sum(att * n) / sum(n) AS a FROM att GROUP BY 1 HAVING count(DISTINCT (state, g)) >= 2),
 x AS (SELECT block, horizon, max(v) FILTER (WHERE replicate = -1) AS ov, quantile_cont(v, 0.025) FILTER (WHERE replicate >= 0) AS lo, quantile_cont(v, 0.975) FILTER (WHERE replicate >= 0) AS hi,
-  (SELECT sqrt(avg(a * a)) FROM path WHERE e < 0) AS rms, (SELECT count(DISTINCT unit) FROM clean WHERE cohort IS NOT NULL) AS n_treated FROM ab GROUP BY 1, 2)""") + """
+  (SELECT sqrt(avg(a * a)) FROM path WHERE e < 0) AS rms, (SELECT count(DISTINCT unit) FROM clean WHERE cohort IS NOT NULL) AS n_treated FROM ab WHERE horizon IN ('full', 'capped') GROUP BY 1, 2)""") + """
 SELECT block, horizon, pre_clean, CASE WHEN ex AND ov < 0 AND pre_clean THEN 'detected' WHEN ex AND ov < 0 THEN 'suggestive' WHEN ex AND ov > 0 THEN 'wrong-signed'
   WHEN NOT ex AND abs(ov) > 0 AND abs(CASE WHEN ov < 0 THEN hi ELSE lo END) < abs(ov) * 0.2 AND ov < 0 THEN 'borderline' ELSE 'none' END AS verdict,
   CASE WHEN n_treated >= 240 THEN 'powered' WHEN n_treated >= 110 THEN 'pilot' ELSE 'underpowered' END AS power_band
@@ -269,7 +296,7 @@ SELECT block, horizon, pre_clean, CASE WHEN ex AND ov < 0 AND pre_clean THEN 'de
 def verdict(spark, sf):
     """The overall effect judged by its bootstrap interval, by units and by counties."""
     clean = built(spark, sf)
-    boot = resample.intervals(att_boot(spark, sf), "v", ["block", "horizon"])
+    boot = resample.intervals(att_boot(spark, sf).where(F.col("horizon").isin("full", "capped")), "v", ["block", "horizon"])
     pre = es.event_summary(_att(spark, sf), "state").select("pre_rms")
     size = clean.where(F.col("cohort").isNotNull()).agg(F.countDistinct("unit").alias("n_treated"))
     rows = boot.withColumnRenamed("point", "overall_att").join(F.broadcast(pre)).join(F.broadcast(size))  # one row each

@@ -310,8 +310,7 @@ def did_boot(spark, sf, block: str):
     def build():
         p = R.panel_stage(spark, sf).select("unit", "year", "rate", "barrier", F.col(block).alias("block"))
         times = resample.draw_counts(resample.block_index(p, "block"), "block", PANEL_REPS, SEED)
-        copies = stage(pn.replicate_panel(p, times, "block", "unit"), "panel-copies")
-        return pn.did_coef(copies, "unit", "year", "rate", "barrier", 1998, ["replicate"])
+        return pn.did_replicates(p, stage(times, "panel-times"), "block", "unit", "year", "rate", "barrier", 1998)
 
     return R.once(spark, sf, f"did-boot-{block}", build)
 

@@ -85,11 +85,63 @@ def event_study(panel: DataFrame, unit: str, period: str, y: str, barrier: str,
     return wide.select(*by, rows.alias("s")).select(*by, "s.*")
 
 
-def replicate_panel(panel: DataFrame, times: DataFrame, block: str, unit: str) -> DataFrame:
-    """Panel rows of every replicate; each copy of a block keeps units of its own."""
-    rows = panel.join(times, block)
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return copies.withColumn(unit, F.concat_ws("__", F.col(unit), F.col("copy"))).drop("times", "copy")
+def replicated_slopes(panel: DataFrame, times: DataFrame, block: str, unit: str, period: str, y: str, xs: list[str]) -> DataFrame:
+    """``slopes`` of ``y`` on ``xs`` after two-way demeaning, in every replicate of ``times``: rows ``replicate, xs``.
+
+    A block drawn twice stands for two sets of units. Units keep their means whatever is drawn, so the demeaned
+    cross products are those of the deviations from unit means, less what the replicate's period means take away; both come
+    from sums per block and period. The panel is read once and never copied.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from zonometry.operators.resample import drawn_sums
+
+    cols, k = [y, *xs], len(xs) + 1
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    work = panel.where(known).select(block, unit, F.col(period).cast("long").alias(period), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    means = work.groupBy(unit).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)])
+    own = work.join(means, unit).withColumns({f"u{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(k)})
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = own.groupBy(block, period).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(k)], *[F.sum(f"u{i}").alias(f"u{i}") for i in range(k)],
+        *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"g{i}_{j}") for i, j in pairs])
+    names = ["n", *[f"s{i}" for i in range(k)], *[f"u{i}" for i in range(k)], *[f"g{i}_{j}" for i, j in pairs]]
+    drawn = drawn_sums(stage(sums, "panel-sums"), times, block, period, names).where("n > 0")
+    each = drawn.groupBy("replicate").agg(F.collect_list(F.struct(*names)).alias("t"))  # a row a period
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for replicate, rows in zip(pdf["replicate"], pdf["t"]):
+                v = np.array([[r[c] for c in names] for r in rows])
+                n, s, u = v[:, :1], v[:, 1 : 1 + k], v[:, 1 + k : 1 + 2 * k]
+                c = s / n - s.sum(0) / n.sum()
+                g = np.zeros((k, k))
+                for (i, j), total in zip(pairs, v[:, 1 + 2 * k :].sum(0)):
+                    g[i, j] = g[j, i] = total
+                g = g - c.T @ u - u.T @ c + (n * c).T @ c
+                beta = np.linalg.lstsq(g[1:, 1:], g[1:, 0], rcond=None)[0] if np.diag(g)[1:].max() > 0 else np.full(k - 1, np.nan)
+                out.append((replicate, *beta))
+            yield pd.DataFrame(out, columns=["replicate", *xs])
+
+    solved = each.mapInPandas(solve, "replicate int, " + ", ".join(f"`{x}` double" for x in xs))
+    return solved.select("replicate", *[F.nanvl(F.col(x), F.lit(None).cast("double")).alias(x) for x in xs])
+
+
+def did_replicates(panel: DataFrame, times: DataFrame, block: str, unit: str, period: str, y: str, barrier: str, start: int) -> DataFrame:
+    """``did_coef`` in every replicate: rows ``replicate, did``."""
+    rows = replicated_slopes(did_frame(panel, barrier, period, start), times, block, unit, period, y, ["post_x"])
+    return rows.withColumnRenamed("post_x", "did")
+
+
+def event_replicates(panel: DataFrame, times: DataFrame, block: str, unit: str, period: str, y: str, barrier: str, periods: list[int], base: int) -> DataFrame:
+    """``event_study`` in every replicate: rows ``replicate, period, beta``."""
+    ks = [p for p in periods if p != base]
+    work = panel.withColumns({f"x_{p}": F.col(barrier) * (F.col(period) == p).cast("double") for p in ks})
+    wide = replicated_slopes(work, times, block, unit, period, y, [f"x_{p}" for p in ks])
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"x_{p}").alias("beta")) for p in ks]))
+    return wide.select("replicate", rows.alias("s")).select("replicate", "s.*")
 
 
 def triple_diff(panel: DataFrame, unit: str, period: str, state: str, y: str, barrier: str, start: int, treated: str,

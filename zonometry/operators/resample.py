@@ -95,6 +95,34 @@ def _draw_vectors(times: DataFrame, block: str, width: int) -> DataFrame:
     return times.select(F.col(block).alias("block"), "replicate", "times").groupBy("block").applyInArrow(dense, f"block {kind}, draws binary")
 
 
+def drawn_sums(sums: DataFrame, times: DataFrame, block: str, cell: str, cols: list[str]) -> DataFrame:
+    """``replicate, cell`` and the sums of ``cols`` (rows ``block, cell, cols``), each block's times its draws in every replicate.
+
+    A block's sums and its vector of draws meet in one row, and a task adds (replicates x blocks) by (blocks x sums)
+    products, so neither rows nor blocks are ever copied per replicate. Cells (periods, say) are few.
+    """
+    width = (times.agg(F.max("replicate")).first()[0] or 0) + 2
+    each = sums.groupBy(F.col(block).alias("block")).agg(F.collect_list(F.struct(F.col(cell).cast("long").alias("cell"), *[F.col(c).cast("double").alias(c) for c in cols])).alias("x"))
+    joined = each.join(_draw_vectors(times, block, width), "block").select("x", "draws")
+
+    def run(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lists = batch.column("x")
+            flat, who = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            x = np.column_stack([flat.field(c).to_numpy() for c in cols])
+            w = np.frombuffer(b"".join(batch.column("draws").to_pylist()), "<u2").reshape(-1, width).astype(float)
+            cells = flat.field("cell").to_numpy()
+            for c in np.unique(cells).tolist():
+                at = np.flatnonzero(cells == c)
+                out[c] = out.get(c, 0.0) + w[who[at]].T @ x[at]
+        for c, total in out.items():
+            yield pa.record_batch([pa.array(np.arange(-1, width - 1, dtype=np.int32)), pa.array(np.full(width, c)), *[pa.array(v) for v in total.T.copy()]], ["replicate", "cell", *cols])
+
+    parts = joined.mapInArrow(run, "replicate int, cell long, " + ", ".join(f"`{c}` double" for c in cols))
+    return parts.groupBy("replicate", "cell").agg(*[F.sum(c).alias(c) for c in cols])
+
+
 def ranked_replicates(df: DataFrame, times: DataFrame, block: str, variants: dict[str, Column],
                       outcomes: list[str], min_pairs: int = 100) -> DataFrame:
     """r of each variant, re-ranked inside every replicate, with each outcome: replicate, variant, outcome, r, n.

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from zonometry.operators.aggregates import outlier_trim, standardize
 from zonometry.operators.joins import coverage_filter, placebo_shift
-from zonometry.operators.panel import aggregate_event, att_gt, event_study, overall_att, replicate_panel
+from zonometry.operators.panel import aggregate_event, att_gt, event_replicates, overall_att
+from zonometry.operators.resample import block_index, draw_counts, intervals
 from zonometry.operators.spatial import far_controls
 from zonometry.operators.stats import chi2_tail, solve_rows
 from zonometry.session import stage
 
-# Population floor, coverage share, spillover distance, placebo shift, capped horizon.
-MIN_POP, COVERAGE, SPILLOVER_KM, PLACEBO_YEARS, HORIZON = 1000, 0.8, 10.0, 3, 4
+# Population floor, coverage share, spillover distance, placebo shift, capped horizon, draws for a variant.
+MIN_POP, COVERAGE, SPILLOVER_KM, PLACEBO_YEARS, HORIZON, ROBUST_REPLICATES = 1000, 0.8, 10.0, 3, 4, 300
 
 
 def state_panel(panel: DataFrame, units: DataFrame, unit: str, period: str, y: str, barrier: str, pop: str,
@@ -55,12 +56,15 @@ def drop_spillover(panel: DataFrame, points: DataFrame, unit: str, cohort: str,
     return panel.join(keep, unit, "left_semi")
 
 
-def robustness(variants: dict[str, DataFrame], unit: str, period: str, y: str, state: str, cohort: str, weight: str | None) -> DataFrame:
-    """One row per variant: treated units and overall effect."""
+def robustness(variants: dict[str, DataFrame], unit: str, period: str, y: str, state: str, cohort: str, weight: str | None,
+               replicates: int = ROBUST_REPLICATES, seed: int = 0) -> DataFrame:
+    """One row per variant: treated units, overall effect, its interval with whole units drawn, whether that excludes 0."""
     parts = []
     for name, p in variants.items():
-        p = stage(p, "variant")
-        effect = overall_att(att_gt(p, unit, period, y, state, cohort, weight))
+        p = stage(p.withColumn("__block", F.col(unit)), "variant")
+        times = stage(draw_counts(block_index(p, "__block"), "__block", replicates, seed), "variant-times")
+        drawn = overall_att(att_gt(p, unit, period, y, state, cohort, weight, times, "__block"), ["replicate"])
+        effect = intervals(stage(drawn, "variant-effects"), "overall_att").select(F.col("point").alias("overall_att"), "ci_lo", "ci_hi", "n_boot", "excludes_0")
         n = p.where(F.col(cohort).isNotNull()).agg(F.countDistinct(unit).alias("n_treated"))
         parts.append(effect.join(F.broadcast(n)).withColumn("variant", F.lit(name)))  # one row each
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -83,14 +87,13 @@ def pre_trend_wald(panel: DataFrame, times: DataFrame, block: str, unit: str, pe
                    periods: list[int], base: int, start: int) -> DataFrame:
     """Joint test that the coefficients before ``start`` are zero: (chi2, df, p, passes).
 
-    Coefficients of every replicate come from one set of Gram rows; their covariance and the
+    Coefficients of every replicate come from one set of block sums; their covariance and the
     final solve are on a handful of numbers.
     """
     import numpy as np
 
     pre = [p for p in periods if p != base and p < start]
-    copies = stage(replicate_panel(panel, times, block, unit), "wald-copies")
-    betas = event_study(copies, unit, period, y, barrier, periods, base, ["replicate"])
+    betas = event_replicates(panel, times, block, unit, period, y, barrier, periods, base)
     betas = stage(betas.where(F.col("period").isin(pre)), "wald-betas")
     wide = betas.groupBy("replicate").agg(*[F.max(F.when(F.col("period") == p, F.col("beta"))).alias(f"b_{p}") for p in pre])
     drawn = F.col("replicate") >= 0
