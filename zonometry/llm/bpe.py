@@ -62,17 +62,18 @@ def _dealt(words: list[str], n: int) -> tuple[list[bytes], np.ndarray, np.ndarra
     return [coded[i] for i in order.tolist()], part, np.flatnonzero(np.diff(part, prepend=-1))
 
 
-def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None,
+           bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``keep`` columns (all by default) with ``n_tokens`` and ``ids``: token ids, 4 bytes each, little-endian.
 
     Each match of ``pattern`` is merged on its own, without special tokens. A null or empty text has no
-    tokens; repeated rows stay; columns named like the added ones are refused.
+    tokens; repeated rows stay; columns named like the added ones are refused. ``bucket_bytes``: text that one task holds at a time.
     """
     keep = list(docs.columns) if keep is None else list(keep)
     C.require_free(docs.select(*keep), "n_tokens", "ids")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     vocabulary = spark.sparkContext.broadcast(load_ranks(ranks))
     slim = C.small_batches(docs).select(*keep, *([] if text in keep else [text]))
 
@@ -101,6 +102,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
             words, part, first = _dealt(list(found), n)
             blobs = [_press(words[a:b]) for a, b in zip(first, [*first[1:], len(words)])]
             yield pa.record_batch([pa.array(part[first].astype(np.int32)), pa.array([key] * len(first), pa.int32()), pa.array(blobs, pa.binary())], ["part", "bucket", "words"])
+        C.give_back()
 
     def merge(batches):
         enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
@@ -114,6 +116,8 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
                         once[w] = np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
                 out.append(_press([once[w] for w in words]))
             yield pa.record_batch([b.column("part"), b.column("bucket"), pa.array(out, pa.binary())], ["part", "bucket", "ids"])
+        del enc, once
+        C.give_back()
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, split = _unpack(left.column("blob")), regex.compile(pattern)
@@ -124,6 +128,8 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str
         ids = [of[w.encode()] for w in number]
         coded = [b"".join(map(ids.__getitem__, a)) for a in at]
         more = [pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary())]
+        del number, at, blobs, of, ids, coded
+        C.give_back()
         return pa.Table.from_arrays([rows.column(c) for c in keep] + more, names=[*keep, "n_tokens", "ids"])
 
     keyed = slim.withColumn("__bucket", F.pmod(F.xxhash64(*slim.columns), F.lit(n)).cast("int"))

@@ -7,6 +7,7 @@ follows is array arithmetic over that buffer, so no row loop touches characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -39,6 +40,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on after its task, beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def gathered(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches joined up to about ``limit`` bytes of ``column``, for what is packed together."""
     held, size = [], 0
@@ -63,7 +72,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BY
             to = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def pressed(texts: list[str | None]) -> pa.Array:
