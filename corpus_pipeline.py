@@ -13,6 +13,9 @@ from zonometry.llm import bpe, decontaminate, lines, neardup, quality
 from zonometry.llm.common import require_free
 from zonometry.session import stage
 
+#: Text that a task of the last stage holds at a time: less than by default, as two Python workers share a task there.
+BUCKET_BYTES = 3 << 20
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
@@ -47,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether decoding them gives the text's bytes again."""
     require_free(docs, "round_trip")
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.decode(bpe.encode(docs, bucket_bytes=BUCKET_BYTES))
     same = F.col("decoded") == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     return coded.withColumn("round_trip", same).drop("decoded")
 
