@@ -427,3 +427,21 @@ def test_split_half_matches_means_of_halves(spark):
         h = half[half.split == s].set_index("item").half
         a, b = wide[[c for c in items if h[c] == 0]].mean(axis=1), wide[[c for c in items if h[c] == 1]].mean(axis=1)
         assert abs(got[s] - a.corr(b)) < 1e-9
+
+
+def test_between_variance_solves_its_equation_in_one_scan(spark):
+    from zonometry.operators import smallarea
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(rng.normal(0.2, 0.03 * k)), float(np.exp(rng.normal(-8, 2)))) for k, g in enumerate(["none", "some", "more"]) for _ in range(400)] + [("few", 0.1, 0.01)] * 3
+    df = spark.createDataFrame(rows, "g string, r double, s2 double")
+    got = {x.g: x for x in smallarea.between_variance(df, ["g"]).collect()}
+    assert set(got) == {"none", "some", "more"} and got["more"].tau2 > got["some"].tau2
+    for g, x in got.items():
+        r, s2 = np.array([(a, b) for k, a, b in rows if k == g]).T
+        w = 1 / (x.tau2 + s2)
+        assert x.m == pytest.approx((w * r).sum() / w.sum(), rel=1e-12)
+        left = (w * (r - x.m) ** 2).sum() - (len(r) - 1)
+        assert abs(x.residual) < 1e-10 and (abs(left) < 1e-6 if x.tau2 else left <= 0)
+    text = smallarea.between_variance(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text

@@ -139,6 +139,53 @@ def test_event_study_and_did_recover_the_plant(spark):
     assert all(abs(path[y]) < 4 for y in (2010, 2011, 2012)) and all(abs(path[y] + 20) < 4 for y in range(2014, 2018))
 
 
+@pytest.mark.parametrize("levels", [2048, 0], ids=["matrix", "gradients"])
+def test_two_factor_residuals_equal_dummy_regression(spark, monkeypatch, levels):
+    """Unbalanced, factors not nested, units that share one period only; alternating means would take long."""
+    monkeypatch.setattr(pn, "LEVELS", levels)
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"u": [f"u{i}" for i in rng.integers(0, 60, 300)], "st": rng.choice(["a", "b"], 300), "t": rng.integers(0, 9, 300), "x": rng.normal(size=300), "z": rng.normal(size=300)})
+    pdf = pdf[(pdf.t < 5) | (pdf.u < "u3")].reset_index(drop=True)
+    pdf["k"] = range(len(pdf))
+    rows = [*pdf.itertuples(index=False, name=None), ("u1", "a", 1, None, 2.0, -1)]
+    rows = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rows]
+    df = spark.createDataFrame(rows, "u string, st string, t int, x double, z double, k int")
+    d = np.column_stack([pd.get_dummies(pdf.u, dtype=float), pd.get_dummies(pdf.st + pdf.t.astype(str), dtype=float)])
+    want = pdf[["x", "z"]].to_numpy() - d @ np.linalg.lstsq(d, pdf[["x", "z"]].to_numpy(), rcond=None)[0]
+    for first, second in ((["u"], ["st", "t"]), (["st", "t"], ["u"])):
+        got = {r.k: (r.x, r.z) for r in pn.iter_demean(df, first, second, ["x", "z"]).collect()}
+        assert got.pop(-1) == (None, None)
+        np.testing.assert_allclose([got[i] for i in range(len(pdf))], want, atol=1e-8)
+
+
+def test_panel_replicates_equal_copies_of_blocks(spark):
+    """Unbalanced panel, blocks of several units: every replicate against a regression on repeated rows, without any copied row."""
+    rng = np.random.default_rng(9)
+    pdf = barrier_panel(spark, -5.0, seed=9).toPandas().sample(frac=0.9, random_state=2)
+    pdf["block"] = "b" + (pdf.u.str[1:].astype(int) % 9).astype(str)
+    df = spark.createDataFrame(pdf)
+    times = draw_counts(block_index(df, "block"), "block", 4, 1)
+    drawn = times.toPandas()
+    did = {r.replicate: r.did for r in pn.did_replicates(df, times, "block", "u", "year", "rate", "b", 2014).collect()}
+    path = {(r.replicate, r.period): r.beta for r in pn.event_replicates(df, times, "block", "u", "year", "rate", "b", list(range(2010, 2018)), 2013).collect()}
+    assert len(did) == 5 and len(path) == 35
+    for rep in range(-1, 4):
+        t = drawn[drawn.replicate == rep].set_index("block").times
+        copies = pd.concat([g.assign(u=g.u + f"_{i}") for b, g in pdf.groupby("block") for i in range(int(t.get(b, 0)))])
+
+        def within(v):
+            return v - v.groupby(copies.u).transform("mean") - v.groupby(copies.year).transform("mean") + v.mean()
+
+        copies = copies.reset_index(drop=True)
+        y, x = within(copies.rate), within(copies.b * (copies.year >= 2014))
+        assert did[rep] == pytest.approx((x * y).sum() / (x * x).sum(), rel=1e-8)
+        xs = np.column_stack([within(copies.b * (copies.year == p)) for p in range(2010, 2018) if p != 2013])
+        want = np.linalg.lstsq(xs, y.to_numpy(), rcond=None)[0]
+        np.testing.assert_allclose([path[rep, p] for p in range(2010, 2018) if p != 2013], want, rtol=1e-6)
+    text = pn.did_replicates(df, times, "block", "u", "year", "rate", "b", 2014)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text  # nothing is exploded per replicate
+
+
 def test_triple_difference_equals_dummy_regression(spark):
     p = barrier_panel(spark, -20.0)
     pdf = p.toPandas()

@@ -32,14 +32,79 @@ def twoway_demean(df: DataFrame, unit: str, period: str, cols: list[str], by: li
     }).drop(*[f"__{t}_{c}" for t in "utg" for c in cols])
 
 
-def iter_demean(df: DataFrame, first: list[str], second: list[str], cols: list[str], passes: int = 12) -> DataFrame:
-    """Alternating projections on two non-nested factors; staged every third pass."""
-    out = df
-    for i in range(passes):
-        out = _minus_means(_minus_means(out, first, cols), second, cols)
-        if i % 3 == 2 and i < passes - 1:
-            out = stage(out, "demean")
-    return out
+LEVELS, PAIRS = 2048, 1 << 20  # of the smaller factor, up to which its equations are solved as one matrix
+
+
+def iter_demean(df: DataFrame, first: list[str], second: list[str], cols: list[str], tol: float = 1e-12) -> DataFrame:
+    """Residuals of ``cols`` on two non-nested factors, as alternating demeaning would reach in the end.
+
+    The larger factor is eliminated: what is left are normal equations between the levels of the smaller one, coupled by
+    the levels of the larger that have rows in both. They are solved by a matrix while they are few, else by conjugate
+    gradients over the table of coupled pairs, down to a residual of ``tol``; then two joins put the solution on the rows. A row with a null among ``cols``
+    takes no part and has no residuals.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    rows = df.where(known)
+    n1, n2 = rows.agg(F.count_distinct(*first), F.count_distinct(*second)).first()
+    big, small = (first, second) if n1 >= n2 else (second, first)
+    own = stage(_minus_means(rows, big, cols), "own-deviations")
+    load = stage(own.groupBy(*small).agg(F.count(F.lit(1)).cast("double").alias("__n"), *[F.sum(c).alias(f"__r_{c}") for c in cols]), "factor-loads")
+    per = own.groupBy(*big, *small).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    all_of = per.groupBy(*big).agg(F.sum("__n").alias("__all"))
+    side = lambda tag: per.select(*big, *[F.col(c).alias(f"__{tag}_{c}") for c in small], F.col("__n").alias(f"__n{tag}"))
+    ends = [f"__{tag}_{c}" for tag in "ab" for c in small]
+    pairs = side("a").join(side("b"), big).join(all_of, big).groupBy(*ends).agg(F.sum(F.col("__na") * F.col("__nb") / F.col("__all")).alias("__w"))
+    pairs = stage(pairs, "factor-pairs")
+    solve = _solve_levels if load.count() <= LEVELS and pairs.count() <= PAIRS else _descend_levels
+    beta = solve(load, pairs, small, cols, tol)
+    out = own.join(beta, small).withColumns({c: F.col(c) - F.col(f"__b_{c}") for c in cols}).drop(*[f"__b_{c}" for c in cols])
+    out = _minus_means(out, big, cols).select(*df.columns)
+    lost = df.where(~known).withColumns({c: F.lit(None).cast("double") for c in cols})
+    return out.unionByName(lost)
+
+
+def _solve_levels(load: DataFrame, pairs: DataFrame, small: list[str], cols: list[str], tol: float) -> DataFrame:
+    """Least-squares solution of the factor equations as one matrix: rows ``small, __b_*``, ``LEVELS`` at most."""
+    import numpy as np
+
+    told = load.collect()
+    place = {tuple(r[c] for c in small): i for i, r in enumerate(told)}
+    m = np.diag([r["__n"] for r in told]) if told else np.zeros((0, 0))
+    for r in pairs.collect():
+        m[place[tuple(r[f"__a_{c}"] for c in small)], place[tuple(r[f"__b_{c}"] for c in small)]] -= r["__w"]
+    right = np.array([[r[f"__r_{c}"] for c in cols] for r in told]).reshape(len(told), len(cols))
+    beta = np.linalg.lstsq(m, right, rcond=1e-10)[0] if told else right
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in load.select(*small).schema] + [f"`__b_{c}` double" for c in cols])
+    return F.broadcast(load.sparkSession.createDataFrame([(*k, *map(float, b)) for k, b in zip(place, beta)], schema))
+
+
+def _descend_levels(load: DataFrame, pairs: DataFrame, small: list[str], cols: list[str], tol: float) -> DataFrame:
+    """The same by conjugate gradients; a round joins the pairs with the current direction and ends with one row of sums."""
+    now = load.select(*small, "__n", *[x for c in cols for x in (
+        F.lit(0.0).alias(f"__b_{c}"), F.col(f"__r_{c}"), F.col(f"__r_{c}").alias(f"__p_{c}"))])
+    norms = lambda d: [v or 0.0 for v in d.agg(*[F.sum(F.col(f"__r_{c}") * F.col(f"__r_{c}")) for c in cols]).first()]
+    now = stage(now, "factor-round")
+    start = rr = norms(now)
+    rounds = 0
+    while any(r > tol * tol * s for r, s in zip(rr, start)):
+        if (rounds := rounds + 1) > 10_000:
+            raise ArithmeticError("the factor equations do not settle")
+        there = now.select(*[F.col(c).alias(f"__b_{c}") for c in small], *[F.col(f"__p_{c}").alias(f"__v{i}") for i, c in enumerate(cols)])
+        moved = pairs.join(there, [f"__b_{c}" for c in small]).groupBy(*[F.col(f"__a_{c}").alias(c) for c in small]).agg(
+            *[F.sum(F.col("__w") * F.col(f"__v{i}")).alias(f"__w{i}") for i in range(len(cols))])
+        step = stage(now.join(moved, small).withColumns({f"__w{i}": F.col("__n") * F.col(f"__p_{c}") - F.col(f"__w{i}") for i, c in enumerate(cols)}), "factor-step")
+        bent = [v or 0.0 for v in step.agg(*[F.sum(F.col(f"__p_{c}") * F.col(f"__w{i}")) for i, c in enumerate(cols)]).first()]
+        alpha = [r / b if b > 0 and r > tol * tol * s else 0.0 for r, b, s in zip(rr, bent, start)]
+        step = step.withColumns({x: y for i, c in enumerate(cols) for x, y in (
+            (f"__b_{c}", F.col(f"__b_{c}") + alpha[i] * F.col(f"__p_{c}")), (f"__r_{c}", F.col(f"__r_{c}") - alpha[i] * F.col(f"__w{i}")))})
+        new = norms(step)
+        if all(a == 0 for a in alpha):
+            break
+        turn = [n / r if r > 0 else 0.0 for n, r in zip(new, rr)]
+        now = stage(step.select(*small, "__n", *[x for i, c in enumerate(cols) for x in (
+            F.col(f"__b_{c}"), F.col(f"__r_{c}"), (F.col(f"__r_{c}") + turn[i] * F.col(f"__p_{c}")).alias(f"__p_{c}"))]), "factor-round")
+        rr = new
+    return now.select(*small, *[f"__b_{c}" for c in cols])
 
 
 def slopes(df: DataFrame, xs: list[str], y: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -144,13 +209,12 @@ def event_replicates(panel: DataFrame, times: DataFrame, block: str, unit: str,
     return wide.select("replicate", rows.alias("s")).select("replicate", "s.*")
 
 
-def triple_diff(panel: DataFrame, unit: str, period: str, state: str, y: str, barrier: str, start: int, treated: str,
-                passes: int = 12) -> DataFrame:
+def triple_diff(panel: DataFrame, unit: str, period: str, state: str, y: str, barrier: str, start: int, treated: str) -> DataFrame:
     """Coefficient on barrier x post x treated with unit and state-period effects."""
     post = (F.col(period) >= start).cast("double")
     work = panel.withColumn("bp", F.col(barrier) * post).withColumn(
         "bpt", F.col(barrier) * post * (F.col(state) == treated).cast("double"))
-    dm = iter_demean(work.select(unit, state, period, y, "bp", "bpt"), [unit], [state, period], [y, "bp", "bpt"], passes)
+    dm = iter_demean(work.select(unit, state, period, y, "bp", "bpt"), [unit], [state, period], [y, "bp", "bpt"])
     return slopes(dm, ["bp", "bpt"], y)
 
 

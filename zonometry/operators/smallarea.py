@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+BIN, TERMS = 0.01, 8  # width of a bin of log(s2), and terms of its series: the next is below 1e-18 of the sum
 
 
 def local_group_key(df: DataFrame, fine: str, coarse: str, out: str, min_members: int = 8) -> DataFrame:
@@ -16,39 +20,52 @@ def local_group_key(df: DataFrame, fine: str, coarse: str, out: str, min_members
     return df.join(sizes, fine, "left").withColumn(out, key).drop("__n")
 
 
-def between_variance(obs: DataFrame, by: list[str], min_members: int = 5, rounds: int = ROUNDS) -> DataFrame:
-    """Between-area variance ``tau2`` and mean ``m`` per group, from rows ``by, r, s2``.
+def between_variance(obs: DataFrame, by: list[str], min_members: int = 5) -> DataFrame:
+    """Between-area variance ``tau2``, mean ``m`` and relative ``residual`` per group, from rows ``by, r, s2``.
 
-    Solves sum((r-m)^2/(tau2+s2)) = n-1 with m the precision-weighted mean, for all groups at
-    once: every round is one combine over the rows plus a join with the small group table. The
-    step is Newton's on 1/f, nearly linear in tau2, so a few rounds reach double precision;
-    tau2 stays 0 where sampling error alone explains the spread.
+    Solves sum((r-m)^2/(tau2+s2)) = n-1 with m the precision-weighted mean. The rows are read once: they collapse to bins of
+    s2 one per cent wide with a few moments of their place in the bin, from which a series gives every sum of 1/(tau2+s2) to
+    double precision, for any tau2. A group is then some hundred bins, whatever its size, and is solved by bracketing. tau2 is 0
+    where sampling error alone explains the spread.
     """
-    groups = obs.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n")).where(F.col("n") >= min_members)
-    fit = groups.withColumn("tau2", F.lit(0.0)).withColumn("m", F.lit(None).cast("double"))
-    for _ in range(rounds):
-        p = F.lit(1.0) / (F.col("tau2") + F.col("s2"))
-        joined = obs.join(fit.select(*by, "n", "tau2"), by).withColumn("p", p)
-        sums = joined.groupBy(*by, "n", "tau2").agg(
-            F.sum("p").alias("p1"), F.sum(F.col("p") * F.col("r")).alias("pr"),
-            F.sum(F.col("p") * F.col("r") * F.col("r")).alias("prr"),
-            F.sum(F.col("p") * F.col("p")).alias("q1"), F.sum(F.col("p") * F.col("p") * F.col("r")).alias("qr"),
-            F.sum(F.col("p") * F.col("p") * F.col("r") * F.col("r")).alias("qrr"))
-        mean = F.col("pr") / F.col("p1")
-        f = F.greatest(F.col("prr") - F.col("pr") * mean, F.lit(0.0))
-        slope = F.col("qrr") - 2 * mean * F.col("qr") + mean * mean * F.col("q1")
-        target = F.col("n") - 1
-        step = F.when((slope > 0) & (f > 0), f * (f - target) / (target * slope)).otherwise(0.0)
-        fit = sums.select(*by, "n", F.greatest(F.col("tau2") + step, F.lit(0.0)).alias("tau2"))
-    p = F.lit(1.0) / (F.col("tau2") + F.col("s2"))
-    last = obs.join(fit, by).withColumn("p", p)
-    return last.groupBy(*by, "tau2").agg((F.sum(F.col("p") * F.col("r")) / F.sum("p")).alias("m"))
+    log = F.floor(F.log("s2") / BIN).cast("int")
+    binned = obs.withColumn("bin", log).withColumn("e", F.col("s2") / F.exp((F.col("bin") + 0.5) * BIN) - 1)
+    power = [reduce(lambda a, b: a * b, [F.col("e")] * k, F.lit(1.0)) for k in range(TERMS)]
+    sums = binned.groupBy(*by, "bin").agg(*[F.sum(w * x).alias(f"{t}{k}") for t, w in (("a", F.lit(1.0)), ("b", F.col("r")), ("c", F.col("r") * F.col("r"))) for k, x in enumerate(power)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in obs.select(*by).schema)
+
+    def solve(key, table):
+        centre = np.exp((table.column("bin").to_numpy() + 0.5) * BIN)[:, None]
+        moments = [np.column_stack([table.column(f"{t}{k}").to_numpy() for k in range(TERMS)]) for t in "abc"]
+        n = moments[0][:, 0].sum()
+        names = [*by, "tau2", "m", "residual"]
+        if n < min_members:
+            return pa.table({c: pa.array([], t.type) for c, t in zip(by, key)} | {c: pa.array([], pa.float64()) for c in names[len(by):]})
+
+        def gap(tau2: float) -> tuple[float, float]:
+            series = (-centre / (tau2 + centre)) ** np.arange(TERMS) / (tau2 + centre)
+            p1, pr, prr = [float((m * series).sum()) for m in moments]
+            return prr - pr * pr / p1 - (n - 1), pr / p1
+
+        low, high, tau2 = 0.0, float(centre.max()), 0.0
+        if gap(0.0)[0] > 0:
+            while gap(high)[0] > 0:
+                low, high = high, high * 4
+            for _ in range(200):
+                tau2 = (low + high) / 2
+                low, high = (tau2, high) if gap(tau2)[0] > 0 else (low, tau2)
+                if high - low <= 4e-16 * high:
+                    break
+        left, m = gap(tau2)
+        return pa.table({c: [k.as_py()] for c, k in zip(by, key)} | {"tau2": [tau2], "m": [m], "residual": [left / (n - 1) if tau2 else 0.0]})
+
+    return sums.groupBy(*by).applyInArrow(solve, f"{schema}, tau2 double, m double, residual double")
 
 
 def shrink(df: DataFrame, key: str, group: str, rates: dict[str, str], min_members: int = 5) -> DataFrame:
     """Shrink every rate (name -> its SE column) toward its group; returns key plus the rates.
 
-    Rates are stacked long so one set of rounds solves all of them. Rows without a rate or a
+    Rates are stacked long, so one reading of the rows solves all of them. Rows without a rate or a
     positive SE, and groups with too few of them, keep their value; results are clipped to 0..1.
     """
     stacked = df.select(key, F.col(group).alias("grp"), F.explode(F.array(*[
