@@ -46,7 +46,25 @@ def covariates(y, base, t, pop):
     return np.column_stack(cols + [level, slope])
 
 
-def cell(dy, x, tr, co, w):
+def fitted(z, y, w, pen):
+    """Ridge logistic coefficients by Newton steps that are halved until the likelihood rises."""
+    def value(b):
+        return -(w * (np.logaddexp(0, -(z @ b)) + (1 - y) * (z @ b))).sum() - 0.5 * b @ pen @ b
+
+    b = np.zeros(z.shape[1])
+    for _ in range(300):
+        p = np.exp(-np.logaddexp(0, -(z @ b)))
+        move = np.linalg.solve(z.T @ (z * (w * p * (1 - p) + 1e-12)[:, None]) + pen, z.T @ (w * (y - p)) - pen @ b)
+        scale = 1.0
+        while value(b + scale * move) < value(b) and scale > 1e-12:
+            scale /= 2
+        b = b + scale * move
+        if np.abs(scale * move).max() < 1e-10 * max(1, np.abs(b).max()):
+            break
+    return b
+
+
+def cell(dy, x, tr, co, w, halved=False):
     idx = tr | co
     mu, sd = np.nanmean(x[idx], 0), np.nanstd(x[idx], 0)
     sd = np.where(~np.isfinite(sd) | (sd < 1e-9), 1, sd)
@@ -56,16 +74,17 @@ def cell(dy, x, tr, co, w):
     m0 = z @ np.linalg.solve(z.T @ (z * wc[:, None]) + 1e-6 * np.eye(k), z.T @ (wc * dy))
     b, pen = np.zeros(k), np.diag([0.0] + [1e-3] * (k - 1))
     zi, yi, wi = z[idx], tr[idx].astype(float), w[idx]
-    for _ in range(40):
+    for _ in range(0 if halved else 40):
         p = 1 / (1 + np.exp(-np.clip(zi @ b, -30, 30)))
         h = zi.T @ (zi * (wi * p * (1 - p) + 1e-12)[:, None]) + pen
         b = b + np.linalg.solve(h, zi.T @ (wi * (yi - p)) - pen @ b)
+    b = fitted(zi, yi, wi, pen) if halved else b
     p = np.clip(1 / (1 + np.exp(-np.clip(z @ b, -30, 30))), 1e-6, 0.95)
     e = dy - m0
     return wmean(e[tr], w[tr]) - wmean(e[co], (w * p / (1 - p))[co])
 
 
-def reference(pdf, weighted, dr):
+def reference(pdf, weighted, dr, halved=False):
     out = {}
     for st, js in pdf.groupby("state"):
         y = js.pivot_table(index="u", columns="year", values="rate")
@@ -81,7 +100,7 @@ def reference(pdf, weighted, dr):
                 if tr.sum() < 1 or co.sum() < 2:
                     continue
                 if dr and tr.sum() >= 3:
-                    out[st, g, t] = cell(np.nan_to_num(dy), covariates(y, g - 1, t, pop), tr, co, w)
+                    out[st, g, t] = cell(np.nan_to_num(dy), covariates(y, g - 1, t, pop), tr, co, w, halved)
                 else:
                     out[st, g, t] = wmean(dy[tr], w[tr]) - wmean(dy[co], w[co])
     return out
@@ -107,6 +126,56 @@ def test_doubly_robust_matches_row_reference(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-4)
 
 
+@pytest.mark.parametrize("turns", [64 << 20, 20_000], ids=["at once", "in turns"])
+def test_doubly_robust_replicates_match_refits_on_copies(spark, monkeypatch, turns):
+    monkeypatch.setattr(pn, "DR_BYTES", turns)
+    pdf = staggered(64, seed=2).sample(frac=0.95, random_state=1)
+    pdf["block"] = "b" + (pdf.u.str[1:].astype(int) // 3).astype(str)
+    df = load(spark, pdf).join(spark.createDataFrame(pdf[["u", "block"]].drop_duplicates()), "u")
+    times = draw_counts(block_index(df, "block"), "block", 3, 7)
+    got = {(r.replicate, r.state, r.g, r.t): r.att for r in pn.att_gt_dr_replicates(df, times, "block", "u", "year", "rate", "state", "cohort", "pop", "pop").collect()}
+    drawn = times.toPandas()
+    for rep in range(-1, 3):
+        t = drawn[drawn.replicate == rep].set_index("block").times
+        copies = pd.concat([g.assign(u=g.u + f"_{i}") for b, g in pdf.groupby("block") for i in range(int(t.get(b, 0)))])
+        want = reference(copies, True, True)
+        own = {k[1:]: v for k, v in got.items() if k[0] == rep}
+        assert own.keys() == want.keys()
+        for k in want:
+            assert own[k] == pytest.approx(want[k], abs=2e-4)
+
+
+def test_registered_intervals_of_the_doubly_robust_effect(spark):
+    """The first replicates of the registered query against refits on copied rows; its rows against the quantiles of all."""
+    from catalog import panels, resampling
+
+    sf = "/root/testdata/sf0.01"
+    every = panels.dr_boot(spark, sf).toPandas()
+    pdf = panels.built(spark, sf).join(panels.R.panel_stage(spark, sf).select("unit", "county").distinct(), "unit").toPandas().rename(columns={"unit": "u"})
+    for kind in ("u", "county"):
+        df = spark.createDataFrame(pdf[["u", "county"]].drop_duplicates()).selectExpr(f"{kind} AS block").distinct()
+        drawn = draw_counts(block_index(df, "block"), "block", panels.DR_REPS, resampling.SEED).where("replicate < 2").toPandas()
+        own = every[every.block == ("unit" if kind == "u" else kind)].set_index("replicate").v
+        for rep in (-1, 0, 1):
+            t = drawn[drawn.replicate == rep].set_index("block").times
+            copies = pd.concat([g.assign(u=g.u + f"_{i}") for b, g in pdf.groupby(kind) for i in range(int(t.get(b, 0)))])
+            cells = reference(copies, True, True, halved=True)
+            post = {k: v for k, v in cells.items() if k[2] >= k[1]}
+            w = [treated(copies, *k) for k in post]
+            assert own[rep] == pytest.approx(np.average(list(post.values()), weights=w), rel=1e-3)
+    rows = {r.block: r for r in panels.QUERIES["att_dr_bootstrap"](spark, sf).collect()}
+    for kind, r in rows.items():
+        v = every[(every.block == kind) & (every.replicate >= 0)].v
+        assert r.point == pytest.approx(every[(every.block == kind) & (every.replicate == -1)].v.iloc[0], abs=1e-3)
+        np.testing.assert_allclose([r.ci_lo, r.ci_hi], np.quantile(v, [0.025, 0.975]), atol=1e-3)
+
+
+def treated(pdf, state, g, t):
+    """Treated units of a cell with a change since the base period."""
+    own = pdf[(pdf.state == state) & (pdf.cohort == g)].pivot_table(index="u", columns="year", values="rate")
+    return int((own[t] - own[g - 1]).notna().sum())
+
+
 def test_planted_effect_and_no_effect(spark):
     a = pn.att_gt(load(spark, staggered()), "u", "year", "rate", "state", "cohort")
     row = es.event_summary(a, "state").first()

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonometry.operators.stats import gram, matrix_of, safe_corr, solve_rows
 from zonometry.session import stage
@@ -285,19 +286,9 @@ def pre_window_covariates(panel: DataFrame, unit: str, period: str, y: str, stat
         state, unit, "before", "pre_level", F.when(ok, F.col("__slope")).alias("pre_slope"), "n_obs", "n_window")
 
 
-def att_gt_dr(panel: DataFrame, unit: str, period: str, y: str, state: str, cohort: str, pop: str,
-              weight: str | None = None, statics: list[str] | None = None, rounds: int = 12,
-              min_treated: int = 3, clip_at: float = 0.95, ridge: float = 1e-3) -> DataFrame:
-    """Doubly-robust group-time effects: rows ``state, g, t, e, att, n``.
-
-    Each (state, g, t) cell gets an outcome regression on its controls and trimmed propensity
-    odds. All cells are solved together: covariate moments, the regression and every step of the
-    logistic fit are one combine keyed by cell, followed by a k x k solve per cell row, so a cell
-    as large as a whole state is never gathered. Cells with too few treated units, like the
-    plain estimator, compare means.
-    """
-    import numpy as np
-
+def _dr_rows(panel: DataFrame, unit: str, period: str, y: str, state: str, cohort: str, pop: str, weight: str | None,
+             statics: list[str] | None, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """(one row for each (state, g, t) cell and each of its treated and control units, names of the raw covariates)."""
     work = panel.withColumn(period, F.col(period).cast("int"))
     cohorts = work.where(F.col(cohort).isNotNull()).select(
         F.col(state), F.col(cohort).cast("int").alias("g")).distinct()
@@ -308,7 +299,7 @@ def att_gt_dr(panel: DataFrame, unit: str, period: str, y: str, state: str, coho
     cov = pre_window_covariates(work, unit, period, y, state).select(state, unit, "before", "pre_level", "pre_slope")
     yt = work.select(state, unit, F.col(period).alias("t"), F.col(y).alias("yt"), F.col(cohort).alias("cohort"),
                      F.log(F.col(pop)).alias("log_pop"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
-                     *(statics or []))
+                     *(statics or []), *keep)
     yb = work.select(state, unit, F.col(period).alias("__b"), F.col(y).alias("yb"))
     rows = yt.join(cells, [state, "t"]).withColumn("__b", F.col("g") - 1).join(yb, [state, unit, "__b"])
     treated = F.col("cohort") == F.col("g")
@@ -317,8 +308,25 @@ def att_gt_dr(panel: DataFrame, unit: str, period: str, y: str, state: str, coho
     rows = rows.withColumn("dy", F.col("yt") - F.col("yb")).where(F.col("dy").isNotNull())
     rows = rows.withColumn("before", F.least("__b", "t")).join(cov, [state, unit, "before"], "left")
     raw = ["log_pop", *(statics or []), "pre_level", "pre_slope"]
+    return rows.select(state, "g", "t", unit, "dy", "w", "tr", *raw, *keep), raw
+
+
+def att_gt_dr(panel: DataFrame, unit: str, period: str, y: str, state: str, cohort: str, pop: str,
+              weight: str | None = None, statics: list[str] | None = None, rounds: int = 12,
+              min_treated: int = 3, clip_at: float = 0.95, ridge: float = 1e-3) -> DataFrame:
+    """Doubly-robust group-time effects: rows ``state, g, t, e, att, n``.
+
+    Each (state, g, t) cell gets an outcome regression on its controls and trimmed propensity
+    odds. All cells are solved together: covariate moments, the regression and every step of the
+    logistic fit are one combine keyed by cell, followed by a k x k solve per cell row, so a cell
+    as large as a whole state is never gathered. Cells with too few treated units, like the
+    plain estimator, compare means.
+    """
+    import numpy as np
+
+    rows, raw = _dr_rows(panel, unit, period, y, state, cohort, pop, weight, statics, [])
     key = [state, "g", "t"]
-    rows = stage(rows.select(*key, unit, "dy", "w", "tr", *raw), "dr-rows")
+    rows = stage(rows, "dr-rows")
 
     stats = rows.groupBy(*key).agg(
         F.sum("tr").alias("nt"), F.sum(1 - F.col("tr")).alias("nc"),
@@ -383,6 +391,146 @@ def att_gt_dr(panel: DataFrame, unit: str, period: str, y: str, state: str, coho
     return out.select(state, "g", "t", (F.col("t") - F.col("g")).alias("e"), "att", "n")
 
 
+DR_ROUNDS = 200
+DR_BYTES = 64 << 20  # of the coefficients of all cells that one pass over the rows carries along
+
+
+def att_gt_dr_replicates(panel: DataFrame, times: DataFrame, block: str, unit: str, period: str, y: str, state: str, cohort: str,
+                         pop: str, weight: str | None = None, statics: list[str] | None = None, min_treated: int = 3,
+                         clip_at: float = 0.95, ridge: float = 1e-3, tol: float = 1e-9) -> DataFrame:
+    """``att_gt_dr`` in every replicate of ``times``: rows ``replicate, state, g, t, e, att, n``.
+
+    All cells of all replicates are refitted together. A pass reads the cells' rows once, weighs each by its block's draws
+    in all replicates as one vector, and leaves k x k sums per cell and replicate; moments, the outcome regression and each
+    Newton step of the logistic fit are such passes, until no coefficient moves by more than ``tol``; steps are halved where the
+    likelihood falls, as it does in small cells that the covariates separate. Rows are never copied, and where the
+    coefficients of all cells and replicates exceed ``DR_BYTES`` the replicates are taken in turns. A window of earlier periods is that
+    of the whole panel.
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from zonometry.operators.resample import with_draws
+
+    rows, raw = _dr_rows(panel, unit, period, y, state, cohort, pop, weight, statics, [block])
+    key, m, k = [state, "g", "t"], len(raw), len(raw) + 1
+    cells = stage(rows.select(*key).distinct(), "dr-cells").orderBy(*key).collect()  # one row a cell
+    spark = panel.sparkSession
+    number = {tuple(r): i for i, r in enumerate(cells)}
+    names = spark.createDataFrame([(*c, i) for c, i in number.items()], rows.select(*key).schema.add("cell", T.IntegerType())) if cells else None
+    if not cells:
+        return spark.createDataFrame([], rows.select(*key).schema).selectExpr("0 AS replicate", f"`{state}`", "g", "t", "t - g AS e", "0D AS att", "0L AS n")
+    rows = rows.join(F.broadcast(names), key).select("cell", F.col(block).alias("block"), *[F.col(c).cast("double").alias(c) for c in ("dy", "w", "tr", *raw)])
+    rows, weights, width = with_draws(rows, times, block)
+    rows = stage(rows.repartition("cell", F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions("cell"), "dr-weighted")
+
+    def passed(lo: int, hi: int, size: int, sums, carried) -> np.ndarray:
+        """cells x replicates x size: ``sums(draws, dy, w, tr, x, known, carried[cell])`` added over the rows."""
+        shared = spark.sparkContext.broadcast(carried)
+
+        def run(batches):
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                cell = table.column("cell").to_numpy()
+                edge = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+                for a, b in zip(edge[:-1], edge[1:]):
+                    for at in range(a, b, 256):
+                        piece = table.slice(at, min(256, b - at))
+                        x = np.column_stack([piece.column(c).to_numpy(zero_copy_only=False) for c in raw])
+                        dy, w, tr = [piece.column(c).to_numpy() for c in ("dy", "w", "tr")]
+                        c = int(cell[a])
+                        got = sums(weights(piece)[:, lo:hi], dy, w, tr, np.nan_to_num(x), ~np.isnan(x), None if shared.value is None else shared.value[c])
+                        out[c] = out.get(c, 0.0) + got
+            for c, total in out.items():
+                yield pa.record_batch([pa.array(np.full(hi - lo, c, np.int32)), pa.array(np.arange(hi - lo, dtype=np.int32)), pa.array(list(total))], ["cell", "r", "total"])
+
+        parts = rows.mapInArrow(run, "cell int, r int, total array<double>")
+        added = parts.groupBy("cell", "r").agg(*[F.sum(F.col("total")[i]).alias(f"x{i}") for i in range(size)]).toPandas()  # a row a cell and replicate
+        out = np.zeros((len(cells), hi - lo, size))
+        out[added["cell"], added["r"]] = added[[f"x{i}" for i in range(size)]].to_numpy()
+        shared.destroy()
+        return out
+
+    upper = np.triu_indices(k)
+
+    def design(x, known, carried):
+        mean, sd = carried[:, :m], carried[:, m : 2 * m]
+        z = np.where(known[:, None, :], (x[:, None, :] - mean) / sd, 0.0)
+        return np.concatenate([np.ones((*z.shape[:2], 1)), z], 2)
+
+    def cross(z, h, v):
+        """Sums over rows of h z z' (upper half) and v z, for each replicate."""
+        hh = np.einsum("br,bri,brj->rij", h, z, z, optimize=True)[:, upper[0], upper[1]]
+        return np.concatenate([hh, np.einsum("br,bri->ri", v, z)], 1)
+
+    def moments(t, dy, w, tr, x, known, _):
+        return np.concatenate([(t.T @ tr)[:, None], (t.T @ (1 - tr))[:, None], t.T @ known, t.T @ x, t.T @ (x * x)], 1)
+
+    def regression(t, dy, w, tr, x, known, carried):
+        h = t * (w * (1 - tr))[:, None]
+        return cross(design(x, known, carried), h, h * dy[:, None])
+
+    def logistic(t, dy, w, tr, x, known, carried):
+        z = design(x, known, carried)
+        eta = np.einsum("bri,ri->br", z, carried[:, 2 * m :])
+        low = np.logaddexp(0.0, -eta)  # -log p
+        p, tw = np.exp(-low), t * w[:, None]
+        likely = -(tw * (low + (1 - tr)[:, None] * eta)).sum(0)
+        return np.concatenate([cross(z, tw * p * (1 - p) + 1e-12 * t, tw * (tr[:, None] - p)), likely[:, None]], 1)
+
+    def effect(t, dy, w, tr, x, known, carried):
+        z, beta, fit, dr = design(x, known, carried), carried[:, 2 * m : 2 * m + k], carried[:, 2 * m + k : 2 * m + 2 * k], carried[:, -1] > 0
+        p = np.clip(1 / (1 + np.exp(-np.clip(np.einsum("bri,ri->br", z, beta), -30, 30))), 1e-6, clip_at)
+        e = dy[:, None] - np.where(dr, np.einsum("bri,ri->br", z, fit), 0.0)
+        wt = t * (w * tr)[:, None]
+        wo = t * (w * (1 - tr))[:, None] * np.where(dr, p / (1 - p), 1.0)
+        return np.stack([(wt * e).sum(0), wt.sum(0), (wo * e).sum(0), wo.sum(0)], 1)
+
+    def solved(sums, penalty, away):
+        h = np.zeros((*sums.shape[:2], k, k))
+        h[:, :, upper[0], upper[1]] = h[:, :, upper[1], upper[0]] = sums[:, :, : len(upper[0])]
+        return np.linalg.solve(h + np.diag(penalty), (sums[:, :, len(upper[0]) :] - away)[..., None])[..., 0]
+
+    half, parts = len(upper[0]) + k, []
+    step = max(1, DR_BYTES // (8 * len(cells) * max(half + 1, 2 * m + 2 * k + 1)))
+    for lo in range(0, width, step):
+        hi = min(width, lo + step)
+        got = passed(lo, hi, 2 + 3 * m, moments, None)
+        nt, nc, n, sx, sxx = got[..., 0], got[..., 1], got[..., 2 : 2 + m], got[..., 2 + m : 2 + 2 * m], got[..., 2 + 2 * m :]
+        mean = sx / np.maximum(n, 1)
+        sd = np.sqrt(np.maximum(sxx / np.maximum(n, 1) - mean * mean, 0.0))
+        sd = np.where(sd < np.maximum(1e-9, 1e-7 * np.abs(mean)), 1.0, sd)
+        valid = (nt >= 1) & (nc >= 2)
+        base = np.concatenate([mean, sd], 2)
+        fit = solved(passed(lo, hi, half, regression, base), np.full(k, 1e-6), 0.0)
+        # Newton steps, each halved while it does not raise the penalised likelihood of its cell and replicate
+        pen, beta = np.array([0.0] + [ridge] * (k - 1)), np.zeros((len(cells), hi - lo, k))
+        move, scale, best, open_ = np.zeros_like(beta), np.ones(valid.shape), np.full(valid.shape, -np.inf), valid.copy()
+        for _ in range(DR_ROUNDS):
+            trial = beta + scale[..., None] * move
+            sums = passed(lo, hi, half + 1, logistic, np.concatenate([base, trial], 2))
+            likely = sums[..., -1] - 0.5 * (pen * trial * trial).sum(2)
+            up = open_ & (likely >= best - 1e-12 * np.abs(best))
+            sums[~up, : len(upper[0])] = np.eye(k)[upper]
+            step_to = np.where(up[..., None], solved(sums[..., :-1], pen, pen * trial), 0.0)
+            beta, best = np.where(up[..., None], trial, beta), np.where(up, likely, best)
+            move, scale = np.where(up[..., None], step_to, move), np.where(up, 1.0, scale / 2)
+            open_ &= (np.abs(scale[..., None] * move) > tol * np.maximum(1.0, np.abs(beta))).any(2)
+            if not open_.any():
+                break
+        valid &= ~open_  # a fit that does not settle gives no effect
+        dr = (nt >= min_treated).astype(float)[..., None]
+        s = passed(lo, hi, 4, effect, np.concatenate([base, beta, fit, dr], 2))
+        good = valid & (s[..., 1] > 0) & (s[..., 3] > 0)
+        c, r = np.nonzero(good)
+        att = s[c, r, 0] / s[c, r, 1] - s[c, r, 2] / s[c, r, 3]
+        parts.append(pd.DataFrame({"cell": c.astype("int32"), "replicate": (r + lo - 1).astype("int32"), "att": att, "n": nt[c, r].astype("int64")}))
+    flat = spark.createDataFrame(pd.concat(parts), "cell int, replicate int, att double, n long")
+    return flat.join(F.broadcast(names), "cell").select("replicate", *key, (F.col("t") - F.col("g")).alias("e"), "att", "n")
+
+
 def lag1_autocorr(resid: DataFrame, unit: str, period: str, value: str, min_obs: int = 4) -> DataFrame:
     """Mean over units of the within-unit lag-1 correlation (a unit's series is one short window)."""
     from pyspark.sql import Window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -95,6 +97,30 @@ def _draw_vectors(times: DataFrame, block: str, width: int) -> DataFrame:
     return times.select(F.col(block).alias("block"), "replicate", "times").groupBy("block").applyInArrow(dense, f"block {kind}, draws binary")
 
 
+def with_draws(rows: DataFrame, times: DataFrame, block: str) -> tuple[DataFrame, Callable[[pa.Table], np.ndarray], int]:
+    """(rows whose ``block`` is drawn, function that gives the draws of an Arrow piece of them as rows x replicates, replicates).
+
+    Replicate -1, the sample itself, has place 0. The blocks x replicates counts go to every executor as one
+    matrix while they are small (``MATRIX_BYTES``), else each row gets its block's vector by a join.
+    """
+    width = (times.agg(F.max("replicate")).first()[0] or 0) + 2
+    vectors = stage(_draw_vectors(times, block, width), "draws")
+    if vectors.count() * width * 2 > MATRIX_BYTES:
+        def joined(piece: pa.Table) -> np.ndarray:
+            return np.frombuffer(b"".join(piece.column("draws").to_pylist()), "<u2").reshape(-1, width).astype(float)
+
+        return rows.join(vectors, "block"), joined, width
+    drawn = vectors.collect()
+    place = {r["block"]: i for i, r in enumerate(drawn)}
+    shared = rows.sparkSession.sparkContext.broadcast((place, np.frombuffer(b"".join(r["draws"] for r in drawn), "<u2").reshape(-1, width)))
+
+    def looked_up(piece: pa.Table) -> np.ndarray:
+        place, matrix = shared.value
+        return matrix[[place[x] for x in piece.column("block").to_pylist()]].astype(float)
+
+    return rows.join(vectors.select("block"), "block", "left_semi"), looked_up, width
+
+
 def drawn_sums(sums: DataFrame, times: DataFrame, block: str, cell: str, cols: list[str]) -> DataFrame:
     """``replicate, cell`` and the sums of ``cols`` (rows ``block, cell, cols``), each block's times its draws in every replicate.
 
@@ -129,8 +155,7 @@ def ranked_replicates(df: DataFrame, times: DataFrame, block: str, variants: dic
 
     A row drawn twice has weight two: ranks are weighted tie-averaged positions and the correlation is
     weighted by the draws. Rows first collapse to (variant, value, block) sums, which are all that the six sums of a
-    correlation need. The blocks x replicates counts go to every executor as one matrix while they are small
-    (``MATRIX_BYTES``), else each collapsed row gets its block's vector by a join. Collapsed rows are dealt by range of their values;
+    correlation need, and meet their draws (``with_draws``). Collapsed rows are dealt by range of their values;
     a value with more than ``HEAVY_ROWS`` blocks is split over them and summed per replicate. Bucket totals give every bucket its
     offsets in all replicates, and a second pass ranks a bucket's rows and leaves only sums per replicate.
     """
@@ -140,24 +165,8 @@ def ranked_replicates(df: DataFrame, times: DataFrame, block: str, variants: dic
     sums = [x.alias(f"{n}{i}") for i in range(len(outcomes)) for n, x in (
         ("n", F.count(f"o{i}").cast("double")), ("b", F.coalesce(F.sum(f"o{i}"), F.lit(0.0))), ("bb", F.coalesce(F.sum(F.col(f"o{i}") * F.col(f"o{i}")), F.lit(0.0))))]
     tied = rows.where(F.col("v").isNotNull() & F.col("block").isNotNull()).groupBy("variant", "v", "block").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
-    width = (times.agg(F.max("replicate")).first()[0] or 0) + 2
-    vectors = stage(_draw_vectors(times, block, width), "draws")
-    n_blocks = vectors.count()
-    if n_blocks * width * 2 <= MATRIX_BYTES:
-        drawn = vectors.collect()
-        place = {r["block"]: i for i, r in enumerate(drawn)}
-        shared = df.sparkSession.sparkContext.broadcast((place, np.frombuffer(b"".join(r["draws"] for r in drawn), "<u2").reshape(-1, width)))
-        tied = tied.join(vectors.select("block"), "block", "left_semi")
-    else:
-        shared, tied = None, tied.join(vectors, "block")
+    tied, weights, width = with_draws(tied, times, block)
     tied = stage(tied, "tied-rows")
-
-    def weights(table: pa.Table) -> np.ndarray:
-        if shared is None:
-            return np.frombuffer(b"".join(table.column("draws").to_pylist()), "<u2").reshape(-1, width).astype(float)
-        place, matrix = shared.value
-        return matrix[[place[x] for x in table.column("block").to_pylist()]].astype(float)
-
     replicates = np.arange(-1, width - 1, dtype=np.int32)
 
     def heavy_sums(key, table):
