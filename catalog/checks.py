@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from catalog import roles as R
 from catalog.registry import Section
+from catalog.ranking import LIVE_PCT, LIVE_SQL, live_percentile
 from catalog.roles import AREAS_SQL, DIMS, SCORED_SQL, table, with_sql
+from catalog.scoring import BAND_DRAWS, CV_SQL, SIGMAS, band_sql, noisy
 from zonometry.functions.labels import ordinal
 from zonometry.operators import joins, quality, rank, serve
 from zonometry.plans import score as scoring
+from zonometry.plans import uncertainty as unc
 
 S = Section()
 
@@ -67,15 +70,17 @@ def batch_lookup(spark, sf):
 
 @S.query("compare", with_sql(SCORED_SQL, """
 sets AS (SELECT c_custkey // 4 AS set_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS area FROM customer WHERE c_acctbal > 0
-  UNION ALL SELECT -1, lpad(CAST(c_custkey AS VARCHAR), 10, '0') FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT 0, '9999999999')""")
-         + "SELECT set_id, area, set_size, score, tier, round(rate, 6) AS rate FROM sets JOIN scored USING (area) JOIN (SELECT set_id, count(*) AS set_size FROM sets GROUP BY 1) USING (set_id)")
+  UNION ALL SELECT -1, lpad(CAST(c_custkey AS VARCHAR), 10, '0') FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT 0, '9999999999')""", LIVE_SQL, f"lp AS ({LIVE_PCT})")
+         + "SELECT set_id, area, set_size, score, tier, round(rate, 6) AS rate, live_pctile, city, state, population, " + ", ".join(f"round({d}, 6) AS {d}" for d in DIMS) + " FROM sets JOIN scored USING (area) JOIN lp USING (area) JOIN (SELECT set_id, count(*) AS set_size FROM sets GROUP BY 1) USING (set_id)")
 def compare(spark, sf):
+    """Comparison sets with their records and the percentile under the weights that are set just now."""
     c = table(spark, sf, "customer")
     area = F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("area")
     sets = c.where(F.col("c_acctbal") > 0).select(F.floor(F.col("c_custkey") / 4).alias("set_id"), area)
     sets = sets.unionByName(c.where(F.col("c_acctbal") > 9500).select(F.lit(-1).cast("long").alias("set_id"), area))
     sets = sets.unionByName(spark.createDataFrame([(0, "9999999999")], "set_id long, area string"))
-    rec = R.scored(spark, sf).select("area", "score", "tier", F.round("rate", 6).alias("rate"))
+    live = live_percentile(spark, sf).select("area", "live_pctile")
+    rec = R.scored(spark, sf).select("area", "score", "tier", F.round("rate", 6).alias("rate"), "city", "state", "population", *[F.round(d, 6).alias(d) for d in DIMS]).join(live, "area")
     return joins.compare_sets(sets, rec, "set_id", "area")
 
 
@@ -84,6 +89,11 @@ def table_summary(spark, sf):
     return serve.table_summary(R.scored(spark, sf), "state", "score")
 
 
+def bands(spark, sf):
+    """Reliable range of each area's rank."""
+    return R.once(spark, sf, "bands", lambda: unc.rank_band(noisy(spark, sf), "area", list(DIMS), SIGMAS, BAND_DRAWS))
+
+
 def _ord(c):
     n = f"CAST(round({c}) AS BIGINT)"
     return (f"CASE WHEN {c} IS NOT NULL THEN {n} || CASE WHEN {n} % 100 BETWEEN 11 AND 13 THEN 'th' WHEN {n} % 10 = 1 THEN 'st' "
@@ -92,15 +102,16 @@ def _ord(c):
 
 @S.query("comparison_frame", with_sql(SCORED_SQL, """
 el AS (SELECT score FROM scored WHERE NOT institutional AND NOT low_confidence AND n_dims_scored >= 3 AND score IS NOT NULL),
-cf AS (SELECT area, (SELECT count(*) FROM el WHERE el.score < s.score) * 100.0 / (SELECT count(*) FROM el) AS p, pctile_within_state AS ws, resid_pctile AS rp FROM scored s WHERE score IS NOT NULL)""")
-         + f"SELECT area, round(p, 6) AS national, CAST(least(10, greatest(1, ceil(p / 10))) AS INTEGER) AS live_tier, {_ord('round(ws, 6)')} AS within_state, {_ord('round(rp, 6)')} AS net_of_deprivation FROM cf")
+cf AS (SELECT area, (SELECT count(*) FROM el WHERE el.score < s.score) * 100.0 / (SELECT count(*) FROM el) AS p, pctile_within_state AS ws, resid_pctile AS rp FROM scored s WHERE score IS NOT NULL)""", CV_SQL, band_sql("", True))
+         + f"SELECT area, round(p, 6) AS national, CAST(least(10, greatest(1, ceil(p / 10))) AS INTEGER) AS live_tier, {_ord('round(ws, 6)')} AS within_state, {_ord('round(rp, 6)')} AS net_of_deprivation, round(rank_lo, 5) AS rank_lo, round(rank_hi, 5) AS rank_hi FROM cf LEFT JOIN (SELECT area, rank_lo, rank_hi FROM band) USING (area)")
 def comparison_frame(spark, sf):
     df = R.scored(spark, sf).where(F.col("score").isNotNull())
     ok = ~F.col("institutional") & ~F.col("low_confidence") & (F.col("n_dims_scored") >= 3)
-    p = rank.with_less_share(df, "score", ok, "p")
+    p = rank.with_less_share(df, "score", ok, "p").join(bands(spark, sf), "area", "left")
     tier = F.least(F.lit(10), F.greatest(F.lit(1), F.ceil(F.col("p") / 10))).cast("int")
     return p.select("area", F.round("p", 6).alias("national"), tier.alias("live_tier"),
-                    ordinal(F.round("pctile_within_state", 6)).alias("within_state"), ordinal(F.round("resid_pctile", 6)).alias("net_of_deprivation"))
+                    ordinal(F.round("pctile_within_state", 6)).alias("within_state"), ordinal(F.round("resid_pctile", 6)).alias("net_of_deprivation"),
+                    F.round("rank_lo", 5).alias("rank_lo"), F.round("rank_hi", 5).alias("rank_hi"))
 
 
 @S.query("metric_by_name", with_sql(SCORED_SQL) + "SELECT area, 'score' AS metric, score AS value FROM scored UNION ALL SELECT area, 'mult', mult FROM scored UNION ALL SELECT area, 'need_pctile', round(need_pctile, 9) FROM scored")

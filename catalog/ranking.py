@@ -114,12 +114,15 @@ def rank_trend_delta(spark, sf):
     return rank.rank_trend(stage(old, "old"), stage(new, "new"), "o_custkey", "v").select("o_custkey", "delta", "moved")
 
 
-@S.query("live_percentile", with_sql(SCORED_SQL, """
+LIVE_SQL = """
 live AS (SELECT area, CASE WHEN scoreable THEN round((coalesce(need_pctile, 0.0) * 20 + coalesce(vulnerability_pctile, 0.0) * 25 + coalesce(access_pctile, 0.0) * 55)
     / (CASE WHEN need_pctile IS NOT NULL THEN 20.0 ELSE 0.0 END + CASE WHEN vulnerability_pctile IS NOT NULL THEN 25.0 ELSE 0.0 END + CASE WHEN access_pctile IS NOT NULL THEN 55.0 ELSE 0.0 END), 9) END AS live,
   NOT institutional AND NOT low_confidence AND n_dims_scored >= 3 AS eligible FROM scored),
-idx AS (SELECT live FROM live WHERE eligible AND live IS NOT NULL)""") + """
-SELECT area, live, round(CASE WHEN live IS NOT NULL THEN (SELECT count(*) FROM idx i WHERE i.live < l.live) * 100.0 / (SELECT count(*) FROM idx) END, 6) AS live_pctile FROM live l""")
+idx AS (SELECT live FROM live WHERE eligible AND live IS NOT NULL)"""
+LIVE_PCT = "SELECT area, live, round(CASE WHEN live IS NOT NULL THEN (SELECT count(*) FROM idx i WHERE i.live < l.live) * 100.0 / (SELECT count(*) FROM idx) END, 6) AS live_pctile FROM live l"
+
+
+@S.query("live_percentile", with_sql(SCORED_SQL, LIVE_SQL) + LIVE_PCT)
 def live_percentile(spark, sf):
     w = scoring.effective_weights({"need_pctile": 20.0, "vulnerability_pctile": 25.0, "access_pctile": 55.0})
     df = R.scored(spark, sf).withColumn("live", scoring.additive(w, F.col("scoreable")))

@@ -16,17 +16,17 @@ from zonometry.session import stage
 MODEL = Model(
     dimensions=(
         Dimension("need", 0.35, (
-            SubScore("demand", (Measure("m_orders", 1, "Orders"), Measure("m_quantity", 1, "Mean quantity")), "Demand"),
-            SubScore("price", (Measure("m_price", -1, "Mean order value"), Measure("m_urgent", -1, "Urgent value")), "Price"),
+            SubScore("demand", (Measure("m_orders", 1, "Orders"), Measure("m_quantity", 1, "Mean quantity", units="pieces")), "Demand", source="orders, lineitem"),
+            SubScore("price", (Measure("m_price", -1, "Mean order value"), Measure("m_urgent", -1, "Urgent value")), "Price", source="orders"),
         ), "Need"),
         Dimension("vulnerability", 0.30, (
-            SubScore("wealth", (Measure("m_balance", -1, "Balance"),), "Wealth"),
-            SubScore("discount", (Measure("m_discount", 1, "Mean discount"), Measure("m_tax", 1, "Mean tax")), "Discount"),
+            SubScore("wealth", (Measure("m_balance", -1, "Balance", units="currency"),), "Wealth", source="customer"),
+            SubScore("discount", (Measure("m_discount", 1, "Mean discount"), Measure("m_tax", 1, "Mean tax")), "Discount", source="lineitem"),
         ), "Vulnerability"),
         Dimension("access", 0.35, (
             SubScore("open", (Measure("m_open", 1, "Open share"),), "Open"),
             SubScore("late", (Measure("m_late", 1, "Late share"),), "Late"),
-            SubScore("unit", (Measure("m_unit", 1, "Unit price", "county"),), "Unit", scored=False),
+            SubScore("unit", (Measure("m_unit", 1, "Unit price", "county"),), "Unit", scored=False, source="lineitem"),
         ), "Access"),
     ),
     population_floor=600.0,

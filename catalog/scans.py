@@ -223,17 +223,24 @@ def sink_prefix_shards(spark, sf):
     return back.select("prefix", "zip", score.alias("score"), F.col("record").contains('"score"').alias("has_score"))
 
 
-_DICT = {"area": ("identifier", "Area code", "string"), "population": ("context", "Total quantity", "double"),
-         "score": ("score", "Composite", "double"), "tier": ("score", "Decile", "int"),
-         "m_urgent": ("measure / Price", "Urgent value", "double"), "o_tax": (None, None, "double")}
+_MORE = {"area": ("identifier", "Area code", ""), "population": ("context", "Total quantity", "pieces"), "score": ("score", "Composite", "score 0-100"), "tier": ("score", "Decile", "1-10")}
+_ENTRIES = {e[0]: e for e in sink.model_entries(R.MODEL, _MORE)}
+# columns of the scored table, the last without an entry
+_DICT = {"area": "string", "population": "double", "score": "double", "tier": "int", **{m.column: "double" for _, m in R.MODEL.measures},
+         **{c: "double" for c in [*R.SUBS, *DIMS]}, "o_tax": "double"}
+
+
+def _entry_sql(c: str) -> str:
+    names = ["group", "description", "source", "direction", "resolution", "units"]
+    cells = [f"""'{v.replace("'", "''")}'""" for v in _ENTRIES[c][1:]] if c in _ENTRIES else ["'undocumented'", *["NULL"] * 5]
+    return ", ".join(f'{v} AS "{n}"' for v, n in zip(cells, names))
 
 
 @S.query("data_dictionary", with_sql(SCORED_SQL) + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, '{d}' AS dtype, '{g or 'undocumented'}' AS \"group\", "
-    f"{repr(t) if t else 'NULL'} AS description FROM scored" for c, (g, t, d) in _DICT.items()))
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, '{d}' AS dtype, {_entry_sql(c)} FROM scored" for c, d in _DICT.items()))
 def data_dictionary(spark, sf):
-    entries = spark.createDataFrame(
-        [(c, g, t) for c, (g, t, _) in _DICT.items() if g], "column string, group string, description string")
+    """Every column of the model with group, source, direction, resolution and units."""
+    entries = spark.createDataFrame(list(_ENTRIES.values()), sink.ENTRY)
     return sink.data_dictionary(R.scored(spark, sf).select(*_DICT), entries)
 
 

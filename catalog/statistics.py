@@ -12,6 +12,7 @@ from catalog.roles import AREAS_SQL, DIMS, MODEL, OUTCOMES, SCORED_SQL, SUBS, pc
 from zonometry.operators import crosswalk as xw
 from zonometry.operators import resample, stats
 from zonometry.operators.joins import having_min_members
+from zonometry.operators.rank import exact_quantiles
 from zonometry.plans import validate as val
 
 S = Section()
@@ -187,6 +188,27 @@ def split_half(spark, sf):
     return r6(out.select("split", "r", "stepped"), "r", "stepped")
 
 
+_LOW = "SELECT mem.area, mem.item, mem.pctile FROM mem JOIN scored ON scored.area = mem.area WHERE scored.population < (SELECT quantile_cont(population, 0.5) FROM scored)"
+
+
+@S.query("reliability", with_sql(SCORED_SQL, split_sql("SELECT area, item, pctile FROM mem", ITEMS, SPLITS, 7),
+         split_sql(_LOW, ITEMS, SPLITS, 7).replace("asg AS", "asg2 AS").replace("JOIN asg USING", "JOIN asg2 USING").replace("hm AS", "hm2 AS").replace("FROM hm WHERE", "FROM hm2 WHERE").replace("sh AS", "sh2 AS"))
+         + "SELECT 'overall' AS areas, round(avg(2 * r / (1 + r)), 6) AS stepped, count(*) AS n_splits FROM sh UNION ALL SELECT 'low population', round(avg(2 * r / (1 + r)), 6), count(*) FROM sh2")
+def reliability(spark, sf):
+    """Mean stepped-up split-half r, of all areas and of those below the median population."""
+    from catalog.scoring import _members
+
+    members = _members(spark, sf)
+    areas = R.scored(spark, sf).select("area", "population")
+    middle = exact_quantiles(areas, "population", [0.5], names=["middle"]).select("middle")
+    low = areas.join(F.broadcast(middle)).where("population < middle").select("area")  # one row
+    parts = []
+    for name, rows in (("overall", members), ("low population", members.join(low, "area", "left_semi"))):
+        halves = resample.split_half(rows, "area", "item", "pctile", ITEMS, SPLITS, 7)
+        parts.append(halves.agg(F.avg("stepped").alias("stepped"), F.count("stepped").alias("n_splits")).withColumn("areas", F.lit(name)))
+    return r6(parts[0].unionByName(parts[1]), "stepped").select("areas", "stepped", "n_splits")
+
+
 RULERS = ["m_unit", "o_blend", "o_price"]
 _RULERS = [("m_unit", "o_blend"), ("m_unit", "o_price"), ("o_blend", "o_price")]
 _PF_SQL = "pf AS (" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, {_wcorr_sql(x, y, 'cpop', 'cty', 10)} AS r" for x, y in _RULERS) + ")"

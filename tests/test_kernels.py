@@ -445,3 +445,31 @@ def test_between_variance_solves_its_equation_in_one_scan(spark):
         assert abs(x.residual) < 1e-10 and (abs(left) < 1e-6 if x.tau2 else left <= 0)
     text = smallarea.between_variance(df, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text
+
+
+def test_nonneg_ls_with_many_predictors_meets_its_conditions():
+    import time
+
+    from zonometry.operators import stats
+
+    rng = np.random.default_rng(12)
+    start = time.time()
+    for _ in range(20):
+        x = rng.normal(size=(200, 20)) + rng.normal(size=(200, 1))
+        y = x @ rng.normal(size=20) + rng.normal(size=200)
+        b = stats.nonneg_ls(x.T @ x, x.T @ y)
+        slope = x.T @ (y - x @ b)
+        assert (b >= 0).all() and np.abs(slope[b > 0]).max(initial=0) < 1e-6 and slope[b == 0].max(initial=0) < 1e-6
+    assert time.time() - start < 5 and (stats.nonneg_ls(np.eye(3), -np.ones(3)) == 0).all()
+
+
+def test_dictionary_has_an_entry_for_every_column_of_the_model(spark):
+    from catalog import roles
+    from zonometry.sinks import tables as sink
+
+    entries = sink.model_entries(roles.MODEL, {"area": ("identifier", "Area code", "")})
+    names = [e[0] for e in entries]
+    assert len(set(names)) == len(names)
+    assert {m.column for _, m in roles.MODEL.measures} | set(roles.MODEL.sub_cols) | set(roles.MODEL.dim_cols) | {"area"} <= set(names)
+    turned = {e[0]: e[4] for e in entries}
+    assert turned["m_price"] != turned["m_orders"] and all(e[4] for e in entries if e[1].startswith("measure"))

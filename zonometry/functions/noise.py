@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,17 @@ def normals(dig: Column, k: int) -> list[Column]:
     a, b = normal_pair(uniform(dig, 0), uniform(dig, 1))
     c, d = normal_pair(uniform(dig, 2), uniform(dig, 3))
     return [a, b, c, d][:k]
+
+
+def uniforms_of(seed: int, keys: list[str | None], draws: int) -> np.ndarray:
+    """keys x draws x 4: the uniforms of ``digest(seed, key, draw)``, as arrays inside a task."""
+    heads = [f"{seed}|" if k is None else f"{seed}|{k}|" for k in keys]
+    tails = [str(i) for i in range(draws)]
+    raw = b"".join(hashlib.md5((h + t).encode(), usedforsecurity=False).digest() for h in heads for t in tails)
+    return (np.frombuffer(raw, ">u4").astype(float).reshape(len(keys), draws, 4) + 0.5) / 4294967296.0
+
+
+def normals_of(u: np.ndarray, k: int) -> np.ndarray:
+    """Up to four standard normals from each four uniforms (last axis)."""
+    radius, angle = np.sqrt(-2.0 * np.log(u[..., ::2])), 2.0 * math.pi * u[..., 1::2]
+    return np.stack([radius * np.cos(angle), radius * np.sin(angle)], -1).reshape(*u.shape[:-1], 4)[..., :k]

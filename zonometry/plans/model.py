@@ -13,6 +13,7 @@ class Measure:
     direction: int = 1  # +1 higher is worse, -1 higher is better
     label: str = ""
     resolution: str = "area"  # or "county": one value broadcast over a county
+    units: str = ""
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,7 @@ class SubScore:
     measures: tuple[Measure, ...]
     label: str = ""
     scored: bool = True  # unscored ones are computed and shown, but left out of the dimension
+    source: str = ""
 
     @property
     def resolution(self) -> str:

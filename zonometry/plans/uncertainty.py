@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonometry.functions.noise import digest, normals, uniform
+from zonometry.functions.noise import digest, normals, normals_of, uniform, uniforms_of
 from zonometry.operators.rank import exact_quantiles, with_fixed_share
 from zonometry.session import stage
 
@@ -15,7 +20,7 @@ MODEL_SCALE = 71.0
 WEIGHT_LO, WEIGHT_HI = 0.15, 0.55
 DRAWS = 300
 MIN_SCOREABLE = 10
-SLICES = 256
+BLOCK_ROWS, SLICE_ROWS = 2048, 100_000  # areas of a packed block, and of a slice of one draw on average
 
 
 def with_noise_sigma(df: DataFrame, survey_cv: str, model_cv: str,
@@ -45,43 +50,118 @@ def draw_weights(spark, k: int, draws: int, seed: int) -> DataFrame:
     return raw.select("draw", *[(F.col(f"r{i}") / total).alias(f"w{i}") for i in range(k)])
 
 
-def drawn_composites(df: DataFrame, key: str, dims: list[str], sigmas: list[str] | None, draws: int, seed: int) -> DataFrame:
-    """(key, draw, comp) for every draw; noise hashes from (seed, key, draw)."""
-    rows = df.select(key, *dims, *(sigmas or [])).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.join(F.broadcast(draw_weights(df.sparkSession, len(dims), draws, seed)), "draw")  # ``draws`` rows
-    if sigmas:
-        rows = rows.withColumn("__d", digest(F.lit(seed), F.col(key), F.col("draw")))
-        noise = [z * F.col(s) for z, s in zip(normals(F.col("__d"), len(dims)), sigmas)]
-    else:
-        noise = [F.lit(0.0)] * len(dims)
-    shaken = [F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(d) + e)) for d, e in zip(dims, noise)]
-    num = sum(F.when(F.col(d).isNotNull(), x * F.col(f"w{i}")).otherwise(0.0) for i, (d, x) in enumerate(zip(dims, shaken)))
-    den = sum(F.when(F.col(d).isNotNull(), F.col(f"w{i}")).otherwise(0.0) for i, d in enumerate(dims))
-    return rows.select(key, "draw", F.round(num / den, 9).alias("comp"))
+def _composites(seed: int, keys: list[str], x: np.ndarray, sigma: np.ndarray | None, weights: np.ndarray) -> np.ndarray:
+    """rows x draws: weighted means of the dimensions that are there, shaken by ``sigma``; NaN without any."""
+    shaken = np.repeat(x[:, None, :], len(weights), 1)
+    if sigma is not None:
+        noise = normals_of(uniforms_of(seed, keys, len(weights)), x.shape[1]) * sigma[:, None, :]
+        shaken = np.clip(shaken + np.nan_to_num(noise), 0.0, 100.0)
+    known = ~np.isnan(x)
+    den = known.astype(float) @ weights.T
+    num = np.einsum("bdk,dk->bd", np.nan_to_num(shaken), weights)
+    return np.round(np.divide(num, den, out=np.full_like(num, np.nan), where=den > 0), 9)
 
 
-def rank_band(df: DataFrame, key: str, dims: list[str], sigmas: list[str] | None = None,
-              draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """5th and 95th percentile of each area's rank over the draws: (key, rank_lo, rank_hi).
+def rank_bands(df: DataFrame, key: str, dims: list[str], variants: dict[str, list[str] | None], draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """5th and 95th percentile of each area's rank over the draws, for every variant of the noise: ``key``, then ``<variant>_lo`` and ``<variant>_hi``.
 
-    ``df`` holds the scoreable rows. Ranks run inside (draw, slice of the 0..100 range): slice
-    totals give the offset, so one draw of any number of areas is spread over many tasks.
+    ``df`` holds the scoreable rows; a variant names its noise columns, or is None for weights only. A block of areas makes
+    its composites of all draws of all variants at once and keeps, for each draw, its distinct values with their counts: one packed row a
+    block, draw and slice of the 0..100 range. A (draw, slice) ranks the values of all blocks by array work, with
+    the counts of lower slices below them, and sends each block its ranks back; there every area's quantiles are taken. A value that very many
+    areas share is one entry a block, and areas x draws never become rows.
     """
-    comps = stage(drawn_composites(df, key, dims, sigmas, draws, seed), "draws")
-    sliced = comps.withColumn("__s", F.floor(F.col("comp") * (SLICES / 100.0)).cast("int"))
-    totals = sliced.groupBy("draw", "__s").agg(F.count(F.lit(1)).alias("__n"))
-    run = Window.partitionBy("draw").orderBy("__s")
-    totals = totals.select("draw", "__s", (F.sum("__n").over(run) - F.col("__n")).alias("__off"),
-                           F.sum("__n").over(Window.partitionBy("draw")).alias("__all"))
-    inside = Window.partitionBy("draw", "__s").orderBy("comp")
-    ties = inside.rangeBetween(0, 0)
-    ranked = sliced.select(key, "draw", "__s", F.rank().over(inside).alias("__r"), F.count(F.lit(1)).over(ties).alias("__c"))
-    pct = (F.col("__off") + F.col("__r") + (F.col("__c") - 1) / 2) / F.col("__all") * 100
-    ranks = ranked.join(totals, ["draw", "__s"]).select(key, pct.alias("p"), "__all")
-    # a group is the fixed number of draws of one area
-    band = ranks.groupBy(key).agg(F.expr("percentile(p, array(0.05, 0.95))").alias("q"), F.max("__all").alias("n"))
-    enough = F.col("n") >= MIN_SCOREABLE
-    return band.select(key, F.when(enough, F.col("q")[0]).alias("rank_lo"), F.when(enough, F.col("q")[1]).alias("rank_hi"))
+    spark, names = df.sparkSession, list(variants)
+    weights = np.array([list(r)[1:] for r in draw_weights(spark, len(dims), draws, seed).orderBy("draw").collect()])  # ``draws`` rows
+    slices = max(1, -(-df.count() // SLICE_ROWS))
+    noise = sorted({c for v in variants.values() if v for c in v})
+    none = reduce(lambda a, b: a & b, [F.col(d).isNull() for d in dims])  # these have no band and count for none
+    rows = df.where(~none).select(F.col(key), F.col(key).cast("string").alias("__key"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*dims, *noise])])
+
+    def block(table: pa.Table, number: int) -> pa.RecordBatch:
+        cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in [*dims, *noise]}
+        x, keys = np.column_stack([cols[d] for d in dims]), table.column("__key").to_pylist()
+        comps = np.concatenate([_composites(seed, keys, x, None if v is None else np.column_stack([cols[c] for c in v]), weights) for v in variants.values()], 1)
+        place = np.zeros(comps.shape, "<i4")
+        out = {"draw": [], "slice": [], "values": [], "counts": []}
+        for d in range(comps.shape[1]):
+            value, place[:, d], count = np.unique(comps[:, d], return_inverse=True, return_counts=True)
+            cut = np.clip(value * (slices / 100.0), 0, slices - 1).astype(np.int64)
+            edge = np.flatnonzero(np.diff(cut, prepend=-1, append=slices))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                for c, v in (("draw", d), ("slice", int(cut[lo])), ("values", value[lo:hi].tobytes()), ("counts", count[lo:hi].astype("<i8").tobytes())):
+                    out[c].append(v)
+        sink = pa.BufferOutputStream()
+        kept = table.select([key])
+        with pa.ipc.new_stream(sink, kept.schema) as w:
+            w.write_table(kept)
+        n = len(out["draw"])
+        return pa.record_batch(
+            [pa.array([number] * (n + 1), pa.int64()), pa.array([-1, *out["draw"]], pa.int32()), pa.array([0, *out["slice"]], pa.int32()),
+             pa.array([place.tobytes(), *out["values"]], pa.binary()), pa.array([sink.getvalue().to_pybytes(), *out["counts"]], pa.binary())],
+            ["block", "draw", "slice", "values", "counts"])
+
+    def pack(batches):
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                yield block(pa.Table.from_batches([batch.slice(lo, BLOCK_ROWS)]), at)
+                at += 1
+
+    packed = stage(rows.mapInArrow(pack, "block long, draw int, slice int, values binary, counts binary"), "packed-draws")
+    pieces = packed.where("draw >= 0")
+
+    def counted(batches):
+        for b in batches:
+            n = [int(np.frombuffer(x, "<i8").sum()) for x in b.column("counts").to_pylist()]
+            yield pa.record_batch([b.column("draw"), b.column("slice"), pa.array(n, pa.int64())], ["draw", "slice", "n"])
+
+    totals = pieces.select("draw", "slice", "counts").mapInArrow(counted, "draw int, slice int, n long").groupBy("draw", "slice").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy("draw").orderBy("slice")
+    below = totals.select("draw", "slice", (F.sum("n").over(run) - F.col("n")).alias("below"), F.sum("n").over(Window.partitionBy("draw")).alias("all"))
+
+    def ranked(key_, t):
+        values = [np.frombuffer(x) for x in t.column("values").to_pylist()]
+        counts = [np.frombuffer(x, "<i8") for x in t.column("counts").to_pylist()]
+        value, at = np.unique(np.concatenate(values), return_inverse=True)
+        ties = np.bincount(at, np.concatenate(counts))
+        rank = t.column("below")[0].as_py() + np.cumsum(ties) - ties + (ties + 1) / 2
+        pct = (rank / t.column("all")[0].as_py() * 100)[at]
+        edge = np.cumsum([0, *map(len, values)])
+        return pa.table({"block": t.column("block"), "draw": t.column("draw"), "slice": t.column("slice"), "all": t.column("all"),
+                         "pct": pa.array([pct[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
+
+    told = pieces.join(below, ["draw", "slice"]).groupBy("draw", "slice").applyInArrow(ranked, "block long, draw int, slice int, all long, pct binary")
+    bounds = [f"{n}_{end}" for n in names for end in ("lo", "hi")]
+
+    def banded(key_, home, back):
+        keys = pa.ipc.open_stream(home.column("counts")[0].as_py()).read_all()
+        width = draws * len(names)
+        place = np.frombuffer(home.column("values")[0].as_py(), "<i4").reshape(len(keys), width)
+        by_draw = back.sort_by([("draw", "ascending"), ("slice", "ascending")])
+        pct, enough = np.full(place.shape, np.nan), False
+        draw, parts = by_draw.column("draw").to_numpy(), [np.frombuffer(x) for x in by_draw.column("pct").to_pylist()]
+        edge = np.searchsorted(draw, np.arange(width + 1))
+        for d in range(width):
+            if edge[d] < edge[d + 1]:
+                pct[:, d] = np.concatenate(parts[edge[d] : edge[d + 1]])[place[:, d]]
+        if back.num_rows:
+            enough = back.column("all")[0].as_py() >= MIN_SCOREABLE
+        out = {key: keys.column(key).combine_chunks()}
+        for i, n in enumerate(names):
+            q = np.quantile(pct[:, i * draws : (i + 1) * draws], [0.05, 0.95], axis=1) if enough else np.full((2, len(keys)), np.nan)
+            out |= {f"{n}_lo": q[0], f"{n}_hi": q[1]}
+        return pa.table({c: v if c == key else pa.array(v, from_pandas=True) for c, v in out.items()})
+
+    schema = f"`{key}` {dict(df.dtypes)[key]}, " + ", ".join(f"{b} double" for b in bounds)
+    out = packed.where("draw < 0").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(banded, schema)
+    return out.unionByName(df.where(none).select(key, *[F.lit(None).cast("double").alias(b) for b in bounds]))
+
+
+def rank_band(df: DataFrame, key: str, dims: list[str], sigmas: list[str] | None = None,
+              draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """5th and 95th percentile of each area's rank over the draws: (key, rank_lo, rank_hi)."""
+    return rank_bands(df, key, dims, {"rank": sigmas}, draws, seed)
 
 
 def median_widths(bands: DataFrame, flag: str, tag: str) -> DataFrame:
@@ -95,8 +175,8 @@ def band_decomposition(df: DataFrame, key: str, dims: list[str], sigmas: list[st
                        draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """Median width by confidence tier: combined, weights only, and the part noise adds."""
     flags = df.select(key, flag)
-    both = rank_band(df, key, dims, sigmas, draws, seed).join(flags, key)
-    weights_only = rank_band(df, key, dims, None, draws, seed).join(flags, key)
+    bands = stage(rank_bands(df, key, dims, {"both": sigmas, "weights": None}, draws, seed), "bands").join(flags, key)
+    both, weights_only = [bands.select(flag, F.col(f"{n}_lo").alias("rank_lo"), F.col(f"{n}_hi").alias("rank_hi")) for n in ("both", "weights")]
     out = median_widths(both, flag, "combined").join(median_widths(weights_only, flag, "weights_only"), flag)
     return out.withColumn("measurement", F.col("combined") - F.col("weights_only"))
 

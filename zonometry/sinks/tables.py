@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonometry.plans.model import Model
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
@@ -66,8 +68,26 @@ def prefix_shards(df: DataFrame, key: str, cols: list[str], digits: int = 3, pla
     return df.select(F.substring(F.col(key), 1, digits).alias("prefix"), F.col(key), record.alias("record"))
 
 
+ENTRY = "column string, group string, description string, source string, direction string, resolution string, units string"
+DIRECTIONS = {1: "higher = worse", -1: "higher = better, turned for the score"}
+WORSE, PERCENTILE = "higher = worse", "percentile 0-100"
+
+
+def model_entries(model: Model, more: dict[str, tuple[str, str, str]] | None = None) -> list[tuple]:
+    """Dictionary entries of every column that a model makes, and of ``more`` (column: group, description, units)."""
+    out = []
+    for dim, sub in model.subscores:
+        scored = "scored" if sub.scored else "computed but not scored"
+        for m in sub.measures:
+            out.append((m.column, f"measure / {sub.label}", m.label, sub.source, DIRECTIONS[m.direction], m.resolution, m.units))
+            out.append((f"{m.column}_pctile", f"measure percentile / {sub.label}", f"Percentile of {m.label}, oriented", sub.source, WORSE, m.resolution, PERCENTILE))
+        out.append((f"{sub.key}_pctile", f"sub-score / {dim.label}", f"{sub.label} sub-score ({scored}): mean of its members' percentiles, re-ranked", sub.source, WORSE, sub.resolution, PERCENTILE))
+    out += [(f"{d.key}_pctile", "dimension", d.label, "", WORSE, "", PERCENTILE) for d in model.dimensions]
+    return out + [(c, g, text, "", "", "", units) for c, (g, text, units) in (more or {}).items()]
+
+
 def data_dictionary(df: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per column: its entry (group, description, ...), type and non-null count in one scan."""
+    """One row per column: its entry, type and non-null count in one scan; a column without an entry is ``undocumented``."""
     cols = df.columns
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], cols, "column", "non_null")
     types = df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string")
