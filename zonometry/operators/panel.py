@@ -550,18 +550,22 @@ def variance_decomposition(resid: DataFrame, unit: str, value: str, pop: str) ->
                   F.greatest(F.regr_slope("v", "inv"), F.lit(0.0)).alias("sampling"), F.count(F.lit(1)).alias("n_units"))
 
 
+# Treated units of a powered and of a pilot study, and the share of the effect by which a borderline interval may miss 0.
+POWERED, PILOT, BORDERLINE = 240, 110, 0.2
+
+
 def verdict(df: DataFrame) -> DataFrame:
     """Rule label per result row from ``overall_att, ci_lo, ci_hi, pre_rms, n_treated``."""
     ov, lo, hi = F.col("overall_att"), F.col("ci_lo"), F.col("ci_hi")
     excludes = (lo > 0) | (hi < 0)
     clean = F.coalesce((F.abs(ov) > 0) & (F.col("pre_rms") < F.abs(ov) / 2), F.lit(False))
     near = F.when(ov < 0, hi).otherwise(lo)
-    borderline = ~excludes & (F.abs(ov) > 0) & (F.abs(near) < F.abs(ov) * 0.2)
+    borderline = ~excludes & (F.abs(ov) > 0) & (F.abs(near) < F.abs(ov) * BORDERLINE)
     label = (
         F.when(excludes & (ov < 0) & clean, "detected").when(excludes & (ov < 0), "suggestive")
         .when(excludes & (ov > 0), "wrong-signed").when(borderline & (ov < 0), "borderline").otherwise("none")
     )
-    power = F.when(F.col("n_treated") >= 240, "powered").when(F.col("n_treated") >= 110, "pilot").otherwise("underpowered")
+    power = F.when(F.col("n_treated") >= POWERED, "powered").when(F.col("n_treated") >= PILOT, "pilot").otherwise("underpowered")
     return df.withColumn("pre_clean", clean).withColumn("verdict", label).withColumn("power_band", power)
 
 
